@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from scalefold.operators import grids
+from scalefold.session import local_table
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,7 @@ FAMILY_SCHEMA = (
 
 def family_config(spark: SparkSession, families: list[Family] = FAMILIES) -> DataFrame:
     rows = [tuple(asdict(f).values()) for f in families]
-    return spark.createDataFrame(rows, FAMILY_SCHEMA).withColumnRenamed("name", "family")
+    return local_table(spark, rows, FAMILY_SCHEMA).withColumnRenamed("name", "family")
 
 
 def dataset_catalog(spark: SparkSession) -> DataFrame:
@@ -117,7 +118,7 @@ def dataset_catalog(spark: SparkSession) -> DataFrame:
     rows = [(name, family, on) for family, name, on in OTHERS]
     rows += [(f"NIST_3_{e}_{name}", "lines", True) for e, name in ELEMENTS.items()]
     rows += [(p, "pulsar", p in PULSARS_ENABLED) for p in PULSARS]
-    return spark.createDataFrame(rows, "series_id string, family string, enabled boolean")
+    return local_table(spark, rows, "series_id string, family string, enabled boolean")
 
 
 def dataset_config(spark: SparkSession, families: list[Family] = FAMILIES) -> DataFrame:

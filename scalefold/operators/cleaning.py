@@ -35,16 +35,6 @@ def min_count_gate(df: DataFrame, keys: Keys, least: int = MIN_VALUES) -> DataFr
     return df.join(kept, list(keys), "left_semi")
 
 
-def valid_channels(df: DataFrame, least: int = 1024) -> DataFrame:
-    """P20. Channels with at least ``least`` rows and any finite value, with their lengths."""
-    return (
-        df.groupBy("series_id", "channel")
-        .agg(F.count(F.lit(1)).alias("n"), F.count(finite(F.col("value"))).alias("_known"))
-        .filter((F.col("n") >= least) & (F.col("_known") > 0))
-        .select("series_id", "channel", "n")
-    )
-
-
 def quantile_trim(df: DataFrame, keys: Keys, probs: Sequence[float] = TRIM, task_rows: int = TASK_ROWS) -> DataFrame:
     """P4. Keep values between two quantiles, both ends included."""
     q = quantiles(df, keys, probs, task_rows=task_rows)

@@ -48,14 +48,14 @@ POWER_FAMILIES = ("strain", "sky_map", "sky_map_survey", "bits")
 SIDE_LEAST = 10
 
 
-def measurement_channels(samples: DataFrame, recipes: dict[str, str]) -> DataFrame:
+def measurement_channels(samples: DataFrame, recipes: dict[str, str], least: int = 1024) -> DataFrame:
     """D9. Rows ``(series_id, col, idx, value)`` of the measurement matrix, with their ``kind``.
 
     ``samples(series_id, family, channel, idx, value)``. Series with further
     valid channels give those, denoised and aligned with the chosen one; power
     families and single-channel series give normalised power bins.
     """
-    valid = ch.valid_channels(samples)
+    valid = ch.valid_channels(samples, least)
     chosen = ch.longest_channel(valid).join(samples.select("series_id", "family").distinct(), "series_id")
     others = valid.join(chosen.select("series_id", "channel"), ["series_id", "channel"], "left_anti")
     # side channels of pulsars need only a few values; everything else was checked above

@@ -41,14 +41,16 @@ def segment_rms(samples: DataFrame, keys: Keys, scales: Sequence[int] | None = N
         F.pmod(F.col("idx"), F.col("s")).cast("double").alias("x"),
         "value",
     )
-    by = [*keys, "scale_pos", "s", "seg"]
+    # s goes with scale_pos; leaving it out keeps the grouping key short
+    by = [*keys, "scale_pos", "seg"]
     if detrend == 0:
-        segs = cut.groupBy(*by).agg(F.count("value").alias("_n"), F.var_pop("value").alias("_v"))
-        segs = segs.withColumn("_r", F.col("_v"))
+        segs = cut.groupBy(*by).agg(
+            F.max("s").alias("s"), F.count("value").alias("_n"), F.var_pop("value").alias("_v")
+        ).withColumn("_r", F.col("_v"))
     else:
         segs = _line_residuals(cut, by)
     return segs.filter((F.col("_n") == F.col("s")) & (F.sqrt("_v") >= FLAT_STD)).select(
-        *by, F.sqrt(F.col("_r") + RMS_FLOOR).alias("rms")
+        *keys, "scale_pos", "s", "seg", F.sqrt(F.col("_r") + RMS_FLOOR).alias("rms")
     )
 
 
@@ -69,47 +71,66 @@ def _line_residuals(cut: DataFrame, by: Sequence[str]) -> DataFrame:
         cut.withColumn("_c", F.covar_pop("x", "value").over(w))
         .withColumn("_m", F.avg("value").over(w))
         .groupBy(*by)
-        .agg(F.count("value").alias("_n"), F.var_pop("value").alias("_v"), F.avg(r * r).alias("_r"))
+        .agg(
+            F.max("s").alias("s"),
+            F.count("value").alias("_n"),
+            F.var_pop("value").alias("_v"),
+            F.avg(r * r).alias("_r"),
+        )
+    )
+
+
+def fluctuation_rows(segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
+    """M6, M7. One row per scale with F(q, s) over the whole q grid as an array ``f``.
+
+    Each q is one sum of the same group-by, so segments are not multiplied by
+    the grid and the map side already shrinks them to one row per scale. F is
+    NULL where it is not positive and finite.
+    """
+    # powers as exp(q ln x): one logarithm serves the whole grid
+    log_rms = segments.select(*keys, "scale_pos", "s", F.ln(F.col("rms") + RMS_FLOOR).alias("_l"), "rms")
+    sums, values = [], []
+    for k, q in enumerate(q_grid):
+        power = f"ln(rms * rms + {RMS_FLOOR}D)" if q == 0.0 else f"exp({q}D * _l)"
+        sums.append(F.expr(f"sum({power}) as _q{k}"))
+        values.append(f"exp(0.5D * _q{k} / n_segments)" if q == 0.0 else f"exp(ln(_q{k} / n_segments) / {q}D)")
+    by_scale = log_rms.groupBy(*keys, "scale_pos").agg(
+        F.max("s").alias("s"), F.count(F.lit(1)).alias("n_segments"), *sums
+    )
+    return by_scale.filter(F.col("n_segments") >= MIN_SEGMENTS).select(
+        *keys,
+        "scale_pos",
+        "s",
+        "n_segments",
+        F.transform(F.expr(f"array({', '.join(values)})"), lambda f: F.when(finite(f) > 0.0, f)).alias("f"),
     )
 
 
 def fluctuation(segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
-    """M6, M7. F(q, s): the q-order mean of the segment values; NULL where it is not positive and finite."""
-    # the grid is a constant, so only its position is a grouping key
-    q, rms = F.col("q"), F.col("rms")
-    power = F.when(q == 0.0, F.ln(rms * rms + RMS_FLOOR)).otherwise(F.pow(rms + RMS_FLOOR, q))
-    mean = F.col("_mean")
-    f = finite(F.when(q == 0.0, F.exp(0.5 * mean)).otherwise(F.pow(mean, F.try_divide(F.lit(1.0), q))))
-    return (
-        segments.select(*keys, "scale_pos", "s", "rms", F.posexplode(F.lit(list(q_grid))).alias("q_pos", "q"))
-        .groupBy(*keys, "scale_pos", "q_pos")
-        .agg(F.max("s").alias("s"), F.avg(power).alias("_mean"), F.count(F.lit(1)).alias("n_segments"))
-        .filter(F.col("n_segments") >= MIN_SEGMENTS)
-        .withColumn("q", F.lit(list(q_grid))[F.col("q_pos")])
-        .select(*keys, "scale_pos", "s", "q_pos", "q", "n_segments", F.when(f > 0.0, f).alias("f"))
+    """F(q, s) in long form, one row per scale and q."""
+    return fluctuation_rows(segments, keys, q_grid).select(
+        *keys, "scale_pos", "s", "n_segments", F.posexplode("f").alias("q_pos", "f")
     )
 
 
-def spectrum(fluct: DataFrame, keys: Keys) -> DataFrame:
-    """M8-M12. h(q), tau, alpha and f(alpha), one row per q; undefined values are NULL.
+def spectrum(fluct: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
+    """M8-M12. h(q), tau, alpha and f(alpha) from ``fluctuation_rows``, one row per q; undefined values are NULL.
 
-    A series has at most (number of scales) x 81 rows here. They are placed by
-    ``keys`` once and every later window and group-by reuses that placement.
+    A series has one row per scale here, a few dozen at most. They are placed
+    by ``keys`` once; every later window and group-by reuses that placement.
     """
     whole = Window.partitionBy(*keys)
-    per_scale = Window.partitionBy(*keys, "scale_pos")
+    n_finite = F.size(F.filter("f", lambda f: f.isNotNull()))
     gated = (
         fluct.repartition(*keys)
-        .withColumn("_nq", F.count("f").over(per_scale))
-        .withColumn("_ok", F.max("_nq").over(whole) >= MIN_Q)
+        .withColumn("_ok", F.max(n_finite).over(whole) >= MIN_Q)
+        .select(*keys, F.ln(F.col("s").cast("double")).alias("x"), "_ok", F.posexplode("f").alias("q_pos", "f"))
     )
     y = F.when(F.col("_ok"), F.ln(F.col("f") + RMS_FLOOR))
-    x = F.when(y.isNotNull(), F.ln(F.col("s").cast("double")))
     sums = (
-        gated.select(*keys, "q_pos", "q", x.alias("x"), y.alias("y"))
+        gated.select(*keys, "q_pos", y.alias("y"), F.when(y.isNotNull(), F.col("x")).alias("x"))
         .groupBy(*keys, "q_pos")
         .agg(
-            F.max("q").alias("q"),
             F.count("y").alias("n"),
             F.sum("x").alias("sx"),
             F.sum("y").alias("sy"),
@@ -119,7 +140,11 @@ def spectrum(fluct: DataFrame, keys: Keys) -> DataFrame:
     )
     slope = F.expr(f"(n * sxy - sx * sy) / (n * sxx - sx * sx + {RIDGE}D)")
     fitted = sums.withColumn("h", F.when(F.col("n") >= MIN_SCALES, slope)).select(
-        *keys, F.col("n").alias("n_scales"), "q_pos", "q", F.when(F.col("h") > 0.0, F.col("h")).alias("h")
+        *keys,
+        F.col("n").alias("n_scales"),
+        "q_pos",
+        F.lit(list(q_grid))[F.col("q_pos")].alias("q"),
+        F.when(F.col("h") > 0.0, F.col("h")).alias("h"),
     )
     return singularity(fitted, keys)
 
@@ -150,7 +175,7 @@ def dimension(spec: DataFrame, keys: Keys) -> DataFrame:
 
 def measure(samples: DataFrame, keys: Keys, scales: Sequence[int] | None = None, detrend: int = 0) -> DataFrame:
     """M3-M12 in one call: samples to spectrum rows."""
-    return spectrum(fluctuation(segment_rms(samples, keys, scales, detrend), keys), keys)
+    return spectrum(fluctuation_rows(segment_rms(samples, keys, scales, detrend), keys), keys)
 
 
 # Fixed values of the reliability test.

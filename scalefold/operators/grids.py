@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from scalefold.session import local_table
+
 # Q runs from -8 to 8 in steps of 0.2, with an exact zero.
 Q_GRID = [(k - 40) / 5.0 for k in range(81)]
 
@@ -34,9 +36,9 @@ def whole_scales(n: int) -> list[int]:
 def whole_grid(spark: SparkSession) -> DataFrame:
     """Scales by series length up to the head limit; at most 6,144 / 8 rows, whatever the data."""
     rows = [(top, whole_scales(8 * top)) for top in range(1, WHOLE_HEAD // 8 + 1)]
-    return spark.createDataFrame(rows, "top int, scales array<int>")
+    return local_table(spark, rows, "top int, scales array<int>")
 
 
 def lines_grid(spark: SparkSession) -> DataFrame:
     rows = [(top, lines_scales(4 * top)) for top in range(1, LINES_MAX + 1)]
-    return spark.createDataFrame(rows, "top int, scales array<int>")
+    return local_table(spark, rows, "top int, scales array<int>")

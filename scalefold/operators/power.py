@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scalefold.operators.indexing import Keys, lengths
 
@@ -15,7 +16,7 @@ KEPT_BINS = 8
 PEAK_FLOOR = 1e-10
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _frame_power(x: pd.Series) -> pd.Series:
     """One-sided power of a mean-free, Hann-weighted frame, per unit sampling rate."""
 

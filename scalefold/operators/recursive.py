@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scalefold.operators.indexing import Keys
 
@@ -80,7 +81,7 @@ def _lanes(values: np.ndarray, z: np.ndarray, system, lane) -> tuple[np.ndarray,
 
 
 def _state_udf(system, lane):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(x: pd.Series) -> pd.Series:
         rest = np.zeros(len(system[1]))
         return x.map(lambda v: _lanes(np.asarray(v, dtype=float), rest, system, lane)[1])
@@ -89,7 +90,7 @@ def _state_udf(system, lane):
 
 
 def _output_udf(system, lane):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(x: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series(
             [_lanes(np.asarray(v, dtype=float), np.asarray(s, dtype=float), system, lane)[0] for v, s in zip(x, z)]

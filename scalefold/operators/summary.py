@@ -16,21 +16,20 @@ FLAT_STD = 1e-10
 WARN_NULLS = 0.5
 WARN_SHARE = 0.2
 
-# A series has as many subset results as the plan gives it, at most a few hundred.
-SERIES = Window.partitionBy("series_id")
-
 
 def mad_core(results: DataFrame) -> DataFrame:
     """A1. Mark the valid ``d_f`` near the median; if too few are, mark all valid ones."""
+    # a series has as many results as its plan has subsets, at most a few hundred
+    series = Window.partitionBy("series_id")
     dev = F.abs(F.col("d_f") - F.col("median_df"))
     near = F.col("_dev") <= MAD_WIDTH * (F.col("mad") + MAD_FLOOR)
     return (
-        results.withColumn("median_df", F.median("d_f").over(SERIES))
+        results.withColumn("median_df", F.median("d_f").over(series))
         .withColumn("_dev", dev)
-        .withColumn("mad", F.median("_dev").over(SERIES))
+        .withColumn("mad", F.median("_dev").over(series))
         .withColumn("_near", F.coalesce(near, F.lit(False)))
-        .withColumn("_core", F.count_if("_near").over(SERIES))
-        .withColumn("_valid", F.count("d_f").over(SERIES))
+        .withColumn("_core", F.count_if("_near").over(series))
+        .withColumn("_valid", F.count("d_f").over(series))
         .withColumn(
             "in_core",
             F.when(F.col("_core") < F.greatest(F.lit(CORE_LEAST), F.expr("_valid div 3")), F.col("d_f").isNotNull()).otherwise(

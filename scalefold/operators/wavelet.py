@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scalefold.operators.indexing import Keys, lengths, with_halo
 
@@ -34,6 +35,10 @@ BLOCK = 16_384
 HALO = 512
 MAX_LEVEL = 5
 
+SUMS = T.StructType(
+    [T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("ss", T.DoubleType())]
+)
+
 
 def analyse(df: DataFrame, keys: Keys) -> DataFrame:
     """D3. One decomposition level: ``(keys, k, approx, detail)``, k in [0, (n + 7) div 2).
@@ -114,7 +119,7 @@ def _blocks(df: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
-@F.pandas_udf("n bigint, s double, ss double")
+@F.pandas_udf(SUMS)
 def _detail_sums(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series) -> pd.DataFrame:
     """Count, sum and sum of squares of the finest details a block owns."""
     rows = []
@@ -129,7 +134,7 @@ def _detail_sums(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series)
 
 
 def _shrink_udf(level: int):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series, t: pd.Series) -> pd.Series:
         out = []
         for values, a, b, m, limit in zip(x, lo, own, n_own, t):

@@ -1,6 +1,12 @@
 """All registered queries: each reads whole tables and has a DuckDB twin where SQL can say it."""
 
-from scalefold.plans import core_queries  # noqa: F401
+from scalefold.plans import (  # noqa: F401
+    clean_queries,
+    core_queries,
+    index_queries,
+    sampling_queries,
+    signal_queries,
+)
 from scalefold.plans.core_queries import mfdfa_df
 from scalefold.plans.registry import ORACLE, QUERIES
 

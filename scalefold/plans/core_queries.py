@@ -32,7 +32,7 @@ def mfdfa_segment_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mfdfa_fluctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = fl.segment_rms(v.ev_type(spark, sf_dir), SERIES, SCALES)
-    return rounded(fl.fluctuation(segs, SERIES).drop("q"), "f")
+    return rounded(fl.fluctuation(segs, SERIES), "f")
 
 
 @register(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scalefold.operators.sampling import SEED
+
 Q_ROWS = "(select k::int as q_pos, (k - 40) / 5.0::double as q from range(81) t(k))"
 
 LINE_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -31,6 +33,24 @@ def r6(expr: str) -> str:
     return f"(round({expr}, 6) + 0.0)"
 
 
+def r9(expr: str) -> str:
+    return f"(round({expr}, 9) + 0.0)"
+
+
+def key(purpose: str, *columns: str, seed: int = SEED) -> str:
+    """The text a draw is hashed from."""
+    return " || '|' || ".join([f"'{seed}|{purpose}'", *[f"{c}::varchar" for c in columns]])
+
+
+def uniform(key_sql: str) -> str:
+    return f"(('0x' || substr(md5({key_sql}), 1, 8))::bigint::double / 4294967296.0::double)"
+
+
+def gaussian(key_sql: str) -> str:
+    a, b = uniform(f"{key_sql} || '|a'"), uniform(f"{key_sql} || '|b'")
+    return f"(sqrt(-2 * ln({a} + pow(2, -33))) * cos(2 * pi() * {b}))"
+
+
 def list_sql(values) -> str:
     return "[" + ", ".join(str(v) for v in values) + "]"
 
@@ -109,3 +129,122 @@ def measure_ctes(c: Chain, src: str, keys: str, scales, tag: str = "") -> Chain:
     segment_ctes(c, src, keys, scales, tag)
     fluct_ctes(c, keys, tag)
     return spectrum_ctes(c, keys, tag)
+
+
+def subset_ctes(c: Chain, src: str, size: int, n_subsets: int, tag: str = "") -> Chain:
+    """R1, R2 and unit-variance denoising of one family's series: ``plan``, ``wins``, ``subs``, ``den``."""
+    c.add(f"plan{tag}", f"""select series_id, n, case when n < 1250 then greatest(30, least(125, floor(0.1::double * n)::int)) else {size} end as size,
+        case when n < 1250 then 75 else {n_subsets} end as n_subsets, case when n < 1250 then 'adaptive' else 'fixed' end as mode
+        from (select series_id, count(*) as n from {src} group by series_id having count(*) >= 10)""")
+    c.add(f"every{tag}", f"select series_id, n, size, unnest(range(n_subsets))::int as subset_id from plan{tag}")
+    u = uniform(key("window", "series_id", "subset_id"))
+    c.add(f"wins{tag}", f"""select series_id, subset_id, size, case when n >= size then floor({u} * (n - size + 1))::bigint end as start
+        from every{tag}""")
+    c.add(f"subs{tag}", f"""select w.series_id, w.subset_id, v.idx - w.start as idx, v.value from wins{tag} w join {src} v
+        on v.series_id = w.series_id and v.idx >= w.start and v.idx < w.start + w.size""")
+    return c.add(f"den{tag}", f"""select series_id, subset_id, idx,
+        value / nullif(stddev_pop(value) over (partition by series_id, subset_id), 0) as value from subs{tag}""")
+
+
+def subset_measure_ctes(c: Chain, src: str, size: int, n_subsets: int, scales, tag: str = "") -> Chain:
+    """Spectra per subset as ``spec`` and one row per planned subset as ``res``."""
+    subset_ctes(c, src, size, n_subsets, tag)
+    measure_ctes(c, f"den{tag}", "series_id, subset_id", scales, tag)
+    return c.add(f"res{tag}", f"""select w.series_id, w.subset_id, w.start, w.size, d_f, mean_h, n_valid_q, n_scales_used from wins{tag} w
+        left join (select series_id, subset_id, avg(alpha) as d_f, avg(h) as mean_h, count(h) as n_valid_q, max(n_scales) as n_scales_used
+            from spec{tag} group by series_id, subset_id) d on w.series_id = d.series_id and w.subset_id = d.subset_id""")
+
+
+def interpolate_ctes(c: Chain, tag: str = "", out: str = "full_h") -> Chain:
+    """C2 on ``hq{tag}``."""
+    c.add(f"{out}_near", f"""select series_id, q_pos, q, h, count(h) over (partition by series_id) as nv,
+        last_value(h ignore nulls) over b as h0, last_value(case when h is not null then q end ignore nulls) over b as q0,
+        first_value(h ignore nulls) over a as h1, first_value(case when h is not null then q end ignore nulls) over a as q1
+        from hq{tag} window b as (partition by series_id order by q_pos rows between unbounded preceding and current row),
+        a as (partition by series_id order by q_pos rows between current row and unbounded following)""")
+    return c.add(out, f"""select series_id, q_pos, q, coalesce(h, h0 + (h1 - h0) * ((q - q0) / nullif(q1 - q0, 0)), h0, h1) as h
+        from {out}_near where nv >= 2""")
+
+
+def pair_ctes(c: Chain, src: str, out: str) -> Chain:
+    """C1 on ``src(fold, series_id, q_pos, h)``."""
+    return c.add(out, f"""select fold, ds_a, ds_b, n_q, case when isfinite(r) then abs(r) end as abs_corr from (
+        select a.fold, a.series_id as ds_a, b.series_id as ds_b, count(a.h + b.h) as n_q,
+            covar_pop(a.h, b.h) / (stddev_pop(case when b.h is not null then a.h end) * stddev_pop(case when a.h is not null then b.h end)) as r
+        from {src} a join {src} b on a.fold = b.fold and a.q_pos = b.q_pos and a.series_id < b.series_id
+        group by a.fold, a.series_id, b.series_id)""")
+
+
+def whole_grid_sql(src: str) -> str:
+    """Scales of every series of ``src`` by the length of its head, from the grid rule."""
+    from scalefold.operators.grids import WHOLE_HEAD, whole_scales
+
+    rows = ", ".join(list_sql(whole_scales(8 * top)) for top in range(1, WHOLE_HEAD // 8 + 1))
+    return f"""select series_id, unnest(range(len(sc)))::int as scale_pos, unnest(sc) as s from (
+        select series_id, ([{rows}])[(n // 8)::int] as sc from
+        (select series_id, count(*) as n from {src} group by series_id having count(*) >= 50))"""
+
+
+def whole_spectrum_ctes(c: Chain, src: str, tag: str = "t") -> Chain:
+    """Spectra of series heads on their own grids, as ``hq{tag}``."""
+    c.add(f"head{tag}", f"select series_id, idx, value from {src} where idx < 6144")
+    return measure_ctes(c, f"head{tag}", "series_id", whole_grid_sql(f"head{tag}"), tag)
+
+
+def fold_ctes(c: Chain, tag: str = "") -> Chain:
+    """R7 on the subsets that have a spectrum: ``members(fold, series_id, subset_id)`` with fold -1 for all."""
+    u = uniform(key("fold", "fold", "series_id", "subset_id"))
+    c.add(f"subs_ok{tag}", f"select distinct series_id, subset_id from spec{tag}")
+    c.add(f"drawn{tag}", f"""select fold, series_id, subset_id, n, row_number() over (partition by fold, series_id order by {u}, subset_id) as r
+        from (select series_id, subset_id, count(*) over (partition by series_id) as n from subs_ok{tag}), (select unnest(range(3))::int as fold)""")
+    return c.add(f"members{tag}", f"""select fold, series_id, subset_id from drawn{tag} where n >= 3 and r <= floor(n * 0.67::double)
+        union all select -1, series_id, subset_id from subs_ok{tag}""")
+
+
+def index_ctes(c: Chain, tag: str = "", whole: str = "t") -> Chain:
+    """C0-C5, R7, R8 and B1-B6 from ``spec{tag}`` and ``hq{whole}``: ``tcip``, ``mcip``, ``idx_raw``, ``draws``, ``boot``, ``indices``."""
+    fold_ctes(c, tag)
+    interpolate_ctes(c, whole, "tfull")
+    c.add("tsp", f"""select m.fold, f.series_id, f.q_pos, f.h from (select distinct fold, series_id from members{tag} where fold >= 0) m
+        join tfull f on m.series_id = f.series_id union all select -1, series_id, q_pos, h from tfull""")
+    c.add("msp0", f"""select m.fold, s.series_id, s.q_pos, avg(s.h) as h from members{tag} m join spec{tag} s
+        on m.series_id = s.series_id and m.subset_id = s.subset_id group by m.fold, s.series_id, s.q_pos""")
+    c.add("msp", """select * from msp0 where (fold, series_id) in
+        (select (fold, series_id) from msp0 group by fold, series_id having count(*) >= 5 and count(h) > 0)""")
+    pair_ctes(c, "tsp", "tcip")
+    pair_ctes(c, "msp", "mcip")
+    c.add("idx_raw", """select t.fold, tci, mci from (select fold, avg(abs_corr) as tci from tcip group by fold) t
+        full join (select fold, avg(abs_corr) as mci from mcip group by fold) m on t.fold = m.fold""")
+    return bootstrap_ctes(c)
+
+
+def bootstrap_ctes(c: Chain) -> Chain:
+    """B1-B5 from ``idx_raw(fold, tci, mci)``."""
+    c.add("draws", f"""select fold, draw, tci + 0.02 * {gaussian(key('tci', 'fold', 'draw'))} as tci,
+        mci + 0.02 * {gaussian(key('mci', 'fold', 'draw'))} as mci from (select *, unnest(range(500))::int as draw from idx_raw)""")
+    c.add("cor", """select fold, covar_pop(tci, mci) / nullif(stddev_pop(tci) * stddev_pop(mci), 0) as corr from draws group by fold""")
+    c.add("blended", """select d.fold, draw, tci, mci, corr, (1 - abs(corr)) / 2 * tci + (1 - abs(corr)) / 2 * mci
+        + (1 - 2 * ((1 - abs(corr)) / 2)) * ((tci + mci) / 2) as tmci from draws d join cor on d.fold = cor.fold""")
+    c.add("boot", """select fold, avg(tmci) as tmci, quantile_cont(tmci, 0.025) as ci_lo, quantile_cont(tmci, 0.975) as ci_hi,
+        max(corr) as corr from blended group by fold""")
+    return c.add("indices", "select i.fold, i.tci, i.mci, tmci, ci_lo, ci_hi, corr from idx_raw i join boot b on i.fold = b.fold")
+
+
+def summary_ctes(c: Chain, expected: float, tag: str = "") -> Chain:
+    """A1-A5 from ``res{tag}``: ``core`` and ``summ``."""
+    c.add("med", f"select *, median(d_f) over (partition by series_id) as median_df, count(d_f) over (partition by series_id) as nv from res{tag}")
+    c.add("madd", "select *, median(abs(d_f - median_df)) over (partition by series_id) as mad from med")
+    c.add("near", "select *, coalesce(abs(d_f - median_df) <= 3 * (mad + 1e-12), false) as near from madd")
+    c.add("nearn", "select *, count(*) filter (near) over (partition by series_id) as nc from near")
+    c.add("core", "select *, case when nc < greatest(3, nv // 3) then d_f is not null else near end as in_core from nearn")
+    c.add("stats", """select series_id, count(*) as n_subsets, count(d_f) as n_valid, avg(d_f) filter (in_core) as mean_df,
+        stddev_pop(d_f) filter (in_core) as std_df, avg(mean_h) as mean_h, avg(d_f) as df_mean_all, stddev_pop(d_f) as df_std_all,
+        avg((d_f is null)::int::double) as nan_ratio from core group by series_id""")
+    c.add("zed", f"""select *, case when df_std_all >= 1e-10 and n_valid >= 2
+        then (df_mean_all - {expected}) / (df_std_all / sqrt(n_valid::double)) end as z from stats""")
+    # the normal tail by Simpson's rule on [0, |z|]; beyond 40 it is zero in double precision
+    return c.add("summ", """select z.*, case when z is not null then p end as p_value from zed z left join (
+        select series_id, greatest(1 - 2 * sum(w * exp(-x * x / 2)) * step / 3 / sqrt(2 * pi()), 0) as p from (
+            select series_id, least(abs(z), 40) / 2000 as step, k * least(abs(z), 40) / 2000 as x,
+            case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end as w
+            from zed, (select unnest(range(2001)) as k) where z is not null) group by series_id, step) t on z.series_id = t.series_id""")

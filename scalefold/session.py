@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Shuffle partitions are left to the cluster; AQE coalesces them downwards.
 DEFAULTS = {
@@ -28,6 +31,13 @@ def build_session(master: str | None = None, app: str = "scalefold", **conf: str
     return builder.getOrCreate()
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of constants, held in the plan itself: no Python task reads it and its size is known."""
+    kinds = T.StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kinds.names), schema=kinds)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
