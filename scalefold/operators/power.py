@@ -54,7 +54,8 @@ def welch(df: DataFrame, keys: Keys, fs: float = 1.0, max_frame: int = MAX_FRAME
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias("x"))
     )
     return (
-        frames.select(*keys, "nps", F.posexplode(_frame_power("x")).alias("bin", "p"))
+        frames.select(*keys, "nps", _frame_power("x").alias("_p"))
+        .select(*keys, "nps", F.posexplode("_p").alias("bin", "p"))
         .groupBy(*keys, "nps", "bin")
         .agg((F.avg("p") / fs).alias("power"), F.count(F.lit(1)).alias("n_frames"))
     )

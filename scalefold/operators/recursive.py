@@ -133,10 +133,7 @@ def bandpass(
     rest = F.array(*[F.lit(0.0)] * n)
     return (
         chunks.join(entry, [*keys, "_chunk"], "left")
-        .select(
-            *keys,
-            "_chunk",
-            F.posexplode(_output_udf(system, lane)("x", F.coalesce("z", rest))).alias("_at", "value"),
-        )
+        .select(*keys, "_chunk", _output_udf(system, lane)("x", F.coalesce("z", rest)).alias("_y"))
+        .select(*keys, "_chunk", F.posexplode("_y").alias("_at", "value"))
         .select(*keys, (F.col("_chunk") * chunk + F.col("_at")).alias("idx"), "value")
     )

@@ -167,6 +167,9 @@ def shrink(df: DataFrame, keys: Keys, level: int, bounded: bool = False) -> Data
         sized = blocks.join(
             total.select(*keys, (spread * F.sqrt(2.0 * F.ln(F.col("n").cast("double")))).alias("t")), list(keys)
         )
-    return sized.select(
-        *keys, "own", F.posexplode(_shrink_udf(level)("x", "lo", "own", "n_own", "t")).alias("_at", "value")
-    ).select(*keys, (F.col("own") + F.col("_at")).alias("idx"), "value")
+    # the UDF has a step of its own: a generator over it would lose the columns beside it
+    return (
+        sized.select(*keys, "own", _shrink_udf(level)("x", "lo", "own", "n_own", "t").alias("_y"))
+        .select(*keys, "own", F.posexplode("_y").alias("_at", "value"))
+        .select(*keys, (F.col("own") + F.col("_at")).alias("idx"), "value")
+    )

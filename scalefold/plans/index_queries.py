@@ -174,12 +174,13 @@ def mci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indices(spark: SparkSession, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Whole spectra, subset results, indices with their bootstrap, and pairs of one view."""
-    whole = land(co.whole_spectra(samples), "whole")
+    """Packed spectra of both indices, subset results, and indices with their bootstrap."""
     _, windows, spectra = ledger_spectra(spark, samples)
     spectra = land(spectra, "spectra")
-    raw, pairs = run.compute_indices(whole, spectra)
-    return whole, run.subset_results(spectra, windows), co.assemble(land(raw, "indices")), pairs
+    whole = land(co.whole_spectra(samples), "whole")  # read once for the full run and once for the folds
+    tci_packed, mci_packed = run.index_spectra(whole, spectra)
+    indices = co.assemble(land(run.compute_indices(tci_packed, mci_packed), "indices"))
+    return tci_packed, mci_packed, run.subset_results(spectra, windows), indices
 
 
 def _index_chain(view: str) -> o.Chain:
@@ -196,7 +197,7 @@ _INDEX_COLUMNS = ["tci", "mci", "tmci", "ci_lo", "ci_hi", "corr"]
     )
 )
 def tmci_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indices = _indices(spark, v.ev_type(spark, sf_dir))[2]
+    indices = _indices(spark, v.ev_type(spark, sf_dir))[3]
     return rounded(indices.filter("fold = -1").select("fold", *_INDEX_COLUMNS), *_INDEX_COLUMNS)
 
 
@@ -207,7 +208,7 @@ def tmci_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def tmci_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indices = _indices(spark, v.li_flag(spark, sf_dir))[2]
+    indices = _indices(spark, v.li_flag(spark, sf_dir))[3]
     out = indices.crossJoin(co.fold_spread(indices).select("tmci_std_cv"))  # one row
     return rounded(out.select("fold", *_INDEX_COLUMNS, "tmci_std_cv"), *_INDEX_COLUMNS, "tmci_std_cv")
 
@@ -216,7 +217,7 @@ def _empty(*given: str) -> str:
     """The flat table's columns, those not given as typed NULLs."""
     types = {"string": "varchar", "int": "int", "double": "double"}
     have = dict(g.split(" as ", 1)[::-1] for g in given)
-    return ", ".join(f"{have.get(c, 'null')}::{types[t]} as {c}" for c, t in ex.FLAT_COLUMNS.items())
+    return ", ".join(f"{have.get(c, '-1' if t == 'int' else 'null')}::{types[t]} as {c}" for c, t in ex.FLAT_COLUMNS.items())
 
 
 @register(
@@ -232,9 +233,12 @@ def _empty(*given: str) -> str:
     )
 )
 def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, results, indices, pairs = _indices(spark, v.li_flag(spark, sf_dir))
+    tci_packed, mci_packed, results, indices = _indices(spark, v.li_flag(spark, sf_dir))
     indices = land(indices, "indices")
+    pairs = run.compute_pairs(tci_packed, mci_packed)
     out = ex.flat_results(pairs, results, indices, co.fold_spread(indices))
+    # whole-number columns without NULLs read the same everywhere
+    out = out.fillna(-1, ["subset_idx", "fold_idx"])
     return rounded(out, *[c for c, t in ex.FLAT_COLUMNS.items() if t == "double"])
 
 
@@ -280,7 +284,8 @@ def series_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     .add("catalog", "select distinct s_suppkey::varchar as series_id from supplier union select 'missing' as series_id")
     .add("sizes", """select series_id, count(*) filter (channel = 0) as n_rows, count(distinct channel) as n_channels, count(value) as n_values
         from li_supp_channels group by series_id""")
-    .select("""select c.series_id, n_rows, n_channels, n_values, case when n_rows < 1250 and n_rows >= 10 then 75 when n_rows >= 1250 then 100 end::int as n_subsets,
+    .select("""select c.series_id, coalesce(n_rows, 0) as n_rows, coalesce(n_channels, 0) as n_channels, coalesce(n_values, 0) as n_values,
+        case when n_rows < 1250 and n_rows >= 10 then 75 when n_rows >= 1250 then 100 else 0 end::int as n_subsets,
         case when n_rows >= 10 then 'OK' else 'SKIPPED' end as status from catalog c left join sizes s on c.series_id = s.series_id""")
 )
 def load_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +293,7 @@ def load_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("series_id"))
     catalog = suppliers.unionByName(spark.range(1).select(F.lit("missing").alias("series_id"))).distinct()
     plan = ledger(spark, samples.filter("channel = 0"))[1]
-    return ex.load_meta(samples, catalog, plan.select("series_id", "n_subsets"))
+    return ex.load_meta(samples, catalog, plan.select("series_id", "n_subsets")).fillna(0)
 
 
 _MANIFEST = """'{"series_id":"' || series_id || '","family":"ledger","n":' || n || ',"size":' || size || ',"n_subsets":' || n_subsets

@@ -74,30 +74,33 @@ class Run:
     indices: DataFrame
 
 
-def compute_indices(
-    whole: DataFrame, subset_spec: DataFrame, legacy_zero: bool = False, seed: int = sa.SEED
-) -> tuple[DataFrame, DataFrame]:
-    """Entry 3. Index table (full run as fold -1, then the folds) and the pair table.
+def index_spectra(whole: DataFrame, subset_spec: DataFrame, seed: int = sa.SEED) -> tuple[DataFrame, DataFrame]:
+    """Packed spectra behind TCI and MCI, keyed by fold; the full run is fold -1.
 
     ``whole`` holds the spectra of whole series, ``subset_spec`` those of
     subsets. Folds are a key column, so all of them are one query.
     """
+    subsets = subset_spec.select(*SUBSET).distinct()
+    members = sa.folds(subsets, seed)
+    keyed = members.unionByName(subsets.select(F.lit(-1).alias("fold"), *SUBSET)).join(subset_spec, list(SUBSET))
     tci_spec = co.interpolate(whole)
-    members = sa.folds(subset_spec.select(*SUBSET).distinct(), seed)
-    everyone = subset_spec.select(*SUBSET).distinct().select(F.lit(-1).alias("fold"), *SUBSET)
-    keyed = members.unionByName(everyone).join(subset_spec, list(SUBSET))
-    mci_spec = co.mean_spectra(keyed, ("fold", "series_id"))
     tci_all = tci_spec.withColumn("fold", F.lit(-1)).unionByName(
         sa.present_in_fold(members, tci_spec).select("series_id", "q_pos", "q", "h", "fold")
     )
-    tci_packed, mci_packed = co.pack(tci_all, "fold"), co.pack(mci_spec, "fold")
+    return co.pack(tci_all, "fold"), co.pack(co.mean_spectra(keyed, ("fold", "series_id")), "fold")
+
+
+def compute_indices(tci_packed: DataFrame, mci_packed: DataFrame, legacy_zero: bool = False) -> DataFrame:
+    """Entry 3. TCI and MCI of the full run and of every fold."""
     tci = co.mean_coherence(tci_packed, "tci", legacy_zero=legacy_zero)
-    mci = co.mean_coherence(mci_packed, "mci")
-    indices = co.assemble_base(tci, mci)
-    pairs = co.pair_correlations(tci_packed.filter("fold = -1"), "TCI").unionByName(
+    return co.assemble_base(tci, co.mean_coherence(mci_packed, "mci"))
+
+
+def compute_pairs(tci_packed: DataFrame, mci_packed: DataFrame) -> DataFrame:
+    """Pair rows of the full run."""
+    return co.pair_correlations(tci_packed.filter("fold = -1"), "TCI").unionByName(
         co.pair_correlations(mci_packed.filter("fold = -1"), "MCI")
     )
-    return indices, pairs
 
 
 def run(
@@ -139,9 +142,11 @@ def run(
     long_enough = sizes.join(config.select("family", "tci_min_len"), "family").filter(F.col("n") >= least)
     tci_samples = tci_samples.join(long_enough.select("series_id"), "series_id", "left_semi")
     whole = kept(co.whole_spectra(tci_samples), "whole_spectra")
-    base_indices, pairs = compute_indices(whole, spectra, seed=seed)
-    pairs = kept(pairs, "pairs")
-    indices = kept(co.assemble(kept(base_indices, "indices_raw")), "indices")
+    tci_packed, mci_packed = index_spectra(whole, spectra, seed)
+    tci_packed, mci_packed = kept(tci_packed, "tci_spectra"), kept(mci_packed, "mci_spectra")
+    pairs = kept(compute_pairs(tci_packed, mci_packed), "pairs")
+    raw = kept(compute_indices(tci_packed, mci_packed), "indices_raw")
+    indices = kept(co.assemble(raw), "indices")
     spread = co.fold_spread(indices)
     ex.write_csv(ex.flat_results(pairs, results, indices, spread), f"{base}/flat_csv")
     draws = co.blend(co.bootstrap_draws(indices.select("fold", "tci", "mci")))

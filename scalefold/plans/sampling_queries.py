@@ -77,12 +77,14 @@ def sample_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     o.subset_measure_ctes(o.Chain().view("li_supp"), "li_supp", LEDGER.subset_size, LEDGER.n_subsets, SCALES).select(
-        f"""select series_id, subset_id, start, size, {o.r6('d_f')} as d_f, {o.r6('mean_h')} as mean_h, n_valid_q, n_scales_used from res"""
+        f"""select series_id, subset_id, start, size, {o.r6('d_f')} as d_f, {o.r6('mean_h')} as mean_h,
+        coalesce(n_valid_q, 0) as n_valid_q, coalesce(n_scales_used, 0) as n_scales_used from res"""
     )
 )
 def subset_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, windows, spectra = ledger_spectra(spark, v.li_supp(spark, sf_dir))
-    return rounded(run.subset_results(spectra, windows).drop("family"), "d_f", "mean_h")
+    out = run.subset_results(spectra, windows).drop("family").fillna(0, ["n_valid_q", "n_scales_used"])
+    return rounded(out, "d_f", "mean_h")
 
 
 _LINES_SCALES_FAMILIES = [
@@ -103,7 +105,7 @@ def _mixed_sql() -> str:
         select series_id, case when series_id like 'u%' then ([{rows}])[least(n // 4, 500)::int] else {o.list_sql(SCALES)} end as sc
         from srclen) g on e.series_id = g.series_id"""
     o.measure_ctes(c, "den", "series_id, subset_id", grid)
-    return c.select(f"""select w.series_id, w.subset_id, {o.r6('d_f')} as d_f, n_scales_used from wins w left join
+    return c.select(f"""select w.series_id, w.subset_id, {o.r6('d_f')} as d_f, coalesce(n_scales_used, 0) as n_scales_used from wins w left join
         (select series_id, subset_id, avg(alpha) as d_f, max(n_scales) as n_scales_used from spec group by series_id, subset_id) d
         on w.series_id = d.series_id and w.subset_id = d.subset_id""")
 
@@ -119,7 +121,7 @@ def subset_mfdfa_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = sa.subset_windows(plan)
     spectra = run.subset_spectra(samples, windows, plan, _LINES_SCALES_FAMILIES)
     out = run.subset_results(spectra, windows).select("series_id", "subset_id", "d_f", "n_scales_used")
-    return rounded(out, "d_f")
+    return rounded(out.fillna(0, ["n_scales_used"]), "d_f")
 
 
 # --- sky --------------------------------------------------------------------
