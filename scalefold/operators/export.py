@@ -145,11 +145,14 @@ def index_diagnostics(spectra: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def index_document(indices: DataFrame, draws: DataFrame, spread: DataFrame) -> DataFrame:
     """K6. The nested index document; draws and folds have fixed sizes."""
+    def field(name: str) -> Column:
+        return F.transform("_d", lambda d: d[name]).alias(name)
+
     boot = (
         draws.filter("fold = -1")
         .agg(F.array_sort(F.collect_list(F.struct("draw", "tci", "mci", "tmci"))).alias("_d"))
         .select(
-            F.struct(*[F.transform("_d", lambda d, c=c: d[c]).alias(c) for c in ("tci", "mci", "tmci")]).alias("bootstrap")
+            F.struct(field("tci"), field("mci"), field("tmci")).alias("bootstrap")
         )
     )
     cv = indices.filter("fold >= 0").agg(F.array_sort(F.collect_list(F.struct("fold", "tmci", "ci_lo", "ci_hi"))).alias("_f"))

@@ -123,7 +123,7 @@ def first_available(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFr
         part = df.withColumn("priority", F.lit(priority))
         rows = part if rows is None else rows.unionByName(part)
     best = rows.groupBy(*keys).agg(F.min("priority").alias("priority"))
-    return rows.join(best, [*keys, "priority"], "left_semi")
+    return rows.join(best, [*keys, "priority"], "left_semi").select(rows.columns)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
