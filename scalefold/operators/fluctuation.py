@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -24,15 +25,25 @@ MIN_SEGMENTS = 2
 MIN_SCALES = 4
 MIN_Q = 4
 
+# Scales worked on side by side; more of them would outgrow what the JVM compiles as one method.
+LANES = 8
 
-def segment_rms(samples: DataFrame, keys: Keys, scales: Sequence[int] | None = None, detrend: int = 0) -> DataFrame:
+
+def segment_rms(
+    samples: DataFrame, keys: Keys, scales: Sequence[int] | None = None, detrend: int = 0, size: str | None = None
+) -> DataFrame:
     """M3, M4, M5. Root mean square around the mean (or the ridge line) of each full segment.
 
     ``scales`` is a fixed grid; None reads a per-row ``scales`` array instead.
     A segment is full when it counts ``s`` rows, so no series length is needed,
     and partial aggregation shrinks the scale explosion before the shuffle.
+    Where a column ``size`` holds the series' length, rows are not multiplied
+    by scales that cannot have two segments: those have no F in any case.
     """
     grid = F.lit(list(scales)) if scales is not None else F.col("scales")
+    if scales is not None and size is not None and list(scales) == sorted(scales):
+        fitting = " + ".join(f"if({MIN_SEGMENTS * s} <= {size}, 1, 0)" for s in scales)
+        grid = F.slice(grid, F.lit(1), F.expr(fitting))
     cut = samples.select(*keys, "idx", "value", F.posexplode(grid).alias("scale_pos", "s")).select(
         *keys,
         "scale_pos",
@@ -80,6 +91,23 @@ def _line_residuals(cut: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def _power_terms(q_grid: Sequence[float]) -> tuple[dict[str, str], list[str]]:
+    """Columns to compute once per segment, and one SQL term x^q per grid value, with ``_l`` = ln x.
+
+    On an evenly spaced grid x^q is x^a x^b with a and b from two short lists,
+    so 81 powers need 18 exponentials; any other grid takes one each.
+    """
+    n = len(q_grid)
+    width = math.isqrt(n - 1) + 1 if n > 1 else 1
+    step = q_grid[1] - q_grid[0] if n > 1 else 0.0
+    if any(abs(q - (q_grid[0] + k * step)) > 1e-9 for k, q in enumerate(q_grid)):
+        return {}, [f"exp({q!r}D * _l)" for q in q_grid]
+    coarse = {f"_a{i}": f"exp({q_grid[i * width]!r}D * _l)" for i in range(-(-n // width))}
+    fine = {f"_b{j}": f"exp({j * step!r}D * _l)" for j in range(1, width)}
+    terms = [f"_a{k // width}" + (f" * _b{k % width}" if k % width else "") for k in range(n)]
+    return {**coarse, **fine}, terms
+
+
 def fluctuation_rows(segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
     """M6, M7. One row per scale with F(q, s) over the whole q grid as an array ``f``.
 
@@ -87,16 +115,20 @@ def fluctuation_rows(segments: DataFrame, keys: Keys, q_grid: Sequence[float] =
     the grid and the map side already shrinks them to one row per scale. F is
     NULL where it is not positive and finite.
     """
-    # powers as exp(q ln x): one logarithm serves the whole grid
-    log_rms = segments.select(*keys, "scale_pos", "s", F.ln(F.col("rms") + RMS_FLOOR).alias("_l"), "rms")
+    powers, terms = _power_terms(q_grid)
+    logs = segments.select(
+        *keys,
+        "scale_pos",
+        "s",
+        F.expr(f"coalesce(ln(rms + {RMS_FLOOR}D), 0.0D) as _l"),
+        F.expr(f"coalesce(ln(rms * rms + {RMS_FLOOR}D), 0.0D) as _l2"),
+    )
+    ready = logs.selectExpr(*keys, "scale_pos", "s", "_l", "_l2", *[f"{sql} as {name}" for name, sql in powers.items()])
     sums, values = [], []
     for k, q in enumerate(q_grid):
-        power = f"ln(rms * rms + {RMS_FLOOR}D)" if q == 0.0 else f"exp({q}D * _l)"
-        sums.append(F.expr(f"sum({power}) as _q{k}"))
-        values.append(f"exp(0.5D * _q{k} / n_segments)" if q == 0.0 else f"exp(ln(_q{k} / n_segments) / {q}D)")
-    by_scale = log_rms.groupBy(*keys, "scale_pos").agg(
-        F.max("s").alias("s"), F.count(F.lit(1)).alias("n_segments"), *sums
-    )
+        sums.append(F.expr(f"sum({'_l2' if q == 0.0 else terms[k]}) as _q{k}"))
+        values.append(f"exp(0.5D * _q{k} / n_segments)" if q == 0.0 else f"exp(ln(_q{k} / n_segments) / {q!r}D)")
+    by_scale = ready.groupBy(*keys, "scale_pos").agg(F.max("s").alias("s"), F.count(F.lit(1)).alias("n_segments"), *sums)
     return by_scale.filter(F.col("n_segments") >= MIN_SEGMENTS).select(
         *keys,
         "scale_pos",
@@ -113,35 +145,51 @@ def fluctuation(segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRI
     )
 
 
-def spectrum(fluct: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
+def spectrum(fluct: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID, most_scales: int | None = None) -> DataFrame:
     """M8-M12. h(q), tau, alpha and f(alpha) from ``fluctuation_rows``, one row per q; undefined values are NULL.
 
-    A series has one row per scale here, a few dozen at most. They are placed
-    by ``keys`` once; every later window and group-by reuses that placement.
+    A series has one row per scale here, a few dozen at most. They are gathered
+    once, and the regression sums of each q are plain arithmetic over ``LANES``
+    scales at a time. Grids known to have no more scales (``most_scales``) need
+    no group-by per q at all.
     """
-    whole = Window.partitionBy(*keys)
     n_finite = F.size(F.filter("f", lambda f: f.isNotNull()))
-    gated = (
-        fluct.repartition(*keys)
-        .withColumn("_ok", F.max(n_finite).over(whole) >= MIN_Q)
-        .select(*keys, F.ln(F.col("s").cast("double")).alias("x"), "_ok", F.posexplode("f").alias("q_pos", "f"))
+    gathered = (
+        fluct.select(*keys, F.struct(F.ln(F.col("s").cast("double")).alias("x"), "f").alias("_r"), n_finite.alias("_n"))
+        .groupBy(*keys)
+        .agg(F.collect_list("_r").alias("_r"), F.max("_n").alias("_n"))
     )
-    y = F.when(F.col("_ok"), F.ln(F.col("f") + RMS_FLOOR))
-    sums = (
-        gated.select(*keys, "q_pos", y.alias("y"), F.when(y.isNotNull(), F.col("x")).alias("x"))
-        .groupBy(*keys, "q_pos")
-        .agg(
-            F.count("y").alias("n"),
-            F.sum("x").alias("sx"),
-            F.sum("y").alias("sy"),
-            F.sum(F.col("x") * F.col("y")).alias("sxy"),
-            F.sum(F.col("x") * F.col("x")).alias("sxx"),
+    short = most_scales is not None and most_scales <= LANES
+    if not short:
+        parts = f"explode(sequence(0, (size(_r) - 1) div {LANES})) as _part"
+        gathered = gathered.selectExpr(*keys, "_r", "_n", parts).selectExpr(
+            *keys, "_n", f"slice(_r, _part * {LANES} + 1, {LANES}) as _r"
         )
+    at = range(most_scales if short else LANES)
+    points = gathered.selectExpr(
+        *keys, "_r", f"_n >= {MIN_Q} as _ok", f"explode(sequence(0, {len(q_grid) - 1})) as q_pos"
+    ).selectExpr(
+        *keys,
+        "q_pos",
+        *[f"if(_ok, ln(get(get(_r, {j}).f, q_pos) + {RMS_FLOOR}D), null) as y{j}" for j in at],
+        *[f"get(_r, {j}).x as x{j}" for j in at],
     )
-    slope = F.expr(f"(n * sxy - sx * sy) / (n * sxx - sx * sx + {RIDGE}D)")
-    fitted = sums.withColumn("h", F.when(F.col("n") >= MIN_SCALES, slope)).select(
+
+    def total(term: str) -> str:
+        return " + ".join(f"if(y{j} is null, 0D, {term.format(j=j)})" for j in at)
+
+    terms = {"n": "1D", "sx": "x{j}", "sy": "y{j}", "sxy": "x{j} * y{j}", "sxx": "x{j} * x{j}"}
+    sums = points.selectExpr(*keys, "q_pos", *[f"{total(term)} as {name}" for name, term in terms.items()])
+    if not short:
+        sums = sums.groupBy(*keys, "q_pos").agg(*[F.sum(name).alias(name) for name in terms])
+    fitted = sums.selectExpr(
+        *keys,
+        "q_pos",
+        "cast(n as bigint) as n_scales",
+        f"if(n >= {MIN_SCALES}, (n * sxy - sx * sy) / (n * sxx - sx * sx + {RIDGE}D), null) as h",
+    ).select(
         *keys,
-        F.col("n").alias("n_scales"),
+        "n_scales",
         "q_pos",
         F.lit(list(q_grid))[F.col("q_pos")].alias("q"),
         F.when(F.col("h") > 0.0, F.col("h")).alias("h"),
@@ -152,14 +200,13 @@ def spectrum(fluct: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) ->
 def singularity(h_rows: DataFrame, keys: Keys) -> DataFrame:
     """M10-M12. tau = h q - 1; alpha over neighbouring valid q; f(alpha) at the right end."""
     earlier = Window.partitionBy(*keys).orderBy("q_pos").rowsBetween(Window.unboundedPreceding, -1)
-    tau = F.col("h") * F.col("q") - 1.0
+    valid = F.when(F.col("h").isNotNull(), F.struct("tau", "q"))
     return (
-        h_rows.withColumn("tau", tau)
-        .withColumn("_t", F.last("tau", ignorenulls=True).over(earlier))
-        .withColumn("_q", F.last(F.when(F.col("h").isNotNull(), F.col("q")), ignorenulls=True).over(earlier))
-        .withColumn("alpha", F.try_divide(F.col("tau") - F.col("_t"), F.col("q") - F.col("_q")))
+        h_rows.withColumn("tau", F.col("h") * F.col("q") - 1.0)
+        .withColumn("_p", F.last(valid, ignorenulls=True).over(earlier))
+        .withColumn("alpha", F.try_divide(F.col("tau") - F.col("_p.tau"), F.col("q") - F.col("_p.q")))
         .withColumn("f_alpha", F.col("q") * F.col("alpha") - F.col("tau"))
-        .drop("_t", "_q")
+        .drop("_p")
     )
 
 
@@ -173,9 +220,12 @@ def dimension(spec: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
-def measure(samples: DataFrame, keys: Keys, scales: Sequence[int] | None = None, detrend: int = 0) -> DataFrame:
+def measure(
+    samples: DataFrame, keys: Keys, scales: Sequence[int] | None = None, detrend: int = 0, size: str | None = None
+) -> DataFrame:
     """M3-M12 in one call: samples to spectrum rows."""
-    return spectrum(fluctuation_rows(segment_rms(samples, keys, scales, detrend), keys), keys)
+    rows = fluctuation_rows(segment_rms(samples, keys, scales, detrend, size), keys)
+    return spectrum(rows, keys, most_scales=None if scales is None else len(scales))
 
 
 # Fixed values of the reliability test.

@@ -76,7 +76,7 @@ def subset_samples(samples: DataFrame, windows: DataFrame) -> DataFrame:
     return (
         rows.join(wide, ["series_id", "_block"])
         .filter((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("start") + F.col("size")))
-        .select("series_id", "family", "subset_id", (F.col("idx") - F.col("start")).alias("idx"), "value")
+        .select("series_id", "family", "subset_id", "size", (F.col("idx") - F.col("start")).alias("idx"), "value")
     )
 
 

@@ -38,7 +38,9 @@ def subset_grids(plan: DataFrame, families: list[Family]) -> DataFrame:
         plan.withColumn("top", top)
         .join(F.broadcast(fixed), "family")  # one row per family
         .join(F.broadcast(lines_grid(spark)), "top", "left")  # at most 500 rows
-        .select("series_id", F.when(F.size("_fixed") > 0, F.col("_fixed")).otherwise(F.col("scales")).alias("scales"))
+        .withColumn("_all", F.when(F.size("_fixed") > 0, F.col("_fixed")).otherwise(F.col("scales")))
+        # a scale without two segments in a subset has no F: it need not multiply the rows
+        .select("series_id", F.filter("_all", lambda s: fl.MIN_SEGMENTS * s <= F.col("size")).alias("scales"))
     )
 
 
@@ -48,10 +50,10 @@ def subset_spectra(samples: DataFrame, windows: DataFrame, plan: DataFrame, fami
     ``samples(series_id, idx, value)``; windows and plan carry ``family``.
     """
     cut = sa.subset_samples(samples, windows)
-    clean = denoise(cut, SUBSET, recipes(families), bounded=True)
+    clean = denoise(cut, (*SUBSET, "size"), recipes(families), bounded=True)  # size goes with the subset
     grids = {tuple(f.scales) for f in families}
     if len(grids) == 1 and all(grids):
-        return fl.measure(clean, SUBSET, list(grids.pop()))
+        return fl.measure(clean, SUBSET, list(grids.pop()), size="size")
     return fl.measure(clean.join(subset_grids(plan, families), "series_id"), SUBSET)
 
 

@@ -61,7 +61,7 @@ def subset_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_supp_subsets().select("select series_id, subset_id, idx, value from subs"))
 def subset_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, _, windows = ledger(spark, v.li_supp(spark, sf_dir))
-    return sa.subset_samples(samples, windows).drop("family")
+    return sa.subset_samples(samples, windows).drop("family", "size")
 
 
 @register(

@@ -14,9 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a few bytes of samples mean much arithmetic: keep a partition per core before growing partitions
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Keep malformed CSV rows out even when few columns are selected
     "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
