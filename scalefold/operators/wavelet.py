@@ -127,7 +127,7 @@ def _detail_sums(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series)
         values = np.asarray(values, dtype=float)
         d = split_once(values)[1]
         start = (b - a) // 2
-        stop = len(d) if b - a + m == len(values) else start + BLOCK // 2
+        stop = len(d) if b - a + m == len(values) else start + m // 2
         d = d[start:stop]
         rows.append((len(d), d.sum(), (d * d).sum()))
     return pd.DataFrame(rows, columns=["n", "s", "ss"])
