@@ -31,11 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays (of its repeated rows, one)."""
-    found = simhash.near_duplicates(docs, words_per_shingle=q.FINGERPRINT_WORDS, most=q.FINGERPRINT_BITS)
-    kept = found.select(F.col("component_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near-duplicates the document with the least id stays."""
+    return simhash.keep_one(docs, words_per_shingle=q.FINGERPRINT_WORDS, most=q.FINGERPRINT_BITS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ LANES = 3072
 FRAME_IDS = BLOCK_IDS * LANES
 # Counts are kept as upper bounds: seeing a symbol raises its own and all later ones, more in a longer context.
 _ROW = np.dtype("V32")  # 16 bounds as one item: rows are then fetched and stored whole
-_GAINS = [(np.tri(16, dtype=np.uint16).T * np.uint16(g)).copy().view(_ROW).ravel() for g in (4, 8, 12)]
+_GAINS = [(np.tri(16, dtype=np.uint16).T * np.uint16(g)).copy().view(_ROW).ravel() for g in (8, 10, 12)]
 _BASE = np.arange(1, 17, dtype=np.uint16)
 # Rows of 16 counts a block: order 0 by earlier nibbles (the last one hashed), orders 1 and 2 hashed.
 _ROWS = (1 + 16 + 64 + 64, 128, 256)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import LETTERS_DIGITS, LOWER, Words, column_bytes, ragged, steps, words_of
+from scalefold.llm.text import LETTERS_DIGITS, LOWER, Words, column_bytes, ragged, shipped, steps, words_of
 from scalefold.session import land
 
 WINDOW = 10
@@ -177,10 +177,10 @@ FOUND = "n_words long, spans array<struct<start bigint, end bigint>>, items arra
 
 def _pass(documents: DataFrame, keep: list[str], block: list, window: int) -> DataFrame:
     """One pass over the documents with one block of items."""
-    held = documents.sparkSession.sparkContext.broadcast(_items(block))
+    held = shipped(documents.sparkSession, _items(block))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = held.value
+        asked = held()
         for batch in batches:
             texts = column_bytes(batch, "_text")
             n_words = np.zeros(len(texts), np.int64)

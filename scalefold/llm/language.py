@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import column_bytes, steps
+from scalefold.llm.text import column_bytes, shipped, steps
 
 TRIGRAMS = 1 << 16
 #: Log-likelihood given up for each change of language within a text.
@@ -54,8 +54,8 @@ def _lowered(texts: list[bytes]) -> list[bytes]:
     return [t.decode("utf-8", "replace").lower().encode() for t in texts]
 
 
-def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For lower-cased texts: trigram of every letter byte, and word starts, lengths, texts, scripts.
+def _units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """For lower-cased texts: trigram of every letter byte, and word starts, lengths, letters, texts, scripts.
 
     A trigram is the byte with its neighbours; bytes that are no letters count as one blank.
     """
@@ -69,7 +69,9 @@ def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     length = np.diff(np.append(fresh, len(at)))
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
     doc = np.searchsorted(first, at[fresh], side="right") - 1
-    return trigram, fresh, length, doc, _SCRIPT[data[at[fresh]]]
+    begins = np.concatenate([[0], np.cumsum((data[at] & 0xC0) != 0x80)])  # bytes that begin a letter
+    letters = begins[fresh + length] - begins[fresh]
+    return trigram, fresh, length, letters, doc, _SCRIPT[data[at[fresh]]]
 
 
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -85,7 +87,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         for batch in batches:
             texts, langs = column_bytes(batch, "text"), np.array(batch.column("lang").to_pylist(), object)
             for i, j in steps(texts):
-                trigram, fresh, length, doc, script = _units(_lowered(texts[i:j]))
+                trigram, fresh, length, _, doc, script = _units(_lowered(texts[i:j]))
                 names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
                 letter, word = np.repeat(code[doc], length), code[doc]
                 for k, name in enumerate(names):
@@ -144,20 +146,20 @@ def _viterbi(score: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndar
 
 
 def _labelled(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts, lengths and languages of all words of a batch."""
-    scores, docs, lengths = [], [], []
+    """Texts, letters and languages of all words of a batch."""
+    scores, docs, counts = [], [], []
     for i, j in steps(texts):
-        trigram, fresh, length, doc, script = _units(_lowered(texts[i:j]))
+        trigram, fresh, _, letters, doc, script = _units(_lowered(texts[i:j]))
         if len(fresh):
             by = [np.add.reduceat(row[trigram], fresh) for row in model.trigram]
             scores.append(np.stack(by, axis=1) + model.script[script])
             docs.append(doc + i)
-            lengths.append(length)
+            counts.append(letters)
     if not scores:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
-    score, doc, length = map(np.concatenate, (scores, docs, lengths))
+    score, doc, letters = map(np.concatenate, (scores, docs, counts))
     fresh = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    return doc, length, _viterbi(score, fresh, np.diff(np.append(fresh, len(doc))))
+    return doc, letters, _viterbi(score, fresh, np.diff(np.append(fresh, len(doc))))
 
 
 def identify(documents: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -169,13 +171,12 @@ def identify(documents: DataFrame, model: Model, text: str = "text", carry: list
     letter and a model without languages give ``und``, score 0 and no span.
     Repeated rows are judged alike; other columns (or those in ``carry`` alone) pass through untouched.
     """
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(model)  # at most TRIGRAMS + SCRIPTS numbers a language
+    held = shipped(documents.sparkSession, model)  # at most TRIGRAMS + SCRIPTS numbers a language
     keep = documents.columns if carry is None else carry
     keep = [c for c in keep if c not in ("lang_pred", "lang_score", "lang_spans")]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = held()
         n_lang = len(model.languages)
         for batch in batches:
             texts = column_bytes(batch, "_text")
@@ -183,8 +184,8 @@ def identify(documents: DataFrame, model: Model, text: str = "text", carry: list
             texts = [b"" if x else t for t, x in zip(texts, none)]
             pred, share, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
             if n_lang:
-                doc, length, word = _labelled(model, texts)
-                letters = np.bincount(doc * n_lang + word, length, minlength=len(texts) * n_lang).reshape(-1, n_lang)
+                doc, letters, word = _labelled(model, texts)
+                letters = np.bincount(doc * n_lang + word, letters, minlength=len(texts) * n_lang).reshape(-1, n_lang)
                 total = letters.sum(axis=1)
                 for i in np.flatnonzero(total):
                     pred[i] = model.languages[int(letters[i].argmax())]

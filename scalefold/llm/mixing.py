@@ -185,7 +185,7 @@ def mix(
     marked = sized.join(rated, ["_source", "size"]).withColumns(
         {"base": base, "extra": extra, "draw": draw,
          "bucket": F.pmod(draw, F.ceil(F.col("docs") / BUCKET).cast("long"))}
-    )
+    ).repartition("_source", "size", "bucket")  # a hot size goes on in buckets
     held = marked.groupBy("_source", "size", "bucket").agg(
         F.count("*").alias("here"), F.first("docs").alias("all"), F.first("extra").alias("more")
     )

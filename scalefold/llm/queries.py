@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from scalefold.llm import corpus_queries  # noqa: F401
+from scalefold.llm import corpus_queries, label_queries, lm_queries, repeat_queries, vector_queries  # noqa: F401
 from scalefold.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

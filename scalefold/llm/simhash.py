@@ -157,11 +157,42 @@ def near_duplicates(
                      words_per_shingle, seed, carry=["_id"]),
         "fingerprints",
     )
+    rooted = _roots(marked, most)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return marked.join(names, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def _roots(marked: DataFrame, most: int) -> DataFrame:
+    """``(fp, least, root)`` for each distinct fingerprint: its least ``_id`` and the least fingerprint it reaches."""
     classes = land(marked.groupBy("fp").agg(F.min("_id").alias("least")), "classes")
     joined = components(links(classes.select("fp"), most), "a", "b")
-    rooted = classes.join(joined, classes.fp == joined.node, "left").select(
+    return classes.join(joined, classes.fp == joined.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return marked.join(names, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    words_per_shingle: int = 4,
+    most: int = 4,
+    seed: int = 42,
+) -> DataFrame:
+    """One row of each component, that of the least id (null last), all columns as they are.
+
+    Rows equal in id and text are one document; of ids that repeat with other texts each
+    component keeps its own.
+    """
+    name = F.xxhash64(F.col(id_col), F.col(text))
+    marked = land(
+        fingerprints(documents.select(name.alias("_name"), F.col(id_col).alias("_id"), F.col(text).alias("_t")), "_t",
+                     words_per_shingle, seed, carry=["_name", "_id"]),
+        "fingerprints",
+    )
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_name")).alias("first")
+    kept = marked.join(_roots(marked, most).select("fp", "root"), "fp").groupBy("root").agg(first)
+    kept = kept.select(F.col("first._name").alias("__kept"))
+    named = documents.withColumn("__name", name)
+    return named.join(kept, named["__name"] == kept["__kept"], "left_semi").dropDuplicates(["__name"]).drop("__name")

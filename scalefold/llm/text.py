@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], Any]:
+    """Broadcast a value of bounded size; what is returned gives it back inside a task.
+
+    Classes travel with it, as functions do, so executors need no copy of this package.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 class Words(NamedTuple):
     """Words of several texts, in order: the text each is from, its bytes' place in ``data``, a 64-bit key."""
 
@@ -80,7 +90,8 @@ class Words(NamedTuple):
 
 def words_of(texts: list[bytes], kept: np.ndarray, keys: bool = True) -> Words:
     """Maximal runs of ``kept`` bytes; no word reaches over the end of a text."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    between = bytes([int(np.flatnonzero(~kept)[0])])
+    data = np.frombuffer(between.join(texts) + between, np.uint8)
     inside = np.concatenate([[False], kept[data]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[0::2], edge[1::2]
