@@ -4,9 +4,9 @@ import sys
 
 from pyspark import cloudpickle
 
-from scalefold.session import build_session
+from scalefold.session import build_session, release
 
 # Functions used in tasks travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["build_session"]
+__all__ = ["build_session", "release"]

@@ -20,8 +20,6 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Keep malformed CSV rows out even when few columns are selected
-    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 
@@ -57,13 +55,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/scalefold-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application has landed; call it when their results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def land(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+    """Write ``df`` as a Parquet table in the application's folder and read it back.
 
     Cuts the lineage in a way that survives the loss of executors, and gives
-    later stages column pruning and real table statistics.
+    later stages column pruning and real table statistics. ``release`` removes the tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

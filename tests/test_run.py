@@ -215,3 +215,14 @@ def test_whole_run(spark, noise, tmp_path):
 def test_row_cap(spark):
     results = results_of(spark, [1.0] * 30)
     assert [r["subset_id"] for r in ex.first_subsets(results, 7).collect()] == list(range(7))
+
+
+def test_release_removes_what_was_landed(spark):
+    from pathlib import Path
+
+    from scalefold.session import land, release, run_dir
+
+    table = land(spark.range(5), "five")
+    assert table.count() == 5 and list(Path(run_dir(spark)).glob("five-*"))
+    release(spark)
+    assert not Path(run_dir(spark)).exists()
