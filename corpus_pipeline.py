@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from scalefold.llm import binary, decontaminate, language, mixing, simhash
 from scalefold.llm import corpus_queries as q
 from scalefold.llm.text import table
-from scalefold.session import land, shared_dir
+from scalefold.session import land, run_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,7 +52,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as files of token ids, one row for every document read back from them."""
-    path = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
     binary.write_ids(docs, path, q.tokenizer_file(), q.END_ID)
     return binary.ids_crc32(binary.read_ids(spark, path))
 

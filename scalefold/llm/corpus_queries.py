@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scalefold.llm import binary, decontaminate, language, mixing, simhash
 from scalefold.llm.registry import register
 from scalefold.llm.text import id_remainder, table
-from scalefold.session import shared_dir
+from scalefold.session import run_dir
 
 MIX_CYCLE = (5.0, 2.0, 1.0)
 MIX_CAP = 3
@@ -91,6 +91,6 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
     binary.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file(), END_ID)
     return binary.ids_crc32(binary.read_ids(spark, path))

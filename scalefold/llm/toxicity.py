@@ -32,7 +32,9 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST_SHARE = 0.004
 LEAST_TEXTS = 3
 #: A term is so much likelier in toxic texts, as a logarithm.
-LEAST_WEIGHT = 2.5
+LEAST_WEIGHT = 2.0
+#: Standard errors taken off the logarithm before that, so that rare words do not pass by chance.
+DOUBT = 1.64
 #: An exception phrase is in so many clean training texts and in no toxic one.
 EXCEPTION_TEXTS = 3
 
@@ -177,10 +179,11 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Lexi
     clean = {bytes(r.term): r.n for r in rest.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     weights: dict[str, float] = {}
     for term in sorted(toxic, key=lambda t: (len(t), t)):
-        odds = math.log((toxic[term] + 0.5) / (bad + 1)) - math.log((clean.get(term, 0) + 0.5) / (good + 1))
+        k, m = toxic[term] + 0.5, clean.get(term, 0) + 0.5
+        odds = math.log(k / (bad + 1)) - math.log(m / (good + 1))
         name = term.decode("utf-8", "ignore")
         # the shortest term says it all: longer ones that begin alike are found with it
-        if odds >= LEAST_WEIGHT and name.encode() == term and not any(name[:k] in weights for k in range(4, len(name))):
+        if odds - DOUBT * math.sqrt(1 / k + 1 / m) >= LEAST_WEIGHT and name.encode() == term and not any(name[:k] in weights for k in range(4, len(name))):
             weights[name] = odds
     lexicon = Lexicon(weights)
     lexicon.exceptions = _exceptions(known, lexicon)
