@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scalefold.functions.numeric import finite
-from scalefold.operators.grids import WHOLE_HEAD
 from scalefold.operators.indexing import TASK_ROWS, Keys, dense_index, lengths
 
 # Fixed value: longest series kept without downsampling.
@@ -75,8 +74,9 @@ def pad_align(df: DataFrame, target: DataFrame) -> DataFrame:
     """P16, P17. Every channel cut or zero-padded to ``target(series_id, length)``, in long form.
 
     Only the missing tail is generated; rows that exist are not joined to a grid.
+    A channel counts from 0 to its last position: gaps inside it stay gaps.
     """
-    have = lengths(df, CHANNEL)
+    have = df.groupBy(*CHANNEL).agg((F.max("idx") + 1).alias("n"))
     tail = (
         have.join(target, "series_id")
         .filter(F.col("n") < F.col("length"))
@@ -92,6 +92,8 @@ def downsample(df: DataFrame, keys: Keys, most: int = MAX_SAMPLES) -> DataFrame:
     Each row tells by itself whether it is a chosen position, so nothing is
     joined but the series lengths.
     """
+    if most < 2:
+        raise ValueError("the first and the last position stay, so at least two are kept")
     step = F.col("_step")
 
     def place(k):
@@ -107,9 +109,9 @@ def downsample(df: DataFrame, keys: Keys, most: int = MAX_SAMPLES) -> DataFrame:
     return sized.withColumn("idx", F.explode(F.when(long, hits).otherwise(F.array("idx")))).drop("_n", "_step")
 
 
-def head(df: DataFrame, most: int = WHOLE_HEAD) -> DataFrame:
-    """P19. The first samples of each series."""
-    return df.filter(F.col("idx") < most)
+def head(df: DataFrame, most: int | None = None) -> DataFrame:
+    """P19. The first ``most`` samples of each series; all of them by default."""
+    return df if most is None else df.filter(F.col("idx") < most)
 
 
 def valid_channels(df: DataFrame, least: int = 1024) -> DataFrame:

@@ -53,7 +53,8 @@ def measurement_channels(samples: DataFrame, recipes: dict[str, str], least: int
 
     ``samples(series_id, family, channel, idx, value)``. Series with further
     valid channels give those, denoised and aligned with the chosen one; power
-    families and single-channel series give normalised power bins.
+    families and single-channel series give normalised power bins; so do pulsars
+    too short for any valid channel, from their residuals as they are.
     """
     valid = ch.valid_channels(samples, least)
     chosen = ch.longest_channel(valid).join(samples.select("series_id", "family").distinct(), "series_id")
@@ -76,7 +77,13 @@ def measurement_channels(samples: DataFrame, recipes: dict[str, str], least: int
     aligned = ch.pad_align(clean.select(*ch.CHANNEL, "idx", "value"), target.unionByName(missing))
     by_power = chosen.join(sides.select("series_id").distinct(), "series_id", "left_anti")
     main = denoise(samples.join(by_power.select(*ch.CHANNEL), list(ch.CHANNEL), "left_semi"), ch.CHANNEL, recipes)
-    main = main.select("series_id", "idx", "value")
+    # a pulsar too short for a valid channel and without sides: power of its residuals as they are
+    short = (
+        pulsars.join(chosen.select("series_id"), "series_id", "left_anti")
+        .join(sides.select("series_id").distinct(), "series_id", "left_anti")
+    )
+    raw = samples.filter(F.col("channel") == 0).join(short, "series_id", "left_semi")
+    main = main.select("series_id", "idx", "value").unionByName(raw.select("series_id", "idx", "value"))
     bins = normalised_bins(welch(main, ("series_id",)), main, ("series_id",))
     return aligned.select("series_id", F.col("channel").alias("col"), "idx", "value", F.lit("channel").alias("kind")).unionByName(
         bins.select(

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scalefold.session import local_table
 
@@ -14,6 +17,7 @@ Q_GRID = [(k - 40) / 5.0 for k in range(81)]
 STRAIN_GRID = (8, 4 * 16384 / 16, 20)
 LINES_FROM, LINES_MAX, LINES_COUNT = 4, 500, 15
 WHOLE_FROM, WHOLE_COUNT = 8, 15
+# Samples the published index uses of a series (``head=`` of ``whole_spectra``).
 WHOLE_HEAD = 6144
 
 
@@ -28,15 +32,16 @@ def lines_scales(n: int) -> list[int]:
 
 
 def whole_scales(n: int) -> list[int]:
-    """Grid of a whole series cut to its head."""
+    """Grid of a whole series or its head."""
     top = n // 8
     return [s for s in log_scales(WHOLE_FROM, top, WHOLE_COUNT) if s > 4] if top >= 1 else []
 
 
-def whole_grid(spark: SparkSession) -> DataFrame:
-    """Scales by series length up to the head limit; at most 6,144 / 8 rows, whatever the data."""
-    rows = [(top, whole_scales(8 * top)) for top in range(1, WHOLE_HEAD // 8 + 1)]
-    return local_table(spark, rows, "top int, scales array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def whole_grid(n: pd.Series) -> pd.Series:
+    """``whole_scales`` by series length, for one row a series."""
+    made = {k: whole_scales(int(k)) for k in n.unique()}
+    return n.map(made)
 
 
 def lines_grid(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ above ``TASK_ROWS``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ def largest_group(df: DataFrame, keys: Keys) -> int:
     return lengths(df, keys).agg(F.max("n")).first()[0] or 0
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Keys) -> DataFrame:
+    """Attach one row per group to the rows of ``df``; NULL is a key like any other."""
+    named = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    return df.join(named, reduce(Column.__and__, same)).drop(*[f"_g_{k}" for k in keys])
+
+
 def dense_index(
     df: DataFrame,
     keys: Keys,
@@ -61,7 +69,7 @@ def _ranged_index(df: DataFrame, keys: Keys, order: Sequence[str], name: str) ->
         .drop("_run")
     )
     return (
-        placed.join(runs, [*keys, "_part"])
+        join_groups(placed, runs, [*keys, "_part"])
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_at", "_part", "_first", "_before")
     )
@@ -84,7 +92,7 @@ def quantiles(
     if largest_group(known, keys) <= task_rows:
         got = known.groupBy(*keys).agg(F.percentile(value, F.lit(list(probs))).alias("_p"))
         return got.select(*keys, *[F.col("_p")[i].alias(f"p{i}") for i in range(len(probs))])
-    ranked = _ranged_index(known, keys, [value, *tie], "_rank").join(lengths(known, keys, "_n"), list(keys))
+    ranked = join_groups(_ranged_index(known, keys, [value, *tie], "_rank"), lengths(known, keys, "_n"), keys)
     place = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     ends = [e for p in place for e in (F.floor(p), F.ceil(p))]
     picked = (
@@ -99,7 +107,10 @@ def quantiles(
         *keys,
         *[
             (
-                F.col(f"_e{2 * i}") + (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) * (p - F.floor(p))
+                # as percentile() above has it, so both plans give the same bits
+                F.when(F.col(f"_e{2 * i}") == F.col(f"_e{2 * i + 1}"), F.col(f"_e{2 * i}")).otherwise(
+                    (F.ceil(p) - p) * F.col(f"_e{2 * i}") + (p - F.floor(p)) * F.col(f"_e{2 * i + 1}")
+                )
             ).alias(f"p{i}")
             for i, p in enumerate(place)
         ],

@@ -25,12 +25,18 @@ def _over_neighbours(df: DataFrame, keys: Keys, reach: int, bounded: bool, value
     return split.withColumn("value", value).filter("_own").drop("_block", "_own")
 
 
+def _whole(w, reach: int, total: Column) -> Column:
+    """``total`` where every row of the window around has a value, else NULL."""
+    around = w.rowsBetween(-reach, reach)
+    return F.when(F.count("value").over(around) == F.count(F.lit(1)).over(around), total)
+
+
 def _window(keys: Keys, bounded: bool):
     return Window.partitionBy(*keys, *([] if bounded else ["_block"])).orderBy("idx")
 
 
 def smooth_mean(df: DataFrame, keys: Keys, width: int, bounded: bool = False) -> DataFrame:
-    """D1. Moving average over ``width`` samples, the ends padded with the first and last sample."""
+    """D1. Moving average over ``width`` samples, the ends padded with the first and last sample; NULL near a NULL."""
     m = width // 2
     w = _window(keys, bounded)
     left, right, around = w.rowsBetween(-m, 0), w.rowsBetween(0, m), w.rowsBetween(-m, m)
@@ -41,11 +47,11 @@ def smooth_mean(df: DataFrame, keys: Keys, width: int, bounded: bool = False) ->
         + missing_left * F.first("value").over(left)
         + missing_right * F.last("value").over(right)
     )
-    return _over_neighbours(df, keys, m, bounded, total / width)
+    return _over_neighbours(df, keys, m, bounded, _whole(w, m, total / width))
 
 
 def smooth_quadratic(df: DataFrame, keys: Keys, bounded: bool = False) -> DataFrame:
-    """D2. Local quadratic fit over 11 samples, the ends padded with the first and last sample."""
+    """D2. Local quadratic fit over 11 samples, the ends padded with the first and last sample; NULL near a NULL."""
     m = len(QUAD_WEIGHTS) // 2
     w = _window(keys, bounded)
     first, last = F.first("value").over(w.rowsBetween(-m, 0)), F.last("value").over(w.rowsBetween(0, m))
@@ -57,4 +63,4 @@ def smooth_quadratic(df: DataFrame, keys: Keys, bounded: bool = False) -> DataFr
         elif k > 0:
             near = F.coalesce(F.lead("value", k).over(w), last)
         total = total + weight * near
-    return _over_neighbours(df, keys, m, bounded, total / QUAD_SUM)
+    return _over_neighbours(df, keys, m, bounded, _whole(w, m, total / QUAD_SUM))

@@ -114,6 +114,7 @@ def _blocks(df: DataFrame, keys: Keys) -> DataFrame:
             F.min("idx").alias("lo"),
             F.min(F.when(F.col("_own"), F.col("idx"))).alias("own"),
             F.count_if("_own").cast("int").alias("n_own"),
+            F.count_if(F.col("value").isNull() | F.isnan("value")).alias("n_null"),
         )
         .filter(F.col("n_own") > 0)
     )
@@ -133,14 +134,17 @@ def _detail_sums(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series)
     return pd.DataFrame(rows, columns=["n", "s", "ss"])
 
 
-def _shrink_udf(level: int):
+def _shrink_udf(level: int, bounded: bool):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series, t: pd.Series) -> pd.Series:
         out = []
         for values, a, b, m, limit in zip(x, lo, own, n_own, t):
             values = np.asarray(values, dtype=float)
-            if np.isnan(limit):
+            if bounded and not np.isnan(values).any():
                 limit = np.std(split_once(values)[1]) * np.sqrt(2.0 * np.log(len(values)))
+            if np.isnan(limit):
+                out.append([None] * m)
+                continue
             out.append(_shrunk(values, level, limit)[b - a : b - a + m])
         return pd.Series(out)
 
@@ -151,7 +155,8 @@ def shrink(df: DataFrame, keys: Keys, level: int, bounded: bool = False) -> Data
     """D3-D5. Soft-threshold every coefficient by std(finest details) * sqrt(2 ln n), then rebuild.
 
     ``bounded`` series fit one block, which then finds the threshold itself;
-    otherwise it is put together from partial sums of all blocks.
+    otherwise it is put together from partial sums of all blocks. A series
+    with an undefined value has no threshold and comes out NULL throughout.
     """
     if not 1 <= level <= MAX_LEVEL:
         raise ValueError(f"level must be 1 to {MAX_LEVEL}")
@@ -159,17 +164,21 @@ def shrink(df: DataFrame, keys: Keys, level: int, bounded: bool = False) -> Data
     if bounded:
         sized = blocks.withColumn("t", F.lit(None).cast("double"))
     else:
-        sums = blocks.select(*keys, "n_own", _detail_sums("x", "lo", "own", "n_own").alias("d"))
+        sums = blocks.select(*keys, "n_own", "n_null", _detail_sums("x", "lo", "own", "n_own").alias("d"))
         total = sums.groupBy(*keys).agg(
-            F.sum("n_own").alias("n"), F.sum("d.n").alias("m"), F.sum("d.s").alias("s"), F.sum("d.ss").alias("ss")
+            F.sum("n_own").alias("n"), F.sum("d.n").alias("m"), F.sum("d.s").alias("s"), F.sum("d.ss").alias("ss"),
+            F.sum("n_null").alias("n_null"),
         )
         spread = F.sqrt(F.greatest(F.expr("ss / m - (s / m) * (s / m)"), F.lit(0.0)))
         sized = blocks.join(
-            total.select(*keys, (spread * F.sqrt(2.0 * F.ln(F.col("n").cast("double")))).alias("t")), list(keys)
+            total.select(
+                *keys, F.when(F.col("n_null") == 0, spread * F.sqrt(2.0 * F.ln(F.col("n").cast("double")))).alias("t")
+            ),
+            list(keys),
         )
     # the UDF has a step of its own: a generator over it would lose the columns beside it
     return (
-        sized.select(*keys, "own", _shrink_udf(level)("x", "lo", "own", "n_own", "t").alias("_y"))
+        sized.select(*keys, "own", _shrink_udf(level, bounded)("x", "lo", "own", "n_own", "t").alias("_y"))
         .select(*keys, "own", F.posexplode("_y").alias("_at", "value"))
         .select(*keys, (F.col("own") + F.col("_at")).alias("idx"), "value")
     )

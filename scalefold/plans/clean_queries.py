@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scalefold.functions import numeric as nu
 from scalefold.operators import channels as ch
 from scalefold.operators import cleaning as cl
+from scalefold.operators.grids import WHOLE_HEAD
 from scalefold.operators.indexing import lengths
 from scalefold.plans import oracle as o
 from scalefold.plans import views as v
@@ -246,7 +247,7 @@ def downsample_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(o.Chain().view("li_flag").select("select series_id, idx, value from li_flag where idx < 6144"))
 def head_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ch.head(v.li_flag(spark, sf_dir))
+    return ch.head(v.li_flag(spark, sf_dir), WHOLE_HEAD)
 
 
 _LONGEST = (
@@ -339,15 +340,19 @@ def low_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cl.low_variability(v.emb(spark, sf_dir), SERIES, 0.1), "std")
 
 
-_BITS = """with hex as (select row_number() over (partition by lang order by doc_id) - 1 as p, lang, md5(text) as h from documents),
-    chars as (select lang, p, unnest(range(32)) as c, unnest(string_split(h, '')) as ch from hex),
+# payloads of 0 to 32 characters
+_BITS = """with hex as (select lang, doc_id, left(md5(text), (doc_id % 33)::int) as h from documents),
+    placed as (select lang, h, coalesce(sum(length(h)) over (partition by lang order by doc_id
+        rows between unbounded preceding and 1 preceding), 0) as p from hex),
+    chars as (select lang, p, unnest(range(length(h))) as c, unnest(string_split(h, '')) as ch from placed where h <> ''),
     vals as (select lang, p, c, ('0x' || ch)::int as x from chars),
-    bits as (select lang as series_id, (p * 32 + c) * 4 + b as idx, ((x >> (3 - b)) & 1)::double as value
+    bits as (select lang as series_id, ((p + c) * 4 + b)::bigint as idx, ((x >> (3 - b)) & 1)::double as value
         from (select *, unnest(range(4)) as b from vals))"""
 
 
 def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("hex"))
+    payload = F.expr("left(md5(cast(text as binary)), cast(doc_id % 33 as int))")
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", "lang", payload.alias("hex"))
     return src.hex_bits(docs, "hex", ["doc_id"], "lang")
 
 

@@ -88,18 +88,34 @@ def shrink_ctes(c: o.Chain, src: str, level: int, tag: str) -> o.Chain:
 # --- queries ----------------------------------------------------------------
 
 
-@register(
-    o.Chain().view("ev_type").add("s", mean_sql("ev_type", 7)).select(f"select series_id, idx, {o.r6('value')} as value from s")
-)
+# Some values of every series are undefined; so is each window that holds one.
+GAP = "idx % 50 = 20"
+
+
+def _gaps(reach: int) -> o.Chain:
+    """``ev_type`` with undefined values as ``src``, and where a window of ``reach`` neighbours is whole as ``ok``."""
+    c = o.Chain().view("ev_type")
+    c.add("src", f"select series_id, idx, case when {GAP} then null else value end as value from ev_type")
+    return c.add("ok", f"""select series_id, idx, count(value) over w = count(*) over w as whole from src
+        window w as (partition by series_id order by idx rows between {reach} preceding and {reach} following)""")
+
+
+_SMOOTHED = f"""select s.series_id, s.idx, case when whole then {o.r6('value')} end as value
+    from s join ok on s.series_id = ok.series_id and s.idx = ok.idx"""
+
+
+def _with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.ev_type(spark, sf_dir).withColumn("value", F.expr(f"if({GAP}, null, value)"))
+
+
+@register(_gaps(3).add("s", mean_sql("src", 7)).select(_SMOOTHED))
 def smooth_ma7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sm.smooth_mean(v.ev_type(spark, sf_dir), SERIES, 7), "value")
+    return rounded(sm.smooth_mean(_with_gaps(spark, sf_dir), SERIES, 7), "value")
 
 
-@register(
-    o.Chain().view("ev_type").add("s", quad_sql("ev_type")).select(f"select series_id, idx, {o.r6('value')} as value from s")
-)
+@register(_gaps(5).add("s", quad_sql("src")).select(_SMOOTHED))
 def smooth_quad11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sm.smooth_quadratic(v.ev_type(spark, sf_dir), SERIES), "value")
+    return rounded(sm.smooth_quadratic(_with_gaps(spark, sf_dir), SERIES), "value")
 
 
 @register(
@@ -129,11 +145,13 @@ def soft_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     shrink_ctes(o.Chain().view("li_supp"), "li_supp", 4, "w").select(
-        f"select series_id, idx, {o.r6('value')} as value from w"
+        f"select series_id, idx, case when series_id <> '1' then {o.r6('value')} end as value from w"
     )
 )
 def wavelet_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(wv.shrink(v.li_supp(spark, sf_dir), SERIES, 4), "value")
+    """One series has an undefined value and comes out undefined."""
+    samples = v.li_supp(spark, sf_dir).withColumn("value", F.expr("if(series_id = '1' and idx = 7, null, value)"))
+    return rounded(wv.shrink(samples, SERIES, 4), "value")
 
 
 def _impulse_terms(sections) -> tuple[float, list[tuple[float, float, float, float]]]:
@@ -175,31 +193,34 @@ def bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("value", F.col("value") / 1e4), "value")
 
 
-_WELCH = (
-    o.Chain()
-    .view("li_supp")
-    .add("n", "select series_id, count(*) as n, least(1024, count(*) // 4) as nps from li_supp group by series_id")
-    .add("fr", """select series_id, n, nps, unnest(range((n - nps) // (nps - nps // 2) + 1)) as f from n where nps > 0""")
-    .add("x", """select a.series_id, nps, f, v.idx - f * (nps - nps // 2) as i, v.value from fr a join li_supp v
+def welch_ctes(c: o.Chain, src: str, tag: str = "") -> o.Chain:
+    """D7 on ``src(series_id, idx, value)``: lengths as ``n{tag}``, spectra as ``psd{tag}``, their peaks as ``peak{tag}``."""
+    c.add(f"n{tag}", f"select series_id, count(*) as n, least(1024, count(*) // 4) as nps from {src} group by series_id")
+    c.add(f"fr{tag}", f"select series_id, n, nps, unnest(range((n - nps) // (nps - nps // 2) + 1)) as f from n{tag} where nps > 0")
+    c.add(f"x{tag}", f"""select a.series_id, nps, f, v.idx - f * (nps - nps // 2) as i, v.value from fr{tag} a join {src} v
         on a.series_id = v.series_id and v.idx >= f * (nps - nps // 2) and v.idx < f * (nps - nps // 2) + nps""")
-    .add("xw", """select series_id, nps, f, i, (value - avg(value) over (partition by series_id, f))
-        * (0.5 - 0.5 * cos(2 * pi() * i / nps)) as y, pow(0.5 - 0.5 * cos(2 * pi() * i / nps), 2) as w2 from x""")
-    .add("dft", """select series_id, nps, f, k, sum(y * cos(2 * pi() * ((i * k) % nps) / nps)) as re,
+    c.add(f"xw{tag}", f"""select series_id, nps, f, i, (value - avg(value) over (partition by series_id, f))
+        * (0.5 - 0.5 * cos(2 * pi() * i / nps)) as y, pow(0.5 - 0.5 * cos(2 * pi() * i / nps), 2) as w2 from x{tag}""")
+    c.add(f"dft{tag}", f"""select series_id, nps, f, k, sum(y * cos(2 * pi() * ((i * k) % nps) / nps)) as re,
         sum(y * sin(2 * pi() * ((i * k) % nps) / nps)) as im, sum(w2) as w2
-        from (select *, unnest(range(nps // 2 + 1)) as k from xw) group by series_id, nps, f, k""")
-    .add("psd", """select series_id, nps, k as bin, count(*) as n_frames,
+        from (select *, unnest(range(nps // 2 + 1)) as k from xw{tag}) group by series_id, nps, f, k""")
+    c.add(f"psd{tag}", f"""select series_id, nps, k as bin, count(*) as n_frames,
         avg((re * re + im * im) / w2 * case when k = 0 or 2 * k = nps then 1 else 2 end) as power
-        from dft group by series_id, nps, k""")
-)
+        from dft{tag} group by series_id, nps, k""")
+    return c.add(f"peak{tag}", f"select series_id, max(power) as m, count(*) as b from psd{tag} group by series_id")
+
+
+def _welch() -> o.Chain:
+    return welch_ctes(o.Chain().view("li_supp"), "li_supp")
 
 
-@register(_WELCH.select(f"select series_id, nps::int as nps, bin::int as bin, n_frames, {o.r6('power / 1000000')} as power from psd"))
+@register(_welch().select(f"select series_id, nps::int as nps, bin::int as bin, n_frames, {o.r6('power / 1000000')} as power from psd"))
 def welch_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(welch(v.li_supp(spark, sf_dir), SERIES).withColumn("power", F.col("power") / 1e6), "power")
 
 
 @register(
-    _WELCH.add("peak", "select series_id, max(power) as m, count(*) as b from psd group by series_id").select(
+    _welch().select(
         f"""select p.series_id, bin::int as bin, {o.r6('power / (m + 1e-10)')} as value, n.n // b + 1 as repeat
         from psd p join peak on p.series_id = peak.series_id join n on p.series_id = n.series_id where bin < 8"""
     )
@@ -241,17 +262,28 @@ def denoise_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.withColumn("value", value), "value")
 
 
-@register(
-    o.Chain()
-    .view("ev_channels")
-    .add("n", "select channel, count(*) as n, stddev_pop(value) as sd from ev_channels group by channel having count(*) >= 100")
-    .add("best", "select * from n order by n desc, channel desc limit 1")
-    .add("grid", """select s.channel as col, unnest(range(b.n)) as idx, s.sd from n s, best b where s.channel <> b.channel""")
-    .select(
-        f"""select 'events' as series_id, g.col, g.idx, {o.r6('coalesce(e.value / g.sd, 0)')} as value, 'channel' as kind
-        from grid g left join ev_channels e on e.channel = g.col and e.idx = g.idx"""
-    )
-)
+def _matrix_sql() -> str:
+    c = o.Chain().view("ev_channels").view("li_supp").view("emb")
+    c.add("ch", "select channel, count(*) as n, stddev_pop(value) as sd from ev_channels group by channel having count(*) >= 100")
+    c.add("best", "select * from ch order by n desc, channel desc limit 1")
+    c.add("grid", "select s.channel as col, unnest(range(b.n)) as idx, s.sd from ch s, best b where s.channel <> b.channel")
+    # a power family, denoised; and short pulsars without side channels, as they are
+    c.add("unit", "select series_id, idx, value / stddev_pop(value) over (partition by series_id) as value from li_supp")
+    welch_ctes(welch_ctes(c, "unit", "_u"), "emb", "_e")
+    parts = [f"""select 'events' as series_id, g.col, g.idx, {o.r6('coalesce(e.value / g.sd, 0)')} as value, 'channel' as kind
+        from grid g left join ev_channels e on e.channel = g.col and e.idx = g.idx"""]
+    for tag, name in (("_u", "'s' || p.series_id"), ("_e", "'e' || p.series_id")):
+        parts.append(f"""select {name}, bin, n.n // b + 1, {o.r6('power / (m + 1e-10)')}, 'power' from psd{tag} p
+            join peak{tag} k on p.series_id = k.series_id join n{tag} n on p.series_id = n.series_id where bin < 8""")
+    return c.select("select series_id, col::int as col, idx, value, kind from (" + " union all ".join(parts) + ")")
+
+
+@register(_matrix_sql())
 def measurement_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three branches: side channels, power of a denoised series, power of a short pulsar's residuals."""
     samples = v.ev_channels(spark, sf_dir).withColumn("family", F.lit("catalog"))
-    return rounded(measurement_channels(samples, {"catalog": "unit_std"}, least=100), "value")
+    for view, mark, family in ((v.li_supp, "s", "sky_map"), (v.emb, "e", "pulsar")):
+        part = view(spark, sf_dir).withColumn("series_id", F.concat(F.lit(mark), "series_id"))
+        samples = samples.unionByName(part.withColumns({"family": F.lit(family), "channel": F.lit(0)}))
+    recipes = {"catalog": "unit_std", "sky_map": "unit_std", "pulsar": "pulsar"}
+    return rounded(measurement_channels(samples, recipes, least=100), "value")

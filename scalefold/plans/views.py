@@ -64,6 +64,14 @@ def li_supp_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ord_cust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer, about ten: some series are too short for a subset."""
+    df = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("series_id"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("value")
+    )
+    return _ordered(df, ["o_orderdate", "o_orderkey"], "value")
+
+
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
     return df.select(

@@ -31,6 +31,7 @@ def hex_bits(df: DataFrame, column: str, order: Sequence[str], series: str | Non
     char = F.conv(F.substring("_hex", F.col("_c") + 1, F.lit(1)), 16, 10).cast("int")
     chars = (
         payloads.join(starts, ["series_id", "payload"])
+        .filter(F.length("_hex") > 0)  # sequence() would count down for an empty payload
         .withColumn("_c", F.explode(F.sequence(F.lit(0), F.length("_hex") - 1)))
         .select("series_id", (BITS * (F.col("_start") + F.col("_c"))).alias("_at"), char.alias("_v"))
     )
@@ -49,7 +50,7 @@ def payload_starts(payloads: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     sized = payloads.select(
-        "series_id", "payload", F.length("_hex").alias("_n"), F.expr(f"payload div {START_BLOCK}").alias("_block")
+        "series_id", "payload", F.coalesce(F.length("_hex"), F.lit(0)).alias("_n"), F.expr(f"payload div {START_BLOCK}").alias("_block")
     )
     before = Window.partitionBy("series_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (

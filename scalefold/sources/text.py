@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scalefold.config import ASTROMETRY_COLUMNS, ASTROMETRY_ROWS, ASTROMETRY_SKIP, PULSAR_DATE
+from scalefold.config import ASTROMETRY_COLUMNS, ASTROMETRY_SKIP, PULSAR_DATE
 from scalefold.functions.numeric import NA_TOKENS, null_tokens, parse_number
 from scalefold.operators.indexing import TASK_ROWS, dense_index
 
@@ -60,12 +60,14 @@ def read_positional_tsv(
     path: str | Sequence[str],
     columns: dict[str, int] = ASTROMETRY_COLUMNS,
     skip: int = ASTROMETRY_SKIP,
-    rows: int = ASTROMETRY_ROWS,
+    rows: int | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """S2. Rows ``skip + 1 ...`` of headerless files, by field position, at most ``rows`` per file.
+    """S2. Rows ``skip + 1 ...`` of headerless files, by field position; all of them, or the first ``rows`` per file.
 
-    Lines with more fields than the first data line are skipped. Both ranks are
-    top-k, so each task passes on no more than that many lines of a file.
+    Lines with more fields than the first data line are skipped. The ranks that
+    look for the first line, and for the first ``rows``, are top-k: each task passes on
+    no more than that many lines of a file. ASTROMETRY_ROWS is the published limit.
     """
     lines = read_lines(spark, path)
     order = Window.partitionBy("file").orderBy("_start", "_line")
@@ -78,14 +80,15 @@ def read_positional_tsv(
     )
     data = lines.join(first, "file").filter((F.struct("_start", "_line") >= F.col("_first")) & (width <= F.col("_width")))
     cut = F.split("value", "\t", -1)
-    return (
-        data.withColumn("row", F.row_number().over(order) - 1)
-        .filter(F.col("row") < rows)
-        .select(
-            "file",
-            F.col("row").cast("bigint"),
-            *[parse_number(F.get(cut, F.lit(p))).alias(name) for name, p in columns.items()],
-        )
+    if rows is None:
+        numbered = dense_index(data, ["file"], ["_start", "_line"], "row", task_rows)
+    else:
+        numbered = data.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows)
+        numbered = numbered.withColumn("row", F.col("_r") - 1)
+    return numbered.select(
+        "file",
+        F.col("row").cast("bigint"),
+        *[parse_number(F.get(cut, F.lit(p))).alias(name) for name, p in columns.items()],
     )
 
 
