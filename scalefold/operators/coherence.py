@@ -29,12 +29,13 @@ SERIES = ("series_id",)
 PAIR_BLOCK = 512
 
 
-def whole_spectra(samples: DataFrame) -> DataFrame:
-    """C0. Spectrum of the head of every series that is long enough, on its log-spaced grid."""
-    first = ch.head(samples.select("series_id", "idx", "value"))
-    sized = lengths(first, SERIES).filter(F.col("n") >= WHOLE_LEAST).withColumn("top", F.expr("cast(n div 8 as int)"))
-    # the grid has one row per possible head length, 768 at most
-    grids = sized.join(F.broadcast(whole_grid(samples.sparkSession)), "top").select("series_id", "scales")
+def whole_spectra(samples: DataFrame, head: int | None = None) -> DataFrame:
+    """C0. Spectrum of every series that is long enough, on its log-spaced grid.
+
+    ``head`` cuts every series to its first samples before that.
+    """
+    first = ch.head(samples.select("series_id", "idx", "value"), head)
+    grids = lengths(first, SERIES).filter(F.col("n") >= WHOLE_LEAST).select("series_id", whole_grid("n").alias("scales"))
     return measure(first.join(grids, "series_id"), SERIES)
 
 

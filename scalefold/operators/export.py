@@ -26,15 +26,18 @@ def _flat(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
     )
 
 
-def first_subsets(results: DataFrame, cap: int = ROW_CAP) -> DataFrame:
-    """K2. The first subset rows in dataset then subset order: a top-k report."""
-    return results.orderBy("series_id", "subset_id").limit(cap)
+def first_subsets(results: DataFrame, cap: int | None = None) -> DataFrame:
+    """K2. All subset rows, or the first ``cap`` in dataset then subset order: a top-k report."""
+    return results if cap is None else results.orderBy("series_id", "subset_id").limit(cap)
 
 
 def flat_results(
-    pairs: DataFrame, results: DataFrame, indices: DataFrame, spread: DataFrame, cap: int = ROW_CAP
+    pairs: DataFrame, results: DataFrame, indices: DataFrame, spread: DataFrame, cap: int | None = None
 ) -> DataFrame:
-    """K1, U1. Pair, fold, subset and global rows under one set of columns."""
+    """K1, U1. Pair, fold, subset and global rows under one set of columns.
+
+    ``cap`` (ROW_CAP in the published table) keeps the first subset rows only.
+    """
     pair = F.concat_ws("|", "ds_a", "ds_b")
     parts = [
         _flat(pairs.filter(F.col("index") == i), i, pair=pair, corr=F.col("abs_corr")) for i in ("TCI", "MCI")
@@ -73,8 +76,11 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.option("header", True).csv(path)
 
 
-def snapshot(samples: DataFrame, max_len: int = SNAPSHOT) -> DataFrame:
-    """K7. The first samples of each series as one array, with full and used length."""
+def snapshot(samples: DataFrame, max_len: int) -> DataFrame:
+    """K7. The first ``max_len`` samples of each series as one array, with full and used length.
+
+    Cutting is the feature: an array has to fit a row (SNAPSHOT in the published file).
+    """
     size = lengths(samples, ["series_id"], "length_full")
     heads = (
         samples.filter(F.col("idx") < max_len)
@@ -97,17 +103,30 @@ def manifest(config: DataFrame, name: str = "definition") -> DataFrame:
     )
 
 
-def load_meta(samples: DataFrame, catalog: DataFrame, subsets: DataFrame) -> DataFrame:
-    """K9. Rows, TCI length, measurement columns, subset count and status of every catalogued series."""
+def load_meta(
+    samples: DataFrame,
+    catalog: DataFrame,
+    subsets: DataFrame,
+    index_samples: DataFrame | None = None,
+    matrix: DataFrame | None = None,
+) -> DataFrame:
+    """K9. Rows, subset count and status of every catalogued series; with ``index_samples`` the length of
+    its index series, with the measurement ``matrix`` its shape."""
     sizes = samples.groupBy("series_id").agg(
         F.count_if(F.col("channel") == 0).alias("n_rows"),
         F.count_distinct("channel").alias("n_channels"),
         F.count("value").alias("n_values"),
     )
+    known = catalog.select("series_id").join(sizes, "series_id", "left").join(subsets, "series_id", "left")
+    if index_samples is not None:
+        known = known.join(lengths(index_samples, ["series_id"], "tci_length"), "series_id", "left")
+    if matrix is not None:
+        # a channel has a row per position; a row of power bins is repeated ``idx`` times
+        rows = F.max(F.when(F.col("kind") == "channel", F.col("idx") + 1).otherwise(F.col("idx")))
+        shape = matrix.groupBy("series_id").agg(rows.alias("matrix_rows"), F.count_distinct("col").alias("matrix_columns"))
+        known = known.join(shape, "series_id", "left")
     return (
-        catalog.select("series_id")
-        .join(sizes, "series_id", "left")
-        .join(subsets, "series_id", "left")
+        known
         .withColumn("status", F.when(F.col("n_rows") >= 10, "OK").otherwise("SKIPPED"))
     )
 

@@ -7,13 +7,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scalefold.functions.numeric import finite
 from scalefold.operators.grids import Q_GRID
 from scalefold.operators.indexing import Keys
 
@@ -25,8 +25,9 @@ MIN_SEGMENTS = 2
 MIN_SCALES = 4
 MIN_Q = 4
 
-# Scales worked on side by side; more of them would outgrow what the JVM compiles as one method.
-LANES = 8
+# Segments whose powers are summed in one list, and list items worked on in one step.
+CHUNK = 8192
+STEP_VALUES = 1 << 14
 
 
 def segment_rms(
@@ -91,51 +92,93 @@ def _line_residuals(cut: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _power_terms(q_grid: Sequence[float]) -> tuple[dict[str, str], list[str]]:
-    """Columns to compute once per segment, and one SQL term x^q per grid value, with ``_l`` = ln x.
+def _kinds(df: DataFrame, *names: str) -> str:
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
 
-    On an evenly spaced grid x^q is x^a x^b with a and b from two short lists,
-    so 81 powers need 18 exponentials; any other grid takes one each.
+
+def _power_sums(rms: np.ndarray, count: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For runs of ``count`` values each: the sum of x^q, of ln x^2 where q is zero."""
+    x = rms + RMS_FLOOR
+    terms = np.exp(np.multiply.outer(np.log(x), q))
+    terms[:, q == 0.0] = np.log(rms * rms + RMS_FLOOR)[:, None]
+    return np.add.reduceat(terms, np.cumsum(count) - count, axis=0)
+
+
+def _list_rows(batches: Iterator[pa.RecordBatch], column: str, keep: Sequence[str], out: str, width: int, run) -> Iterator[pa.RecordBatch]:
+    """Turn the list of each row into ``width`` numbers by ``run(values, counts, first row, last row, batch)``.
+
+    A step takes about STEP_VALUES list items, so it holds a bounded table of items by numbers.
     """
-    n = len(q_grid)
-    width = math.isqrt(n - 1) + 1 if n > 1 else 1
-    step = q_grid[1] - q_grid[0] if n > 1 else 0.0
-    if any(abs(q - (q_grid[0] + k * step)) > 1e-9 for k, q in enumerate(q_grid)):
-        return {}, [f"exp({q!r}D * _l)" for q in q_grid]
-    coarse = {f"_a{i}": f"exp({q_grid[i * width]!r}D * _l)" for i in range(-(-n // width))}
-    fine = {f"_b{j}": f"exp({j * step!r}D * _l)" for j in range(1, width)}
-    terms = [f"_a{k // width}" + (f" * _b{k % width}" if k % width else "") for k in range(n)]
-    return {**coarse, **fine}, terms
-
-
-def fluctuation_rows(segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
+    for batch in batches:
+        lists = batch.column(column)
+        flat, at = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
+        at = at - at[0]
+        begin = 0
+        while begin < len(lists):
+            end = int(np.searchsorted(at, at[begin] + STEP_VALUES, side="right")) - 1
+            end = min(max(end, begin + 1), len(lists))
+            made = run(flat.slice(at[begin], at[end] - at[begin]), np.diff(at[begin : end + 1]), batch.slice(begin, end - begin))
+            known = pa.array(made.ravel(), mask=np.isnan(made.ravel()))
+            offsets = pa.array(np.arange(0, made.size + 1, width, dtype=np.int32))
+            kept = [batch.column(c).slice(begin, end - begin) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, known)], names=[*keep, out])
+            begin = end
+
+
+def fluctuation_rows(
+    segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID, bounded: bool = False
+) -> DataFrame:
     """M6, M7. One row per scale with F(q, s) over the whole q grid as an array ``f``.
 
-    Each q is one sum of the same group-by, so segments are not multiplied by
-    the grid and the map side already shrinks them to one row per scale. F is
-    NULL where it is not positive and finite.
+    The segments of a scale are gathered in lists and all q are summed at once,
+    so segments are not multiplied by the grid. ``bounded`` series (subsets, whose size the plan
+    limits) have one list a scale; of others a list holds CHUNK segments, and
+    their sums are added up. F is NULL where it is not positive and finite.
     """
-    powers, terms = _power_terms(q_grid)
-    logs = segments.select(
-        *keys,
-        "scale_pos",
-        "s",
-        F.expr(f"coalesce(ln(rms + {RMS_FLOOR}D), 0.0D) as _l"),
-        F.expr(f"coalesce(ln(rms * rms + {RMS_FLOOR}D), 0.0D) as _l2"),
+    q = np.asarray(q_grid, dtype=float)
+    by = [*keys, "scale_pos"]
+    pieces = [] if bounded else [F.expr(f"seg div {CHUNK}").alias("_chunk")]
+    lists = segments.groupBy(*by, *pieces).agg(
+        F.max("s").alias("s"), F.count(F.lit(1)).alias("n_segments"), F.collect_list("rms").alias("_x")
     )
-    ready = logs.selectExpr(*keys, "scale_pos", "s", "_l", "_l2", *[f"{sql} as {name}" for name, sql in powers.items()])
-    sums, values = [], []
-    for k, q in enumerate(q_grid):
-        sums.append(F.expr(f"sum({'_l2' if q == 0.0 else terms[k]}) as _q{k}"))
-        values.append(f"exp(0.5D * _q{k} / n_segments)" if q == 0.0 else f"exp(ln(_q{k} / n_segments) / {q!r}D)")
-    by_scale = ready.groupBy(*keys, "scale_pos").agg(F.max("s").alias("s"), F.count(F.lit(1)).alias("n_segments"), *sums)
-    return by_scale.filter(F.col("n_segments") >= MIN_SEGMENTS).select(
-        *keys,
-        "scale_pos",
-        "s",
-        "n_segments",
-        F.transform(F.expr(f"array({', '.join(values)})"), lambda f: F.when(finite(f) > 0.0, f)).alias("f"),
+    keep = [*by, "s", "n_segments"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(values, count, rows):
+            return _power_sums(np.asarray(values, dtype=float), count, q)
+
+        return _list_rows(batches, "_x", keep, "_q", len(q), run)
+
+    def roots(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+        mean = total / n[:, None]
+        with np.errstate(all="ignore"):
+            f = np.exp(np.log(mean) / np.where(q == 0.0, 1.0, q))
+            f[:, q == 0.0] = np.exp(0.5 * mean[:, q == 0.0])
+        return np.where(np.isfinite(f) & (f > 0.0), f, np.nan)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(values, count, rows):
+            return roots(_power_sums(np.asarray(values, dtype=float), count, q), np.asarray(rows.column("n_segments")))
+
+        return _list_rows(batches, "_x", keep, "f", len(q), run)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(values, count, rows):
+            parts = np.asarray(values.flatten(), dtype=float).reshape(-1, len(q))
+            return roots(np.add.reduceat(parts, np.cumsum(count) - count, axis=0), np.asarray(rows.column("n_segments")))
+
+        return _list_rows(batches, "_q", keep, "f", len(q), run)
+
+    kinds = _kinds(lists, *keep)
+    if bounded:
+        lists = lists.filter(F.col("n_segments") >= MIN_SEGMENTS).select(*keep, "_x")
+        return lists.mapInArrow(whole, f"{kinds}f array<double>")
+    parts = lists.select(*keep, "_x").mapInArrow(sums, f"{kinds}_q array<double>")
+    added = parts.groupBy(*by).agg(
+        F.max("s").alias("s"), F.sum("n_segments").alias("n_segments"), F.collect_list("_q").alias("_q")
     )
+    added = added.filter(F.col("n_segments") >= MIN_SEGMENTS)
+    return added.mapInArrow(joined, f"{kinds}f array<double>")
 
 
 def fluctuation(segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
@@ -145,56 +188,63 @@ def fluctuation(segments: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRI
     )
 
 
-def spectrum(fluct: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID, most_scales: int | None = None) -> DataFrame:
+def _fit(x: np.ndarray, f: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of ln F over x per run of ``count`` scales and per q, with the scales they rest on; nan where undefined."""
+    known = np.isfinite(f)
+    at = np.cumsum(count) - count
+    enough = np.maximum.reduceat(known.sum(axis=1), at) >= MIN_Q
+    known &= np.repeat(enough, count)[:, None]
+    y = np.where(known, np.log(np.where(known, f, 1.0) + RMS_FLOOR), 0.0)
+    x = np.where(known, x[:, None], 0.0)
+    n, sx, sy, sxy, sxx = (np.add.reduceat(v, at, axis=0) for v in (known.astype(float), x, y, x * y, x * x))
+    h = (n * sxy - sx * sy) / (n * sxx - sx * sx + RIDGE)
+    return n, np.where((n >= MIN_SCALES) & (h > 0.0), h, np.nan)
+
+
+def _slopes(h: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tau, alpha and f(alpha) of rows of h, as ``singularity`` has them."""
+    tau = h * q - 1.0
+    place = np.where(np.isnan(h), -1, np.arange(len(q)))
+    before = np.maximum.accumulate(np.concatenate([np.full((len(h), 1), -1), place[:, :-1]], axis=1), axis=1)
+    with np.errstate(all="ignore"):
+        alpha = (tau - np.take_along_axis(tau, np.maximum(before, 0), axis=1)) / (q - q[np.maximum(before, 0)])
+    alpha = np.where((before >= 0) & ~np.isnan(h), alpha, np.nan)
+    return tau, alpha, q * alpha - tau
+
+
+def spectrum(fluct: DataFrame, keys: Keys, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
     """M8-M12. h(q), tau, alpha and f(alpha) from ``fluctuation_rows``, one row per q; undefined values are NULL.
 
     A series has one row per scale here, a few dozen at most. They are gathered
-    once, and the regression sums of each q are plain arithmetic over ``LANES``
-    scales at a time. Grids known to have no more scales (``most_scales``) need
-    no group-by per q at all.
+    once, and the regressions of all q of many series are fitted in one step.
     """
-    n_finite = F.size(F.filter("f", lambda f: f.isNotNull()))
-    gathered = (
-        fluct.select(*keys, F.struct(F.ln(F.col("s").cast("double")).alias("x"), "f").alias("_r"), n_finite.alias("_n"))
-        .groupBy(*keys)
-        .agg(F.collect_list("_r").alias("_r"), F.max("_n").alias("_n"))
-    )
-    short = most_scales is not None and most_scales <= LANES
-    if not short:
-        parts = f"explode(sequence(0, (size(_r) - 1) div {LANES})) as _part"
-        gathered = gathered.selectExpr(*keys, "_r", "_n", parts).selectExpr(
-            *keys, "_n", f"slice(_r, _part * {LANES} + 1, {LANES}) as _r"
-        )
-    at = range(most_scales if short else LANES)
-    points = gathered.selectExpr(
-        *keys, "_r", f"_n >= {MIN_Q} as _ok", f"explode(sequence(0, {len(q_grid) - 1})) as q_pos"
-    ).selectExpr(
-        *keys,
-        "q_pos",
-        *[f"if(_ok, ln(get(get(_r, {j}).f, q_pos) + {RMS_FLOOR}D), null) as y{j}" for j in at],
-        *[f"get(_r, {j}).x as x{j}" for j in at],
+    q = np.asarray(q_grid, dtype=float)
+    gathered = fluct.groupBy(*keys).agg(
+        F.collect_list(F.struct(F.ln(F.col("s").cast("double")).alias("x"), "f")).alias("_r")
     )
 
-    def total(term: str) -> str:
-        return " + ".join(f"if(y{j} is null, 0D, {term.format(j=j)})" for j in at)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(values, count, rows):
+            x, f = values.flatten()
+            f = np.asarray(f.flatten().fill_null(np.nan), dtype=float).reshape(-1, len(q))
+            n, h = _fit(np.asarray(x, dtype=float), f, count)
+            return np.stack([n, h, *_slopes(h, q)], axis=2)
 
-    terms = {"n": "1D", "sx": "x{j}", "sy": "y{j}", "sxy": "x{j} * y{j}", "sxx": "x{j} * x{j}"}
-    sums = points.selectExpr(*keys, "q_pos", *[f"{total(term)} as {name}" for name, term in terms.items()])
-    if not short:
-        sums = sums.groupBy(*keys, "q_pos").agg(*[F.sum(name).alias(name) for name in terms])
-    fitted = sums.selectExpr(
-        *keys,
-        "q_pos",
-        "cast(n as bigint) as n_scales",
-        f"if(n >= {MIN_SCALES}, (n * sxy - sx * sy) / (n * sxx - sx * sx + {RIDGE}D), null) as h",
-    ).select(
+        return _list_rows(batches, "_r", list(keys), "_v", 5 * len(q), run)
+
+    fitted = gathered.mapInArrow(fit, f"{_kinds(gathered, *keys)}_v array<double>")
+    rows = fitted.select(*keys, "_v", F.explode(F.sequence(F.lit(0), F.lit(len(q) - 1))).alias("q_pos"))
+
+    def value(k: int):
+        return F.get("_v", 5 * F.col("q_pos") + k)
+
+    return rows.select(
         *keys,
-        "n_scales",
+        value(0).cast("bigint").alias("n_scales"),
         "q_pos",
         F.lit(list(q_grid))[F.col("q_pos")].alias("q"),
-        F.when(F.col("h") > 0.0, F.col("h")).alias("h"),
+        *[value(k).alias(name) for k, name in enumerate(("h", "tau", "alpha", "f_alpha"), 1)],
     )
-    return singularity(fitted, keys)
 
 
 def singularity(h_rows: DataFrame, keys: Keys) -> DataFrame:
@@ -224,8 +274,7 @@ def measure(
     samples: DataFrame, keys: Keys, scales: Sequence[int] | None = None, detrend: int = 0, size: str | None = None
 ) -> DataFrame:
     """M3-M12 in one call: samples to spectrum rows."""
-    rows = fluctuation_rows(segment_rms(samples, keys, scales, detrend, size), keys)
-    return spectrum(rows, keys, most_scales=None if scales is None else len(scales))
+    return spectrum(fluctuation_rows(segment_rms(samples, keys, scales, detrend, size), keys), keys)
 
 
 # Fixed values of the reliability test.

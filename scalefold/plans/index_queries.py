@@ -12,6 +12,7 @@ from scalefold.operators import export as ex
 from scalefold.operators import fluctuation as fl
 from scalefold.operators import sampling as sa
 from scalefold.operators import summary as su
+from scalefold.operators.denoise import measurement_channels
 from scalefold.operators.indexing import lengths
 from scalefold.plans import oracle as o
 from scalefold.plans import run
@@ -104,13 +105,17 @@ def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    _supp().select(
+    o.subset_measure_ctes(
+        o.Chain().view("li_supp").view("ord_cust").add("joined", "select * from li_supp union all select 'c' || series_id, idx, value from ord_cust"),
+        "joined", LEDGER.subset_size, LEDGER.n_subsets, SCALES,
+    ).select(
         """select series_id, subset_id, case when start is null then 'Data too short' else 'No valid D_f' end as reason
         from res where d_f is null"""
     )
 )
 def subset_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.subset_warnings(_results(spark, v.li_supp(spark, sf_dir)))
+    customers = v.ord_cust(spark, sf_dir).withColumn("series_id", F.concat(F.lit("c"), "series_id"))
+    return ex.subset_warnings(_results(spark, v.li_supp(spark, sf_dir).unionByName(customers)))
 
 
 # --- coherence --------------------------------------------------------------
@@ -178,7 +183,7 @@ def _indices(spark: SparkSession, samples: DataFrame) -> tuple[DataFrame, DataFr
     _, windows, spectra = ledger_spectra(spark, samples)
     spectra = land(spectra, "spectra")
     whole = land(co.whole_spectra(samples), "whole")  # read once for the full run and once for the folds
-    tci_packed, mci_packed = run.index_spectra(whole, spectra)
+    tci_packed, mci_packed = run.index_spectra(whole, spectra, windows)
     indices = co.assemble(land(run.compute_indices(tci_packed, mci_packed), "indices"))
     return tci_packed, mci_packed, run.subset_results(spectra, windows), indices
 
@@ -225,8 +230,8 @@ def _empty(*given: str) -> str:
         f"""select {_empty("'TCI' as type", "ds_a || '|' || ds_b as pair", o.r6('abs_corr') + ' as corr')} from tcip where fold = -1
         union all select {_empty("'MCI' as type", "ds_a || '|' || ds_b as pair", o.r6('abs_corr') + ' as corr')} from mcip where fold = -1
         union all select {_empty("'TMCI_fold' as type", 'fold as fold_idx', o.r6('tmci') + ' as tmci_value')} from indices where fold >= 0
-        union all select * from (select {_empty("'MFDFA_subset' as type", 'series_id as dataset', 'subset_id as subset_idx',
-            o.r6('d_f') + ' as D_f', o.r6('mean_h') + ' as hq_mean')} from res order by series_id, subset_id limit 5000)
+        union all select {_empty("'MFDFA_subset' as type", 'series_id as dataset', 'subset_id as subset_idx',
+            o.r6('d_f') + ' as D_f', o.r6('mean_h') + ' as hq_mean')} from res
         union all select {_empty("'GLOBAL' as type", o.r6('tci') + ' as tci_global', o.r6('mci') + ' as mci_global',
             o.r6('tmci') + ' as tmci_global', o.r6('(select stddev_pop(tmci) from indices where fold >= 0)') + ' as tmci_std_cv')}
             from indices where fold = -1"""
@@ -282,9 +287,11 @@ def series_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     o.Chain()
     .view("li_supp_channels")
     .add("catalog", "select distinct s_suppkey::varchar as series_id from supplier union select 'missing' as series_id")
-    .add("sizes", """select series_id, count(*) filter (channel = 0) as n_rows, count(distinct channel) as n_channels, count(value) as n_values
-        from li_supp_channels group by series_id""")
+    .add("sizes", """select series_id, count(*) filter (channel = 0) as n_rows, count(distinct channel) as n_channels, count(value) as n_values,
+        max(idx) + 1 as longest from li_supp_channels group by series_id""")
     .select("""select c.series_id, coalesce(n_rows, 0) as n_rows, coalesce(n_channels, 0) as n_channels, coalesce(n_values, 0) as n_values,
+        coalesce(longest, 0) as tci_length, coalesce(longest, 0) as matrix_rows,
+        case when longest is null then 0 else 2 end::bigint as matrix_columns,
         case when n_rows < 1250 and n_rows >= 10 then 75 when n_rows >= 1250 then 100 else 0 end::int as n_subsets,
         case when n_rows >= 10 then 'OK' else 'SKIPPED' end as status from catalog c left join sizes s on c.series_id = s.series_id""")
 )
@@ -293,7 +300,10 @@ def load_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("series_id"))
     catalog = suppliers.unionByName(spark.range(1).select(F.lit("missing").alias("series_id"))).distinct()
     plan = ledger(spark, samples.filter("channel = 0"))[1]
-    return ex.load_meta(samples, catalog, plan.select("series_id", "n_subsets")).fillna(0)
+    tagged = samples.withColumn("family", F.lit(LEDGER.name))
+    index_samples = run.index_series(tagged, [LEDGER])
+    matrix = measurement_channels(tagged, run.recipes([LEDGER]), least=1)
+    return ex.load_meta(samples, catalog, plan.select("series_id", "n_subsets"), index_samples, matrix).fillna(0)
 
 
 _MANIFEST = """'{"series_id":"' || series_id || '","family":"ledger","n":' || n || ',"size":' || size || ',"n_subsets":' || n_subsets

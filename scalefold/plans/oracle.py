@@ -22,6 +22,8 @@ VIEWS = {
     "li_supp_channels": f"""select series_id, channel, idx, value from (
         select l_suppkey::varchar as series_id, row_number() over (partition by l_suppkey order by {LINE_ORDER}) - 1 as idx,
             unnest([l_extendedprice, l_quantity, l_discount]) as value, unnest([0, 1, 2]) as channel from lineitem)""",
+    "ord_cust": """select o_custkey::varchar as series_id,
+        row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as idx, o_totalprice as value from orders""",
     "emb": """select vec_id::varchar as series_id, unnest(range(64)) as idx, unnest(embedding)::double as value from embeddings""",
     "ev_channels": """select 'events' as series_id, list_position(['click','error','purchase','signup','view'], event_type) - 1 as channel,
         row_number() over (partition by event_type order by ts, event_id) - 1 as idx, value from events""",
@@ -175,26 +177,31 @@ def pair_ctes(c: Chain, src: str, out: str) -> Chain:
         group by a.fold, a.series_id, b.series_id)""")
 
 
+WHOLE_TOPS = 4_096
+
+
 def whole_grid_sql(src: str) -> str:
-    """Scales of every series of ``src`` by the length of its head, from the grid rule."""
-    from scalefold.operators.grids import WHOLE_HEAD, whole_scales
+    """Scales of every series of ``src`` by its length, listed from the grid rule.
+
+    The list reaches to series of 8 * WHOLE_TOPS samples; a longer one finds no grid here.
+    """
+    from scalefold.operators.grids import whole_scales
 
-    rows = ", ".join(list_sql(whole_scales(8 * top)) for top in range(1, WHOLE_HEAD // 8 + 1))
+    rows = ", ".join(list_sql(whole_scales(8 * top)) for top in range(1, WHOLE_TOPS + 1))
     return f"""select series_id, unnest(range(len(sc)))::int as scale_pos, unnest(sc) as s from (
         select series_id, ([{rows}])[(n // 8)::int] as sc from
         (select series_id, count(*) as n from {src} group by series_id having count(*) >= 50))"""
 
 
 def whole_spectrum_ctes(c: Chain, src: str, tag: str = "t") -> Chain:
-    """Spectra of series heads on their own grids, as ``hq{tag}``."""
-    c.add(f"head{tag}", f"select series_id, idx, value from {src} where idx < 6144")
-    return measure_ctes(c, f"head{tag}", "series_id", whole_grid_sql(f"head{tag}"), tag)
+    """Spectra of whole series on their own grids, as ``hq{tag}``."""
+    return measure_ctes(c, src, "series_id", whole_grid_sql(src), tag)
 
 
 def fold_ctes(c: Chain, tag: str = "") -> Chain:
-    """R7 on the subsets that have a spectrum: ``members(fold, series_id, subset_id)`` with fold -1 for all."""
+    """R7 on all planned subsets of series with a spectrum: ``members(fold, series_id, subset_id)`` with fold -1 for all."""
     u = uniform(key("fold", "fold", "series_id", "subset_id"))
-    c.add(f"subs_ok{tag}", f"select distinct series_id, subset_id from spec{tag}")
+    c.add(f"subs_ok{tag}", f"select series_id, subset_id from wins{tag} where series_id in (select series_id from spec{tag})")
     c.add(f"drawn{tag}", f"""select fold, series_id, subset_id, n, row_number() over (partition by fold, series_id order by {u}, subset_id) as r
         from (select series_id, subset_id, count(*) over (partition by series_id) as n from subs_ok{tag}), (select unnest(range(3))::int as fold)""")
     return c.add(f"members{tag}", f"""select fold, series_id, subset_id from drawn{tag} where n >= 3 and r <= floor(n * 0.67::double)

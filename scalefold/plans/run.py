@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalefold.config import FAMILIES, Family, family_config
+from scalefold.config import DISC_RADIUS, FAMILIES, Family, family_config
+from scalefold.operators import channels as ch
 from scalefold.operators import coherence as co
 from scalefold.operators import export as ex
 from scalefold.operators import fluctuation as fl
 from scalefold.operators import sampling as sa
 from scalefold.operators import summary as su
-from scalefold.operators.denoise import denoise
+from scalefold.operators.denoise import denoise, measurement_channels
 from scalefold.operators.grids import LINES_MAX, lines_grid
 from scalefold.operators.indexing import lengths
 
@@ -44,17 +46,62 @@ def subset_grids(plan: DataFrame, families: list[Family]) -> DataFrame:
     )
 
 
-def subset_spectra(samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family]) -> DataFrame:
-    """M15. Extract, denoise and measure every subset of every series.
+def subset_rows(
+    samples: DataFrame, windows: DataFrame, families: list[Family], points: DataFrame | None = None, seed: int = sa.SEED
+) -> DataFrame:
+    """R2, R5. Denoised rows of every subset (K12): windows of a series, random discs of a map.
 
-    ``samples(series_id, idx, value)``; windows and plan carry ``family``.
+    ``samples(series_id, idx, value)``; windows carry ``family``. ``points(series_id,
+    family, idx, pixel, value, x, y, z)`` are the maps of the families in DISC_RADIUS,
+    whose subsets come from there.
     """
-    cut = sa.subset_samples(samples, windows)
-    clean = denoise(cut, (*SUBSET, "size"), recipes(families), bounded=True)  # size goes with the subset
+    mapped = {f.name: DISC_RADIUS[f.name] for f in families if f.name in DISC_RADIUS and points is not None}
+    cut = sa.subset_samples(samples, windows.filter(~F.col("family").isin(*mapped)) if mapped else windows)
+    for family in (f for f in families if f.name in mapped):
+        own = points.filter(F.col("family") == family.name)
+        planned = windows.filter(F.col("family") == family.name)
+        discs = sa.disc_subset(own, family.n_subsets, mapped[family.name], family.subset_size, family.min_std, seed)
+        discs = discs.select(*SUBSET, F.col("pick").cast("bigint").alias("idx"), "value")
+        cut = cut.unionByName(
+            discs.join(planned.select("family", *SUBSET, "size"), list(SUBSET)).select(cut.columns)
+        )
+    # from here on a subset is a group: placed by it, one hot series is spread over as many tasks as it has subsets
+    cut = cut.repartition(*SUBSET)
+    return denoise(cut, (*SUBSET, "size"), recipes(families), bounded=True)  # size goes with the subset
+
+
+def subset_fluctuations(clean: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family]) -> DataFrame:
+    """M3-M7. F(q, s) of every denoised subset, one row per scale."""
+    scales = fixed_scales(families)
+    if scales is None:
+        by_subset = windows.select(*SUBSET).join(subset_grids(plan, families), "series_id").repartition(*SUBSET)
+        clean = clean.join(by_subset, list(SUBSET))
+    return fl.fluctuation_rows(fl.segment_rms(clean, SUBSET, scales, size="size"), SUBSET, bounded=True)
+
+
+def fixed_scales(families: list[Family]) -> list[int] | None:
+    """The scales all families share; None if some go by the length of the series."""
     grids = {tuple(f.scales) for f in families}
-    if len(grids) == 1 and all(grids):
-        return fl.measure(clean, SUBSET, list(grids.pop()), size="size")
-    return fl.measure(clean.join(subset_grids(plan, families), "series_id"), SUBSET)
+    return list(grids.pop()) if len(grids) == 1 and all(grids) else None
+
+
+def subset_spectra(
+    samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None = None
+) -> DataFrame:
+    """M15. Extract, denoise and measure every subset of every series."""
+    clean = subset_rows(samples, windows, families, points)
+    return fl.spectrum(subset_fluctuations(clean, windows, plan, families), SUBSET)
+
+
+def index_series(samples: DataFrame, families: list[Family], most: int = ch.MAX_SAMPLES, least: int = 1) -> DataFrame:
+    """P20, P21, P18. The series an index is made from: the longest valid channel, denoised, evenly thinned to ``most``.
+
+    ``samples(series_id, family, [channel], idx, value)``; a channel is valid with ``least`` rows and any finite value.
+    """
+    if "channel" in samples.columns:
+        chosen = ch.longest_channel(ch.valid_channels(samples, least)).select("series_id", "channel")
+        samples = samples.join(chosen, ["series_id", "channel"], "left_semi").drop("channel")
+    return ch.downsample(denoise(samples, ("series_id",), recipes(families)), ("series_id",), most)
 
 
 def subset_results(spectra: DataFrame, windows: DataFrame) -> DataFrame:
@@ -62,6 +109,11 @@ def subset_results(spectra: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.join(fl.dimension(spectra, SUBSET), list(SUBSET), "left")
 
 
+def run_label() -> str:
+    """Names a run by the time it started, in UTC."""
+    return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
+
+
 @dataclass
 class Run:
     """Tables of one run, read back from where they were written."""
@@ -76,13 +128,16 @@ class Run:
     indices: DataFrame
 
 
-def index_spectra(whole: DataFrame, subset_spec: DataFrame, seed: int = sa.SEED) -> tuple[DataFrame, DataFrame]:
+def index_spectra(
+    whole: DataFrame, subset_spec: DataFrame, windows: DataFrame, seed: int = sa.SEED
+) -> tuple[DataFrame, DataFrame]:
     """Packed spectra behind TCI and MCI, keyed by fold; the full run is fold -1.
 
     ``whole`` holds the spectra of whole series, ``subset_spec`` those of
-    subsets. Folds are a key column, so all of them are one query.
+    subsets. Folds are drawn from all planned ``windows`` of a series with any
+    spectrum, measured or not, and are a key column, so all of them are one query.
     """
-    subsets = subset_spec.select(*SUBSET).distinct()
+    subsets = windows.select(*SUBSET).join(subset_spec.select("series_id").distinct(), "series_id", "left_semi")
     members = sa.folds(subsets, seed)
     keyed = members.unionByName(subsets.select(F.lit(-1).alias("fold"), *SUBSET)).join(subset_spec, list(SUBSET))
     tci_spec = co.interpolate(whole)
@@ -111,15 +166,21 @@ def run(
     out: str,
     families: list[Family] = FAMILIES,
     tci_samples: DataFrame | None = None,
-    run_id: str = "run",
+    run_id: str | None = None,
     seed: int = sa.SEED,
+    head: int | None = None,
+    points: DataFrame | None = None,
+    catalog: DataFrame | None = None,
 ) -> Run:
     """Entry 1. Measure all series and write every table below ``out/run_id``.
 
-    ``samples(series_id, family, idx, value)``. Each table is written once and
-    later steps read it back, so no step repeats the work of another.
+    ``samples(series_id, family, [channel], idx, value)``: subsets are cut from channel 0,
+    indices are made from the longest channel. ``points`` are maps for disc subsets,
+    ``catalog`` names the series that were asked for. Each table is written once and
+    later steps read it back, so no step repeats the work of another. Without a
+    ``run_id`` the run is named by the clock.
     """
-    base = f"{out.rstrip('/')}/{run_id}"
+    base = f"{out.rstrip('/')}/{run_id or run_label()}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
@@ -127,10 +188,13 @@ def run(
 
     config = family_config(spark, families)
     kept(config, "config")
-    sizes = kept(series_lengths(samples), "lengths")
+    first = samples.filter("channel = 0").drop("channel") if "channel" in samples.columns else samples
+    sizes = kept(series_lengths(first), "lengths")
     plan = kept(sa.subset_plan(sizes, config), "plan")
     windows = kept(sa.subset_windows(plan, seed), "windows")
-    spectra = kept(subset_spectra(samples, windows, plan, families), "spectra")
+    clean = kept(subset_rows(first, windows, families, points, seed), "denoised_subsets")
+    rows = kept(subset_fluctuations(clean, windows, plan, families), "fluctuations")
+    spectra = kept(fl.spectrum(rows, SUBSET), "spectra")
     results = kept(subset_results(spectra, windows), "results")
     summary = kept(su.dataset_summary(results, config), "summary")
     profile = kept(su.spectrum_profile(spectra), "profile")
@@ -140,13 +204,21 @@ def run(
 
     least = F.coalesce(F.col("tci_min_len"), F.lit(0))
     if tci_samples is None:
-        tci_samples = denoise(samples, ("series_id",), recipes(families))
+        tci_samples = index_series(samples, families)
+    # only series with a measured subset take part
+    measured = results.filter(F.col("d_f").isNotNull()).select("series_id").distinct()
     long_enough = sizes.join(config.select("family", "tci_min_len"), "family").filter(F.col("n") >= least)
-    tci_samples = tci_samples.join(long_enough.select("series_id"), "series_id", "left_semi")
-    whole = kept(co.whole_spectra(tci_samples), "whole_spectra")
-    tci_packed, mci_packed = index_spectra(whole, spectra, seed)
+    long_enough = long_enough.select("series_id").join(measured, "series_id", "left_semi")
+    tci_samples = kept(tci_samples.join(long_enough, "series_id", "left_semi"), "tci_samples")
+    channels = samples if "channel" in samples.columns else samples.withColumn("channel", F.lit(0))
+    matrix = kept(measurement_channels(channels, recipes(families)), "measurements")
+    catalog = samples.select("series_id").distinct() if catalog is None else catalog.select("series_id")
+    kept(ex.load_meta(channels, catalog, plan.select("series_id", "n_subsets"), tci_samples, matrix), "load_meta")
+    whole = kept(co.whole_spectra(tci_samples, head), "whole_spectra")
+    tci_packed, mci_packed = index_spectra(whole, spectra, windows, seed)
     tci_packed, mci_packed = kept(tci_packed, "tci_spectra"), kept(mci_packed, "mci_spectra")
     pairs = kept(compute_pairs(tci_packed, mci_packed), "pairs")
+    kept(ex.index_diagnostics(whole, pairs.filter(F.col("index") == "TCI")), "index_diagnostics")
     raw = kept(compute_indices(tci_packed, mci_packed), "indices_raw")
     indices = kept(co.assemble(raw), "indices")
     spread = co.fold_spread(indices)
@@ -154,6 +226,6 @@ def run(
     draws = co.blend(co.bootstrap_draws(indices.select("fold", "tci", "mci")))
     ex.write_json(ex.index_document(indices, draws, spread), f"{base}/index_json")
     ex.write_json(ex.dataset_documents(summary, health, results, profile, spectra), f"{base}/dataset_json")
-    ex.write_json(ex.snapshot(tci_samples), f"{base}/snapshot_json")
+    ex.write_json(ex.snapshot(tci_samples, ex.SNAPSHOT), f"{base}/snapshot_json")
     ex.write_json(ex.manifest(config), f"{base}/manifest_json")
     return Run(plan, windows, spectra, results, summary, health, pairs, indices)
