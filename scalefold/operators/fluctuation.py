@@ -25,6 +25,9 @@ MIN_SEGMENTS = 2
 MIN_SCALES = 4
 MIN_Q = 4
 
+# Below this share of the variance a residual is not told from the sums.
+NEARLY_STRAIGHT = 1e-6
+
 # Segments whose powers are summed in one list, and list items worked on in one step.
 CHUNK = 8192
 STEP_VALUES = 1 << 14
@@ -69,27 +72,31 @@ def segment_rms(
 def _line_residuals(cut: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean squared distance from the ridge line of each segment.
 
-    Residuals are taken row by row, as sums alone lose them to cancellation
-    where a segment is nearly straight. A window holds one segment.
+    It follows from variance and covariance, which are combined before the
+    shuffle. Only where a segment is nearly straight would the difference lose
+    its digits: there the residuals are taken row by row.
     """
-    w = Window.partitionBy(*by)
     s = F.col("s").cast("double")
     # x is 0..s-1, so its variance is known; the ridge leaves a share of the mean behind
     ss_x = s * s * (s * s - 1.0) / 12.0
     slope = s * s * F.col("_c") / (ss_x + RIDGE)
     left = F.col("_m") * RIDGE / (ss_x + RIDGE)
-    r = (F.col("value") - F.col("_m")) - slope * (F.col("x") - (s - 1.0) / 2.0) + left
-    return (
-        cut.withColumn("_c", F.covar_pop("x", "value").over(w))
-        .withColumn("_m", F.avg("value").over(w))
-        .groupBy(*by)
-        .agg(
-            F.max("s").alias("s"),
-            F.count("value").alias("_n"),
-            F.var_pop("value").alias("_v"),
-            F.avg(r * r).alias("_r"),
-        )
+    segs = cut.groupBy(*by).agg(
+        F.max("s").alias("s"),
+        F.count("value").alias("_n"),
+        F.var_pop("value").alias("_v"),
+        F.covar_pop("x", "value").alias("_c"),
+        F.avg("value").alias("_m"),
+    )
+    r = F.col("_v") - 2.0 * slope * F.col("_c") + slope * slope * ss_x / (s * s) + left * left
+    segs = segs.withColumns({"_slope": slope, "_left": left, "_r": r})
+    straight = segs.filter(F.col("_r") < NEARLY_STRAIGHT * F.col("_v"))
+    off = (F.col("value") - F.col("_m")) - F.col("_slope") * (F.col("x") - (F.col("s").cast("double") - 1.0) / 2.0) + F.col("_left")
+    exact = (
+        cut.drop("s").join(straight.select(*by, "s", "_m", "_slope", "_left"), list(by))
+        .groupBy(*by).agg(F.avg(off * off).alias("_exact"))
     )
+    return segs.join(exact, list(by), "left").withColumn("_r", F.coalesce("_exact", "_r"))
 
 
 def _kinds(df: DataFrame, *names: str) -> str:
