@@ -153,6 +153,21 @@ def pair_correlations(packed: DataFrame, index: str, block: int = PAIR_BLOCK) ->
     return out.withColumn("index", F.lit(index)).withColumn("abs_corr", F.nanvl("abs_corr", F.lit(None).cast("double")))
 
 
+def defined_pairs(packed: DataFrame, block: int = 4 * PAIR_BLOCK) -> DataFrame:
+    """Number of pairs with a defined correlation each series is in, per fold, without writing the pairs out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, i, j, r, _ = _pairs_of(pdf)
+        ok = np.isfinite(r)
+        n = np.bincount(i[ok], minlength=len(pdf)) + np.bincount(j[ok], minlength=len(pdf))
+        return pd.DataFrame({"fold": pdf["fold"], "series_id": pdf["series_id"], "n_pairs": n.astype("int64")})
+
+    counts = _block_pairs(packed, block).groupBy("fold", "_a", "_b").applyInPandas(
+        run, "fold int, series_id string, n_pairs bigint"
+    )
+    return counts.groupBy("fold", "series_id").agg(F.sum("n_pairs").alias("n_pairs"))
+
+
 def mean_coherence(packed: DataFrame, name: str, block: int = 4 * PAIR_BLOCK, legacy_zero: bool = False) -> DataFrame:
     """C3, C5. Mean |r| over all pairs per fold, without writing the pairs out; NULL if there is none."""
 

@@ -150,14 +150,15 @@ def subset_warnings(results: DataFrame) -> DataFrame:
     )
 
 
-def index_diagnostics(spectra: DataFrame, pairs: DataFrame) -> DataFrame:
-    """K13. Spectrum length and validity per dataset, with the number of defined pairs it is in."""
-    sides = pairs.select(F.explode(F.array("ds_a", "ds_b")).alias("series_id"), "abs_corr")
-    in_pairs = sides.groupBy("series_id").agg(F.count("abs_corr").alias("n_pairs"))
+def index_diagnostics(spectra: DataFrame, in_pairs: DataFrame) -> DataFrame:
+    """K13. Spectrum length and validity per dataset, with the number of defined pairs it is in.
+
+    ``in_pairs(series_id, n_pairs)`` comes from ``coherence.defined_pairs``.
+    """
     return (
         spectra.groupBy("series_id")
         .agg(F.count(F.lit(1)).alias("hq_length"), F.count("h").alias("n_valid"))
-        .join(in_pairs, "series_id", "left")
+        .join(in_pairs.select("series_id", "n_pairs"), "series_id", "left")
         .withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
     )
 

@@ -256,8 +256,7 @@ def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def index_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = land(co.whole_spectra(v.li_flag(spark, sf_dir)), "whole")
-    pairs = co.pair_correlations(co.pack(co.interpolate(whole)), "TCI")
-    return ex.index_diagnostics(whole, pairs)
+    return ex.index_diagnostics(whole, co.defined_pairs(co.pack(co.interpolate(whole))))
 
 
 # --- exports ----------------------------------------------------------------

@@ -218,7 +218,7 @@ def run(
     tci_packed, mci_packed = index_spectra(whole, spectra, windows, seed)
     tci_packed, mci_packed = kept(tci_packed, "tci_spectra"), kept(mci_packed, "mci_spectra")
     pairs = kept(compute_pairs(tci_packed, mci_packed), "pairs")
-    kept(ex.index_diagnostics(whole, pairs.filter(F.col("index") == "TCI")), "index_diagnostics")
+    kept(ex.index_diagnostics(whole, co.defined_pairs(tci_packed.filter("fold = -1"))), "index_diagnostics")
     raw = kept(compute_indices(tci_packed, mci_packed), "indices_raw")
     indices = kept(co.assemble(raw), "indices")
     spread = co.fold_spread(indices)
