@@ -60,69 +60,79 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[lines >= LEAST_LINES])], names=["key"])
 
 
-PLACED = "ref long, id long, start long, lines long, key long, body binary"
+PLACED = "ref long, key long, start int, size int, lines int"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ref, ids = column_bytes(batch, "text"), batch.column("ref"), batch.column("id")
+        texts, ref = column_bytes(batch, "text"), batch.column("ref")
         for i, j in steps(texts):
             doc, start, end, lines, key = _chunks(texts[i:j])
-            many = np.flatnonzero(lines >= LEAST_LINES)
-            doc, start, end, lines, key = (x[many] for x in (doc, start, end, lines, key))
-            at = pa.array(doc + i)
-            bodies = [texts[i + d][s:e] for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist())]
+            many = lines >= LEAST_LINES
+            columns = [x[many].astype(np.int32) for x in (start, end - start, lines)]
             yield pa.RecordBatch.from_arrays(
-                [ref.take(at), ids.take(at), pa.array(start), pa.array(lines.astype(np.int64)), pa.array(key), pa.array(bodies, pa.binary())],
-                names=["ref", "id", "start", "lines", "key", "body"],
+                [ref.take(pa.array(doc[many] + i)), pa.array(key[many]), *(pa.array(x) for x in columns)],
+                names=["ref", "key", "start", "size", "lines"],
             )
 
 
-CUT = "n_lines long, n_removed_lines long, n_removed_chunks long, kept string, kept_sha256 string"
+CUT = "ref long, n_removed_lines long, n_removed_chunks long, kept_sha256 string, removed array<struct<start int, end int>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the chunks in ``gone`` and the line ends behind them."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(4)]
         for text, gone in zip(column_bytes(batch, "text"), batch.column("gone").to_pylist()):
-            kept, at = [], 0
-            for g in sorted(gone or (), key=lambda g: g["start"]):
+            kept, at, removed = [], 0, []
+            for g in sorted(gone, key=lambda g: g["start"]):
                 kept.append(text[at : g["start"]])
                 at = g["start"] + g["size"]
                 at += text[at : at + 1] == b"\n"
+                removed.append({"start": g["start"], "end": at})
             left = b"".join([*kept, text[at:]])
-            lines = sum(1 for x in text.split(b"\n") if x)
-            for into, v in zip(out, (lines, sum(g["lines"] for g in gone or ()), len(gone or ()), left.decode("utf-8", "replace"), hashlib.sha256(left).hexdigest())):
+            values = (sum(g["lines"] for g in gone), len(gone), hashlib.sha256(left).hexdigest(), removed)
+            for into, v in zip(out, values):
                 into.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["_id", *(f.split()[0] for f in CUT.split(", "))]
-        )
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        names = ["ref", "n_removed_lines", "n_removed_chunks", "kept_sha256", "removed"]
+        yield pa.RecordBatch.from_arrays([batch.column("ref"), *(pa.array(v, k) for v, k in zip(out, kinds))], names=names)
 
 
 def remove_repeated_chunks(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(<id>, n_lines, n_removed_lines, n_removed_chunks, kept, kept_sha256)`` for every row.
+    """``(<id>, n_lines, n_removed_lines, n_removed_chunks, kept_sha256, removed)`` for every row.
 
     Of equal chunks of at least LEAST_LINES lines the first stays: that of the least id (null first), then of the
-    least place; ``kept`` is the text without the others and the line ends behind them. Lines are cut at ``\\n``; blank
-    ones are not counted. Null texts are empty. Rows equal in id and text are one document
-    that is listed as often; a text that repeats under another id loses all its chunks of that size. Empty tables give
-    empty results; other columns are not read.
+    least place. ``removed`` are the byte ranges of the others with the line ends behind them, ``kept_sha256`` is of
+    the bytes left. Lines are cut at ``\\n``; blank ones are not counted. Null texts are empty. Rows equal in id
+    and text are one document that is listed as often; a text that repeats under another id loses all its chunks of
+    that size. Empty tables give empty results; other columns are not read.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = documents.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).alias("_id"), whole.alias("text"))
     named = named.withColumn("ref", F.xxhash64("id", "text"))
     again = named.select("text").mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n"))
     again = land(again.filter("n > 1").select("key"), "keys")
-    placed = named.select("ref", "id", "text").mapInArrow(_placed, PLACED)
-    # candidates with their bytes: copies of a row collapse, and equality below is that of the bytes
-    chunks = land(placed.join(again, "key"), "chunks")
+    # places without text are sorted out first; then texts that have any are read with them, once
+    marks = named.select("ref", "text").mapInArrow(_placed, PLACED).join(again, "key").groupBy("ref")
+    marks = marks.agg(F.collect_set(F.struct("key", "start", "size", "lines")).alias("chunks"))
+    marked = named.select("ref", "id", F.col("text").cast("binary").alias("text")).join(marks, "ref")
+    marked = land(marked.dropDuplicates(["ref"]), "marked")
+    chunks = marked.select("ref", "id", "text", F.explode("chunks").alias("c")).select(
+        "ref", "id", "c.*", F.expr("substring(text, c.start + 1, c.size)").alias("body")
+    )
+    # equal keys are not enough: chunks are equal when their bytes are
     place = F.struct("id", "ref", "start")
     firsts = chunks.groupBy("key", "body").agg(F.min(place).alias("first"))
     gone = chunks.join(firsts, ["key", "body"]).filter(~place.eqNullSafe(F.col("first")))
-    gone = gone.groupBy("ref").agg(
-        F.collect_set(F.struct("start", F.length("body").cast("long").alias("size"), "lines")).alias("gone")
+    gone = gone.groupBy("ref").agg(F.collect_list(F.struct("start", "size", "lines")).alias("gone"))
+    cut = marked.select("ref", "text").join(gone, "ref").mapInArrow(_cut, CUT)
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long")
+    base = named.select("_id", "ref", n_lines.alias("n_lines"), F.sha2("text", 256).alias("_sha"))
+    zero = F.lit(0).cast("long")
+    return base.join(cut, "ref", "left").select(
+        F.col("_id").alias(id_col), "n_lines", F.coalesce("n_removed_lines", zero).alias("n_removed_lines"),
+        F.coalesce("n_removed_chunks", zero).alias("n_removed_chunks"),
+        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
+        F.coalesce("removed", F.array().cast("array<struct<start int, end int>>")).alias("removed"),
     )
-    return named.select("_id", "ref", "text").join(gone, "ref", "left").mapInArrow(
-        _cut, f"_id {documents.schema[id_col].dataType.simpleString()}, {CUT}"
-    ).withColumnRenamed("_id", id_col)
