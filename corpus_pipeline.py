@@ -54,7 +54,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as files of token ids, one row for every document read back from them."""
     path = f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
     binary.write_ids(docs, path, q.tokenizer_file(), q.END_ID)
-    return binary.ids_crc32(binary.read_ids(spark, path))
+    return binary.read_checksums(spark, path)
 
 
 STAGES = [

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import LOWER, column_bytes, steps
+from scalefold.llm.text import LOWER, column_bytes, steps, tidied
 
 #: With this many ids the added-up counts of a block stay below 2**16.
 BLOCK_IDS = 2048
 #: Blocks coded side by side.
-LANES = 3072
+LANES = 2048
 FRAME_IDS = BLOCK_IDS * LANES
 # Counts are kept as upper bounds: seeing a symbol raises its own and all later ones, more in a longer context.
 _ROW = np.dtype("V32")  # 16 bounds as one item: rows are then fetched and stored whole
@@ -109,7 +109,7 @@ def _encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     length = _lengths(len(ids))
     lanes = len(length)
     # all blocks are full but the last, so the lanes still at work are always the first ones
-    grid = np.zeros(lanes * BLOCK_IDS, np.int64)
+    grid = np.zeros(lanes * BLOCK_IDS, np.uint16)
     grid[: len(ids)] = ids
     grid = grid.reshape(lanes, BLOCK_IDS)
     model = _Model(lanes)
@@ -124,7 +124,7 @@ def _encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
 
     for t in range(int(length[0])):
         live = lanes if length[-1] > t else lanes - 1
-        symbols = grid[:live, t]
+        symbols = grid[:live, t].astype(np.int64)
         for nibble in range(4):
             prefix, symbol = symbols >> (16 - 4 * nibble), symbols >> (12 - 4 * nibble) & 15
             cumulated = model.cumulated(live, nibble, prefix)
@@ -146,7 +146,7 @@ def _encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
 def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of coded blocks; a block whose checksum differs raises ``ValueError``."""
     parts = [_decode(blocks[at : at + LANES]) for at in range(0, len(blocks), LANES)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
 def _decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -155,14 +155,15 @@ def _decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     lanes = len(blocks)
     model = _Model(lanes)
     width = max(len(b[2]) for b in blocks) // 2 + 4
-    code_in = np.zeros((lanes, width), np.uint64)
+    code_in = np.zeros((lanes, width), np.uint16)
     for k, i in enumerate(order):
         units = np.frombuffer(blocks[i][2], "<u2")
         code_in[k, : len(units)] = units
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, _LOW)
-    code = code_in[:, 0] << np.uint64(32) | code_in[:, 1] << _UNIT | code_in[:, 2]
+    first = code_in[:, :3].astype(np.uint64)
+    code = first[:, 0] << np.uint64(32) | first[:, 1] << _UNIT | first[:, 2]
     used = np.full(lanes, 3)
-    grid = np.zeros((lanes, BLOCK_IDS), np.int64)
+    grid = np.zeros((lanes, BLOCK_IDS), np.uint16)
     for t in range(int(length[0])):
         live = int(np.searchsorted(-length, -t, side="left"))
         symbols = np.zeros(live, np.int64)
@@ -183,7 +184,7 @@ def _decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
             symbols = symbols << 4 | symbol
         grid[:live, t] = symbols
         model.follow(live, symbols)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
     for k, i in enumerate(order):
         out[i] = grid[k, : length[k]]
         if zlib.crc32(out[i].astype("<u4").tobytes()) != blocks[i][1]:
@@ -198,7 +199,7 @@ class _Tokens:
 
     MARKS = b".,;:!?"
 
-    def __init__(self, model: str, keep: int = 1 << 20):
+    def __init__(self, model: str, keep: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
@@ -215,8 +216,10 @@ class _Tokens:
     def __call__(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Little-endian 16-bit ids of each text and the end id."""
         texts = [t.split() for t in texts]
-        if len(self.pieces) + len(self.units) > self.keep:
-            self.pieces, self.units = {}, {b"": b""}
+        if len(self.pieces) > self.keep // 4:
+            self.pieces = {}
+        if len(self.units) > self.keep:
+            self.units = {b"": b""}
         split = {}
         for piece in {p for some in texts for p in some}.difference(self.pieces):
             if b"<|" in piece:  # a special token's name is taken as it is written
@@ -256,7 +259,7 @@ def write_ids(documents: DataFrame, path: str, model: str, end_id: int, id_col:
         total = 0
 
         def row() -> pa.RecordBatch:
-            blocks = encode(np.frombuffer(b"".join(held), "<u2").astype(np.int64))
+            blocks = encode(np.frombuffer(b"".join(held), "<u2"))
             values = [part, frame, total, docs, sizes, *([b[k] for b in blocks] for k in range(3))]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
                      pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
@@ -265,7 +268,7 @@ def write_ids(documents: DataFrame, path: str, model: str, end_id: int, id_col:
 
         for batch in batches:
             texts, ids = column_bytes(batch, "text"), batch.column("doc_id").to_pylist()
-            for i, j in steps(texts):
+            for i, j in steps(texts, 1 << 20):
                 for doc, own in zip(ids[i:j], tokens(texts[i:j], end_id)):
                     n = len(own) // 2
                     if docs and total + n > FRAME_IDS:
@@ -278,11 +281,11 @@ def write_ids(documents: DataFrame, path: str, model: str, end_id: int, id_col:
         if docs:
             yield row()
 
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(code, FRAME).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidied(code), FRAME).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` of every document in the files; ``start`` counts the ids before it."""
+def _frames(spark: SparkSession, path: str) -> DataFrame:
+    """The frames in ``path``, each with the number of ids before it."""
     frames = spark.read.schema(FRAME).parquet(path)
     parts = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a written file
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -290,35 +293,44 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     earlier = W.partitionBy("part").orderBy("frame").rowsBetween(W.unboundedPreceding, -1)
     starts = frames.select("part", "frame", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("frame_start"))
     starts = starts.join(parts, "part").select("part", "frame", (F.col("part_start") + F.col("frame_start")).alias("start"))
+    return frames.join(starts, ["part", "frame"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per frame: ids of its documents, ids before each, ids of each, and all token ids."""
+    for batch in batches:
+        columns = [batch.column(c) for c in ("start", "doc_id", "n_tokens", "block_ids", "block_crc", "block_code")]
+        for k in range(batch.num_rows):
+            start, docs, sizes, *blocks = (c[k].as_py() for c in columns)
+            sizes = np.array(sizes, np.int64)
+            yield docs, start + np.cumsum(sizes) - sizes, sizes, decode(list(zip(*blocks)))
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids)`` of every document in the files; ``start`` counts the ids before it."""
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c) for c in ("start", "doc_id", "n_tokens", "block_ids", "block_crc", "block_code")]
-            for k in range(batch.num_rows):
-                start, docs, sizes, *blocks = (c[k].as_py() for c in columns)
-                ids = decode(list(zip(*blocks))).astype(np.int32)
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+        for docs, start, sizes, ids in _opened(batches):
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(start), pa.array(sizes),
+                 pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))],
+                names=["doc_id", "start", "n_tokens", "ids"],
+            )
 
-    wide = frames.join(starts, ["part", "frame"])
-    return wide.mapInArrow(open_, "doc_id long, start long, n_tokens long, ids array<int>")
+    return _frames(spark, path).mapInArrow(tidied(open_), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
-def ids_crc32(read: DataFrame) -> DataFrame:
-    """The rows of ``read_ids`` with the crc32 of the ids as little-endian unsigned 32-bit integers in place of them."""
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_ids``, with the crc32 of the ids as little-endian unsigned 32-bit integers in place of them."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, at = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
-            crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1], at[1:])]
+        for docs, start, sizes, ids in _opened(batches):
+            ends = np.cumsum(sizes).tolist()
+            crc = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, sizes.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())],
+                [pa.array(docs, pa.int64()), pa.array(start), pa.array(sizes), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return read.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _frames(spark, path).mapInArrow(tidied(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

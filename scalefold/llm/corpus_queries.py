@@ -93,4 +93,4 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{run_dir(spark)}/ids-{uuid.uuid4().hex}"
     binary.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file(), END_ID)
-    return binary.ids_crc32(binary.read_ids(spark, path))
+    return binary.read_checksums(spark, path)

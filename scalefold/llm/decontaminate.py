@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import LETTERS_DIGITS, LOWER, Words, column_bytes, ragged, shipped, steps, words_of
+from scalefold.llm.text import LETTERS_DIGITS, LOWER, Words, column_bytes, ragged, shipped, steps, tidied, words_of
 from scalefold.session import land
 
 WINDOW = 10
 #: Benchmark text sent to the tasks in one pass.
 BLOCK_BYTES = 16 << 20
 #: Text under one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 @dataclass
@@ -201,7 +201,7 @@ def _pass(documents: DataFrame, keep: list[str], block: list, window: int) -> Da
             )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*keep).schema)
-    return documents.mapInArrow(look_up, kinds + FOUND)
+    return documents.mapInArrow(tidied(look_up), kinds + FOUND)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

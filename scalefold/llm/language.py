@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import column_bytes, shipped, steps
+from scalefold.llm.text import column_bytes, shipped, steps, tidied
 
 TRIGRAMS = 1 << 16
 #: Log-likelihood given up for each change of language within a text.
@@ -23,6 +23,9 @@ SWITCH = 12.0
 #: A language may use a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
+#: Text whose paths are searched side by side.
+BATCH_BYTES = 4 << 20
+_STEP = 1 << 20
 
 # Script by the first byte of a letter: Latin, Greek, Cyrillic, Hebrew, Arabic, Indic and others, kana, Han, Hangul.
 SCRIPTS = 9
@@ -86,7 +89,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = column_bytes(batch, "text"), np.array(batch.column("lang").to_pylist(), object)
-            for i, j in steps(texts):
+            for i, j in steps(texts, _STEP):
                 trigram, fresh, length, _, doc, script = _units(_lowered(texts[i:j]))
                 names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
                 letter, word = np.repeat(code[doc], length), code[doc]
@@ -103,7 +106,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             )
 
     known = documents.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    parts = known.mapInArrow(count, "lang string, feature int, n long")
+    parts = known.mapInArrow(tidied(count), "lang string, feature int, n long")
     rows = parts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows.lang.unique())
     counts = np.zeros((TRIGRAMS + SCRIPTS, len(languages)))
@@ -148,7 +151,7 @@ def _viterbi(score: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndar
 def _labelled(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts, letters and languages of all words of a batch."""
     scores, docs, counts = [], [], []
-    for i, j in steps(texts):
+    for i, j in steps(texts, _STEP):
         trigram, fresh, _, letters, doc, script = _units(_lowered(texts[i:j]))
         if len(fresh):
             by = [np.add.reduceat(row[trigram], fresh) for row in model.trigram]
@@ -183,21 +186,21 @@ def identify(documents: DataFrame, model: Model, text: str = "text", carry: list
             none = [not any(c.isalpha() for c in t.decode("utf-8", "replace")) for t in texts]
             texts = [b"" if x else t for t, x in zip(texts, none)]
             pred, share, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
-            if n_lang:
-                doc, letters, word = _labelled(model, texts)
-                letters = np.bincount(doc * n_lang + word, letters, minlength=len(texts) * n_lang).reshape(-1, n_lang)
+            for i, j in steps(texts, BATCH_BYTES) if n_lang else ():
+                doc, letters, word = _labelled(model, texts[i:j])
+                letters = np.bincount(doc * n_lang + word, letters, minlength=(j - i) * n_lang).reshape(-1, n_lang)
                 total = letters.sum(axis=1)
-                for i in np.flatnonzero(total):
-                    pred[i] = model.languages[int(letters[i].argmax())]
-                    share[i] = letters[i].max() / total[i]
+                for k in np.flatnonzero(total):
+                    pred[i + k] = model.languages[int(letters[k].argmax())]
+                    share[i + k] = letters[k].max() / total[k]
                 turn = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
                 for at, many in zip(turn, np.diff(np.append(turn, len(doc)))):
-                    name = f"{model.languages[word[at]]}:{many}"
-                    spans[doc[at]] += f" {name}" if spans[doc[at]] else name
+                    name, k = f"{model.languages[word[at]]}:{many}", i + doc[at]
+                    spans[k] += f" {name}" if spans[k] else name
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(share), pa.array(spans, pa.string())],
                 names=[*keep, "lang_pred", "lang_score", "lang_spans"],
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(label, f"{kinds}, lang_pred string, lang_score double, lang_spans string")
+    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(tidied(label), f"{kinds}, lang_pred string, lang_score double, lang_spans string")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scalefold.llm.graph import components
-from scalefold.llm.text import LOWER, column_bytes
+from scalefold.llm.text import LOWER, column_bytes, tidied
 from scalefold.session import land
 
 BYTES = 8
@@ -61,7 +61,7 @@ def fingerprints(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), fp], names=[*keep, "fp"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*keep).schema)
-    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(mark, f"{kinds}fp long")
+    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(tidied(mark), f"{kinds}fp long")
 
 
 def _forest(left: np.ndarray, right: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
@@ -132,7 +132,7 @@ def links(distinct_fp: DataFrame, most: int = 4) -> DataFrame:
             pairs = np.array(sorted(found), np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return groups.mapInArrow(match, "a long, b long").distinct()
+    return groups.mapInArrow(tidied(match), "a long, b long").distinct()
 
 
 def near_duplicates(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
@@ -75,6 +77,24 @@ def shipped(spark: SparkSession, value: object) -> Callable[[], Any]:
     return lambda: cloudpickle.loads(held.value)
 
 
+def tidied(make: Callable) -> Callable:
+    """A task function that gives the memory it no longer needs back to the system when it ends.
+
+    Workers live on from task to task; what the allocator keeps would count against the next stage.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    return run
+
+
 class Words(NamedTuple):
     """Words of several texts, in order: the text each is from, its bytes' place in ``data``, a 64-bit key."""
 
