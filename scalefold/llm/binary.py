@@ -194,10 +194,13 @@ def _decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
 
 class _Tokens:
     """Ids of texts. White space ends every word of the vocabulary and is dropped, so a text is cut at
-    ASCII white space. Case does not count and closing marks are words of their own, so the tokenizer
-    sees each word once, lower-cased and without them."""
+    ASCII white space. Case does not count and closing marks right behind a letter or digit are words of
+    their own, so the tokenizer sees each such word once, lower-cased and without them. Behind any other
+    sign marks belong to that sign's word: those pieces are encoded as they are. Only ASCII letters and digits
+    count here; lower-casing another letter may leave a combining sign behind it."""
 
     MARKS = b".,;:!?"
+    CLOSED = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, model: str, keep: int = 1 << 19):
         from tokenizers import Tokenizer
@@ -227,6 +230,8 @@ class _Tokens:
             else:
                 word = piece.translate(LOWER)
                 core = word.rstrip(self.MARKS)
+                if core and core[-1] not in self.CLOSED:
+                    core = word
                 split[piece] = core, word[len(core) :]
         self._encode({u for both in split.values() for u in both})
         for piece, (core, marks) in split.items():

@@ -122,6 +122,18 @@ def test_token_files(spark, tmp_path, monkeypatch, frame_ids):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_token_ids_of_marks_behind_other_signs():
+    """Every sign and letter before every run of closing marks, against the encoding of the whole text."""
+    last = [*"abz019)]}\"'%-*/+=_<>|~^&#@$§€…»”’²½éßñ日語٣İΣ", "e\u0301", "\u00a0", "'s", "<|endoftext|>", "<|"]
+    marks = [".", ",", "!!", "?!", "...", ".,;:!?", ":'s", ".)", ""]
+    texts = [f"Foo{x}{m} x{x}{m}\n{x}{m} y" for x in last for m in marks]
+    texts += ['(see foo). He said "foo", 50%. The dogs\'. x-!', "!! foo!!! ). \". %. '."]
+    model = Tokenizer.from_file(cq.tokenizer_file())
+    got = binary._Tokens(cq.tokenizer_file())([t.encode() for t in texts], 2)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u2").tolist() == [*model.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     binary.write_ids(frame(spark, []), str(tmp_path / "ids"), cq.tokenizer_file(), 2)
     assert binary.read_ids(spark, str(tmp_path / "ids")).count() == 0
