@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scalefold.operators.grids import WHOLE_COUNT, WHOLE_FROM
 from scalefold.operators.sampling import SEED
 
 Q_ROWS = "(select k::int as q_pos, (k - 40) / 5.0::double as q from range(81) t(k))"
@@ -177,19 +178,12 @@ def pair_ctes(c: Chain, src: str, out: str) -> Chain:
         group by a.fold, a.series_id, b.series_id)""")
 
 
-WHOLE_TOPS = 4_096
-
-
 def whole_grid_sql(src: str) -> str:
-    """Scales of every series of ``src`` by its length, listed from the grid rule.
-
-    The list reaches to series of 8 * WHOLE_TOPS samples; a longer one finds no grid here.
-    """
-    from scalefold.operators.grids import whole_scales
-
-    rows = ", ".join(list_sql(whole_scales(8 * top)) for top in range(1, WHOLE_TOPS + 1))
+    """Scales of every series of ``src`` by its length: the rule of ``whole_scales``, step by step, for any length."""
+    first, last = f"log10({WHOLE_FROM}::double)", "log10((n // 8)::double)"
+    exponent = f"case when k = {WHOLE_COUNT - 1} then {last} else k * (({last} - {first}) / {WHOLE_COUNT - 1}) + {first} end"
     return f"""select series_id, unnest(range(len(sc)))::int as scale_pos, unnest(sc) as s from (
-        select series_id, ([{rows}])[(n // 8)::int] as sc from
+        select series_id, [x for x in [floor(pow(10, {exponent}))::int for k in range({WHOLE_COUNT})] if x > 4] as sc from
         (select series_id, count(*) as n from {src} group by series_id having count(*) >= 50))"""
 
 
