@@ -17,5 +17,5 @@ def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    out = lines.remove_repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "kept_sha256")

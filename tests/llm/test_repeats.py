@@ -107,6 +107,48 @@ def test_line_chunks(spark):
     assert lines.remove_repeated_chunks(frame(spark, [])).count() == 0
 
 
+def plain_passages(rows):
+    """Brute force: every pair of neighbouring lines against every earlier one."""
+    cuts, first = {}, {}
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        spans = [m.span() for m in re.finditer(rb"[^\n]+", text)]
+        body = [text[s:e] for s, e in spans]
+        gone = set()
+        for i in range(len(body) - 1):
+            there, k = first.setdefault((body[i], body[i + 1]), ((doc, text), i))
+            if there != (doc, text) or i - k >= 2:
+                gone |= {i, i + 1}
+        removed = []
+        for i in sorted(gone):
+            if i - 1 in gone:
+                removed[-1][1] = spans[i][1]
+            else:
+                removed.append(list(spans[i]))
+        removed = [(s, e + (text[e : e + 1] == b"\n")) for s, e in removed]
+        kept = b"".join(text[e:s] for (_, e), (s, _) in zip([(0, 0), *removed], [*removed, (len(text), 0)]))
+        cuts[doc, text] = (len(body), len(gone), len(removed), hashlib.sha256(kept).hexdigest(), removed)
+    return [(doc, *cuts[doc, text]) for doc, text in rows]
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_line_passages(spark, bits):
+    """Every repeated run of two or more lines, also where unequal lines share a key."""
+    rng = random.Random(4)
+    common = [words(rng, 6) for _ in range(12)]
+    rows = [r[:2] for r in documents() if r[0] is not None]
+    for i in range(30):
+        own = [words(rng, 5) for _ in range(rng.randrange(6))]
+        begin = rng.randrange(10)
+        rows.append((2000 + i, "\n".join([*own, *common[begin : begin + 2 + i % 5], "", *own[:2]])))
+    rows += [(3000, "a\na\na"), (3001, "b\nb\nb\nb\nb"), (3002, "c\nd\nc\nd\n\nc\nd\n"), (3003, "x\n\n\ny\n"), (3004, "x\ny"), (3005, "y\nx"), (None, "p\nq"), (3006, "p\nq")]
+    want = plain_passages([(doc, (text or "").encode()) for doc, text in rows])
+    assert sum(w[3] for w in want) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(*r[:5], [tuple(x) for x in r.removed]) for r in lines.remove_repeated_passages(docs, bits=bits).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert lines.remove_repeated_passages(docs.limit(0)).count() == 0
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
