@@ -25,8 +25,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter are rejected; all others have a language."""
+    """Documents without any letter are rejected; all others have a language, if any was learned."""
     model = language.fit(docs)
+    if not model.languages:
+        return language.lettered(docs)
     return language.identify(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
 
 

@@ -165,6 +165,20 @@ def _labelled(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     return doc, letters, _viterbi(score, fresh, np.diff(np.append(fresh, len(doc))))
 
 
+def _has_letter(text: bytes) -> bool:
+    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
+
+
+def lettered(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter; ``identify`` gives all others ``und``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_has_letter(t) for t in column_bytes(batch, text)], pa.bool_()))
+
+    return documents.mapInArrow(tidied(keep), documents.schema)
+
+
 def identify(documents: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row with ``lang_pred``, ``lang_score`` and ``lang_spans``.
 
@@ -183,7 +197,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text", carry: list
         n_lang = len(model.languages)
         for batch in batches:
             texts = column_bytes(batch, "_text")
-            none = [not any(c.isalpha() for c in t.decode("utf-8", "replace")) for t in texts]
+            none = [not _has_letter(t) for t in texts]
             texts = [b"" if x else t for t, x in zip(texts, none)]
             pred, share, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
             for i, j in steps(texts, BATCH_BYTES) if n_lang else ():

@@ -183,6 +183,12 @@ def test_stages(spark):
     same_rows(five, plain_ids([(r.doc_id, r.text) for r in rows], cq.END_ID))
 
 
+def test_language_stage_without_any_language(spark):
+    rows = [(1, "abc 1", None, "s", 5), (2, "123 456", None, "s", 7), (3, None, None, None, None), (4, "日本", None, None, 2), (None, "x", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    same_rows(cp.language_id(spark, docs, ""), [rows[0], rows[3], rows[4]])
+
+
 def test_near_dedup_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e", "en", "s", 1), (1, "a b c d e", "en", "s", 1), (2, "a b c d e", "en", "s", 1),
             (None, "q r s t", None, None, 0), (None, "x y z", None, None, 0), (1, "k l m n o p", "en", "s", 2)]
