@@ -44,10 +44,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    rows = land(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    """Every document as many times as the mix takes it. Its own values decide the draw; ``_row`` only joins copies back."""
+    drawn = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))
+    rows = land(docs.withColumns({"_row": F.monotonically_increasing_id(), "_drawn": drawn}), "rows")
     weights = mixing.cycled_weights(rows, "source", q.MIX_CYCLE)
-    copies = mixing.mix(rows, weights, id_col="_row", cap=q.MIX_CAP, carry=["_row"]).select("_row", "copies")
+    copies = mixing.mix(rows, weights, id_col="_drawn", cap=q.MIX_CAP, carry=["_row"]).select("_row", "copies")
     taken = rows.join(copies.filter("copies > 0"), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -183,6 +184,13 @@ def test_stages(spark):
     same_rows(five, plain_ids([(r.doc_id, r.text) for r in rows], cq.END_ID))
 
 
+def test_mix_stage_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"w{i} b c" if i % 3 else f"w{i} b", "en", f"src{i % 3}", 5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [Counter(cp.source_mix(spark, d, "").collect()) for d in (docs.coalesce(1), docs.repartition(6).orderBy(F.desc("doc_id")))]
+    assert runs[0] == runs[1] and len(set(runs[0].values())) > 1
+
+
 def test_language_stage_without_any_language(spark):
     rows = [(1, "abc 1", None, "s", 5), (2, "123 456", None, "s", 7), (3, None, None, None, None), (4, "日本", None, None, 2), (None, "x", None, "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
