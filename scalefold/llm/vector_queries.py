@@ -22,13 +22,13 @@ LOW, HIGH = 80, 100
 @register(
     f"""
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor({SCALE} * cast(x as double)) as bigint)) as w
+  select vec_id, [cast(floor({SCALE} * cast(x as double)) as bigint) for x in embedding] as w
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id,
-         cast(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) as bigint) as score
+         cast(list_sum([z[1] * z[2] for z in list_zip(q.w, c.w)]) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.w) = len(c.w) where q.vec_id % {QUERY_EVERY} = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= {BEST}
@@ -43,16 +43,16 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 with v as (
   select vec_id, case when vec_id % {SHIFT_EVERY} = 0 then (label + 1) % {LABELS} else label end as label,
-         list_transform(embedding, x -> cast(floor({NEGATIVE_SCALE} * cast(x as double)) as bigint)) as w
+         [cast(floor({NEGATIVE_SCALE} * cast(x as double)) as bigint) for x in embedding] as w
   from embeddings
   where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 a as (
   select *, row_number() over () as n
   from (select distinct vec_id as anchor_id, label as own_label, w as own_w from v where vec_id % {ANCHOR_EVERY} = 0)),
 s as (
   select a.n, a.anchor_id, a.own_label, c.vec_id, c.label,
-         cast(list_sum(list_transform(list_zip(a.own_w, c.w), p -> p[1] * p[2])) as bigint) as score
+         cast(list_sum([z[1] * z[2] for z in list_zip(a.own_w, c.w)]) as bigint) as score
   from a join v c on a.anchor_id <> c.vec_id and len(a.own_w) = len(c.w)),
 p as (
   select *, row_number() over (partition by n order by score desc, vec_id) as r
