@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from scalefold.llm import (  # noqa: F401
+    conversation_queries,
     corpus_queries,
     label_queries,
     lm_queries,
