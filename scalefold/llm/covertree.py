@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,13 +25,13 @@ from scalefold.llm.text import shipped
 from scalefold.session import land
 
 #: Rows of a tree, rows of a leaf, children of a node.
-SHARD_ROWS, LEAF_ROWS, FAN = 4096, 64, 16
+SHARD_ROWS, LEAF_ROWS, FAN = 4096, 256, 16
 #: Rows the top level is fitted on, and its most cells. Every row is indexed; the sample only places the cells.
 SAMPLE_ROWS, MOST_CELLS = 4096, 256
 #: Searches that meet a tree at once; packs of one task.
 PACK_ROWS, SLICE_PACKS = 512, 64
 #: Leaves a search opens in one step.
-STEP_LEAVES = 4
+STEP_LEAVES = 2
 #: Share of |q| M by which bounds are widened: far above what arccos loses.
 SLACK = 1e-6
 LEAST, MOST = -(1 << 62), 1 << 62
@@ -103,17 +103,14 @@ def built(unit: np.ndarray) -> tuple[np.ndarray, list[Node]]:
     return order, nodes
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products of batches (p, 1, d) and (p, l, d) as (p, l); in floating point where that is exact."""
+def exact_kind(a: np.ndarray, b: np.ndarray) -> type:
+    """The smallest type in which inner products of integers are exact."""
     largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[-1]
-    kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else None
-    if kind is None:
-        return (a * b).sum(axis=2)
-    return np.matmul(b.astype(kind), a.astype(kind).transpose(0, 2, 1))[:, :, 0].astype(np.int64)
+    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
 
 
 class Searches(NamedTuple):
-    """What is asked: vectors, own ids and labels, the window of scores, the least score that can still count."""
+    """What is asked: vectors, own ids and labels, and for each one or more windows of scores, as columns."""
 
     vectors: np.ndarray
     own: np.ndarray
@@ -121,6 +118,22 @@ class Searches(NamedTuple):
     low: np.ndarray
     high: np.ndarray
 
+    def within(self, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Where scores between ``least`` and ``most`` (search, node) can lie in a window."""
+        out = np.zeros(least.shape, bool)
+        for low, high in zip(self.low.T, self.high.T):
+            out |= (most >= low[:, None]) & (least <= high[:, None])
+        return out
+
+
+class Found(NamedTuple):
+    """Rows kept: search, window, row, score."""
+
+    search: np.ndarray
+    window: np.ndarray
+    row: np.ndarray
+    score: np.ndarray
+
 
 class CoverTree:
     """Rows of one shard in tree order."""
@@ -150,11 +163,12 @@ class CoverTree:
         slack = SLACK * reach + 1e-6
         return reach * np.cos(np.maximum(to - wide, 0.0)) + slack, reach * np.cos(np.minimum(to + wide, np.pi)) - slack
 
-    def search(self, asked: Searches, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(search, row, score) of the best ``k`` rows of the same or of other labels inside each window."""
-        m = len(asked.own)
-        alive = np.zeros((m, len(self.nodes)), bool)
-        upper = np.full((m, len(self.nodes)), -np.inf)
+    def search(self, asked: Searches, k: int, same: bool) -> Found:
+        """The best ``k`` rows of the same or of other labels inside each window."""
+        m, windows = asked.low.shape
+        alive = np.zeros((m, len(self.centre)), bool)
+        upper = np.full((m, len(self.centre)), -np.inf)
+        label = asked.label[:, None]
         for level in range(int(self.level.max()) + 1):
             nodes = np.flatnonzero(self.level == level)
             open_ = alive[:, self.parent[nodes]] if level else np.ones((m, 1), bool)
@@ -163,54 +177,71 @@ class CoverTree:
             if not len(nodes):
                 break
             high, low = self.bounds(asked, nodes)
-            label = asked.label[:, None]
             if same:
                 fits = (self.label_low[nodes] <= label) & (label <= self.label_high[nodes])
             else:
                 fits = (self.label_low[nodes] != label) | (label != self.label_high[nodes])
-            alive[:, nodes] = open_ & fits & (high >= asked.low[:, None]) & (low <= asked.high[:, None])
+            alive[:, nodes] = open_ & fits & asked.within(low, high)
             upper[:, nodes] = high
         bound = np.where(alive[:, self.leaves], upper[:, self.leaves], -np.inf)
         turn = np.argsort(-bound, axis=1, kind="stable")
         bound = np.take_along_axis(bound, turn, axis=1)
-        best = np.full((m, k), LEAST)
-        row = np.full((m, k), -1)
+        kind = exact_kind(asked.vectors, self.vectors)
+        vectors, rows = asked.vectors.astype(kind), self.vectors.astype(kind)
+        cut, top = asked.low.copy(), asked.high.max(axis=1)
+        kept = Found(*(np.zeros(0, np.int64),) * 4)
         live = np.arange(m)
         for at in range(0, len(self.leaves), STEP_LEAVES):
             # a leaf that ties the worst kept score may hold a smaller id
-            live = live[bound[live, at] >= np.maximum(best[live, -1], asked.low[live])]
+            least = cut.min(axis=1)
+            live = live[bound[live, at] >= least[live]]
             if not len(live):
                 break
-            leaf = turn[live, at : at + STEP_LEAVES]
-            leaf = np.where(bound[live, at : at + STEP_LEAVES] > -np.inf, self.leaves[leaf], -1)
-            best[live], row[live] = self._opened(asked, live, leaf, best[live], row[live], k, same)
-        who, place = np.nonzero(row >= 0)
-        return who, row[who, place], best[who, place]
-
-    def _opened(self, asked, live, leaf, best, row, k, same) -> tuple[np.ndarray, np.ndarray]:
-        at = self.begin[leaf][:, :, None] + np.arange(LEAF_ROWS)
-        real = (leaf >= 0)[:, :, None] & (at < self.end[leaf][:, :, None])
-        at, real = np.where(real, at, 0).reshape(len(live), -1), real.reshape(len(live), -1)
-        self.opened += int(real.sum())
-        score = exact_products(asked.vectors[live][:, None, :], self.vectors[at])
-        label = asked.label[live][:, None]
-        real &= (self.labels[at] == label) == same
-        real &= (self.ids[at] != asked.own[live][:, None])
-        real &= (score >= asked.low[live][:, None]) & (score <= asked.high[live][:, None])
-        score = np.concatenate([best, np.where(real, score, LEAST)], axis=1)
-        at = np.concatenate([row, np.where(real, at, -1)], axis=1)
-        late = np.where(at >= 0, self.late[at], len(self.ids))
-        size = score.shape[1]
-        # only rows that reach the k-th score need sorting
-        kth = np.partition(score, size - k, axis=1)[:, size - k]
-        r, c = np.nonzero((score >= kth[:, None]) & (at >= 0))
-        put = np.lexsort((late[r, c], -score[r, c], r))
-        r, c = r[put], c[put]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c, place = r[place < k], c[place < k], place[place < k]
-        best, row = np.full_like(best, LEAST), np.full_like(row, -1)
-        best[r, place], row[r, place] = score[r, c], at[r, c]
-        return best, row
+            who, place = np.nonzero(bound[live, at : at + STEP_LEAVES] >= least[live, None])
+            who, leaf = live[who], self.leaves[turn[live[who], at + place]]
+            fresh = self._opened(vectors, rows, who, leaf, least, top)
+            kept = self._kept(asked, kept, fresh, cut, k, same)
+            full = np.bincount(kept.search * windows + kept.window, minlength=m * windows).reshape(m, windows) >= k
+            worst = np.full(m * windows, MOST)
+            np.minimum.at(worst, kept.search * windows + kept.window, kept.score)
+            cut = np.where(full, np.maximum(cut, worst.reshape(m, windows)), cut)
+        return kept
+
+    def _opened(self, vectors, rows, who, leaf, least, top) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Searches and leaves multiplied leaf by leaf; what lies between each search's least and top score."""
+        order = np.argsort(leaf, kind="stable")
+        who, leaf = who[order], leaf[order]
+        ends = np.flatnonzero(np.diff(leaf, append=-1)) + 1
+        out = [(np.zeros(0, np.int64),) * 3]
+        for begin, end in zip(np.concatenate([[0], ends[:-1]]), ends):
+            mine, node = who[begin:end], leaf[begin]
+            first, last = self.begin[node], self.end[node]
+            score = vectors[mine] @ rows[first:last].T
+            self.opened += score.size
+            q, r = np.nonzero((score >= _fitted(least[mine], score.dtype)) & (score <= _fitted(top[mine], score.dtype)))
+            out.append((mine[q], first + r, score[q, r].astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _kept(self, asked, kept, fresh, cut, k, same) -> Found:
+        search, row, score = fresh
+        real = ((self.labels[row] == asked.label[search]) == same) & (self.ids[row] != asked.own[search])
+        search, row, score = search[real], row[real], score[real]
+        parts = [kept]
+        for w in range(cut.shape[1]):
+            inside = (score >= cut[search, w]) & (score <= asked.high[search, w])
+            parts.append(Found(search[inside], np.full(int(inside.sum()), w), row[inside], score[inside]))
+        search, window, row, score = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((self.late[row], -score, window, search))
+        search, window, row, score = search[order], window[order], row[order], score[order]
+        group = search * cut.shape[1] + window
+        best = np.arange(len(group)) - np.searchsorted(group, group) < k
+        return Found(search[best], window[best], row[best], score[best])
+
+
+def _fitted(limit: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Limits of scores in their own type; beyond what it holds exactly no score lies."""
+    most = {4: 1 << 24, 8: 1 << 53}[kind.itemsize] if kind.kind == "f" else MOST
+    return np.clip(limit, -most, most).astype(kind)[:, None]
 
 
 class Cells:
@@ -250,23 +281,22 @@ class Cells:
         slack = SLACK * reach + 1e-6
         high = reach * np.cos(np.maximum(to - wide, 0.0)) + slack
         low = reach * np.cos(np.minimum(to + wide, np.pi)) - slack
-        return (high >= asked.low[:, None]) & (low <= asked.high[:, None])
+        return asked.within(low, high)
 
     def floor(self, asked: Searches, k: int, same: bool) -> np.ndarray:
-        """Scores that the k-th best reaches already among the sampled rows: a first lower bound."""
+        """Scores that the k-th best of each window reaches already among the sampled rows: a first lower bound."""
         held = self.sample.get(asked.vectors.shape[1])
         if held is None or len(held[0]) < k:
             return asked.low
         ids, labels, vectors = held
-        largest = float(np.abs(asked.vectors).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
-        if largest >= 1 << 53:
-            return asked.low
-        score = (asked.vectors.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-        fits = ((labels == asked.label[:, None]) == same) & (ids != asked.own[:, None])
-        fits &= (score >= asked.low[:, None]) & (score <= asked.high[:, None])
-        score = np.where(fits, score, LEAST)
-        kth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-        return np.maximum(asked.low, kth)
+        kind = exact_kind(asked.vectors, vectors)
+        score = (asked.vectors.astype(kind) @ vectors.astype(kind).T).astype(np.int64)
+        real = ((labels == asked.label[:, None]) == same) & (ids != asked.own[:, None])
+        out = []
+        for low, high in zip(asked.low.T, asked.high.T):
+            held = np.where(real & (score >= low[:, None]) & (score <= high[:, None]), score, LEAST)
+            out.append(np.maximum(low, np.partition(held, len(ids) - k, axis=1)[:, len(ids) - k]))
+        return np.stack(out, axis=1)
 
 
 def vectors_of(column: pa.Array, rows: np.ndarray) -> np.ndarray:
@@ -283,8 +313,8 @@ def by_dimension(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarra
 
 
 def asked_of(batch: pa.RecordBatch, rows: np.ndarray, vectors: np.ndarray) -> Searches:
-    own, label, low, high = (np.asarray(batch.column(c).take(pa.array(rows)), dtype=np.int64) for c in ("own", "label", "low", "high"))
-    return Searches(vectors, own, label, low, high)
+    own, label = (np.asarray(batch.column(c).take(pa.array(rows)), dtype=np.int64) for c in ("own", "label"))
+    return Searches(vectors, own, label, *(vectors_of(batch.column(c), rows) for c in ("low", "high")))
 
 
 def candidates(vectors: DataFrame, k: int) -> DataFrame:
@@ -340,10 +370,17 @@ class Forest:
         )
         self.trees = land(grouped, "trees")
 
-    def best(self, searches: DataFrame, same: bool, carry: list[str]) -> DataFrame:
-        """``searches(number, own, label, low, high, vec)`` to their best k rows: ``carry``, found id, score, rank."""
+    def best(self, searches: DataFrame, same: bool, windows: int, carry: list[str]) -> DataFrame:
+        """``searches(number, own, label, low, high, vec)`` to their best k rows: ``carry``, window, found id, score, rank.
+
+        ``low`` and ``high`` are lists of ``windows`` scores.
+        """
         k, held = self.k, self.held
-        schema = "number long, own long, label long, low long, high long, vec array<long>"
+        names = ["number", "own", "label", "low", "high", "vec"]
+        schema = "number long, own long, label long, low array<long>, high array<long>, vec array<long>"
+
+        def listed(rows: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
 
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = held()
@@ -360,21 +397,23 @@ class Forest:
                         who = np.arange(len(rows))
                         cell, many = np.full(len(rows), UNPLACED), np.full(len(rows), top.loose)
                     taken = batch.take(pa.array(rows[who]))
-                    columns = [taken.column(c) if c != "low" else pa.array(low[who]) for c in ("number", "own", "label", "low", "high", "vec")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(cell), pa.array(many)], names=["number", "own", "label", "low", "high", "vec", "cell", "many"])
+                    columns = [taken.column(c) if c != "low" else listed(low[who]) for c in names]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(cell), pa.array(many)], names=[*names, "cell", "many"])
 
         packs = F.ceil(F.lit(searches.count()) / PACK_ROWS).cast("long")
         sent = (
-            searches.select("number", "own", "label", "low", "high", "vec")
+            searches.select(*names)
             .mapInArrow(routed, f"{schema}, cell long, many long")
             .filter("many > 0")
             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
             .withColumns({"dim": F.size("vec"), "pack": F.pmod(F.xxhash64("number"), F.greatest(packs, F.lit(1).cast("long")))})
         )
         place = ["dim", "cell", "salt"]
-        asked = sent.groupBy(*place, "pack").agg(
-            *[F.collect_list(c).alias(c) for c in ("number", "own", "label", "low", "high")], F.flatten(F.collect_list("vec")).alias("vec")
-        ).withColumn("slice", F.expr(f"pack div {SLICE_PACKS}"))
+        packed = F.collect_list(F.struct(*names))  # one list, so all columns keep one order
+        asked = sent.groupBy(*place, "pack").agg(packed.alias("asked")).select(
+            *place, "pack", *[F.col(f"asked.{c}").alias(c) for c in ("number", "own", "label")],
+            *[F.flatten(f"asked.{c}").alias(c) for c in ("low", "high", "vec")], F.expr(f"pack div {SLICE_PACKS}").alias("slice"),
+        )
         slices = F.greatest(F.ceil(packs / SLICE_PACKS).cast("long"), F.lit(1).cast("long"))
         trees = self.trees.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
         # a tree goes ahead of the packs that meet it, so each task reads it once
@@ -397,15 +436,16 @@ class Forest:
                         continue
                     if where != here:  # no candidate is there
                         continue
-                    number = longs("number")
-                    asked = Searches(longs("vec").reshape(-1, here[0]), *(longs(c) for c in ("own", "label", "low", "high")))
-                    who, at, score = tree.search(asked, k, same)
+                    limits = (longs(c).reshape(-1, windows) for c in ("low", "high"))
+                    asked = Searches(longs("vec").reshape(-1, here[0]), longs("own"), longs("label"), *limits)
+                    found = tree.search(asked, k, same)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(number[who]), pa.array(tree.ids[at]), pa.array(score)], names=["number", "found", "score"]
+                        [pa.array(longs("number")[found.search]), pa.array(found.window), pa.array(tree.ids[found.row]), pa.array(found.score)],
+                        names=["number", "window", "found", "score"],
                     )
 
-        found = stream.mapInArrow(run, "number long, found long, score long")
-        rank = F.row_number().over(W.partitionBy("number").orderBy(F.desc("score"), "found"))
+        found = stream.mapInArrow(run, "number long, window long, found long, score long")
+        rank = F.row_number().over(W.partitionBy("number", "window").orderBy(F.desc("score"), "found"))
         found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
         return found.join(searches.select("number", *carry), "number")
 
@@ -431,20 +471,27 @@ def hard_negatives(
     forest = Forest(sound(vectors), k)
     asked = sound(anchors).dropDuplicates(["id", "label", "vec"]).select(
         F.monotonically_increasing_id().alias("number"), F.col("id").alias("own"), "label", "vec",
-        F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"),
+        F.array(F.lit(LEAST)).alias("low"), F.array(F.lit(MOST)).alias("high"),
     )
     asked = land(asked, "anchors")
-    positives = forest.best(asked, True, ["own", "label", "vec"])
-    windows = positives.select(
-        F.monotonically_increasing_id().alias("number"), "own", "label", "vec",
-        F.col("found").alias("positive_id"), F.col("score").alias("positive_score"),
-    ).withColumns({  # rounded up and down in whole numbers
-        "low": F.expr(f"({low} * positive_score + pmod(-{low} * positive_score, 100L)) div 100"),
-        "high": F.expr(f"({high} * positive_score - pmod({high} * positive_score, 100L)) div 100"),
-    })
-    windows = land(windows, "windows")
-    negatives = forest.best(windows, False, ["own", "positive_id", "positive_score"])
+    positives = forest.best(asked, True, 1, ["own", "label", "vec"])
+    # one search an anchor, with a window for each of its positives; an anchor with fewer has windows that nothing fits
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "found", "score")))
+    gathered = positives.groupBy("number").agg(F.first("own").alias("own"), F.first("label").alias("label"), F.first("vec").alias("vec"), ranked.alias("positives"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("positives", i)["score"])
+
+    def limits(rule: str, none: int) -> Column:
+        return F.transform(filled, lambda p: F.coalesce(rounded(rule, p), F.lit(none)))
+
+    def rounded(rule: str, p: Column) -> Column:  # up and down in whole numbers
+        if rule == "low":
+            return F.call_function("div", p * low + F.pmod(p * -low, F.lit(100)), F.lit(100))
+        return F.call_function("div", p * high - F.pmod(p * high, F.lit(100)), F.lit(100))
+
+    asked = land(gathered.withColumns({"low": limits("low", MOST), "high": limits("high", LEAST)}), "windows")
+    negatives = forest.best(asked, False, k, ["own", "positives"])
+    positive = F.get("positives", F.col("window").cast("int"))
     return negatives.select(
-        F.col("own").alias("anchor_id"), "positive_id", "rank", F.col("found").alias("negative_id"),
-        "positive_score", F.col("score").alias("negative_score"),
+        F.col("own").alias("anchor_id"), positive["found"].alias("positive_id"), "rank", F.col("found").alias("negative_id"),
+        positive["score"].alias("positive_score"), F.col("score").alias("negative_score"),
     )
