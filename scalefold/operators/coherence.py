@@ -35,8 +35,8 @@ def whole_spectra(samples: DataFrame, head: int | None = None) -> DataFrame:
     ``head`` cuts every series to its first samples before that.
     """
     first = ch.head(samples.select("series_id", "idx", "value"), head)
-    grids = lengths(first, SERIES).filter(F.col("n") >= WHOLE_LEAST).select("series_id", whole_grid("n").alias("scales"))
-    return measure(first.join(grids, "series_id"), SERIES)
+    grids = lengths(first, SERIES).filter(F.col("n") >= WHOLE_LEAST).select("series_id", "n", whole_grid("n").alias("scales"))
+    return measure(first, SERIES, grids=grids)
 
 
 def interpolate(spectra: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:

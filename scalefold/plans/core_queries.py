@@ -31,8 +31,7 @@ def mfdfa_segment_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def mfdfa_fluctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = fl.segment_rms(v.ev_type(spark, sf_dir), SERIES, SCALES)
-    return rounded(fl.fluctuation(segs, SERIES), "f")
+    return rounded(fl.fluctuation(v.ev_type(spark, sf_dir), SERIES, SCALES), "f")
 
 
 @register(
@@ -105,3 +104,38 @@ _VALID = (
 def hq_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = fl.measure(v.li_supp(spark, sf_dir), SERIES, SCALES)
     return rounded(fl.reliable(spec, SERIES), "valid_ratio", "max_rise")
+
+
+def _spectrum_sql(c: o.Chain) -> str:
+    o.spectrum_ctes(o.fluct_ctes(c, "series_id"), "series_id")
+    return c.select(f"select series_id, q_pos, n_scales, {o.r6('h')} as h, {o.r6('alpha')} as alpha from spec")
+
+
+_PROFILE = _type_chain().add(
+    "prof", """select series_id, idx, sum(value - m) over (partition by series_id order by idx rows unbounded preceding) as value
+        from (select *, avg(value) over (partition by series_id) as m from ev_type)"""
+)
+
+
+@register(_spectrum_sql(o.segment_ctes(_PROFILE, "prof", "series_id", SCALES)))
+def mfdfa_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectrum of the running sums of the centred series."""
+    spec = fl.measure(v.ev_type(spark, sf_dir), SERIES, SCALES, profile=True)
+    return rounded(spec.select("series_id", "q_pos", "n_scales", "h", "alpha"), "h", "alpha")
+
+
+_TWO_SIDED = (
+    _type_chain()
+    .add("sized", "select *, count(*) over (partition by series_id) as n from ev_type")
+    .add("cut", f"""select series_id, b.scale_pos, b.s, unnest([idx // b.s, -1 - (n - 1 - idx) // b.s]) as seg, value from sized,
+        (select unnest({o.list_sql(range(len(SCALES)))}) as scale_pos, unnest({o.list_sql(SCALES)}) as s) b""")
+    .add("seg", """select series_id, scale_pos, s, seg, sqrt(var_pop(value) + 1e-12) as rms from cut
+        group by series_id, scale_pos, s, seg having count(value) = s and sqrt(var_pop(value)) >= 1e-10""")
+)
+
+
+@register(_spectrum_sql(_TWO_SIDED))
+def mfdfa_two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectrum with segments counted from both ends of the series."""
+    spec = fl.measure(v.ev_type(spark, sf_dir), SERIES, SCALES, bidirectional=True)
+    return rounded(spec.select("series_id", "q_pos", "n_scales", "h", "alpha"), "h", "alpha")

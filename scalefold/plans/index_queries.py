@@ -10,6 +10,7 @@ from scalefold.operators import channels as ch
 from scalefold.operators import coherence as co
 from scalefold.operators import export as ex
 from scalefold.operators import fluctuation as fl
+from scalefold.operators import packed as pk
 from scalefold.operators import sampling as sa
 from scalefold.operators import summary as su
 from scalefold.operators.denoise import measurement_channels
@@ -18,7 +19,7 @@ from scalefold.plans import oracle as o
 from scalefold.plans import run
 from scalefold.plans import views as v
 from scalefold.plans.registry import SCALES, SERIES, register, rounded
-from scalefold.plans.sampling_queries import LEDGER, ledger, ledger_spectra
+from scalefold.plans.sampling_queries import LEDGER, ledger, ledger_measures
 from scalefold.session import land
 
 EXPECTED = LEDGER.expected_df
@@ -29,8 +30,8 @@ def _supp() -> o.Chain:
 
 
 def _results(spark: SparkSession, df: DataFrame) -> DataFrame:
-    _, windows, spectra = ledger_spectra(spark, df)
-    return run.subset_results(spectra, windows)
+    _, windows, measures = ledger_measures(spark, df)
+    return run.subset_results(measures, windows)
 
 
 # --- summaries --------------------------------------------------------------
@@ -75,7 +76,7 @@ def ztest_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
         {o.r6('h_max')} as h_max, {o.r6('h_width')} as h_width from prof p join width w on p.series_id = w.series_id""")
 )
 def spectrum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = su.spectrum_profile(ledger_spectra(spark, v.li_supp(spark, sf_dir))[2])
+    profile = su.spectrum_profile(pk.spectrum_rows(ledger_measures(spark, v.li_supp(spark, sf_dir))[2]))
     out = profile.join(su.spectrum_width(profile), "series_id")
     return rounded(out, "h_mean", "h_std", "h_min", "h_max", "h_width")
 
@@ -94,10 +95,11 @@ def spectrum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = v.li_supp(spark, sf_dir)
-    plan, windows, spectra = ledger_spectra(spark, samples)
-    # both the results and the profile read the spectra: written once
-    spectra = land(spectra, "spectra")
-    results = run.subset_results(spectra, windows)
+    plan, windows, measures = ledger_measures(spark, samples)
+    # both the results and the profile read the measures: written once
+    measures = land(measures, "measures")
+    spectra = pk.spectrum_rows(measures)
+    results = run.subset_results(measures, windows)
     summary = su.dataset_summary(results, family_config(spark, [LEDGER]))
     errors = ex.errors(results, lengths(samples, SERIES))
     out = su.health(summary, su.spectrum_width(su.spectrum_profile(spectra)), plan, errors)
@@ -173,19 +175,20 @@ def _flag_subsets() -> o.Chain:
     ).select(f"select {o.r6('avg(abs_corr)')} as mci, count(abs_corr) as n_pairs from pairs")
 )
 def mci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spectra = ledger_spectra(spark, v.li_flag(spark, sf_dir))[2]
+    spectra = pk.spectrum_rows(ledger_measures(spark, v.li_flag(spark, sf_dir))[2])
     out = co.mean_coherence(co.pack(co.mean_spectra(spectra)), "mci").select("mci", F.col("mci_pairs").alias("n_pairs"))
     return rounded(out, "mci")
 
 
 def _indices(spark: SparkSession, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Packed spectra of both indices, subset results, and indices with their bootstrap."""
-    _, windows, spectra = ledger_spectra(spark, samples)
-    spectra = land(spectra, "spectra")
+    _, windows, measures = ledger_measures(spark, samples)
+    measures = land(measures, "measures")
+    spectra = pk.spectrum_rows(measures)
     whole = land(co.whole_spectra(samples), "whole")  # read once for the full run and once for the folds
     tci_packed, mci_packed = run.index_spectra(whole, spectra, windows)
     indices = co.assemble(land(run.compute_indices(tci_packed, mci_packed), "indices"))
-    return tci_packed, mci_packed, run.subset_results(spectra, windows), indices
+    return tci_packed, mci_packed, run.subset_results(measures, windows), indices
 
 
 def _index_chain(view: str) -> o.Chain:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from scalefold.config import DISC_RADIUS, FAMILIES, Family, family_config
 from scalefold.operators import channels as ch
 from scalefold.operators import coherence as co
 from scalefold.operators import export as ex
-from scalefold.operators import fluctuation as fl
+from scalefold.operators import packed as pk
 from scalefold.operators import sampling as sa
 from scalefold.operators import summary as su
+from scalefold.operators.arrays import MIN_SEGMENTS
 from scalefold.operators.denoise import denoise, measurement_channels
 from scalefold.operators.grids import LINES_MAX, lines_grid
 from scalefold.operators.indexing import lengths
@@ -42,7 +44,7 @@ def subset_grids(plan: DataFrame, families: list[Family]) -> DataFrame:
         .join(F.broadcast(lines_grid(spark)), "top", "left")  # at most 500 rows
         .withColumn("_all", F.when(F.size("_fixed") > 0, F.col("_fixed")).otherwise(F.col("scales")))
         # a scale without two segments in a subset has no F: it need not multiply the rows
-        .select("series_id", F.filter("_all", lambda s: fl.MIN_SEGMENTS * s <= F.col("size")).alias("scales"))
+        .select("series_id", F.filter("_all", lambda s: MIN_SEGMENTS * s <= F.col("size")).alias("scales"))
     )
 
 
@@ -70,27 +72,55 @@ def subset_rows(
     return denoise(cut, (*SUBSET, "size"), recipes(families), bounded=True)  # size goes with the subset
 
 
-def subset_fluctuations(clean: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family]) -> DataFrame:
-    """M3-M7. F(q, s) of every denoised subset, one row per scale."""
-    scales = fixed_scales(families)
-    if scales is None:
-        by_subset = windows.select(*SUBSET).join(subset_grids(plan, families), "series_id").repartition(*SUBSET)
-        clean = clean.join(by_subset, list(SUBSET))
-    return fl.fluctuation_rows(fl.segment_rms(clean, SUBSET, scales, size="size"), SUBSET, bounded=True)
-
-
 def fixed_scales(families: list[Family]) -> list[int] | None:
     """The scales all families share; None if some go by the length of the series."""
     grids = {tuple(f.scales) for f in families}
     return list(grids.pop()) if len(grids) == 1 and all(grids) else None
 
 
+def window_scales(windows: DataFrame, plan: DataFrame, families: list[Family]) -> DataFrame:
+    """Windows with their scales (M1) and the recipe to denoise them by."""
+    scales = fixed_scales(families)
+    if scales is not None:
+        own = windows.withColumn("scales", F.lit(scales).cast("array<int>"))
+    else:
+        own = windows.join(subset_grids(plan, families), "series_id")
+    recipe = F.create_map(*[F.lit(x) for f in families for x in (f.name, f.denoise)])
+    return own.withColumn("recipe", recipe[F.col("family")])
+
+
+def measure_subsets(
+    samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None = None
+) -> DataFrame:
+    """M15. Extract, denoise and measure every subset of every series, one row per subset that has an F.
+
+    Families whose recipe works on arrays are cut and denoised in the step that measures; the
+    others, and discs of maps, come as denoised rows.
+    """
+    own = window_scales(windows, plan, families)
+    mapped = [f.name for f in families if f.name in DISC_RADIUS and points is not None]
+    direct = [f for f in families if f.denoise in pk.RECIPES and f.name not in mapped]
+    parts = []
+    if direct:
+        names = [f.name for f in direct]
+        longest = max(f.subset_size for f in direct)
+        longest = max(longest, sa.SHORT_SIZE[1])  # what the plan gives a short series
+        chosen = samples if len(direct) == len(families) else samples.filter(F.col("family").isin(names))
+        parts.append(pk.measure_windows(chosen, own.filter(F.col("family").isin(names)), longest))
+    rest = [f for f in families if f not in direct]
+    if rest:
+        names = [f.name for f in rest]
+        few = windows.filter(F.col("family").isin(names))
+        clean = subset_rows(samples.filter(F.col("family").isin(names)), few, rest, points)
+        parts.append(pk.measure_rows(clean, own.filter(F.col("family").isin(names))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def subset_spectra(
     samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None = None
 ) -> DataFrame:
-    """M15. Extract, denoise and measure every subset of every series."""
-    clean = subset_rows(samples, windows, families, points)
-    return fl.spectrum(subset_fluctuations(clean, windows, plan, families), SUBSET)
+    """Spectra of all subsets, one row per q."""
+    return pk.spectrum_rows(measure_subsets(samples, windows, plan, families, points))
 
 
 def index_series(samples: DataFrame, families: list[Family], most: int = ch.MAX_SAMPLES, least: int = 1) -> DataFrame:
@@ -104,9 +134,10 @@ def index_series(samples: DataFrame, families: list[Family], most: int = ch.MAX_
     return ch.downsample(denoise(samples, ("series_id",), recipes(families)), ("series_id",), most)
 
 
-def subset_results(spectra: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row per planned subset; NULL where it could not be measured."""
-    return windows.join(fl.dimension(spectra, SUBSET), list(SUBSET), "left")
+def subset_results(measures: DataFrame, windows: DataFrame) -> DataFrame:
+    """M13. One row per planned subset; NULL where it could not be measured."""
+    own = measures.select(*SUBSET, "d_f", "mean_h", "n_valid_q", "n_scales_used")
+    return windows.join(own, list(SUBSET), "left")
 
 
 def run_label() -> str:
@@ -193,9 +224,9 @@ def run(
     plan = kept(sa.subset_plan(sizes, config), "plan")
     windows = kept(sa.subset_windows(plan, seed), "windows")
     clean = kept(subset_rows(first, windows, families, points, seed), "denoised_subsets")
-    rows = kept(subset_fluctuations(clean, windows, plan, families), "fluctuations")
-    spectra = kept(fl.spectrum(rows, SUBSET), "spectra")
-    results = kept(subset_results(spectra, windows), "results")
+    measures = kept(pk.measure_rows(clean, window_scales(windows, plan, families)), "fluctuations")
+    spectra = kept(pk.spectrum_rows(measures), "spectra")
+    results = kept(subset_results(measures, windows), "results")
     summary = kept(su.dataset_summary(results, config), "summary")
     profile = kept(su.spectrum_profile(spectra), "profile")
     errors = kept(ex.errors(results, sizes), "errors")

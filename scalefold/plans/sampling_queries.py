@@ -27,9 +27,9 @@ def ledger(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return samples, plan, sa.subset_windows(plan)
 
 
-def ledger_spectra(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ledger_measures(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     samples, plan, windows = ledger(spark, df)
-    return plan, windows, run.subset_spectra(samples, windows, plan, [LEDGER])
+    return plan, windows, run.measure_subsets(samples, windows, plan, [LEDGER])
 
 
 _SIZES = {f.name: (f.subset_size, f.n_subsets) for f in FAMILIES}
@@ -82,8 +82,8 @@ def sample_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def subset_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, windows, spectra = ledger_spectra(spark, v.li_supp(spark, sf_dir))
-    out = run.subset_results(spectra, windows).drop("family").fillna(0, ["n_valid_q", "n_scales_used"])
+    _, windows, measures = ledger_measures(spark, v.li_supp(spark, sf_dir))
+    out = run.subset_results(measures, windows).drop("family").fillna(0, ["n_valid_q", "n_scales_used"])
     return rounded(out, "d_f", "mean_h")
 
 
@@ -119,8 +119,8 @@ def subset_mfdfa_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     plan = sa.subset_plan(run.series_lengths(samples), family_config(spark, _LINES_SCALES_FAMILIES))
     windows = sa.subset_windows(plan)
-    spectra = run.subset_spectra(samples, windows, plan, _LINES_SCALES_FAMILIES)
-    out = run.subset_results(spectra, windows).select("series_id", "subset_id", "d_f", "n_scales_used")
+    measures = run.measure_subsets(samples, windows, plan, _LINES_SCALES_FAMILIES)
+    out = run.subset_results(measures, windows).select("series_id", "subset_id", "d_f", "n_scales_used")
     return rounded(out.fillna(0, ["n_scales_used"]), "d_f")
 
 

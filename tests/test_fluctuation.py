@@ -86,8 +86,7 @@ def test_dimension_is_the_mean_of_the_end_slopes(spark, samples):
 
 
 def test_fluctuation_grows_with_q(spark, samples):
-    segs = fl.segment_rms(samples, SERIES, SCALES)
-    rows = fl.fluctuation(segs, SERIES).collect()
+    rows = fl.fluctuation(samples, SERIES, SCALES).collect()
     curves = {}
     for r in rows:
         curves.setdefault((r["series_id"], r["scale_pos"]), []).append((r["q_pos"], r["f"]))

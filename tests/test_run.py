@@ -163,7 +163,7 @@ def test_every_recipe_runs_on_subsets(spark, samples):
         tagged = samples.filter("series_id <> 'short'").withColumn("family", F.lit("f"))
         plan = sa.subset_plan(rn.series_lengths(tagged), family_config(spark, [family]))
         windows = sa.subset_windows(plan)
-        results = rn.subset_results(rn.subset_spectra(tagged, windows, plan, [family]), windows)
+        results = rn.subset_results(rn.measure_subsets(tagged, windows, plan, [family]), windows)
         assert results.count() == 10
 
 
@@ -172,8 +172,8 @@ def test_input_partitioning_does_not_matter(spark, samples):
         tagged = df.withColumn("family", F.lit("ledger"))
         plan = sa.subset_plan(rn.series_lengths(tagged), family_config(spark, [FAMILY]))
         windows = sa.subset_windows(plan)
-        spectra = rn.subset_spectra(tagged, windows, plan, [FAMILY])
-        return sorted(rn.subset_results(spectra, windows).select("series_id", "subset_id", F.round("d_f", 9)).collect())
+        measures = rn.measure_subsets(tagged, windows, plan, [FAMILY])
+        return sorted(rn.subset_results(measures, windows).select("series_id", "subset_id", F.round("d_f", 9)).collect())
 
     assert measured(samples) == measured(samples.repartition(13, F.rand(1)))
 
