@@ -30,7 +30,8 @@ def _supp() -> o.Chain:
 
 
 def _results(spark: SparkSession, df: DataFrame) -> DataFrame:
-    _, windows, measures = ledger_measures(spark, df)
+    # ordering the rows is the dear part of a view: done once, not for lengths and samples apart
+    _, windows, measures = ledger_measures(spark, land(df, "series"))
     return run.subset_results(measures, windows)
 
 
@@ -76,7 +77,7 @@ def ztest_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
         {o.r6('h_max')} as h_max, {o.r6('h_width')} as h_width from prof p join width w on p.series_id = w.series_id""")
 )
 def spectrum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = su.spectrum_profile(pk.spectrum_rows(ledger_measures(spark, v.li_supp(spark, sf_dir))[2]))
+    profile = su.spectrum_profile(pk.spectrum_rows(ledger_measures(spark, land(v.li_supp(spark, sf_dir), "series"))[2]))
     out = profile.join(su.spectrum_width(profile), "series_id")
     return rounded(out, "h_mean", "h_std", "h_min", "h_max", "h_width")
 
@@ -95,6 +96,7 @@ def spectrum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = v.li_supp(spark, sf_dir)
+    samples = land(samples, "series")
     plan, windows, measures = ledger_measures(spark, samples)
     # both the results and the profile read the measures: written once
     measures = land(measures, "measures")
@@ -158,7 +160,7 @@ def _flag_whole() -> o.Chain:
     )
 )
 def tci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = co.interpolate(co.whole_spectra(v.li_flag(spark, sf_dir)))
+    spec = co.interpolate(co.whole_spectra(land(v.li_flag(spark, sf_dir), "series")))
     out = co.mean_coherence(co.pack(spec), "tci").select("tci", F.col("tci_pairs").alias("n_pairs"))
     return rounded(out, "tci")
 
@@ -175,13 +177,14 @@ def _flag_subsets() -> o.Chain:
     ).select(f"select {o.r6('avg(abs_corr)')} as mci, count(abs_corr) as n_pairs from pairs")
 )
 def mci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spectra = pk.spectrum_rows(ledger_measures(spark, v.li_flag(spark, sf_dir))[2])
+    spectra = pk.spectrum_rows(ledger_measures(spark, land(v.li_flag(spark, sf_dir), "series"))[2])
     out = co.mean_coherence(co.pack(co.mean_spectra(spectra)), "mci").select("mci", F.col("mci_pairs").alias("n_pairs"))
     return rounded(out, "mci")
 
 
 def _indices(spark: SparkSession, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Packed spectra of both indices, subset results, and indices with their bootstrap."""
+    samples = land(samples, "series")
     _, windows, measures = ledger_measures(spark, samples)
     measures = land(measures, "measures")
     spectra = pk.spectrum_rows(measures)
@@ -258,7 +261,7 @@ def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         from hqt h join np on h.series_id = np.series_id group by h.series_id""")
 )
 def index_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = land(co.whole_spectra(v.li_flag(spark, sf_dir)), "whole")
+    whole = land(co.whole_spectra(land(v.li_flag(spark, sf_dir), "series")), "whole")
     return ex.index_diagnostics(whole, co.defined_pairs(co.pack(co.interpolate(whole))))
 
 

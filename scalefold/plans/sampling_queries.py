@@ -16,6 +16,7 @@ from scalefold.plans import run
 from scalefold.plans import views as v
 from scalefold.plans.clean_queries import all_lengths, all_lengths_chain
 from scalefold.plans.registry import SCALES, register, rounded
+from scalefold.session import land
 
 LEDGER = Family("ledger", 250, 100, 1.19, 0.04, "unit_std", SCALES)
 
@@ -82,7 +83,7 @@ def sample_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def subset_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, windows, measures = ledger_measures(spark, v.li_supp(spark, sf_dir))
+    _, windows, measures = ledger_measures(spark, land(v.li_supp(spark, sf_dir), "series"))
     out = run.subset_results(measures, windows).drop("family").fillna(0, ["n_valid_q", "n_scales_used"])
     return rounded(out, "d_f", "mean_h")
 
@@ -117,6 +118,7 @@ def subset_mfdfa_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = users.withColumn("family", F.lit("short")).unionByName(
         v.ev_type(spark, sf_dir).withColumn("family", F.lit("fixed"))
     )
+    samples = land(samples, "series")
     plan = sa.subset_plan(run.series_lengths(samples), family_config(spark, _LINES_SCALES_FAMILIES))
     windows = sa.subset_windows(plan)
     measures = run.measure_subsets(samples, windows, plan, _LINES_SCALES_FAMILIES)
