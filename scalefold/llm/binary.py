@@ -14,6 +14,7 @@ slow for one block, so the blocks of a frame run side by side, as one array step
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import LOWER, column_bytes, steps, tidied
+from scalefold.llm.text import LOWER, column_bytes, few_rows, steps, tidied
 
 #: With this many ids the added-up counts of a block stay below 2**16.
 BLOCK_IDS = 2048
 #: Blocks coded side by side.
-LANES = 2048
+LANES = 1024
 FRAME_IDS = BLOCK_IDS * LANES
 # Counts are kept as upper bounds: seeing a symbol raises its own and all later ones, more in a longer context.
 _ROW = np.dtype("V32")  # 16 bounds as one item: rows are then fetched and stored whole
@@ -202,7 +203,9 @@ class _Tokens:
     MARKS = b".,;:!?"
     CLOSED = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def __init__(self, model: str, keep: int = 1 << 19):
+    def __init__(self, model: str, keep: int = 1 << 17):
+        # a task has one core; more threads of the tokenizer only cost memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
@@ -219,7 +222,7 @@ class _Tokens:
     def __call__(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Little-endian 16-bit ids of each text and the end id."""
         texts = [t.split() for t in texts]
-        if len(self.pieces) > self.keep // 4:
+        if len(self.pieces) > self.keep // 2:
             self.pieces = {}
         if len(self.units) > self.keep:
             self.units = {b"": b""}
@@ -271,7 +274,7 @@ def write_ids(documents: DataFrame, path: str, model: str, end_id: int, id_col:
             names = [f.split()[0] for f in FRAME.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, ids = column_bytes(batch, "text"), batch.column("doc_id").to_pylist()
             for i, j in steps(texts, 1 << 20):
                 for doc, own in zip(ids[i:j], tokens(texts[i:j], end_id)):

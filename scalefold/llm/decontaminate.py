@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import LETTERS_DIGITS, LOWER, Words, column_bytes, ragged, shipped, steps, tidied, words_of
+from scalefold.llm.text import LETTERS_DIGITS, LOWER, Words, column_bytes, ragged, shipped, steps, tidied, unused, words_of
 from scalefold.session import land
 
 WINDOW = 10
@@ -175,14 +175,18 @@ ITEMS = pa.list_(pa.struct([("item", pa.string()), ("words", pa.int64()), ("at",
 FOUND = "n_words long, spans array<struct<start bigint, end bigint>>, items array<struct<item string, words bigint, at bigint>>"
 
 
-def _pass(documents: DataFrame, keep: list[str], block: list, window: int) -> DataFrame:
+def _by_name(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
+def _pass(documents: DataFrame, keep: list[str], block: list, window: int, text: str) -> DataFrame:
     """One pass over the documents with one block of items."""
     held = shipped(documents.sparkSession, _items(block))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = held()
         for batch in batches:
-            texts = column_bytes(batch, "_text")
+            texts = column_bytes(batch, text)
             n_words = np.zeros(len(texts), np.int64)
             spans: list[list[dict]] = []
             found: list[dict[str, tuple[int, int]]] = [{} for _ in texts]
@@ -194,7 +198,7 @@ def _pass(documents: DataFrame, keep: list[str], block: list, window: int) -> Da
                 for doc, owner, goes, at in zip(*(x.tolist() for x in pairs)):
                     own, name = found[i + doc], asked.item[owner]
                     own[name] = min(own.get(name, (0, 0)), (-goes, at))
-            rows = [[{"item": k, "words": -own[k][0], "at": own[k][1]} for k in sorted(own)] for own in found]
+            rows = [[{"item": k, "words": -own[k][0], "at": own[k][1]} for k in sorted(own, key=_by_name)] for own in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(n_words), pa.array(spans, SPANS), pa.array(rows, ITEMS)],
                 names=[*keep, "n_words", "spans", "items"],
@@ -217,7 +221,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(dict(s))
             spans.append(out)
         for some in batch.column("items").to_pylist():
-            best = sorted(some, key=lambda x: (x["item"], -x["words"], x["at"]))
+            best = sorted(some, key=lambda x: (_by_name(x["item"]), -x["words"], x["at"]))
             items.append([x for k, x in enumerate(best) if not k or best[k - 1]["item"] != x["item"]])
         yield pa.RecordBatch.from_arrays(
             [batch.column("_row"), batch.column("n_words"), pa.array(spans, SPANS), pa.array(items, ITEMS)],
@@ -243,8 +247,9 @@ def matches(
     it starts at; ties the first place), ``n_hit`` (words in spans) and
     ``contaminated``. A-Z are lowered, words are
     ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Null and empty texts have no words, items
-    without words or id match nothing, an empty benchmark hits nothing. Repeated
-    rows are matched alike; repeated item ids are listed once.
+    without words match nothing, an empty benchmark hits nothing. Repeated
+    rows are matched alike; repeated item ids are listed once. Items without an id count as one item
+    whose ``item`` is null, listed last.
 
     A benchmark of up to ``block_bytes`` of text is broadcast. A larger one is
     dealt into blocks of about that size by a hash of the item, one pass over the
@@ -252,17 +257,18 @@ def matches(
     """
     added = ("n_words", "spans", "items", "n_hit", "contaminated")
     keep = [c for c in (documents.columns if carry is None else carry) if c not in added]
-    asked = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).dropna()
+    asked = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).filter("text is not null")
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes)
+    own, number = unused(documents, "_text"), unused(documents, "_row")
     if blocks <= 1:
-        found = _pass(documents.select(*keep, F.col(text).alias("_text")), keep, asked.collect(), window)
+        found = _pass(documents.select(*keep, F.col(text).alias(own)), keep, asked.collect(), window, own)
     else:
-        rows = land(documents.select(*keep, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row")), "rows")
+        rows = land(documents.select(*keep, F.col(text).alias(own), F.monotonically_increasing_id().alias(number)), "rows")
         found = None
         for k in range(blocks):
             block = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-            part = land(_pass(rows.select("_row", "_text"), ["_row"], block, window), "matches")
+            part = land(_pass(rows.select(F.col(number).alias("_row"), own), ["_row"], block, window, own), "matches")
             found = part if found is None else found.union(part)
         found = (
             found.groupBy("_row")
@@ -270,6 +276,6 @@ def matches(
                  F.flatten(F.collect_list("items")).alias("items"))
             .mapInArrow(_joined, "_row long, " + FOUND)
         )
-        found = rows.drop("_text").join(found, "_row").drop("_row")
+        found = rows.drop(own).join(found.withColumnRenamed("_row", number), number).drop(number)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import column_bytes, shipped, steps, tidied
+from scalefold.llm.text import column_bytes, shipped, steps, tidied, unused
 
 TRIGRAMS = 1 << 16
 #: Log-likelihood given up for each change of language within a text.
@@ -192,11 +192,13 @@ def identify(documents: DataFrame, model: Model, text: str = "text", carry: list
     keep = documents.columns if carry is None else carry
     keep = [c for c in keep if c not in ("lang_pred", "lang_score", "lang_spans")]
 
+    hidden = unused(documents, "_text")
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held()
         n_lang = len(model.languages)
         for batch in batches:
-            texts = column_bytes(batch, "_text")
+            texts = column_bytes(batch, hidden)
             none = [not _has_letter(t) for t in texts]
             texts = [b"" if x else t for t, x in zip(texts, none)]
             pred, share, spans = [UNKNOWN] * len(texts), np.zeros(len(texts)), [""] * len(texts)
@@ -217,4 +219,4 @@ def identify(documents: DataFrame, model: Model, text: str = "text", carry: list
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(tidied(label), f"{kinds}, lang_pred string, lang_score double, lang_spans string")
+    return documents.select(*keep, F.col(text).alias(hidden)).mapInArrow(tidied(label), f"{kinds}, lang_pred string, lang_score double, lang_spans string")

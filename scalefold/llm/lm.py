@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scalefold.llm.eliasfano import Level, from_buffer
-from scalefold.llm.text import LOWER, NOT_SPACE, column_bytes, shipped, steps, words_of
+from scalefold.llm.text import LOWER, NOT_SPACE, column_bytes, shipped, steps, unused, words_of
 from scalefold.session import land
 
 WORDS = {2: 4096, 3: 256}
@@ -296,7 +296,8 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, text: str = "te
     model's log10. A-Z are lowered, words are ``[^\\x20\\x09-\\x0D]+``; null, empty and word-free
     texts are their end alone. Repeated rows score alike; other columns (or those in ``carry``) pass through.
     """
-    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_row")
+    hidden, number = unused(documents, "_text"), unused(documents, "_row")
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in (documents.columns if carry is None else carry) if c not in added]
     held = shipped(documents.sparkSession, model)
 
@@ -304,7 +305,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, text: str = "te
         model = held()
         words, n = model.known_words, model.known_counts
         for batch in batches:
-            texts = column_bytes(batch, "_text")
+            texts = column_bytes(batch, hidden)
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
             for i, j in steps(texts):
@@ -324,19 +325,19 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, text: str = "te
                 pa.array(flat[4].astype(np.uint64).view(np.int64)),
             )
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), batch.column("_row"), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)),
+                [*(batch.column(c) for c in keep), batch.column(number), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)),
                  pa.array(flat[2]), pa.array(flat[3]), rare],
-                names=[*keep, "_row", "n_tokens", "n_known", "base_score", "score", "rare"],
+                names=[*keep, number, "n_tokens", "n_known", "base_score", "score", "rare"],
             )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*keep).schema)
-    kinds += "_row long, n_tokens long, n_known long, base_score double, score double, rare array<bigint>"
-    rows = documents.select(*keep, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    kinds += f"`{number}` long, n_tokens long, n_known long, base_score double, score double, rare array<bigint>"
+    rows = documents.select(*keep, F.col(text).alias(hidden), F.monotonically_increasing_id().alias(number))
     rows = land(rows.mapInArrow(look_up, kinds), "scored")
     # words whose counts were not broadcast add log10(c + 1) to both scores, whatever their context
-    rare = rows.select("_row", F.explode("rare").alias("word")).join(counts, "word")
-    more = rare.groupBy("_row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
-    return rows.drop("rare").join(more, "_row", "left").select(
+    rare = rows.select(number, F.explode("rare").alias("word")).join(counts, "word")
+    more = rare.groupBy(number).agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
+    return rows.drop("rare").join(more, number, "left").select(
         *keep, "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         *((F.col(c) + F.coalesce("more", F.lit(0.0))).alias(c) for c in ("base_score", "score")),

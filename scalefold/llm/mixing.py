@@ -28,7 +28,7 @@ _SPACES = r"[\x20\x09-\x0D]+"
 
 def word_count(text: str) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text, 0 for null."""
-    trimmed = F.regexp_replace(text, rf"^{_SPACES}|{_SPACES}$", "")
+    trimmed = F.regexp_replace(text, rf"^{_SPACES}|{_SPACES}\z", "")
     parts = F.size(F.split(trimmed, _SPACES))
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, 0).otherwise(parts).cast("long")
 

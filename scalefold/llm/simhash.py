@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scalefold.llm.graph import components
-from scalefold.llm.text import LOWER, column_bytes, tidied
+from scalefold.llm.text import LOWER, column_bytes, tidied, unused
 from scalefold.session import land
 
 BYTES = 8
@@ -54,14 +54,16 @@ def fingerprints(
     """Every row with its signed 64-bit ``fp``; null and word-free texts have 0."""
     keep = [c for c in (documents.columns if carry is None else carry) if c != "fp"]
 
+    hidden = unused(documents, "_text")
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [_fingerprint(t, words_per_shingle, seed) for t in column_bytes(batch, "_text")]
+            own = [_fingerprint(t, words_per_shingle, seed) for t in column_bytes(batch, hidden)]
             fp = pa.array(np.array(own, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), fp], names=[*keep, "fp"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*keep).schema)
-    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(tidied(mark), f"{kinds}fp long")
+    return documents.select(*keep, F.col(text).alias(hidden)).mapInArrow(tidied(mark), f"{kinds}fp long")
 
 
 def _forest(left: np.ndarray, right: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:

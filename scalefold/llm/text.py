@@ -48,6 +48,14 @@ def byte_values(seed: int) -> np.ndarray:
     return mixed((np.arange(256, dtype=np.uint64) + np.uint64(256 * seed + 1)) * _BASE)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The column as UTF-8; a null counts as the empty text."""
     column = batch.column(name)
@@ -68,6 +76,13 @@ def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that only a few texts are copied out of their batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shipped(spark: SparkSession, value: object) -> Callable[[], Any]:
     """Broadcast a value of bounded size; what is returned gives it back inside a task.
 

@@ -1,6 +1,7 @@
 """The mix, the token files and the pipeline."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,3 +208,23 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
 
 def test_pipeline_runs(spark):
     assert cp.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_words_before_other_line_ends(spark):
+    texts = ["foo \u2028", " a\u0085", "x \u2029", "y\n", "\u2028", " \t", "", None, "a b \r", " \u0085 "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(mixing.word_count("text")).collect()]
+    assert got == [len(re.findall("[^\x20\x09-\x0d]+", t or "")) for t in texts]
+
+
+def test_ids_of_odd_pieces_equal_those_of_whole_texts():
+    """Also when the word tables are thrown away all the time."""
+    rng = random.Random(11)
+    signs = list("abcXYZ019.,;:!?()\"'%-$ \n") + ["\u00e9", "\u0301", "<|", "|>", "\u65e5", "..", "ing", "the "]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 40))) for _ in range(3000)]
+    whole = Tokenizer.from_file(cq.tokenizer_file())
+    tokens = binary._Tokens(cq.tokenizer_file(), keep=50)
+    for k in range(0, len(texts), 100):
+        some = texts[k : k + 100]
+        want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert [np.frombuffer(b, "<u2").tolist() for b in tokens([t.encode() for t in some], 2)] == want

@@ -158,7 +158,7 @@ def plain_matches(rows, items):
     for item, text in items:
         w = WORD.findall((text or "").translate(LOWER))
         k = min(10, len(w))
-        windows |= {(str(item), tuple(w[i : i + k])) for i in range(len(w) - k + 1) if k and item is not None}
+        windows |= {(None if item is None else str(item), tuple(w[i : i + k])) for i in range(len(w) - k + 1) if k}
     out = []
     for doc, text in rows:
         w = WORD.findall((text or "").translate(LOWER))
@@ -168,7 +168,7 @@ def plain_matches(rows, items):
                 if tuple(w[i : i + len(win)]) == win:
                     hit |= set(range(i, i + len(win)))
                     names.add(item)
-        out.append((doc, len(w), len(hit), sorted(names), bool(hit)))
+        out.append((doc, len(w), len(hit), sorted(names, key=lambda n: (n is None, n or "")), bool(hit)))
     return out
 
 
@@ -203,3 +203,12 @@ def test_suffix_array():
     order = decontaminate.suffix_array(codes, room, 12)
     suffixes = [codes[i : i + min(12, room[i])].tolist() for i in order]
     assert suffixes == sorted(suffixes) and sorted(order) == list(range(300))
+
+
+def test_items_without_an_id_and_clashing_columns(spark):
+    docs = spark.createDataFrame([("alpha beta gamma delta", 1, 2, "x")], "text string, _text long, _row long, n_words string")
+    bench = spark.createDataFrame([(None, "beta gamma"), (7, "delta"), (8, None)], "item_id long, text string")
+    for block in (1 << 24, 3):
+        row = decontaminate.matches(docs, bench, block_bytes=block).first()
+        assert (row["n_hit"], row["contaminated"], [x["item"] for x in row["items"]]) == (3, True, ["7", None])
+        assert (row["_text"], row["_row"]) == (1, 2)
