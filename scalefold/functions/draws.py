@@ -28,3 +28,23 @@ def gaussian(key: Column) -> Column:
     u1 = uniform(F.concat(key, F.lit("|a")))
     u2 = uniform(F.concat(key, F.lit("|b")))
     return F.sqrt(F.lit(-2.0) * F.ln(u1 + F.lit(2.0**-33))) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+
+#: Rounds of the keyed permutation.
+SWAPS = 24
+
+
+def permuted(place: Column, n: Column, seed: int, purpose: str, *parts: Column | str) -> Column:
+    """Where a keyed permutation of 0 .. n - 1 puts ``place``: a sample of any size without looking at the others.
+
+    Each round pairs every x with K - x (mod n), K drawn for the round, and a draw for the pair says whether the
+    two change places. That is one to one for any n, so the first k places give k different ones.
+    """
+
+    def round_(x: Column, r: Column) -> Column:
+        shift = F.floor(uniform(draw_key(seed, purpose, *parts, F.lit("shift"), r)) * n).cast("bigint")
+        other = F.pmod(shift - x, n)
+        swap = uniform(draw_key(seed, purpose, *parts, F.lit("swap"), r, F.greatest(x, other))) < 0.5
+        return F.when(swap, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SWAPS - 1)), place.cast("bigint"), round_)

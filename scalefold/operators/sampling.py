@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scalefold.functions.draws import draw_key, uniform
+from scalefold.functions.draws import draw_key, permuted, uniform
 from scalefold.operators.indexing import Keys, lengths
 
 # Fixed values of the subset policy.
@@ -158,7 +158,7 @@ def disc_subset(
     """R5. Random discs of exactly ``size`` points each.
 
     Too many points: a simple sample of them. Too few, or too little spread:
-    a simple sample of the whole map. ``points(series_id, idx, pixel, value, x, y, z)``
+    points at random places of the whole map. ``points(series_id, idx, pixel, value, x, y, z)``
     with a dense ``idx``, from which the centres are drawn.
     """
     subsets = lengths(points, ["series_id"]).withColumn(
@@ -177,8 +177,11 @@ def disc_subset(
         .filter((F.col("_n") == size) & (F.col("_std") >= min_std))
         .select(*sub)
     )
-    poor = subsets.select(*sub).join(good, sub, "left_anti")
-    anywhere = simple_sample(points.join(poor, "series_id"), sub, size, draw, "pixel")
+    poor = subsets.join(good, sub, "left_anti")
+    # the places of a whole-map sample are computed, so the map meets only the rows that are taken
+    picks = poor.withColumn("pick", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("n")).cast("int") - 1)))
+    place = permuted(F.col("pick"), F.col("n"), seed, "anywhere", "series_id", "subset_id")
+    anywhere = points.join(picks.select(*sub, "pick", place.alias("idx")), ["series_id", "idx"])
     cols = [*sub, "pick", "pixel", "value"]
     return (
         inside.join(good, sub, "left_semi")

@@ -6,6 +6,7 @@ from scalefold.plans import (  # noqa: F401
     index_queries,
     sampling_queries,
     signal_queries,
+    source_queries,
 )
 from scalefold.plans.core_queries import mfdfa_df
 from scalefold.plans.registry import ORACLE, QUERIES

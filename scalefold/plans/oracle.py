@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scalefold.functions.draws import SWAPS
 from scalefold.operators.grids import WHOLE_COUNT, WHOLE_FROM
 from scalefold.operators.sampling import SEED
 
@@ -54,6 +55,18 @@ def gaussian(key_sql: str) -> str:
     return f"(sqrt(-2 * ln({a} + pow(2, -33))) * cos(2 * pi() * {b}))"
 
 
+def permuted_ctes(c: "Chain", src: str, n: str, purpose: str, *parts: str, out: str) -> "Chain":
+    """``permuted`` on ``src`` (columns ``place`` and ``n``), round by round; the result is ``place`` of ``out``."""
+    for r in range(SWAPS):
+        made = out if r == SWAPS - 1 else f"{out}_{r}"
+        shift = f"floor({uniform(key(purpose, *parts, repr('shift'), str(r)))} * {n})::bigint"
+        c.add(f"{out}_k{r}", f"select *, (({shift} - place) % {n} + {n}) % {n} as other from {src}")
+        swap = f"{uniform(key(purpose, *parts, repr('swap'), str(r), 'greatest(place, other)'))} < 0.5"
+        c.add(made, f"select * exclude (place, other), case when {swap} then other else place end as place from {out}_k{r}")
+        src = made
+    return c
+
+
 def list_sql(values) -> str:
     return "[" + ", ".join(str(v) for v in values) + "]"
 

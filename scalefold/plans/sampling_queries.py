@@ -159,23 +159,26 @@ DISC_SUBSETS, DISC_SIZE, DISC_STD = 20, 25, 0.08
 DISC_ANGLE = math.radians(30)
 
 
-@register(
-    f"""with sky as ({_SKY}), subsets as (select unnest(range({DISC_SUBSETS}))::int as subset_id),
-    centres as (select 'sky' as series_id, subset_id from subsets),
-    place as (select subset_id, floor({o.uniform(o.key('centre', 'series_id', 'subset_id'))} * (select count(*) from sky))::bigint as idx from centres),
-    spot as (select subset_id, x, y, z from place join sky using (idx)),
-    inside as (select subset_id, series_id, pixel, value from sky s join spot c
-        on s.x * c.x + s.y * c.y + s.z * c.z >= cos({DISC_ANGLE!r}::double)),
-    ranked as (select *, row_number() over (partition by subset_id
-        order by {o.uniform(o.key('disc', 'series_id', 'subset_id', 'pixel'))}, pixel) - 1 as pick from inside),
-    few as (select * from ranked where pick < {DISC_SIZE}),
-    good as (select subset_id from few group by subset_id having count(*) = {DISC_SIZE} and stddev_pop(value) >= {DISC_STD}),
-    pool as (select series_id, pixel, value, subset_id from sky, (select subset_id from subsets where subset_id not in (from good))),
-    anyw as (select *, row_number() over (partition by subset_id
-        order by {o.uniform(o.key('disc', 'series_id', 'subset_id', 'pixel'))}, pixel) - 1 as pick from pool)
-    select subset_id, pick::int as pick, pixel, value, 'disc' as origin from few where subset_id in (from good)
-    union all select subset_id, pick::int, pixel, value, 'whole map' from anyw where pick < {DISC_SIZE}"""
-)
+def _disc_sql() -> str:
+    c = o.Chain().add("sky", _SKY).add("subsets", f"select unnest(range({DISC_SUBSETS}))::int as subset_id")
+    c.add("centres", "select 'sky' as series_id, subset_id from subsets")
+    c.add("place", f"select subset_id, floor({o.uniform(o.key('centre', 'series_id', 'subset_id'))} * (select count(*) from sky))::bigint as idx from centres")
+    c.add("spot", "select subset_id, x, y, z from place join sky using (idx)")
+    c.add("inside", f"""select subset_id, series_id, pixel, value from sky s join spot c
+        on s.x * c.x + s.y * c.y + s.z * c.z >= cos({DISC_ANGLE!r}::double)""")
+    c.add("ranked", f"""select *, row_number() over (partition by subset_id
+        order by {o.uniform(o.key('disc', 'series_id', 'subset_id', 'pixel'))}, pixel) - 1 as pick from inside""")
+    c.add("few", f"select * from ranked where pick < {DISC_SIZE}")
+    c.add("good", f"select subset_id from few group by subset_id having count(*) = {DISC_SIZE} and stddev_pop(value) >= {DISC_STD}")
+    c.add("picks", f"""select 'sky' as series_id, subset_id, n, unnest(range(least({DISC_SIZE}, n)))::bigint as pick
+        from subsets, (select count(*) as n from sky) where subset_id not in (from good)""")
+    c.add("begin", "select *, pick as place from picks")
+    o.permuted_ctes(c, "begin", "n", "anywhere", "series_id", "subset_id", out="spread")
+    return c.select("""select subset_id, pick::int as pick, pixel, value, 'disc' as origin from few where subset_id in (from good)
+        union all select p.subset_id, p.pick::int, s.pixel, s.value, 'whole map' from spread p join sky s on s.idx = p.place""")
+
+
+@register(_disc_sql())
 def disc_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sa.disc_subset(sky(spark, sf_dir), DISC_SUBSETS, DISC_ANGLE, DISC_SIZE, DISC_STD)
     return out.drop("series_id")

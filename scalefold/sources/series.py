@@ -98,6 +98,18 @@ def enabled(catalog: DataFrame) -> DataFrame:
     return catalog.filter("enabled")
 
 
-def zip_files(files: DataFrame, names: DataFrame) -> DataFrame:
-    """J5. Pair two lists by their position column ``pos``."""
-    return files.join(names, "pos")
+def zip_listings(
+    left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], pad: bool = False, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """J5. Pair two lists by position: the first of one with the first of the other, in ``pos`` from 0.
+
+    Positions are made here: rows are put in the given order, ties by all other columns, so reruns pair alike; rows that
+    are equal in everything stay neighbours. The longer list loses its end, or with ``pad`` meets NULLs. NULLs come first. The lists share no column.
+    """
+
+    def placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+        rest = [c for c in df.columns if c not in order]
+        keyed = dense_index(df.withColumn("_list", F.lit(0)), ["_list"], [*order, *rest], "pos", task_rows)
+        return keyed.drop("_list")
+
+    return placed(left, left_order).join(placed(right, right_order), "pos", "full" if pad else "inner")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scalefold import config as cfg
 from scalefold.functions import numeric as nu
+from scalefold.functions.draws import permuted
 from scalefold.operators import channels as ch
 from scalefold.operators import cleaning as cl
 from scalefold.sources import series as ss
@@ -147,11 +148,26 @@ def test_column_subset_and_catalog(spark, tmp_path):
     assert catalog.count() == 11 + 63 + 83
     assert ss.enabled(catalog).count() == 2 + 63 + 30
     assert cfg.dataset_config(spark).count() == catalog.count()
-    files = spark.createDataFrame([(0, "f0"), (1, "f1")], "pos int, file string")
-    names = spark.createDataFrame([(1, "n1"), (0, "n0")], "pos int, name string")
-    assert sorted(tuple(r) for r in ss.zip_files(files, names).select("file", "name").collect()) == [("f0", "n0"), ("f1", "n1")]
 
 
+@pytest.mark.parametrize("task_rows", [0, 1_000_000])
+def test_positional_zip(spark, task_rows):
+    """Unequal lengths, ties, repeated rows and NULLs."""
+    files = spark.createDataFrame([("b", 2), ("a", 1), (None, 9), ("b", 1), ("b", 2)], "file string, part int").repartition(3)
+    names = spark.createDataFrame([("n2",), ("n1",), ("n3",)], "name string")
+    short = ss.zip_listings(files, names, ["file"], ["name"], task_rows=task_rows).orderBy("pos").collect()
+    assert [tuple(r) for r in short] == [(0, None, 9, "n1"), (1, "a", 1, "n2"), (2, "b", 1, "n3")]
+    whole = ss.zip_listings(files, names, ["file"], ["name"], pad=True, task_rows=task_rows).orderBy("pos").collect()
+    assert [tuple(r) for r in whole[3:]] == [(3, "b", 2, None), (4, "b", 2, None)]
+    assert ss.zip_listings(files.limit(0), names, ["file"], ["name"], task_rows=task_rows).count() == 0
+
+
+def test_permutation_is_one_to_one(spark):
+    for n in (1, 2, 7, 100, 1001):
+        df = spark.range(n).withColumn("n", F.lit(n).cast("bigint"))
+        got = [r[0] for r in df.select(permuted(F.col("id"), F.col("n"), 5, "test", F.lit("s"))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 100 or got != list(range(n)))
+
 def test_landed_samples(spark, samples, tmp_path):
     samples.write.parquet(str(tmp_path / "s"))
     assert ss.read_samples(spark, str(tmp_path / "s")).count() == samples.count()
