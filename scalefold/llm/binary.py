@@ -30,7 +30,7 @@ from scalefold.llm.text import LOWER, column_bytes, few_rows, steps, tidied
 #: With this many ids the added-up counts of a block stay below 2**16.
 BLOCK_IDS = 2048
 #: Blocks coded side by side.
-LANES = 1024
+LANES = 2048
 FRAME_IDS = BLOCK_IDS * LANES
 # Counts are kept as upper bounds: seeing a symbol raises its own and all later ones, more in a longer context.
 _ROW = np.dtype("V32")  # 16 bounds as one item: rows are then fetched and stored whole
@@ -203,7 +203,7 @@ class _Tokens:
     MARKS = b".,;:!?"
     CLOSED = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def __init__(self, model: str, keep: int = 1 << 17):
+    def __init__(self, model: str, keep: int = 1 << 18):
         # a task has one core; more threads of the tokenizer only cost memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
