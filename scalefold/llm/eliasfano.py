@@ -112,8 +112,8 @@ class Level:
              *EliasFano.of(codes, contexts * words).arrays(), quantised(probability), quantised(backoff)]
         )
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the probability (nan where the word does not follow the context) and of the backoff weight."""
+    def place(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where the word stands among the successors of its context; -1 where it does not follow it."""
         local = context - self.first
         a, end = self.pointers[local], self.pointers[local + 1]
         b, want = end.copy(), local * self.words + word
@@ -124,8 +124,16 @@ class Level:
             a[live] = np.where(less, mid + 1, a[live])
             b[live] = np.where(less, b[live], mid)
             live = live[a[live] < b[live]]
-        out = np.full(len(context), np.nan)
         there = np.flatnonzero(a < end)
         there = there[self.successors[a[there]] == want[there]] if len(there) else there
-        out[there] = self.probability[a[there]] * -STEP
-        return out, self.backoff[local] * -STEP
+        out = np.full(len(context), -1, np.int64)
+        out[there] = a[there]
+        return out
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability (nan where the word does not follow the context) and of the backoff weight."""
+        at = self.place(context, word)
+        out = np.full(len(context), np.nan)
+        there = at >= 0
+        out[there] = self.probability[at[there]] * -STEP
+        return out, self.backoff[context - self.first] * -STEP

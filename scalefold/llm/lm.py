@@ -1,16 +1,18 @@
-"""Scoring texts with an n-gram language model kept as an Elias-Fano trie.
+"""Scoring texts with an n-gram language model kept as Elias-Fano tries.
 
-Every word of the training texts is counted. A word's own probability is
-(c + 1) / (N + V + 1). Pairs and triples of words are interpolated with it by
-absolute discounting,
+Every word, pair and triple of words of the training texts counts; no order has a
+bounded vocabulary. A word's own probability is (c + 1) / (N + V + 1), and
 
-    p(w | h) = max(c(hw) - D, 0) / c(h) + b(h) p(w | h without its first word),
+    p(w | h) = max(c(hw) - D, 0) / c(h) + D t(h) / c(h) p(w | h without its first word)
 
-for h and w among the WORDS[order] most frequent words; with any other word a context
-counts in c(h) only, so b(h) takes up what is left and every p( . | h) sums to 1.
-With WORDS[n] words level n has at most WORDS[n] ** n = 2**24 entries
-of about three bytes however large the corpus: that bounds what is broadcast.
-The counts of all other words stay in a distributed table and are joined.
+with t(h) the number of different words seen after h. A text begins after one end mark, so its
+first word has a history of one and all others of two.
+
+All that p(w | u v) asks of pairs and triples lies with the contexts (v) and (u v), so tokens are
+dealt by v. A shard counts its tokens, builds its trie from those of training texts,
+looks up all its tokens there and passes on one sum a text. The tries are as many as
+the tokens need and none is broadcast or collected. A word v with more than ``HOT`` tokens is
+spread by u over several shards; each of them is given the summed pairs of v.
 """
 
 from __future__ import annotations
@@ -20,24 +22,27 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.eliasfano import Level, from_buffer
-from scalefold.llm.text import LOWER, NOT_SPACE, column_bytes, shipped, steps, unused, words_of
+from scalefold.llm.eliasfano import Level, from_buffer, to_bytes
+from scalefold.llm.text import LOWER, NOT_SPACE, column_bytes, mixed, shipped, steps, tidied, unused, words_of
 from scalefold.session import land
 
-WORDS = {2: 4096, 3: 256}
 DISCOUNT = 0.75
-#: Contexts of a trie shard, built in one group.
-SHARD = {2: 64, 3: 1024}
+#: Tokens of a shard, on average.
+SHARD_TOKENS = 1 << 21
+#: A context with more tokens than this, and more than one in HOT_SHARE of all, is spread over shards;
+#: so at most HOT_SHARE words are sent to the tasks that deal tokens out.
+HOT = 1 << 20
+HOT_SHARE = 1 << 20
 #: Counts of at most so many of the most frequent words are broadcast.
 KNOWN_WORDS = 1 << 18
 #: The key of the end of a text.
 END = np.uint64(0)
-#: Rows a task gathers before it passes them on.
+#: Rows a task gathers before it adds them up.
 _FLUSH = 1 << 22
 
 
@@ -59,17 +64,15 @@ class _Tokens:
 
 
 class _Gather:
-    """Counts of codes, added up as they come."""
+    """Counts of keys, added up as they come."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, codes: np.ndarray, n: np.ndarray | None = None) -> None:
-        keys, inverse, count = np.unique(codes, return_inverse=True, return_counts=True)
-        if n is not None:
-            count = np.bincount(inverse, n, minlength=len(keys)).astype(np.int64)
-        self.parts.append((keys, count))
+    def add(self, codes: np.ndarray, n: np.ndarray) -> None:
+        keys, inverse = np.unique(codes, return_inverse=True)
+        self.parts.append((keys, np.bincount(inverse, n, minlength=len(keys)).astype(np.int64)))
         self.size += len(keys)
         if self.size > _FLUSH:
             self.total()
@@ -84,261 +87,355 @@ class _Gather:
         return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def word_counts(training: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, n)`` of all training tokens; ``word`` is the 64-bit key of the word, 0 the end of a text."""
+def _signed(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view(np.int64))
+
+
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy().astype(np.int64, copy=False).view(np.uint64)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``(word, n)`` of the tokens of rows ``(text, weight)``; ``word`` is the 64-bit key of the word, 0 the end of a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Gather()
         for batch in batches:
-            texts = column_bytes(batch, "text")
+            texts, weight = column_bytes(batch, "text"), batch.column("weight").to_numpy()
             for i, j in steps(texts):
-                seen.add(_Tokens(texts[i:j]).key)
+                tokens = _Tokens(texts[i:j])
+                seen.add(tokens.key, weight[i:j][tokens.doc])
         keys, n = seen.total()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n)], names=["word", "n"])
 
-    rows = training.select(F.col(text).alias("text")).mapInArrow(count, "word long, n long")
+    rows = texts.filter("weight > 0").select("text", "weight").mapInArrow(tidied(count), "word long, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Vocabulary:
-    """Numbers of the most frequent words, by falling count; -1 for any other."""
+class _Deal:
+    """The shard of a token by its context: words with many tokens are spread by the word before, text starts by the word itself."""
+
+    def __init__(self, shards: int, hot: np.ndarray, ways: np.ndarray):
+        order = np.argsort(hot)
+        self.shards, self.hot, self.ways = shards, hot[order], ways[order]
+
+    def way(self, v: np.ndarray) -> np.ndarray:
+        """Over how many shards each word is spread."""
+        if not len(self.hot):
+            return np.ones(len(v), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
+        return np.where(self.hot[at] == v, self.ways[at], 1)
+
+    def __call__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        salt = mixed(np.where(v == END, w, u) + np.uint64(1)) % self.way(v).astype(np.uint64)
+        return ((mixed(v + np.uint64(2)) + salt) % np.uint64(self.shards)).astype(np.int64)
+
+    def all_of(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every shard that holds tokens after each word: row numbers, shards."""
+        ways = np.minimum(self.way(v), self.shards)
+        row = np.repeat(np.arange(len(v)), ways)
+        salt = (np.arange(len(row)) - np.repeat(np.cumsum(ways) - ways, ways)).astype(np.uint64)
+        return row, ((mixed(v + np.uint64(2))[row] + salt) % np.uint64(self.shards)).astype(np.int64)
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _ordered(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of tokens by (v, u, w), all below n, and which of them in that order differ from the one before."""
+    if n < 1 << 21:
+        code = (v.astype(np.int64) * n + u) * n + w
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        return order, np.diff(code, prepend=-1) != 0
+    order = np.lexsort((w, u, v))
+    return order, np.logical_or.reduce([np.diff(x[order].astype(np.int64), prepend=-1) != 0 for x in (v, u, w)])
+
+
+def _pack(number: np.ndarray, weight: np.ndarray, texts: list[bytes], deal: _Deal) -> Iterator[tuple[int, bytes]]:
+    """Tokens of several texts as one byte string a shard: the words they name, (v, u, w), text, how often, how often in training."""
+    tokens = _Tokens(texts)
+    names, w = np.unique(tokens.key, return_inverse=True)  # the end of a text is the smallest key
+    second = np.concatenate([[True], tokens.first[:-1]])
+    v = np.where(tokens.first, 0, np.concatenate([[0], w[:-1]]))
+    u = np.where(tokens.first | second, 0, np.concatenate([[0, 0], w[:-2]])[: len(w)])
+    order, fresh = _ordered(v, u, w, len(names))
+    doc = tokens.doc[order]
+    start = np.flatnonzero(fresh | (np.diff(doc, prepend=-1) != 0))
+    times, doc, order = np.diff(np.append(start, len(order))), doc[start], order[start]
+    v, u, w = v[order], u[order], w[order]
+    shard = deal(names[v], names[u], names[w])
+    by_shard = np.argsort(_least(shard), kind="stable")
+    edge = np.flatnonzero(np.diff(shard[by_shard], prepend=-1))
+    for s, e in zip(edge, np.append(edge[1:], len(by_shard))):
+        at = by_shard[s:e]
+        used, local = np.unique(np.concatenate([v[at], u[at], w[at]]), return_inverse=True)
+        parts = [names[used], *(_least(x) for x in np.split(local, 3)), _least(doc[at]), _least(times[at]),
+                 _least(times[at] * weight[doc[at]]), number[np.unique(doc[at])], _least(np.unique(doc[at]))]
+        raw = to_bytes(parts)
+        yield int(shard[at[0]]), np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], np.int64)[0]), codec="zstd", asbytes=True)
+    return from_buffer(np.frombuffer(raw, np.uint8))
+
+
+def _grams(texts: DataFrame, deal) -> DataFrame:
+    """``(shard, blob)``: all tokens with their histories, packed by shard."""
+
+    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = deal()
+        for batch in batches:
+            texts = column_bytes(batch, "text")
+            number, weight = batch.column("number").to_numpy(), batch.column("weight").to_numpy()
+            for i, j in steps(texts):
+                rows = list(_pack(number[i:j], weight[i:j], texts[i:j], dealt))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"]
+                )
 
-    def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys)
-        self.sorted = keys[self.order]
-        self.end = int(np.flatnonzero(keys == END)[0]) if (keys == END).any() else -1
+    return texts.select("text", "number", "weight").mapInArrow(tidied(deal_out), "shard long, blob binary")
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == keys, self.order[at], -1)
 
-    def with_history(self, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the tokens, of those before them and of those before these; a text begins after two ends."""
-        own = self(tokens.key)
-        one = np.where(tokens.first, self.end, np.concatenate([[-1], own[:-1]]))
-        second = np.concatenate([[True], tokens.first[:-1]])
-        two = np.where(tokens.first | second, self.end, np.concatenate([[-1, -1], own[:-2]])[: len(own)])
-        return own, one, two
+def _hot_pairs(texts: DataFrame, deal) -> DataFrame:
+    """``(shard, v, w, n)``: the summed pairs of every hot word, once for each shard that holds tokens after it."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = deal().hot
+        for batch in batches:
+            texts, weight = column_bytes(batch, "text"), batch.column("weight").to_numpy()
+            for i, j in steps(texts):
+                tokens = _Tokens(texts[i:j])
+                v = np.where(tokens.first, END, np.concatenate([[END], tokens.key[:-1]]))
+                at = np.flatnonzero(np.isin(v, hot))
+                names, w = np.unique(tokens.key[at], return_inverse=True)
+                codes, inverse = np.unique(np.searchsorted(hot, v[at]) * max(len(names), 1) + w, return_inverse=True)
+                n = np.bincount(inverse, weight[i:j][tokens.doc[at]], minlength=len(codes)).astype(np.int64)
+                which, w = np.divmod(codes, max(len(names), 1))
+                yield pa.RecordBatch.from_arrays([_signed(hot[which]), _signed(names[w]), pa.array(n)], names=["v", "w", "n"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = deal()
+        for batch in batches:
+            row, shard = dealt.all_of(_unsigned(batch.column("v")))
+            take = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *take.columns], names=["shard", "v", "w", "n"])
+
+    pairs = texts.filter("weight > 0").select("text", "weight").mapInArrow(tidied(count), "v long, w long, n long")
+    summed = pairs.groupBy("v", "w").agg(F.sum("n").alias("n"))
+    return summed.mapInArrow(spread, "shard long, v long, w long, n long")
+
+
+def _smoothed(context: np.ndarray, n: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted shares of counts n and the weight each context leaves to shorter ones."""
+    total = np.bincount(context, n, minlength=contexts)
+    kinds = np.bincount(context, minlength=contexts)
+    left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    return (n - DISCOUNT) / total[context], left
+
+
+def _mapped(blobs: list[bytes]) -> list[Level]:
+    """Levels in a memory-mapped file without a name, which goes with the task."""
+    with tempfile.TemporaryFile() as file:
+        file.write(b"".join(blobs))
+        file.flush()
+        whole = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
+    ends = np.cumsum([len(b) for b in blobs])
+    return [Level(from_buffer(whole[e - len(b) : e])) for b, e in zip(blobs, ends)]
+
+
+class Trie:
+    """Pairs and triples of one shard: ``pairs`` (v, w), ``before`` (v, u), whose places are the
+    contexts of ``triples``. Words are numbers below ``words``; triples come sorted by (v, u, w)."""
+
+    def __init__(self, words: int, pair: tuple[np.ndarray, ...], triple: tuple[np.ndarray, ...]):
+        v, w, n = pair
+        share, left = _smoothed(v, n, words)
+        blobs = [Level.build(0, words, words, v, w, share, left)]
+        v, u, w, n = triple
+        fresh = (np.diff(v, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0)
+        context = np.cumsum(fresh) - 1
+        v, u = v[fresh], u[fresh]
+        share, left = _smoothed(context, n, len(v))
+        blobs += [Level.build(0, words, words, v, u, np.ones(len(v)), np.ones(words)),
+                  Level.build(0, len(v), words, context, w, share, left)]
+        self.pairs, self.before, self.triples = _mapped(blobs)
+
+    def parts(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``a`` and ``b`` such that p(w | u v) = a + b p(w), for tokens sorted by (v, u, w)."""
+        words = self.pairs.words
+        codes, inverse = np.unique(v * words + w, return_inverse=True)
+        found, left = self.pairs.find(*np.divmod(codes, words))
+        a, b = np.where(np.isnan(found), 0, 10.0**found)[inverse], (10.0**left)[inverse]
+        fresh = (np.diff(v, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0)
+        context = self.before.place(v[fresh], u[fresh])[np.cumsum(fresh) - 1]
+        at = np.flatnonzero(context >= 0)
+        found, left = self.triples.find(context[at], w[at])
+        left = 10.0**left
+        a[at] = np.where(np.isnan(found), 0, 10.0**found) + left * a[at]
+        b[at] *= left
+        return a, b
+
+
+def _scored_shard(blobs: list[bytes], hot: tuple[np.ndarray, ...], dealt: _Deal, known, rest: float) -> tuple[tuple, tuple]:
+    """Sums ``(text, log10)`` of one shard, and of words without a known count ``(text, word, times, a, b)``."""
+    parts = [_unpack(b) for b in blobs]
+    names = np.unique(np.concatenate([*(p[0] for p in parts), *hot[:2], [END]]).astype(np.uint64))
+    v, u, w = (np.concatenate([np.searchsorted(names, p[0]).astype(np.int32)[p[i]] for p in parts]) for i in (1, 2, 3))
+    text = np.concatenate([p[7][np.searchsorted(p[8], p[4])] for p in parts])
+    times, learned = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (5, 6))
+    del parts
+    order, fresh = _ordered(v, u, w, len(names))
+    start = np.flatnonzero(fresh)
+    gram = np.cumsum(fresh) - 1
+    text, times = text[order], times[order]
+    n = np.add.reduceat(learned[order], start)
+    v, u, w = (x[order][start].astype(np.int64) for x in (v, u, w))
+    own = (n > 0) & (dealt.way(names)[v] == 1)  # pairs of spread words come summed over their shards
+    codes, inverse = np.unique(v[own] * len(names) + w[own], return_inverse=True)
+    codes = np.concatenate([codes, np.searchsorted(names, hot[0]) * len(names) + np.searchsorted(names, hot[1])])
+    count = np.concatenate([np.bincount(inverse, n[own]), hot[2]])
+    by_code = np.argsort(codes)
+    inner = (n > 0) & (names[v] != END)
+    trie = Trie(len(names), (*np.divmod(codes[by_code], len(names)), count[by_code]), (v[inner], u[inner], w[inner], n[inner]))
+    a, b = trie.parts(v, u, w)
+    words, counts = known
+    key = names[w]
+    at = np.minimum(np.searchsorted(words, key), max(len(words) - 1, 0))
+    common = words[at] == key if len(words) else np.zeros(len(key), bool)
+    alone = (np.where(common, counts[at] if len(words) else 0, 0) + 1) * 10.0**-rest
+    value, common = np.log10(a + b * alone)[gram], common[gram]
+    texts, inverse = np.unique(text[common], return_inverse=True)
+    sums = np.bincount(inverse, (value[common] * times[common]), minlength=len(texts))
+    rare = np.flatnonzero(~common)
+    return (texts, sums), (text[rare], key[gram[rare]], times[rare], a[gram[rare]], b[gram[rare]])
+
+
+def _distinct_texts(documents: DataFrame, text: str, training: Column, keep: list[str]) -> DataFrame:
+    """Landed rows: ``keep``, ``number``, ``text``, ``weight``, ``same``.
+
+    Of equal texts that a task meets together the first stands for all: ``same`` is its ``number``, its
+    ``weight`` the training rows among them; the others have no text.
+    """
+    hidden, flag, number, weight, same = (unused(documents, c) for c in ("_text", "_train", "_row", "_weight", "_same"))
 
-def _contexts(own: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For orders 2 and 3: order, which tokens have a context, and the number of that context (of those)."""
-    at = np.flatnonzero(one >= 0)
-    yield 2, at, one[at]
-    w = WORDS[3]
-    at = np.flatnonzero((one >= 0) & (one < w) & (two >= 0) & (two < w))
-    yield 3, at, two[at] * w + one[at]
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, train = column_bytes(batch, hidden), batch.column(flag).to_numpy(zero_copy_only=False)
+            first: dict[bytes, int] = {}
+            own = np.array([first.setdefault(t, i) for i, t in enumerate(texts)], np.int64)
+            rows = batch.column(number).to_numpy()
+            is_first = own == np.arange(len(own))
+            weights = np.bincount(own, train, minlength=len(own)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), batch.column(number),
+                 pa.array([t if f else None for t, f in zip(texts, is_first)], pa.binary()), pa.array(weights), pa.array(rows[own])],
+                names=[*keep, number, hidden, weight, same],
+            )
 
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*keep).schema)
+    kinds += f"`{number}` long, `{hidden}` binary, `{weight}` long, `{same}` long"
+    rows = documents.select(
+        *keep, F.col(text).alias(hidden), F.coalesce(training, F.lit(False)).alias(flag), F.monotonically_increasing_id().alias(number)
+    )
+    landed = land(rows.mapInArrow(tidied(collapse), kinds), "texts")
+    return landed.select(F.struct(*keep).alias("kept"), *(F.col(c).alias(n) for c, n in
+                         ((number, "number"), (hidden, "text"), (weight, "weight"), (same, "same"))))
 
-def _ngram_counts(training: DataFrame, text: str, vocabulary) -> DataFrame:
-    """``(level, shard, context, word, n)``; word -1 stands for all words after the context."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = vocabulary(), _Gather()
-        for batch in batches:
-            texts = column_bytes(batch, "text")
-            for i, j in steps(texts):
-                own, one, two = words.with_history(_Tokens(texts[i:j]))
-                for order, at, context in _contexts(own, one, two):
-                    level = np.int64(order) << 48
-                    seen.add(level + (context << 16))
-                    word = own[at]
-                    inside = (word >= 0) & (word < WORDS[order])
-                    seen.add(level + (context[inside] << 16) + word[inside] + 1)
-        codes, n = seen.total()
-        codes = codes.astype(np.int64)
-        level, context, word = codes >> 48, codes >> 16 & (1 << 32) - 1, (codes & 0xFFFF) - 1
-        shard = context // np.where(level == 2, SHARD[2], SHARD[3])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(level.astype(np.int32)), *(pa.array(x) for x in (shard, context, word, n))],
-            names=["level", "shard", "context", "word", "n"],
-        )
-
-    rows = training.select(F.col(text).alias("text")).mapInArrow(count, "level int, shard long, context long, word long, n long")
-    return rows.groupBy("level", "shard", "context", "word").agg(F.sum("n").alias("n"))
-
-
-def _discounted(rows: pd.DataFrame, lower) -> tuple[np.ndarray, ...]:
-    """Contexts, words and probabilities of one shard, and (context, backoff weight)."""
-    rows = rows.sort_values(["context", "word"])
-    total = rows[rows["word"] < 0]
-    seen = rows[rows["word"] >= 0]
-    context, word, n = (seen[c].to_numpy() for c in ("context", "word", "n"))
-    names, sums = total["context"].to_numpy(), total["n"].to_numpy().astype(float)
-    at = np.searchsorted(names, context)
-    share = np.maximum(n - DISCOUNT, 0) / sums[at]
-    backoff = np.maximum(1 - np.bincount(at, share, minlength=len(names)), 1e-9)
-    return context, word, share + backoff[at] * lower(context, word), names, backoff
-
-
-class Model:
-    """Levels of the trie by order and shard, single-word counts, and sizes of the corpus."""
-
-    def __init__(self, vocabulary: _Vocabulary, single: np.ndarray, levels, known: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int):
-        self.vocabulary, self.single, self.levels = vocabulary, single, levels
-        self.known_words, self.known_counts = known
-        self.tokens, self.distinct = tokens, distinct
-        self._open: dict[tuple[int, int], Level] | None = None
-
-    @property
-    def rest(self) -> float:
-        """log10 of the denominator of a single word."""
-        return float(np.log10(self.tokens + self.distinct + 1))
-
-    def __getstate__(self):
-        return {**self.__dict__, "_open": None}
-
-    def _mapped(self) -> dict[tuple[int, int], Level]:
-        """The levels in a memory-mapped file of the worker that has no name, so it goes with the worker."""
-        if self._open is None:
-            self._open = {}
-            if self.levels:
-                with tempfile.TemporaryFile() as file:
-                    file.write(b"".join(blob for _, _, blob in self.levels))
-                    file.flush()
-                    whole = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
-                at = 0
-                for order, shard, blob in self.levels:
-                    self._open[order, shard] = Level(from_buffer(whole[at : at + len(blob)]))
-                    at += len(blob)
-                self.levels = ()
-        return self._open
-
-    def _find(self, order: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As ``Level.find`` over all shards; a context that was never seen backs off with weight 1."""
-        width = np.int64(WORDS[order] + 1)
-        codes, inverse = np.unique(context * width + word, return_inverse=True)
-        context, word = codes // width, codes % width
-        found, backoff = np.full(len(codes), np.nan), np.zeros(len(codes))
-        shard = context // SHARD[order]
-        edges = np.flatnonzero(np.diff(shard, prepend=-1))
-        for s, e in zip(edges, np.append(edges[1:], len(codes))):
-            level = self._mapped().get((order, int(shard[s])))
-            if level is not None:
-                found[s:e], backoff[s:e] = level.find(context[s:e], word[s:e])
-        return found[inverse], backoff[inverse]
-
-    def log10(self, tokens: _Tokens, alone: np.ndarray) -> np.ndarray:
-        """log10 of each token after its history; ``alone`` is that of the word by itself."""
-        own, one, two = self.vocabulary.with_history(tokens)
-        out = alone.copy()
-        for order, at, context in _contexts(own, one, two):
-            # any other word is asked for as the number behind the last, which never follows
-            word = np.where((own[at] >= 0) & (own[at] < WORDS[order]), own[at], WORDS[order])
-            found, backoff = self._find(order, context, word)
-            out[at] = np.where(np.isnan(found), backoff + out[at], found)
-        return out
-
-
-def train(training: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the landed ``(word, n)`` of all words. An empty table gives the uniform model of no words."""
-    spark = training.sparkSession
-    counts = land(word_counts(training, text), "words")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS[2]).toPandas()
-    vocabulary = _Vocabulary(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
-    single = (top["n"].to_numpy(dtype=float) + 1) / (tokens + distinct + 1)
-    # frequent words: as many steps of falling counts as KNOWN_WORDS allow
-    step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
-    least, held = None, 0
-    for at, n in sizes:
-        if held + n > KNOWN_WORDS:
-            break
-        least, held = at, held + n
-    known = counts.filter(step >= least) if least is not None else counts.limit(0)
-    known = known.toPandas().sort_values("word")
-    words = known["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    shared = shipped(spark, vocabulary)
-    rows = land(_ngram_counts(training, text, shared), "ngrams")
-
-    def shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order, number = int(key[0]), int(key[1])
-        if order == 2:
-            lower = lambda context, word: single[word]
-        else:
-            # p(w | h): rows of order 2 for the words of order 3, at most WORDS[3] ** 2
-            lower = lambda context, word: pairs[context % WORDS[3], word]
-        context, word, probability, names, weight = _discounted(rows, lower)
-        first = number * SHARD[order]
-        backoff = np.ones(SHARD[order])
-        backoff[names - first] = weight
-        blob = Level.build(first, SHARD[order], WORDS[order], context, word, probability, backoff)
-        return pd.DataFrame({"level": [order], "shard": [number], "blob": [blob]})
-
-    w = WORDS[3]
-    few = rows.filter((F.col("level") == 2) & (F.col("context") < w))
-    totals = few.groupBy("context").agg(
-        F.max(F.when(F.col("word") < 0, F.col("n"))).alias("total"),
-        F.sum(F.when(F.col("word") >= 0, F.col("n"))).alias("inside"), F.count("*").alias("kinds"),
-        F.sum(F.when(F.col("word") >= 0, F.col("n") - F.least(F.col("n").cast("double"), F.lit(DISCOUNT)))).alias("kept"),
-    ).toPandas()
-    pairs = np.tile(np.append(single[:w], np.zeros(max(0, w - len(single)))), (w, 1))
-    for r in totals.itertuples():
-        pairs[r.context] *= max(1 - (0 if pd.isna(r.kept) else r.kept) / r.total, 1e-9)
-    total_of = dict(zip(totals["context"], totals["total"]))
-    for r in few.filter((F.col("word") >= 0) & (F.col("word") < w)).toPandas().itertuples():
-        pairs[r.context, r.word] += max(r.n - DISCOUNT, 0) / total_of[r.context]
-
-    built = rows.groupBy("level", "shard").applyInPandas(shard, "level int, shard long, blob binary")
-    levels = [(r.level, r.shard, bytes(r.blob)) for r in built.collect()]
-    model = Model(vocabulary, single, tuple(levels), (words[order], known["n"].to_numpy(dtype=np.int64)[order]), int(tokens), int(distinct))
-    return model, counts
-
-
-def score(documents: DataFrame, model: Model, counts: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Every row with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
+def score(documents: DataFrame, training: Column, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Every row with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` under the model of the ``training`` rows.
 
     ``base_score`` sums log10((c + 1) / (N + V + 1)) over the words of the text and its end, ``score`` the
     model's log10. A-Z are lowered, words are ``[^\\x20\\x09-\\x0D]+``; null, empty and word-free
-    texts are their end alone. Repeated rows score alike; other columns (or those in ``carry``) pass through.
+    texts are their end alone. Rows where ``training`` is null or false are only scored; without a training row the
+    model knows no word and gives each 1. Repeated rows score alike; other columns (or those in ``carry``)
+    pass through. To score one table by another, unite them with a column that tells them apart.
     """
-    hidden, number = unused(documents, "_text"), unused(documents, "_row")
+    spark = documents.sparkSession
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in (documents.columns if carry is None else carry) if c not in added]
-    held = shipped(documents.sparkSession, model)
+    rows = _distinct_texts(documents, text, training, keep)
+    texts = rows.filter("text is not null").select("number", "text", "weight")
+    counts = land(word_counts(texts), "words")
+    tokens, distinct = (int(x) for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    rest = float(np.log10(tokens + distinct + 1))
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held()
-        words, n = model.known_words, model.known_counts
+    # frequent words: as many steps of falling counts as KNOWN_WORDS allow
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if held + r["count"] > KNOWN_WORDS:
+            break
+        least, held = r["step"], held + r["count"]
+    frequent = counts.filter(step >= least).toPandas() if least is not None else counts.limit(0).toPandas()
+    frequent = frequent.assign(word=frequent["word"].to_numpy(dtype=np.int64).view(np.uint64)).sort_values("word")
+    known = shipped(spark, (frequent["word"].to_numpy(), frequent["n"].to_numpy(dtype=np.int64)))
+    # contexts with many tokens, fewer than HOT_SHARE
+    much = max(HOT, tokens // HOT_SHARE)
+    hot = counts.filter(F.col("n") > much).toPandas()
+    dealt = _Deal(max(1, -(-tokens // SHARD_TOKENS)), hot["word"].to_numpy(dtype=np.int64).view(np.uint64), -(-hot["n"].to_numpy(dtype=np.int64) // much))
+    deal = shipped(spark, dealt)
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = known()
         for batch in batches:
-            texts = column_bytes(batch, hidden)
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
+            texts = column_bytes(batch, "text")
+            out: list[list[np.ndarray]] = [[np.zeros(0)] for _ in range(3)]
             for i, j in steps(texts):
                 tokens = _Tokens(texts[i:j])
                 at = np.minimum(np.searchsorted(words, tokens.key), max(len(words) - 1, 0))
-                known = words[at] == tokens.key if len(words) else np.zeros(len(tokens.key), bool)
-                more = np.log10(np.where(known, n[at] if len(n) else 0, 0) + 1.0)
-                alone = more - model.rest  # of a rare word without its count yet, which only adds
-                total = [np.bincount(tokens.doc, x, minlength=j - i) for x in (known, alone, model.log10(tokens, alone))]
-                rare = np.bincount(tokens.doc[~known], minlength=j - i)
-                for into, x in zip(out, [tokens.n, *total, tokens.key[~known]]):
+                common = words[at] == tokens.key if len(words) else np.zeros(len(tokens.key), bool)
+                alone = np.log10(np.where(common, n[at] if len(n) else 0, 0) + 1.0) - rest
+                for into, x in zip(out, (tokens.n, *(np.bincount(tokens.doc, x, minlength=j - i) for x in (common, alone)))):
                     into.append(x)
-                lengths.append(rare)
-            flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            rare = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(np.concatenate(lengths))).astype(np.int32)),
-                pa.array(flat[4].astype(np.uint64).view(np.int64)),
-            )
+            flat = [np.concatenate(x) for x in out]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), batch.column(number), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)),
-                 pa.array(flat[2]), pa.array(flat[3]), rare],
-                names=[*keep, number, "n_tokens", "n_known", "base_score", "score", "rare"],
+                [batch.column("number"), *(pa.array(x.astype(np.int64)) for x in flat[:2]), pa.array(flat[2])],
+                names=["number", "n_tokens", "n_known", "base"],
             )
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*keep).schema)
-    kinds += f"`{number}` long, n_tokens long, n_known long, base_score double, score double, rare array<bigint>"
-    rows = documents.select(*keep, F.col(text).alias(hidden), F.monotonically_increasing_id().alias(number))
-    rows = land(rows.mapInArrow(look_up, kinds), "scored")
-    # words whose counts were not broadcast add log10(c + 1) to both scores, whatever their context
-    rare = rows.select(number, F.explode("rare").alias("word")).join(counts, "word")
-    more = rare.groupBy(number).agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
-    return rows.drop("rare").join(more, number, "left").select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        *((F.col(c) + F.coalesce("more", F.lit(0.0))).alias(c) for c in ("base_score", "score")),
+    def shard(key: tuple, table: pa.Table) -> pa.Table:
+        blobs = [bytes(b) for b in table.column("blob").to_pylist() if b is not None]
+        pairs = table.filter(pc.is_null(table.column("blob")))
+        if not blobs:
+            return empty.empty_table()
+        sent = _unsigned(pairs.column("v")), _unsigned(pairs.column("w")), pairs.column("n").to_numpy()
+        (text, sums), (rare, word, times, a, b) = _scored_shard(blobs, sent, deal(), known(), rest)
+        n, m = len(text), len(rare)
+        return pa.table({
+            "number": pa.array(np.concatenate([text, rare]).astype(np.int64)), "score": pa.array(np.concatenate([sums, np.zeros(m)])),
+            "word": pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(word)]),
+            "times": pa.array(np.concatenate([np.zeros(n, np.int64), times])),
+            "a": pa.array(np.concatenate([np.zeros(n), a])), "b": pa.array(np.concatenate([np.zeros(n), b])),
+        }, schema=empty)
+
+    empty = pa.schema([("number", pa.int64()), ("score", pa.float64()), ("word", pa.int64()), ("times", pa.int64()),
+                       ("a", pa.float64()), ("b", pa.float64())])
+    none = F.lit(None).cast("long")
+    dealt_out = _grams(texts, deal).select("shard", "blob", none.alias("v"), none.alias("w"), none.alias("n"))
+    if len(hot):
+        dealt_out = dealt_out.unionByName(_hot_pairs(texts, deal).select("shard", F.lit(None).cast("binary").alias("blob"), "v", "w", "n"))
+    answers = land(
+        dealt_out.groupBy("shard").applyInArrow(shard, "number long, score double, word long, times long, a double, b double"), "answers"
+    )
+    # words whose counts were not broadcast take them from the table
+    rare = answers.filter("word is not null").join(counts, "word", "left")
+    n = F.coalesce("n", F.lit(0))
+    rare = rare.select(
+        "number", (F.col("times") * F.log10(F.col("a") + F.col("b") * (n + 1) * F.lit(10.0**-rest))).alias("score"),
+        (F.col("times") * F.log10(n + 1.0)).alias("base"), F.when(n > 0, F.col("times")).otherwise(0).alias("n_known"),
+    )
+    zero = F.lit(0).cast("long")
+    sums = answers.filter("word is null").select("number", "score", F.lit(0.0).alias("base"), zero.alias("n_known"), zero.alias("n_tokens"))
+    sums = sums.unionByName(rare.withColumn("n_tokens", zero)).unionByName(
+        texts.select("number", "text").mapInArrow(tidied(of_words), "number long, n_tokens long, n_known long, base double").withColumn("score", F.lit(0.0))
+    )
+    sums = sums.groupBy("number").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    return rows.select("kept", "same").join(sums, F.col("same") == F.col("number")).select(
+        *(F.col("kept").getField(c).alias(c) for c in keep), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score",
     )

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scalefold.llm import eliasfano, label_queries, language, lm, toxicity
 from scalefold.llm import corpus_queries as cq
@@ -103,23 +104,31 @@ def tokens(text):
 
 
 @pytest.fixture
-def small_levels(monkeypatch):
-    """Few words in the trie and few broadcast counts, so every path is taken."""
-    monkeypatch.setattr(lm, "WORDS", {2: 40, 3: 8})
-    monkeypatch.setattr(lm, "SHARD", {2: 16, 3: 32})
+def small_shards(monkeypatch):
+    """Many shards, spread contexts and few broadcast counts, so every path is taken."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 4000)
+    monkeypatch.setattr(lm, "HOT", 60)
     monkeypatch.setattr(lm, "KNOWN_WORDS", 100)
 
 
-def test_base_score_and_counts(spark, small_levels):
-    rows = documents()
-    train = [r for r in rows if r[0] is None or r[0] % 7 != 2]
-    model, counts = lm.train(frame(spark, train))
-    c = Counter(t for r in train for t in tokens(r[1]))
+TRAIN = "doc_id % 7 <> 2 or doc_id is null"
+
+
+def learned():
+    return [r for r in documents() if r[0] is None or r[0] % 7 != 2]
+
+
+def scored(spark, rows=None, training=TRAIN):
+    return lm.score(frame(spark, rows), F.expr(training), carry=["doc_id"]).collect()
+
+
+def test_base_score_and_counts(spark, small_shards):
+    c = Counter(t for r in learned() for t in tokens(r[1]))
     n, v = sum(c.values()), len(c)
-    got = lm.score(frame(spark, rows), model, counts, carry=["doc_id"]).collect()
-    assert len(got) == len(rows)
+    got = scored(spark)
+    assert len(got) == len(documents())
     want = {}
-    for r in rows:
+    for r in documents():
         t = tokens(r[1])
         want.setdefault((r[0], len(t)), []).append((sum(c[x] > 0 for x in t), sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t)))
     for r in got:
@@ -127,56 +136,67 @@ def test_base_score_and_counts(spark, small_levels):
         assert any(r.n_known == k and r.base_score == pytest.approx(b) for k, b in want[r.doc_id, r.n_tokens])
 
 
-def plain_model(train, n_words):
-    """The same smoothing with dictionaries; words of each order by falling count."""
+def histories(text):
+    """Each token with up to two tokens before it; a text begins after one end mark."""
+    t = [None, *tokens(text)]
+    return [(tuple(t[max(0, i - 2) : i]), t[i]) for i in range(1, len(t))]
+
+
+def plain_model(train):
+    """The same smoothing with dictionaries over all words."""
     c = Counter(t for r in train for t in tokens(r[1]))
     n, v = sum(c.values()), len(c)
-    alone = lambda w: (c[w] + 1) / (n + v + 1)
-    grams, total = Counter(), Counter()
+    grams, total, kinds = Counter(), Counter(), Counter()
     for r in train:
-        t = [None, None, *tokens(r[1])]
-        for i in range(2, len(t)):
-            for order in (2, 3):
-                h = tuple(t[i - order + 1 : i])
-                if all(x in n_words[order] for x in h):
-                    total[h] += 1
-                    if t[i] in n_words[order]:
-                        grams[h, t[i]] += 1
-    left = {h: 1.0 for h in total}
-    for (h, _), k in grams.items():
-        left[h] -= max(k - lm.DISCOUNT, 0) / total[h]
+        for h, w in histories(r[1]):
+            for part in {h, h[-1:]}:
+                grams[part, w] += 1
+                total[part] += 1
+    for h, _ in grams:
+        kinds[h] += 1
 
     def p(h, w):
-        lower = alone(w) if len(h) == 1 else p(h[1:], w)
+        if not h:
+            return (c[w] + 1) / (n + v + 1)
         if h not in total:
-            return lower
-        return max(grams[h, w] - lm.DISCOUNT, 0) / total[h] + left[h] * lower
+            return p(h[1:], w)
+        return max(grams[h, w] - lm.DISCOUNT, 0) / total[h] + lm.DISCOUNT * kinds[h] / total[h] * p(h[1:], w)
 
-    return p, c
+    return p, c, total
 
 
-def test_score_is_the_interpolated_model(spark, small_levels):
-    rows = documents()
-    model, counts = lm.train(frame(spark, rows))
-    order = [model.vocabulary.sorted[np.argsort(model.vocabulary.order)][i] for i in range(40)]
-    keys = {int(lm._Tokens([w]).key[0]): w for w in {t for r in rows for t in tokens(r[1]) if t}} | {0: None}
-    named = [keys[int(k)] for k in order]
-    p, c = plain_model(rows, {2: set(named), 3: set(named[:8])})
-    assert sum(p((named[0], named[1]), w) for w in [*c, "no such word"]) == pytest.approx(1)
+@pytest.mark.parametrize("hot", [20, 60, 1 << 20])
+def test_score_is_the_interpolated_model(spark, small_shards, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
+    p, c, total = plain_model(learned())
+    for h in list(total)[:40]:
+        assert sum(p(h, w) for w in [*c, "no such word"]) == pytest.approx(1)
     want = {}
-    for r in rows:
-        t = [None, None, *tokens(r[1])]
-        want.setdefault((r[0], len(t) - 2), []).append(sum(math.log10(p(tuple(t[i - 2 : i]), t[i])) for i in range(2, len(t))))
-    for r in lm.score(frame(spark, rows), model, counts, carry=["doc_id"]).collect():
-        assert any(abs(r.score - w) < 1e-3 * r.n_tokens for w in want[r.doc_id, r.n_tokens])
+    for r in documents():
+        value = sum(math.log10(p(h, w)) for h, w in histories(r[1]))
+        want.setdefault((r[0], len(tokens(r[1]))), []).append(value)
+    for r in scored(spark):
+        assert any(abs(r.score - w) < 2e-4 * r.n_tokens for w in want[r.doc_id, r.n_tokens])
+
+
+def test_score_without_broadcast_counts(spark, monkeypatch):
+    plain = {(r.doc_id, r.n_tokens): r.score for r in scored(spark)}
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 0)
+    for r in scored(spark):
+        assert r.score == pytest.approx(plain[r.doc_id, r.n_tokens])
 
 
 def test_model_of_no_words(spark):
-    model, counts = lm.train(frame(spark, []))
-    got = lm.score(frame(spark), model, counts, carry=["doc_id"]).collect()
+    got = scored(spark, training="false")
     assert len(got) == len(documents()) and all(r.n_known == 0 and r.score == 0 for r in got)
-    full, counts = lm.train(frame(spark))
-    assert lm.score(frame(spark, []), full, counts).count() == 0
+    assert scored(spark, []) == []
+
+
+def test_columns_named_like_internal_ones_pass(spark):
+    rows = frame(spark).withColumns({c: F.lit(c) for c in ("_text", "_same", "number", "score", "word", "kept")})
+    got = lm.score(rows, F.lit(True))
+    assert got.count() == len(documents()) and {"_text", "_row", "_same", "number", "word", "kept"} <= set(got.columns)
+    assert {(r._text, r._same, r.number, r.kept) for r in got.collect()} == {("_text", "_same", "number", "kept")}
 
 
 def test_elias_fano():
