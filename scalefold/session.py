@@ -66,13 +66,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def land(df: DataFrame, label: str) -> DataFrame:
+def land(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the application's folder and read it back.
 
     Cuts the lineage in a way that survives the loss of executors, and gives
-    later stages column pruning and real table statistics. ``release`` removes the tables.
+    later stages column pruning and real table statistics. ``release`` removes the tables. ``compression``
+    names a Parquet codec where the session's own is not wanted.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
