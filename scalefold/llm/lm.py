@@ -39,7 +39,7 @@ SHARD_TOKENS = 1 << 21
 HOT = 1 << 20
 HOT_SHARE = 1 << 20
 #: Counts of at most so many of the most frequent words are broadcast.
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 19
 #: The key of the end of a text.
 END = np.uint64(0)
 #: Rows a task gathers before it adds them up.
@@ -154,8 +154,27 @@ def _ordered(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: int) -> tuple[np.nd
     return order, np.logical_or.reduce([np.diff(x[order].astype(np.int64), prepend=-1) != 0 for x in (v, u, w)])
 
 
-def _pack(number: np.ndarray, weight: np.ndarray, texts: list[bytes], deal: _Deal) -> Iterator[tuple[int, bytes]]:
-    """Tokens of several texts as one byte string a shard: the words they name, (v, u, w), text, how often, how often in training."""
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Low bytes of all numbers, then their next bytes and so on: planes compress better than numbers."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.ravel()
+
+
+def _whole(planes: np.ndarray, n: int) -> np.ndarray:
+    size = len(planes) // n
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"u{size}").ravel()
+
+
+def _rises(x: np.ndarray) -> np.ndarray:
+    """Planes of the steps of a sorted sequence."""
+    return _planes(_least(np.diff(x, prepend=x.dtype.type(0))))
+
+
+def _pack(number: np.ndarray, weight: np.ndarray, texts: list[bytes], deal: _Deal, words: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Tokens of several texts as one byte string a shard, sorted by (v, u, w).
+
+    It holds how many tokens, named words and texts there are; the words, known ones by their places among
+    ``words``; v, u and w as numbers of these; text, how often, how often in training; the texts' numbers.
+    """
     tokens = _Tokens(texts)
     names, w = np.unique(tokens.key, return_inverse=True)  # the end of a text is the smallest key
     second = np.concatenate([[True], tokens.first[:-1]])
@@ -168,31 +187,53 @@ def _pack(number: np.ndarray, weight: np.ndarray, texts: list[bytes], deal: _Dea
     v, u, w = v[order], u[order], w[order]
     shard = deal(names[v], names[u], names[w])
     by_shard = np.argsort(_least(shard), kind="stable")
+    place_of = np.full(len(names), -1, np.int64)
+    if len(words):
+        near = np.minimum(np.searchsorted(words, names), len(words) - 1)
+        place_of = np.where(words[near] == names, near, -1)
     edge = np.flatnonzero(np.diff(shard[by_shard], prepend=-1))
     for s, e in zip(edge, np.append(edge[1:], len(by_shard))):
         at = by_shard[s:e]
         used, local = np.unique(np.concatenate([v[at], u[at], w[at]]), return_inverse=True)
-        parts = [names[used], *(_least(x) for x in np.split(local, 3)), _least(doc[at]), _least(times[at]),
-                 _least(times[at] * weight[doc[at]]), number[np.unique(doc[at])], _least(np.unique(doc[at]))]
-        raw = to_bytes(parts)
+        own_v, own_u, own_w = np.split(local, 3)
+        place = place_of[used]
+        rest, placed = names[used][place < 0], place[place >= 0]
+        docs, own_doc = np.unique(doc[at], return_inverse=True)
+        # u rises as long as v stays, so its steps are small but where v changes
+        turn = np.diff(own_v, prepend=-1) != 0
+        step = np.where(turn, own_u, np.diff(own_u, prepend=0))
+        raw = to_bytes(
+            [np.array([len(at), len(rest), len(placed), len(docs)], np.int64), rest, _rises(placed), _rises(own_v), _planes(_least(step)),
+             _planes(_least(own_w)), _planes(_least(own_doc)), _planes(_least(times[at])), _planes(_least(times[at] * weight[doc[at]])),
+             _rises(number[docs])]
+        )
         yield int(shard[at[0]]), np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
+def _unpack(blob: bytes, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words, then for each token v, u and w as numbers of these, the number of its text, how often, how often in training."""
     raw = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], np.int64)[0]), codec="zstd", asbytes=True)
-    return from_buffer(np.frombuffer(raw, np.uint8))
-
-
-def _grams(texts: DataFrame, deal) -> DataFrame:
+    (n, _, named, docs), rest, *planes = from_buffer(np.frombuffer(raw, np.uint8))
+    placed = np.cumsum(_whole(planes[0], named), dtype=np.int64) if named else np.zeros(0, np.int64)
+    v, step, w, doc, times, learned = (_whole(p, n).astype(np.int64) for p in planes[1:7])
+    v = np.cumsum(v)
+    u = np.cumsum(step)
+    start = np.flatnonzero(np.diff(v, prepend=-1) != 0)
+    u -= np.repeat(u[start] - step[start], np.diff(np.append(start, n)))
+    number = np.cumsum(_whole(planes[7], docs), dtype=np.int64)
+    return np.sort(np.concatenate([words[placed], rest])), v, u, w, number[doc], times, learned
+
+
+def _grams(texts: DataFrame, deal, known) -> DataFrame:
     """``(shard, blob)``: all tokens with their histories, packed by shard."""
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt = deal()
+        dealt, words = deal(), known()[0]
         for batch in batches:
             texts = column_bytes(batch, "text")
             number, weight = batch.column("number").to_numpy(), batch.column("weight").to_numpy()
             for i, j in steps(texts):
-                rows = list(_pack(number[i:j], weight[i:j], texts[i:j], dealt))
+                rows = list(_pack(number[i:j], weight[i:j], texts[i:j], dealt, words))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"]
                 )
@@ -282,11 +323,11 @@ class Trie:
 
 def _scored_shard(blobs: list[bytes], hot: tuple[np.ndarray, ...], dealt: _Deal, known, rest: float) -> tuple[tuple, tuple]:
     """Sums ``(text, log10)`` of one shard, and of words without a known count ``(text, word, times, a, b)``."""
-    parts = [_unpack(b) for b in blobs]
+    words, counts = known
+    parts = [_unpack(b, words) for b in blobs]
     names = np.unique(np.concatenate([*(p[0] for p in parts), *hot[:2], [END]]).astype(np.uint64))
     v, u, w = (np.concatenate([np.searchsorted(names, p[0]).astype(np.int32)[p[i]] for p in parts]) for i in (1, 2, 3))
-    text = np.concatenate([p[7][np.searchsorted(p[8], p[4])] for p in parts])
-    times, learned = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (5, 6))
+    text, times, learned = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
     del parts
     order, fresh = _ordered(v, u, w, len(names))
     start = np.flatnonzero(fresh)
@@ -302,7 +343,6 @@ def _scored_shard(blobs: list[bytes], hot: tuple[np.ndarray, ...], dealt: _Deal,
     inner = (n > 0) & (names[v] != END)
     trie = Trie(len(names), (*np.divmod(codes[by_code], len(names)), count[by_code]), (v[inner], u[inner], w[inner], n[inner]))
     a, b = trie.parts(v, u, w)
-    words, counts = known
     key = names[w]
     at = np.minimum(np.searchsorted(words, key), max(len(words) - 1, 0))
     common = words[at] == key if len(words) else np.zeros(len(key), bool)
@@ -341,7 +381,7 @@ def _distinct_texts(documents: DataFrame, text: str, training: Column, keep: lis
     rows = documents.select(
         *keep, F.col(text).alias(hidden), F.coalesce(training, F.lit(False)).alias(flag), F.monotonically_increasing_id().alias(number)
     )
-    landed = land(rows.mapInArrow(tidied(collapse), kinds), "texts")
+    landed = land(rows.mapInArrow(tidied(collapse), kinds), "texts", "zstd")
     return landed.select(F.struct(*keep).alias("kept"), *(F.col(c).alias(n) for c, n in
                          ((number, "number"), (hidden, "text"), (weight, "weight"), (same, "same"))))
 
@@ -410,17 +450,17 @@ def score(documents: DataFrame, training: Column, text: str = "text", carry: lis
             "number": pa.array(np.concatenate([text, rare]).astype(np.int64)), "score": pa.array(np.concatenate([sums, np.zeros(m)])),
             "word": pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(word)]),
             "times": pa.array(np.concatenate([np.zeros(n, np.int64), times])),
-            "a": pa.array(np.concatenate([np.zeros(n), a])), "b": pa.array(np.concatenate([np.zeros(n), b])),
+            **{k: pa.array(np.concatenate([np.zeros(n), x]).astype(np.float32)) for k, x in (("a", a), ("b", b))},
         }, schema=empty)
 
     empty = pa.schema([("number", pa.int64()), ("score", pa.float64()), ("word", pa.int64()), ("times", pa.int64()),
-                       ("a", pa.float64()), ("b", pa.float64())])
+                       ("a", pa.float32()), ("b", pa.float32())])
     none = F.lit(None).cast("long")
-    dealt_out = _grams(texts, deal).select("shard", "blob", none.alias("v"), none.alias("w"), none.alias("n"))
+    dealt_out = _grams(texts, deal, known).select("shard", "blob", none.alias("v"), none.alias("w"), none.alias("n"))
     if len(hot):
         dealt_out = dealt_out.unionByName(_hot_pairs(texts, deal).select("shard", F.lit(None).cast("binary").alias("blob"), "v", "w", "n"))
     answers = land(
-        dealt_out.groupBy("shard").applyInArrow(shard, "number long, score double, word long, times long, a double, b double"), "answers"
+        dealt_out.groupBy("shard").applyInArrow(shard, "number long, score double, word long, times long, a float, b float"), "answers", "zstd"
     )
     # words whose counts were not broadcast take them from the table
     rare = answers.filter("word is not null").join(counts, "word", "left")
