@@ -1,11 +1,11 @@
 """Exact top-k inner products by the threshold algorithm over sorted lists per dimension.
 
 Candidates are packed into shards. For each dimension a shard keeps its
-candidates sorted by that component. For a query, sorted access goes down every
-list with a non-zero query component (from the end where it is negative), all
-lists to the same depth; what turns up is scored in full by random access. The
-threshold is the score of an imagined vector made of the components last seen;
-once it is below the k-th score, no unseen candidate can enter, nor tie.
+candidates sorted by that component. A pack of queries goes down the lists together: sorted access takes
+every list from the ends its unfinished queries ask for, all to the same depth; what turns up for one of them is scored in full for
+all of them by random access, once. The threshold of a query is the score of an imagined vector made of the components
+last seen; once it is below the query's k-th score, no unseen candidate can enter, nor tie, and the query leaves the
+pack. When every candidate has turned up the lists are left, however far they still go.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ def quantised(vector: str, scale: float = 64.0) -> Column:
 def _packed(vectors: DataFrame, rows: int) -> DataFrame:
     """``(pack, ids, vectors)``: rows dealt by hash to packs of about ``rows``, one dimension count a pack."""
     dims = vectors.withColumn("dim", F.size("vec"))
+    # one row for each length of vectors: D lengths take over D^2 / 2 components, so this stays small at any size
     counts = dims.groupBy("dim").agg(F.count("*").alias("n"))
-    dealt = dims.join(counts, "dim")
+    dealt = dims.join(F.broadcast(counts), "dim")
     pack = F.pmod(F.xxhash64("id", "vec"), F.ceil(F.col("n") / rows).cast("long"))
     return (
         dealt.withColumn("pack", pack)
@@ -58,56 +59,58 @@ class _Lists:
         self.sorted = np.take_along_axis(self.vectors, self.order, axis=0)
 
     def top(self, queries: np.ndarray, skip: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and scores of the best ``k`` rows for each query, ``skip`` being the query's own id."""
-        n, dims = self.vectors.shape
+        """Ids and scores of the best ``k`` rows for each query, ``skip`` being the query's own id.
+
+        ``met`` then tells how many rows each query was scored against.
+        """
+        n = len(self.ids)
+        scorer = _Scorer(queries, self.vectors)
+        rising, falling = np.maximum(queries, 0), np.minimum(queries, 0)
+        score = np.full((len(queries), n), scorer.least, scorer.kind)
+        highest = np.full((len(queries), k), scorer.least, scorer.kind)
+        seen = np.zeros(n, bool)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2] * len(queries)
-        seen = np.zeros((len(queries), n), bool)
-        score = np.zeros((len(queries), n), np.int64)
+        self.met = np.zeros(len(queries), np.int64)
         live = np.arange(len(queries))
         begin, depth = 0, min(FIRST_DEPTH, n)
         while len(live):
-            fresh = np.zeros((len(live), n), bool)
-            bound = np.zeros(len(live), np.int64)
-            for d in range(dims):
-                q = queries[live, d]
-                for sign, rows, edge in (
-                    (q > 0, self.order[n - depth : n - begin, d], self.sorted[n - depth, d]),
-                    (q < 0, self.order[begin:depth, d], self.sorted[depth - 1, d]),
-                ):
-                    who = np.flatnonzero(sign)
-                    if len(who):
-                        fresh[who[:, None], rows] = True
-                        bound[who] += q[who] * edge
-            fresh &= ~seen[live]
-            columns = np.flatnonzero(fresh.any(axis=0))
-            part = _products(queries[live], self.vectors[columns])
-            block = np.ix_(live, columns)
-            score[block] = np.where(fresh[:, columns], part, score[block])
-            seen[live] |= fresh
-            own = seen[live] & (self.ids != skip[live, None])
-            values = np.where(own, score[live], np.iinfo(np.int64).min)
-            kth = np.partition(values, n - k, axis=1)[:, n - k] if k <= n else np.full(len(live), np.iinfo(np.int64).min)
-            ended = (bound < kth) | (depth == n)
-            for row in np.flatnonzero(ended):
-                if depth == n:  # all that a list can show was seen; a query of zeros meets every row with score 0
-                    own[row] = self.ids != skip[live[row]]
-                mine = np.flatnonzero(own[row])
-                got = score[live[row], mine]
+            turned = np.zeros(n, bool)
+            turned[self.order[n - depth : n - begin, rising[live].any(axis=0)]] = True
+            turned[self.order[begin:depth, falling[live].any(axis=0)]] = True
+            if depth == n:  # a query of zeros asks for no list and meets every row with score 0
+                turned[:] = True
+            fresh = np.flatnonzero(turned & ~seen)
+            seen[fresh] = True
+            part = scorer.products(live, fresh)
+            part[self.ids[fresh] == skip[live, None]] = scorer.least
+            score[live[:, None], fresh] = part
+            both = np.concatenate([highest[live], part], axis=1)
+            highest[live] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            kth = highest[live].min(axis=1)
+            bound = rising[live] @ self.sorted[n - depth] + falling[live] @ self.sorted[depth - 1]
+            ended = (kth > scorer.least) & (bound < kth) | seen.all()
+            for row, floor in zip(live[ended], kth[ended]):
+                mine = np.flatnonzero((score[row] >= floor) & (score[row] > scorer.least))
+                got = score[row, mine].astype(np.int64)
                 first = np.lexsort((self.ids[mine], -got))[:k]
-                best[live[row]] = self.ids[mine[first]], got[first]
+                best[row] = self.ids[mine[first]], got[first]
+                self.met[row] = seen.sum()
             live = live[~ended]
             begin, depth = depth, min(2 * depth, n)
         return best
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products; in floating point where that is exact."""
-    largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if largest < 1 << 24:
-        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
-    if largest < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+class _Scorer:
+    """Integer inner products of queries and candidates; in floating point where that is exact."""
+
+    def __init__(self, queries: np.ndarray, vectors: np.ndarray):
+        largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+        self.kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
+        self.least = np.iinfo(np.int64).min if self.kind is np.int64 else -np.inf
+        self.queries, self.vectors = queries.astype(self.kind), vectors.astype(self.kind)
+
+    def products(self, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        return self.queries[queries] @ self.vectors[vectors].T
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "vec", k: int = 20) -> DataFrame:
@@ -127,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     shards = land(_packed(sound(vectors), SHARD_ROWS).withColumnRenamed("pack", "shard"), "shards")
     packs = land(_packed(sound(queries).dropDuplicates(["id", "vec"]), QUERY_ROWS), "packs")
     held = shards.groupBy("dim").agg(F.max("shard").alias("last"))
-    # each pack is sent to every shard of its dimensions; a shard's rows stay where they are
+    # each pack is sent to every shard of its dimensions
     sent = packs.join(held, "dim").select(
         "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("shard"), F.col("rows").alias("asked")
     )

@@ -118,6 +118,21 @@ def test_ended_early_is_still_exact():
         exact = lists.vectors @ q
         order = np.lexsort((lists.ids, -exact))[:20]
         assert ids.tolist() == lists.ids[order].tolist() and scores.tolist() == exact[order].tolist()
+    assert lists.met.max() < 2500
+
+
+def test_lists_are_left_when_all_rows_turned_up():
+    """Ties, huge components, zero queries, own ids and fewer rows than asked for."""
+    rng = np.random.default_rng(1)
+    for size, width, rows in ((2, 4, 300), (60, 64, 2000), (1 << 28, 8, 200), (5, 3, 7)):
+        vectors = rng.integers(-size, size + 1, (rows, width))
+        ids = rng.permutation(rows)
+        lists = topk._Lists(ids, vectors)
+        asked, own = np.concatenate([vectors[:5], np.zeros((1, width), np.int64)]), np.append(ids[:5], -1)
+        for q, me, (found, scores) in zip(asked, own, lists.top(asked, own, 20)):
+            exact = vectors.astype(object) @ q.astype(object)
+            order = sorted((i for i in range(rows) if ids[i] != me), key=lambda i: (-exact[i], ids[i]))[:20]
+            assert found.tolist() == ids[order].tolist() and scores.tolist() == [exact[i] for i in order]
 
 
 def test_query_of_embeddings(spark):
