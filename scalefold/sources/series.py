@@ -28,10 +28,14 @@ def hex_bits(df: DataFrame, column: str, order: Sequence[str], series: str | Non
         "series_id", "payload", F.lower(column).alias("_hex")
     )
     starts = payload_starts(payloads)
+    return spread_bits(payloads.join(starts, ["series_id", "payload"]))
+
+
+def spread_bits(placed: DataFrame) -> DataFrame:
+    """The bits of payloads ``(series_id, _start, _hex)``, of which ``_start`` characters of the series come before."""
     char = F.conv(F.substring("_hex", F.col("_c") + 1, F.lit(1)), 16, 10).cast("int")
     chars = (
-        payloads.join(starts, ["series_id", "payload"])
-        .filter(F.length("_hex") > 0)  # sequence() would count down for an empty payload
+        placed.filter(F.length("_hex") > 0)  # sequence() would count down for an empty payload
         .withColumn("_c", F.explode(F.sequence(F.lit(0), F.length("_hex") - 1)))
         .select("series_id", (BITS * (F.col("_start") + F.col("_c"))).alias("_at"), char.alias("_v"))
     )

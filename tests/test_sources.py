@@ -130,6 +130,52 @@ def test_payload_files_as_a_stream(spark, tmp_path):
     assert batch.count() == 2
 
 
+def test_streamed_bits_are_batch_bits(spark, tmp_path):
+    """Two starts over one checkpoint, several files and micro-batches, series that share files, lines without a payload."""
+    land = tmp_path / "in"
+    said = {
+        "f1": [("a", "0F"), ("b", "a3"), ("a", "1")],
+        "f2": [("b", ""), (None, "ff"), ("a", "77")],
+        "f3": [("b", "c0ffee")],
+        "f4": [("a", None), ("b", "9")],
+    }
+    args = str(land), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def drop(*names):
+        for name in names:
+            write(land / f"{name}.json", "not json\n" + "".join(json.dumps({"who": w, "qrn": h}) + "\n" for w, h in said[name]))
+
+    drop("f1", "f2", "f3")
+    first = by_series(sp.stream_bits(spark, *args, series="who", order=["file"], batch_files=1 << 10))
+    again = by_series(sp.stream_bits(spark, *args, series="who", order=["file"]))  # nothing new: nothing is written twice
+    assert first == again
+    drop("f4")
+    (land / "f0.json").write_text("")  # empty, and by its name before all others
+    got = by_series(sp.stream_bits(spark, *args, series="who", order=["file"]))
+    rows = [(i, w, h) for i, (w, h) in enumerate(x for f in said.values() for x in f) if w and h is not None]
+    whole = by_series(ss.hex_bits(spark.createDataFrame(rows, "n int, who string, qrn string"), "qrn", ["n"], "who"))
+    assert got == whole and {k: v[: len(first[k])] for k, v in got.items()} == first
+
+
+def test_late_and_repeated_payload_files(spark, tmp_path):
+    """A late file goes behind those placed before it; a file written again under its name is not read again."""
+    land = tmp_path / "in"
+    args = str(land), str(tmp_path / "out"), str(tmp_path / "state")
+    write(land / "m.json", json.dumps({"qrn": "f"}) + "\n")
+    sp.stream_bits(spark, *args, order=["file"])
+    write(land / "a.json", json.dumps({"qrn": "2"}) + "\n")
+    write(land / "m.json", json.dumps({"qrn": "000"}) + "\n")
+    assert by_series(sp.stream_bits(spark, *args, order=["file"]))["bits"] == [1, 1, 1, 1, 0, 0, 1, 0]
+
+
+def test_one_file_a_micro_batch(spark, tmp_path):
+    land = tmp_path / "in"
+    for i in range(5):
+        write(land / f"p{i}.json", json.dumps({"qrn": "f" * i + "0"}) + "\n")
+    bits = sp.stream_bits(spark, str(land), str(tmp_path / "out"), str(tmp_path / "state"), batch_files=1)
+    assert bits.count() == 4 * sum(i + 1 for i in range(5)) == bits.select("idx").distinct().count()
+
+
 def test_jitter_is_small_and_repeatable(spark, samples):
     a, b = by_series(ss.jitter(samples)), by_series(ss.jitter(samples.repartition(3)))
     assert a == b
