@@ -341,7 +341,7 @@ def low_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # payloads of 0 to 32 characters
-_BITS = """with hex as (select lang, doc_id, left(md5(text), (doc_id % 33)::int) as h from documents),
+BITS = """with hex as (select lang, doc_id, left(md5(text), (doc_id % 33)::int) as h from documents),
     placed as (select lang, h, coalesce(sum(length(h)) over (partition by lang order by doc_id
         rows between unbounded preceding and 1 preceding), 0) as p from hex),
     chars as (select lang, p, unnest(range(length(h))) as c, unnest(string_split(h, '')) as ch from placed where h <> ''),
@@ -350,19 +350,22 @@ _BITS = """with hex as (select lang, doc_id, left(md5(text), (doc_id % 33)::int)
         from (select *, unnest(range(4)) as b from vals))"""
 
 
-def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.expr("left(md5(cast(text as binary)), cast(doc_id % 33 as int))")
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", "lang", payload.alias("hex"))
-    return src.hex_bits(docs, "hex", ["doc_id"], "lang")
+    return v.table(spark, sf_dir, "documents").select("doc_id", "lang", payload.alias("hex"))
+
+
+def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.hex_bits(payloads(spark, sf_dir), "hex", ["doc_id"], "lang")
 
 
-@register(_BITS + " select series_id, idx, value from bits")
+@register(BITS + " select series_id, idx, value from bits")
 def hex_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bits(spark, sf_dir)
 
 
 @register(
-    _BITS
+    BITS
     + f""" select series_id, idx, {o.r9('value + 1e-6 * ' + o.gaussian(o.key('jitter', 'series_id', 'idx')))} as value from bits"""
 )
 def bit_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,12 @@ from scalefold.functions.numeric import parse_number
 from scalefold.operators.export import write_csv
 from scalefold.plans import oracle as o
 from scalefold.plans import views as v
+from scalefold.plans.clean_queries import BITS, payloads
 from scalefold.plans.registry import register
 from scalefold.session import run_dir
 from scalefold.sources import series as ss
 from scalefold.sources import text as st
+from scalefold.streaming.payloads import stream_bits
 
 #: Samples a written file holds: a long series is several files.
 FILE_ROWS = 20_000
@@ -175,3 +177,26 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = ss.zip_listings(suppliers, customers, ["s_acctbal"], ["c_acctbal"], pad=True)
     # whole-number columns without NULLs read the same everywhere
     return paired.select("pos", "s_suppkey", "c_custkey").fillna(-1)
+
+
+@register(
+    BITS
+    + """ select series_id, count(*) as n_bits, cast(sum(value) as bigint) as n_ones, max(idx) as last_idx,
+        cast(sum(idx) as bigint) as idx_sum from bits where series_id is not null group by series_id"""
+)
+def hex_bits_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 over files that arrive in two drops, each taken in by a start of its own: positions go on where the first drop ended.
+
+    Files come in bounded micro-batches in the order of arrival, so what does not depend on it is compared: every position from 0 once, and the ones.
+    """
+    source, target, state = (_path(spark, label) for label in ("payloads", "bits", "state"))
+    docs = payloads(spark, sf_dir)
+    for drop in (0, 1):
+        lines = docs.filter(F.pmod("doc_id", F.lit(2)) == drop)
+        said = lines.select(F.to_json(F.struct("lang", F.col("hex").alias("qrn"))).alias("line"))
+        said.write.option("maxRecordsPerFile", FILE_ROWS).text(f"{source}/drop={drop}")
+        bits = stream_bits(spark, f"{source}/*", target, state, "lang")
+    return bits.groupBy("series_id").agg(
+        F.count("*").alias("n_bits"), F.sum("value").cast("bigint").alias("n_ones"),
+        F.max("idx").alias("last_idx"), F.sum("idx").alias("idx_sum"),
+    )
