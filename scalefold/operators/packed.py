@@ -19,6 +19,7 @@ from scalefold.operators.arrays import FLAT_STD, MIN_SEGMENTS, RMS_FLOOR, block_
 from scalefold.operators.cleaning import STRAIN_GAIN, Z_FLOOR
 from scalefold.operators.denoise import STRAIN_WIDTH
 from scalefold.operators.grids import Q_GRID
+from scalefold.operators.indexing import join_groups
 
 #: Blocks are at least this long, and at least this many times as long as a window.
 BLOCK, BLOCK_WINDOWS = 8192, 4
@@ -190,13 +191,52 @@ def measure_windows(samples: DataFrame, windows: DataFrame, longest: int, q_grid
     return _measure(_stream(rows, placed), q_grid)
 
 
+WINDOW = ("series_id", "subset_id")
+
+
+def pack_rows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """K12. Denoised ``rows(series_id, subset_id, idx, value)`` as one row a window: its positions and values in order, its size and scales.
+
+    A window is whole in its row, so what is measured later reads the written table without a shuffle.
+    ``windows`` carry ``family``, ``start``, ``size`` and ``scales``; those without a start are left out.
+    """
+    held = rows.groupBy(*WINDOW).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_rows"))
+    own = windows.filter(F.col("start").isNotNull()).select(*WINDOW, "family", "size", "scales")
+    columns = [F.col("_rows.idx").alias("idx"), F.col("_rows.value").cast("array<double>").alias("value")]
+    return join_groups(held, own, list(WINDOW)).select(*WINDOW, "family", "size", "scales", *columns)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """The rows ``(series_id, subset_id, family, size, idx, value)`` of packed windows."""
+    return packed.select(*WINDOW, "family", "size", F.inline(F.arrays_zip("idx", "value")))
+
+
+def measure_packed(packed: DataFrame, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
+    """M3-M14 of packed windows, one row per window that has an F; a window that lacks its first or last row has none."""
+    q = np.asarray(q_grid, dtype=float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue = _Queue(q)
+        for batch in batches:
+            series, subset, sizes, scales = (batch.column(c).to_pylist() for c in (*WINDOW, "size", "scales"))
+            for k, size in enumerate(sizes):
+                idx, value = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("idx", "value"))
+                if not len(idx) or idx[0] > 0 or idx[-1] < size - 1:
+                    continue
+                x = np.full(int(idx[-1]) + 1, np.nan)
+                x[idx] = value
+                queue.add(series[k], subset[k], x[:size], "", tuple(s for s in scales[k] if MIN_SEGMENTS * s <= size))
+                if queue.size >= STEP_VALUES:
+                    yield from queue.emptied()
+        yield from queue.emptied()
+
+    own = packed.select(*WINDOW, "size", "scales", "idx", "value")
+    return own.mapInArrow(run, SCHEMA.format(packed.schema["series_id"].dataType.simpleString()))
+
+
 def measure_rows(rows: DataFrame, windows: DataFrame, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
     """The same for windows that come as denoised ``rows(series_id, subset_id, idx, value)``, each counted from 0."""
-    own = rows.select("series_id", F.col("subset_id").cast("bigint").alias("part"), "idx", "value")
-    whole = windows.filter(F.col("start").isNotNull()).withColumns(
-        {"part": F.col("subset_id").cast("bigint"), "start": F.lit(0).cast("bigint"), "recipe": F.lit("")}
-    )
-    return _measure(_stream(own, whole), q_grid)
+    return measure_packed(pack_rows(rows, windows), q_grid)
 
 
 def spectrum_rows(measures: DataFrame, q_grid: Sequence[float] = Q_GRID) -> DataFrame:

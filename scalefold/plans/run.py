@@ -223,8 +223,9 @@ def run(
     sizes = kept(series_lengths(first), "lengths")
     plan = kept(sa.subset_plan(sizes, config), "plan")
     windows = kept(sa.subset_windows(plan, seed), "windows")
-    clean = kept(subset_rows(first, windows, families, points, seed), "denoised_subsets")
-    measures = kept(pk.measure_rows(clean, window_scales(windows, plan, families)), "fluctuations")
+    clean = subset_rows(first, windows, families, points, seed)
+    packed = kept(pk.pack_rows(clean, window_scales(windows, plan, families)), "denoised_subsets")
+    measures = kept(pk.measure_packed(packed), "fluctuations")
     spectra = kept(pk.spectrum_rows(measures), "spectra")
     results = kept(subset_results(measures, windows), "results")
     summary = kept(su.dataset_summary(results, config), "summary")

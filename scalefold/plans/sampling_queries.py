@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scalefold.config import FAMILIES, Family, family_config
 from scalefold.functions.draws import draw_key, uniform
+from scalefold.operators import packed as pk
 from scalefold.operators import sampling as sa
 from scalefold.operators.indexing import dense_index
 from scalefold.plans import oracle as o
@@ -88,6 +89,31 @@ def subset_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "d_f", "mean_h")
 
 
+def _written_subsets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows, and their denoised samples written as one row a window and read back."""
+    samples, plan, windows = ledger(spark, land(v.li_supp(spark, sf_dir), "series"))
+    clean = run.subset_rows(samples, windows, [LEDGER])
+    return windows, land(pk.pack_rows(clean, run.window_scales(windows, plan, [LEDGER])), "denoised")
+
+
+@register(_supp_subsets().select(f"select series_id, subset_id, idx, {o.r9('value')} as value from den"))
+def denoised_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of denoised subsets, as rows."""
+    return pk.unpacked(_written_subsets(spark, sf_dir)[1]).select("series_id", "subset_id", "idx", F.round("value", 9).alias("value"))
+
+
+@register(
+    o.subset_measure_ctes(o.Chain().view("li_supp"), "li_supp", LEDGER.subset_size, LEDGER.n_subsets, SCALES).select(
+        f"select series_id, subset_id, {o.r6('d_f')} as d_f, coalesce(n_scales_used, 0) as n_scales_used from res"
+    )
+)
+def written_subsets_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is measured on the written subsets, which are read without a shuffle."""
+    windows, packed = _written_subsets(spark, sf_dir)
+    out = run.subset_results(pk.measure_packed(packed), windows).fillna(0, ["n_scales_used"])
+    return rounded(out.select("series_id", "subset_id", "d_f", "n_scales_used"), "d_f")
+
+
 _LINES_SCALES_FAMILIES = [
     Family("short", 125, 100, 1.16, 0.04, "unit_std"),
     Family("fixed", 250, 100, 1.19, 0.04, "unit_std", SCALES),

@@ -104,6 +104,43 @@ def test_packed_windows_equal_denoised_rows(spark, samples, monkeypatch, recipe,
             assert a[k][name] is None or a[k][name] == pytest.approx(b[k][name], rel=1e-7)
 
 
+def test_written_windows_are_measured_without_a_shuffle(spark, samples, tmp_path):
+    family = Family("f", 250, 12, 1.19, 0.04, "z_score", [2, 4, 8, 16, 32])
+    tagged = samples.withColumn("family", F.lit("f"))
+    plan = sa.subset_plan(rn.series_lengths(tagged), family_config(spark, [family]))
+    windows = sa.subset_windows(plan).cache()
+    clean = rn.subset_rows(tagged, windows, [family]).withColumn("value", F.when(F.col("idx") % 50 != 3, F.col("value")))
+    pk.pack_rows(clean, rn.window_scales(windows, plan, [family])).write.parquet(str(tmp_path / "k12"))
+    written = spark.read.parquet(str(tmp_path / "k12"))
+    assert written.count() == written.select("series_id", "subset_id").distinct().count() > 80
+    columns = ["series_id", "subset_id", "family", "size", "idx", "value"]
+    got, want = (df.select(*columns).withColumn("value", F.round("value", 9)) for df in (pk.unpacked(written), clean))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    measures = pk.measure_packed(written)
+    assert "Exchange" not in measures._jdf.queryExecution().executedPlan().toString()
+    assert measures.count() == written.count()
+
+
+def test_packed_windows_without_all_rows(spark):
+    """Missing ends give nothing, a gap is undefined, rows beyond the size do not count."""
+    schema = "series_id string, subset_id int, family string, size int, scales array<int>, idx array<bigint>, value array<double>"
+    whole = [float(i * 7 % 17) for i in range(16)]
+    rows = [
+        ("whole", 0, "f", 16, [2, 4, 8], list(range(16)), whole),
+        ("longer", 0, "f", 16, [2, 4, 8], list(range(18)), [*whole, 1.0, 2.0]),
+        ("no start", 0, "f", 16, [2, 4, 8], list(range(1, 16)), whole[1:]),
+        ("no end", 0, "f", 16, [2, 4, 8], list(range(15)), whole[:-1]),
+        ("gap", 0, "f", 16, [2, 4, 8], [i for i in range(16) if i != 5], whole[:5] + whole[6:]),
+        ("null", 0, "f", 16, [2, 4, 8], list(range(16)), [*whole[:5], None, *whole[6:]]),
+        ("empty", 0, "f", 16, [2, 4, 8], [], []),
+        (None, 0, "f", 16, [2, 4, 8], list(range(16)), whole),
+    ]
+    got = {r.series_id: r for r in pk.measure_packed(spark.createDataFrame(rows, schema)).collect()}
+    assert got.keys() == {"whole", "longer", "gap", "null", None}
+    assert got["whole"].f == got["longer"].f == got[None].f and got["gap"].f == got["null"].f != got["whole"].f
+    assert got["whole"].n_segments == [8, 4, 2] and got["gap"].n_segments == [7, 3, 1]
+
+
 def test_one_window_against_the_whole_series_plan(spark, samples, noise):
     """A window measured in its array is a short series measured by blocks."""
     x = noise["walk"][100:350] / noise["walk"][100:350].std()
