@@ -75,115 +75,46 @@ def _ranged_index(df: DataFrame, keys: Keys, order: Sequence[str], name: str) ->
     )
 
 
-#: Cells an interval of ranks is cut into by a pass of the selection, and the accuracy of their edges: a twentieth of a cell.
-CELLS = 1000
-ACCURACY = 20 * CELLS
-
-
 def quantiles(
-    df: DataFrame, keys: Keys, probs: Sequence[float], value: str = "value", task_rows: int = TASK_ROWS
+    df: DataFrame,
+    keys: Keys,
+    probs: Sequence[float],
+    tie: Sequence[str] = ("idx",),
+    value: str = "value",
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, as columns ``p0, p1, ...``; NULL values take no part.
+    """Exact linearly interpolated quantiles per group, as columns ``p0, p1, ...``.
 
-    Groups of more than ``task_rows`` values are not sorted: their ranks are selected by narrowing intervals. Both ways
-    give the same bits.
-    """
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    short = known
-    large = None
-    if largest_group(known, keys) > task_rows:
-        # at most all rows / task_rows groups: that many are broadcast
-        large = land(lengths(known, keys, "_n").filter(F.col("_n") > task_rows), "large")
-        named = F.broadcast(large.select(*[F.col(k).alias(f"_g_{k}") for k in keys]))
-        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
-        short = known.join(named, same, "left_anti")
-    got = short.groupBy(*keys).agg(F.percentile("_x", F.lit(list(probs))).alias("_p"))
-    got = got.select(*keys, *[F.col("_p")[i].alias(f"p{i}") for i in range(len(probs))])
-    return got if large is None else got.unionByName(_selected(known, large, keys, probs, task_rows))
-
-
-def _selected(known: DataFrame, large: DataFrame, keys: Keys, probs: Sequence[float], task_rows: int) -> DataFrame:
-    """Quantiles of the groups in ``large(*keys, _n)`` by selection.
-
-    Every quantile has an interval of values that holds its two ranks, at first everything. A pass counts the
-    values below and inside the interval and draws its approximate percentiles; the next interval goes from a cell
-    below the ranks to a cell above them, some 4 of CELLS. An interval that turns out not to hold its ranks is taken
-    back. When intervals hold at most ``task_rows`` values, or nothing but ties keeps them larger, their
-    values are counted one by one. Passes only read; counts and percentiles are combined before they are shuffled.
+    ``tie`` makes (value, tie) unique, so that equal values can still be split
+    over range partitions.
     """
-    count = len(probs)
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value, *tie)
+    if largest_group(known, keys) <= task_rows:
+        got = known.groupBy(*keys).agg(F.percentile(value, F.lit(list(probs))).alias("_p"))
+        return got.select(*keys, *[F.col("_p")[i].alias(f"p{i}") for i in range(len(probs))])
+    ranked = join_groups(_ranged_index(known, keys, [value, *tie], "_rank"), lengths(known, keys, "_n"), keys)
     place = [F.lit(p) * (F.col("_n") - 1) for p in probs]
-    bounds = large.select(
-        *keys, "_n",
-        *[c for i in range(count) for c in (F.lit(None).cast("double").alias(f"_lo{i}"), F.lit(None).cast("double").alias(f"_hi{i}"))],
-        *[(F.col("_n") + 1).alias(f"_was{i}") for i in range(count)],
-    )
-
-    def met(bounds: DataFrame) -> DataFrame:
-        named = F.broadcast(bounds.withColumnsRenamed({k: f"_g_{k}" for k in keys}))
-        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
-        return known.join(named, same).drop(*[f"_g_{k}" for k in keys])
-
-    def below(i: int) -> Column:
-        return F.coalesce(F.col("_x") < F.col(f"_lo{i}"), F.lit(False))
-
-    def inside(i: int) -> Column:
-        return F.coalesce(F.col("_x") >= F.col(f"_lo{i}"), F.lit(True)) & F.coalesce(F.col("_x") <= F.col(f"_hi{i}"), F.lit(True))
-
-    cells = F.lit([c / CELLS for c in range(CELLS + 1)])
-    while True:
-        carried = [c for c in bounds.columns if c not in keys]
-        counted = [
-            c
-            for i in range(count)
-            for c in (
-                F.count_if(below(i)).alias(f"_b{i}"),
-                F.count_if(inside(i)).alias(f"_m{i}"),
-                F.percentile_approx(F.when(inside(i), F.col("_x")), cells, ACCURACY).alias(f"_c{i}"),
-            )
-        ]
-        passed = land(met(bounds).groupBy(*keys, *carried).agg(*counted), "pass")
-        steps, open_ = [], []
-        for i, rank in enumerate(place):
-            lo, hi, b, m, was = (F.col(f"_{name}{i}") for name in ("lo", "hi", "b", "m", "was"))
-            held = (b <= F.floor(rank)) & (F.ceil(rank) < b + m)
-            narrow = held & (m > task_rows) & (m < was)
-            first = F.floor((F.floor(rank) - b) * CELLS / m).cast("int") - 1
-            last = F.ceil((F.ceil(rank) - b + 1) * CELLS / m).cast("int") + 1
-            lower = F.when(narrow & (first > 0), F.get(f"_c{i}", first)).when(held, lo)
-            upper = F.when(narrow & (last < CELLS), F.get(f"_c{i}", last)).when(held, hi)
-            # one that was taken back is everything again and not narrowed a second time
-            steps += [lower.alias(f"_lo{i}"), upper.alias(f"_hi{i}"), F.when(held, m).otherwise(0).alias(f"_was{i}")]
-            open_.append(~held | narrow)
-        if not passed.agg(F.max(reduce(Column.__or__, open_))).first()[0]:
-            break
-        bounds = passed.select(*keys, "_n", *steps)
-
-    asked = F.array_compact(F.array(*[F.when(inside(i), F.lit(i)) for i in range(count)]))
-    ranks = [F.array(*[f(c) for c in place]) for f in (F.floor, F.ceil)]
-    kept = passed.select(
-        *keys, "_n", *[f"_{name}{i}" for i in range(count) for name in ("lo", "hi")],
-        F.array(*[f"_b{i}" for i in range(count)]).alias("_b"), ranks[0].alias("_k0"), ranks[1].alias("_k1"),
+    ends = [e for p in place for e in (F.floor(p), F.ceil(p))]
+    picked = (
+        ranked.filter(F.col("_rank").isin(*ends))
+        .groupBy(*keys)
+        .agg(
+            F.max("_n").alias("_n"),
+            *[F.max(F.when(F.col("_rank") == e, F.col(value))).alias(f"_e{i}") for i, e in enumerate(ends)],
+        )
     )
-    values = met(kept).withColumn("_i", F.explode(asked))
-    own = [F.get(c, F.col("_i")).alias(c) for c in ("_b", "_k0", "_k1")]
-    counts = values.select(*keys, "_n", "_i", *own, "_x").groupBy(*keys, "_n", "_i", "_b", "_k0", "_k1", "_x").agg(F.count(F.lit(1)).alias("_many"))
-    upto = F.sum("_many").over(Window.partitionBy(*keys, "_i").orderBy("_x")) + F.col("_b")
-    ends = (
-        counts.withColumn("_upto", upto)
-        .groupBy(*keys, "_n")
-        .agg(*[
-            F.min(F.when((F.col("_i") == i) & (F.col("_upto") > F.col(f"_k{e}")), F.col("_x"))).alias(f"_e{e}_{i}")
-            for i in range(count) for e in (0, 1)
-        ])
+    return picked.select(
+        *keys,
+        *[
+            (
+                # as percentile() above has it, so both plans give the same bits
+                F.when(F.col(f"_e{2 * i}") == F.col(f"_e{2 * i + 1}"), F.col(f"_e{2 * i}")).otherwise(
+                    (F.ceil(p) - p) * F.col(f"_e{2 * i}") + (p - F.floor(p)) * F.col(f"_e{2 * i + 1}")
+                )
+            ).alias(f"p{i}")
+            for i, p in enumerate(place)
+        ],
     )
-    # as percentile() has it, so both ways give the same bits
-    return ends.select(*keys, *[
-        F.when(F.col(f"_e0_{i}") == F.col(f"_e1_{i}"), F.col(f"_e0_{i}"))
-        .otherwise((F.ceil(p) - p) * F.col(f"_e0_{i}") + (p - F.floor(p)) * F.col(f"_e1_{i}"))
-        .alias(f"p{i}")
-        for i, p in enumerate(place)
-    ])
 
 
 def with_halo(df: DataFrame, block: int, reach: int) -> DataFrame:

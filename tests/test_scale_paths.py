@@ -33,37 +33,6 @@ def test_ranged_index_spreads_one_series(spark):
     assert got.select(F.count_distinct("at")).first()[0] == 200_000
 
 
-@pytest.mark.parametrize("task_rows", [0, 3, 40, 700])
-def test_selected_quantiles(spark, task_rows):
-    """Heavy ties, two values only, signs, infinities, a single row, NULL keys and values; some groups above the limit and some not."""
-    rng = np.random.default_rng(4)
-    groups = {
-        "normal": rng.normal(size=5000), "ties": rng.integers(0, 3, 3000).astype(float), "two": np.repeat([1.0, 2.0], 500),
-        "one": np.full(800, 7.5), "single": np.array([3.0]), "wide": np.exp(rng.normal(0, 40, 2000)) * rng.choice([-1, 1], 2000),
-        "ends": np.concatenate([[-np.inf, np.inf], rng.normal(size=900)]), None: rng.normal(size=1500), "few": rng.normal(size=4),
-    }
-    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("few", None), ("void", None)]
-    df = spark.createDataFrame(rows, "series_id string, value double").repartition(5)
-    probs = [0.0, 0.003, 0.25, 0.5, 0.997, 1.0]
-    got = {r[0]: r[1:] for r in ix.quantiles(df, SERIES, probs, task_rows=task_rows).collect()}
-    want = {r[0]: r[1:] for r in ix.quantiles(df, SERIES, probs).collect()}
-    assert got == want and got.keys() == groups.keys()
-    assert got["normal"][2:4] == tuple(np.quantile(groups["normal"], [0.25, 0.5]))
-
-
-def test_selection_takes_back_a_wrong_interval(spark, monkeypatch):
-    """Percentiles far off their accuracy: intervals that miss their ranks are not believed."""
-    monkeypatch.setattr(ix, "ACCURACY", 1)
-    df = spark.range(20000).selectExpr("'s' as series_id", "pow(id, 1.5) as value").repartition(7)
-    got, want = (ix.quantiles(df, SERIES, [0.1, 0.5, 0.9], task_rows=n).collect() for n in (10, 1 << 20))
-    assert got == want
-
-
-def test_selection_does_not_order_all_rows(spark, samples):
-    plan = ix.quantiles(samples, SERIES, [0.5], task_rows=50)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" not in plan
-
-
 def test_ranged_quantiles(spark, samples):
     heavy = samples.withColumn("value", F.when(F.col("idx") % 3 == 0, 0.5).otherwise(F.col("value")))
     probs = [0.0, 0.025, 0.5, 0.975, 1.0]
