@@ -115,8 +115,9 @@ def links(distinct_fp: DataFrame, most: int = 4) -> DataFrame:
         F.sequence(F.lit(0), blocks - 1),
         lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")),
     )
+    # the size Spark expects of the index leaves out the 70 places of a fingerprint: unhinted, all of it may be broadcast
     groups = (
-        index.join(lists, ["mask", "bytes"])
+        index.join(lists.hint("merge"), ["mask", "bytes"])
         .withColumn("own", own)
         .select("mask", "bytes", "fp", "own", F.explode(meets).alias("pair"))
         .groupBy("mask", "bytes", "pair")

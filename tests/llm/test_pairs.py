@@ -75,6 +75,13 @@ def test_links_join_what_pairs_join(spark, monkeypatch, block):
     assert plain_roots(fps, found) == plain_roots(fps, near(fps, 4))
 
 
+def test_the_index_of_fingerprints_is_not_broadcast(spark, tmp_path):
+    """Its expected size is that of the fingerprints, a seventieth of what it holds."""
+    spark.range(1000).selectExpr("xxhash64(id) as fp").write.parquet(str(tmp_path / "fp"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(70)]
     random.Random(2).shuffle(path)
