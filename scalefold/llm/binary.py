@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from scalefold.llm.text import LOWER, column_bytes, few_rows, steps, tidied
 
-#: With this many ids the added-up counts of a block stay below 2**16.
+#: With this many ids the added-up counts of a block stay below 2**16: an id raises a row of counts once at most.
 BLOCK_IDS = 2048
 #: Blocks coded side by side.
 LANES = 2048
@@ -36,7 +36,7 @@ FRAME_IDS = BLOCK_IDS * LANES
 _ROW = np.dtype("V32")  # 16 bounds as one item: rows are then fetched and stored whole
 _GAINS = [(np.tri(16, dtype=np.uint16).T * np.uint16(g)).copy().view(_ROW).ravel() for g in (8, 10, 12)]
 _BASE = np.arange(1, 17, dtype=np.uint16)
-# Rows of 16 counts a block: order 0 by earlier nibbles (the last one hashed), orders 1 and 2 hashed.
+# Rows of 16 counts a block: order 0 by earlier nibbles (the last one hashed), orders 1 and 2 hashed, a quarter for each nibble.
 _ROWS = (1 + 16 + 64 + 64, 128, 256)
 _LOW = np.uint64((1 << 48) - 1)
 _TOP, _BOTTOM, _UNIT = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64(16)
@@ -60,8 +60,8 @@ class _Model:
         else:
             node = (prefix * 0x9E5 >> 3 & 63) + (17 if nibble == 2 else 81)
         mark = prefix * 0x85EBCA6B + nibble * 0x165667B1
-        one = (self.one[:live] + mark) * 0x9E3779B1 >> 11 & _ROWS[1] - 1
-        two = (self.two[:live] + mark) * 0xC2B2AE35 >> 13 & _ROWS[2] - 1
+        one = ((self.one[:live] + mark) * 0x9E3779B1 >> 11 & _ROWS[1] // 4 - 1) + nibble * (_ROWS[1] // 4)
+        two = ((self.two[:live] + mark) * 0xC2B2AE35 >> 13 & _ROWS[2] // 4 - 1) + nibble * (_ROWS[2] // 4)
         self.at = [lane[:live] + k for lane, k in zip(self.lane, (node, one, two))]
         self.row = [b.take(at).view(np.uint16) for b, at in zip(self.bounds, self.at)]
         return (self.row[0] + self.row[1] + self.row[2]).reshape(-1, 16) + _BASE

@@ -148,6 +148,13 @@ def test_coder_round_trip(n):
         assert (binary.decode(binary.encode(ids)) == ids).all()
 
 
+def test_coder_round_trip_of_runs():
+    """One id all over a block raises the same rows of counts each time, which must not overflow."""
+    for id_ in (163, 164, 405, 4660, 49151):
+        ids = np.full(binary.BLOCK_IDS, id_)
+        assert (binary.decode(binary.encode(ids)) == ids).all()
+
+
 def test_coder_learns_and_checks():
     ids = np.tile(np.arange(40) * 311, 200)
     blocks = binary.encode(ids)
