@@ -68,8 +68,9 @@ def _ranged_index(df: DataFrame, keys: Keys, order: Sequence[str], name: str) ->
         .withColumn("_before", F.coalesce(F.sum("_run").over(before), F.lit(0)))
         .drop("_run")
     )
+    # read back from its file, the short table has a known size: Spark broadcasts it rather than shuffle all rows
     return (
-        join_groups(placed, runs, [*keys, "_part"])
+        join_groups(placed, land(runs, "runs"), [*keys, "_part"])
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_at", "_part", "_first", "_before")
     )
@@ -92,7 +93,8 @@ def quantiles(
     if largest_group(known, keys) <= task_rows:
         got = known.groupBy(*keys).agg(F.percentile(value, F.lit(list(probs))).alias("_p"))
         return got.select(*keys, *[F.col("_p")[i].alias(f"p{i}") for i in range(len(probs))])
-    ranked = join_groups(_ranged_index(known, keys, [value, *tie], "_rank"), lengths(known, keys, "_n"), keys)
+    sizes = land(lengths(known, keys, "_n"), "sizes")
+    ranked = join_groups(_ranged_index(known, keys, [value, *tie], "_rank"), sizes, keys)
     place = [F.lit(p) * (F.col("_n") - 1) for p in probs]
     ends = [e for p in place for e in (F.floor(p), F.ceil(p))]
     picked = (
@@ -103,7 +105,7 @@ def quantiles(
             *[F.max(F.when(F.col("_rank") == e, F.col(value))).alias(f"_e{i}") for i, e in enumerate(ends)],
         )
     )
-    return picked.select(
+    read = picked.select(
         *keys,
         *[
             (
@@ -115,6 +117,7 @@ def quantiles(
             for i, p in enumerate(place)
         ],
     )
+    return land(read, "quantiles")  # one row a group, joined to all rows
 
 
 def with_halo(df: DataFrame, block: int, reach: int) -> DataFrame:

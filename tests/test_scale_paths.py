@@ -179,3 +179,15 @@ def test_sliced_sums_of_powers(spark, noise):
     nps = rows[0]["nps"]
     assert nps == 1024 and len(rows) == 513
     assert sum(r["power"] for r in rows) / nps == pytest.approx(noise["long"].var(), rel=0.1)
+
+
+def test_short_tables_of_the_ranged_plan_are_not_joined_by_a_shuffle(spark):
+    """What is joined to all rows is read from a file of known size, so it is broadcast where they are not."""
+    rows = spark.range(40_000).selectExpr("cast(id % 2 as string) as series_id", "id as idx", "rand(1) as value")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        for df in (ix.dense_index(rows, SERIES, ["value", "idx"], "at", task_rows=10), cl.quantile_trim(rows, SERIES, task_rows=10)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
