@@ -21,6 +21,7 @@ from scalefold.operators.recursive import state_space
 from scalefold.plans import oracle as o
 from scalefold.plans import views as v
 from scalefold.plans.registry import SERIES, register, rounded
+from scalefold.session import land
 
 
 # --- DuckDB fragments -------------------------------------------------------
@@ -286,4 +287,5 @@ def measurement_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = view(spark, sf_dir).withColumn("series_id", F.concat(F.lit(mark), "series_id"))
         samples = samples.unionByName(part.withColumns({"family": F.lit(family), "channel": F.lit(0)}))
     recipes = {"catalog": "unit_std", "sky_map": "unit_std", "pulsar": "pulsar"}
-    return rounded(measurement_channels(samples, recipes, least=100), "value")
+    # the choice of channels and every branch read the samples: ordered and written once
+    return rounded(measurement_channels(land(samples, "series"), recipes, least=100), "value")
