@@ -69,12 +69,19 @@ def numbers(table: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.ravel(), mask=mask))
 
 
+def run_sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums over runs of ``count`` rows each; runs of one length are summed at once, in the same order."""
+    if len(count) and (count == count[0]).all() and count[0] > 0:
+        return values.reshape(len(count), int(count[0]), -1).sum(axis=1)
+    return np.add.reduceat(values, np.cumsum(count) - count, axis=0)
+
+
 def power_sums(rms: np.ndarray, count: np.ndarray, q: np.ndarray) -> np.ndarray:
     """For runs of ``count`` values each: the sum of x^q, of ln x^2 where q is zero."""
     x = rms + RMS_FLOOR
     terms = np.exp(np.multiply.outer(np.log(x), q))
     terms[:, q == 0.0] = np.log(rms * rms + RMS_FLOOR)[:, None]
-    return np.add.reduceat(terms, np.cumsum(count) - count, axis=0)
+    return run_sums(terms, count)
 
 
 def roots(total: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -115,7 +122,7 @@ def fit(x: np.ndarray, f: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np
     known &= np.repeat(enough, count)[:, None]
     y = np.where(known, np.log(np.where(known, f, 1.0) + RMS_FLOOR), 0.0)
     x = np.where(known, x[:, None], 0.0)
-    n, sx, sy, sxy, sxx = (np.add.reduceat(v, at, axis=0) for v in (known.astype(float), x, y, x * y, x * x))
+    n, sx, sy, sxy, sxx = (run_sums(v, count) for v in (known.astype(float), x, y, x * y, x * x))
     h = (n * sxy - sx * sy) / (n * sxx - sx * sx + RIDGE)
     return n, np.where((n >= MIN_SCALES) & (h > 0.0), h, np.nan)
 

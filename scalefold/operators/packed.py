@@ -99,10 +99,20 @@ def measured(x: np.ndarray, scales: Sequence[int], q: np.ndarray) -> dict[str, n
     }
 
 
-SCHEMA = (
-    "series_id {}, subset_id int, d_f double, mean_h double, n_valid_q long, n_scales_used long, spectrum array<double>, "
-    "scale_pos array<int>, s array<int>, n_segments array<long>, f array<double>"
-)
+WINDOW = ("series_id", "subset_id")
+#: What a step may give of a window besides its key; ``spectrum`` holds all KINDS, ``h`` that one alone.
+COLUMNS = {
+    "d_f": "double", "mean_h": "double", "n_valid_q": "long", "n_scales_used": "long", "spectrum": "array<double>",
+    "scale_pos": "array<int>", "s": "array<int>", "n_segments": "array<long>", "f": "array<double>", "h": "array<double>",
+}
+#: All there is to know of a window, and the numbers that sum it up.
+WHOLE = tuple(c for c in COLUMNS if c != "h")
+SUMMARY = ("d_f", "mean_h", "n_valid_q", "n_scales_used")
+
+
+def _schema(rows: DataFrame, columns: Sequence[str]) -> str:
+    kinds = "".join(f", {c} {COLUMNS[c]}" for c in columns)
+    return f"series_id {rows.schema['series_id'].dataType.simpleString()}, subset_id int{kinds}"
 
 
 def _known(x: np.ndarray) -> pa.Array:
@@ -110,16 +120,17 @@ def _known(x: np.ndarray) -> pa.Array:
 
 
 class _Queue:
-    """Windows waiting for others of their size, recipe and grid."""
+    """Windows waiting for others of their size, recipe and grid; all is measured, ``columns`` leave the task."""
 
-    def __init__(self, q: np.ndarray):
-        self.q, self.waiting, self.size = q, {}, 0
+    def __init__(self, q: np.ndarray, columns: Sequence[str]):
+        self.q, self.columns, self.waiting, self.size = q, list(columns), {}, 0
 
     def add(self, series: str, subset: int, x: np.ndarray, recipe: str, scales: tuple[int, ...]) -> None:
         self.waiting.setdefault((len(x), recipe, scales), []).append((series, subset, x))
         self.size += len(x)
 
     def emptied(self) -> Iterator[pa.RecordBatch]:
+        nq = len(self.q)
         for (_, recipe, scales), held in self.waiting.items():
             if not scales:
                 continue
@@ -128,16 +139,16 @@ class _Queue:
             n = len(got["row"])
             if not n:
                 continue
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([held[i][0] for i in got["row"]]), pa.array([held[i][1] for i in got["row"]], pa.int32()),
-                    _known(got["d_f"]), _known(got["mean_h"]), pa.array(got["n_valid_q"].astype(np.int64)),
-                    pa.array(got["n_scales_used"]), numbers(got["spectrum"]),
-                    numbers(np.tile(np.arange(len(scales), dtype=np.int32), (n, 1))), numbers(np.tile(np.array(scales, dtype=np.int32), (n, 1))),
-                    numbers(got["count"]), numbers(got["f"]),
-                ],
-                names=["series_id", "subset_id", "d_f", "mean_h", "n_valid_q", "n_scales_used", "spectrum", "scale_pos", "s", "n_segments", "f"],
-            )
+            made = {
+                "d_f": lambda: _known(got["d_f"]), "mean_h": lambda: _known(got["mean_h"]),
+                "n_valid_q": lambda: pa.array(got["n_valid_q"].astype(np.int64)), "n_scales_used": lambda: pa.array(got["n_scales_used"]),
+                "spectrum": lambda: numbers(got["spectrum"]), "h": lambda: numbers(np.ascontiguousarray(got["spectrum"][:, nq : 2 * nq])),
+                "scale_pos": lambda: numbers(np.tile(np.arange(len(scales), dtype=np.int32), (n, 1))),
+                "s": lambda: numbers(np.tile(np.array(scales, dtype=np.int32), (n, 1))),
+                "n_segments": lambda: numbers(got["count"]), "f": lambda: numbers(got["f"]),
+            }
+            key = [pa.array([held[i][0] for i in got["row"]]), pa.array([held[i][1] for i in got["row"]], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*key, *(made[c]() for c in self.columns)], names=[*WINDOW, *self.columns])
         self.waiting, self.size = {}, 0
 
 
@@ -150,48 +161,58 @@ def _stream(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return both.repartition("series_id", "part").sortWithinPartitions("series_id", "part", "idx")
 
 
-def _measure(stream: DataFrame, q_grid: Sequence[float]) -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Windows ``(series, subset, values, recipe, scales)`` that lie whole in the rows of their part."""
+    for (series, _), table in runs(batches, ("series_id", "part")):
+        asked = table.column("subset_id").length() - table.column("subset_id").null_count
+        if not asked:
+            continue
+        windows, rows = table.slice(0, asked), table.slice(asked)
+        if not rows.num_rows:
+            continue
+        idx = rows.column("idx").to_numpy()
+        first = int(idx[0])
+        values = block_values(rows, first, int(idx[-1]) - first + 1)
+        columns = (windows.column(c).to_pylist() for c in ("subset_id", "start", "size", "recipe", "scales"))
+        for subset, start, size, recipe, scales in zip(*columns):
+            x = values[start - first : start - first + size]
+            if start >= first and len(x) == size:
+                yield series, subset, x, recipe, scales
+
+
+def _measure(stream: DataFrame, q_grid: Sequence[float], columns: Sequence[str]) -> DataFrame:
     q = np.asarray(q_grid, dtype=float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue = _Queue(q)
-        for (series, _), table in runs(batches, ("series_id", "part")):
-            asked = table.column("subset_id").length() - table.column("subset_id").null_count
-            if not asked:
-                continue
-            windows, rows = table.slice(0, asked), table.slice(asked)
-            if not rows.num_rows:
-                continue
-            idx = rows.column("idx").to_numpy()
-            first = int(idx[0])
-            values = block_values(rows, first, int(idx[-1]) - first + 1)
-            columns = (windows.column(c).to_pylist() for c in ("subset_id", "start", "size", "recipe", "scales"))
-            for subset, start, size, recipe, scales in zip(*columns):
-                x = values[start - first : start - first + size]
-                if start >= first and len(x) == size:
-                    # a scale without two segments has no F
-                    queue.add(series, subset, x, recipe, tuple(s for s in scales if MIN_SEGMENTS * s <= size))
-                    if queue.size >= STEP_VALUES:
-                        yield from queue.emptied()
+        queue = _Queue(q, columns)
+        for series, subset, x, recipe, scales in _cut(batches):
+            # a scale without two segments has no F
+            queue.add(series, subset, x, recipe, tuple(s for s in scales if MIN_SEGMENTS * s <= len(x)))
+            if queue.size >= STEP_VALUES:
+                yield from queue.emptied()
         yield from queue.emptied()
 
-    return stream.mapInArrow(run, SCHEMA.format(stream.schema["series_id"].dataType.simpleString()))
+    return stream.mapInArrow(run, _schema(stream, columns))
 
 
-def measure_windows(samples: DataFrame, windows: DataFrame, longest: int, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
-    """M3-M14 of every window of ``samples(series_id, idx, value)``, one row per window that has an F.
-
-    ``windows(series_id, subset_id, start, size, recipe, scales)``, none longer than ``longest``; ``recipe`` names one of
-    RECIPES. A NULL value makes the segments that hold it undefined.
-    """
+def _placed(samples: DataFrame, windows: DataFrame, longest: int) -> DataFrame:
     block = max(BLOCK, BLOCK_WINDOWS * longest)
     first = F.greatest(F.lit(0), F.expr(f"(idx - {longest - 1}) div {block}"))
     rows = samples.select("series_id", "idx", "value", F.explode(F.sequence(first, F.expr(f"idx div {block}"))).alias("part"))
     placed = windows.filter(F.col("start").isNotNull()).withColumn("part", F.expr(f"start div {block}"))
-    return _measure(_stream(rows, placed), q_grid)
+    return _stream(rows, placed)
 
 
-WINDOW = ("series_id", "subset_id")
+def measure_windows(
+    samples: DataFrame, windows: DataFrame, longest: int, q_grid: Sequence[float] = Q_GRID, columns: Sequence[str] = WHOLE
+) -> DataFrame:
+    """M3-M14 of every window of ``samples(series_id, idx, value)``, one row per window that has an F.
+
+    ``windows(series_id, subset_id, start, size, recipe, scales)``, none longer than ``longest``; ``recipe`` names one of
+    RECIPES. A NULL value makes the segments that hold it undefined. Spark cannot tell a task which of its ``columns`` are read
+    later; named here, the others need not leave it.
+    """
+    return _measure(_placed(samples, windows, longest), q_grid, columns)
 
 
 def pack_rows(rows: DataFrame, windows: DataFrame) -> DataFrame:
@@ -206,17 +227,59 @@ def pack_rows(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return join_groups(held, own, list(WINDOW)).select(*WINDOW, "family", "size", "scales", *columns)
 
 
+def pack_windows(samples: DataFrame, windows: DataFrame, longest: int) -> DataFrame:
+    """The same for windows cut and denoised where the samples lie, by one of RECIPES: ``samples`` are shuffled once, their copies in windows never.
+
+    ``windows`` as for ``measure_windows``, with their ``family``; ``samples`` have dense positions, as windows count on. A NULL series has no windows.
+    """
+    own = windows.filter(F.col("series_id").isNotNull()).withColumn("recipe", F.struct("recipe", "family"))
+    stream = _placed(samples, own, longest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            series, subset, x, named, scales = zip(*held)
+            sizes = np.array([len(v) for v in x])
+            clean: list[np.ndarray] = [np.zeros(0)] * len(x)
+            for size, recipe in {(len(v), r["recipe"]) for v, r in zip(x, named)}:
+                rows = [k for k, (v, r) in enumerate(zip(x, named)) if len(v) == size and r["recipe"] == recipe]
+                with np.errstate(invalid="ignore"):
+                    for k, v in zip(rows, RECIPES[recipe](np.stack([x[k] for k in rows]))):
+                        clean[k] = v
+            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            place = pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int64))
+            columns = [
+                pa.array(series), pa.array(subset, pa.int32()), pa.array([r["family"] for r in named], pa.string()), pa.array(sizes.astype(np.int32)),
+                pa.array(scales, pa.list_(pa.int32())), pa.ListArray.from_arrays(offsets, place), pa.ListArray.from_arrays(offsets, _known(np.concatenate(clean))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=[*WINDOW, "family", "size", "scales", "idx", "value"])
+
+        size = 0
+        for one in _cut(batches):
+            held.append(one)
+            size += len(one[2])
+            if size >= STEP_VALUES:
+                yield made()
+                held, size = [], 0
+        if held:
+            yield made()
+
+    name = stream.schema["series_id"].dataType.simpleString()
+    return stream.mapInArrow(run, f"series_id {name}, subset_id int, family string, size int, scales array<int>, idx array<bigint>, value array<double>")
+
+
 def unpacked(packed: DataFrame) -> DataFrame:
     """The rows ``(series_id, subset_id, family, size, idx, value)`` of packed windows."""
     return packed.select(*WINDOW, "family", "size", F.inline(F.arrays_zip("idx", "value")))
 
 
-def measure_packed(packed: DataFrame, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
+def measure_packed(packed: DataFrame, q_grid: Sequence[float] = Q_GRID, columns: Sequence[str] = WHOLE) -> DataFrame:
     """M3-M14 of packed windows, one row per window that has an F; a window that lacks its first or last row has none."""
     q = np.asarray(q_grid, dtype=float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queue = _Queue(q)
+        queue = _Queue(q, columns)
         for batch in batches:
             series, subset, sizes, scales = (batch.column(c).to_pylist() for c in (*WINDOW, "size", "scales"))
             for k, size in enumerate(sizes):
@@ -231,22 +294,27 @@ def measure_packed(packed: DataFrame, q_grid: Sequence[float] = Q_GRID) -> DataF
         yield from queue.emptied()
 
     own = packed.select(*WINDOW, "size", "scales", "idx", "value")
-    return own.mapInArrow(run, SCHEMA.format(packed.schema["series_id"].dataType.simpleString()))
+    return own.mapInArrow(run, _schema(packed, columns))
 
 
-def measure_rows(rows: DataFrame, windows: DataFrame, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
+def measure_rows(
+    rows: DataFrame, windows: DataFrame, q_grid: Sequence[float] = Q_GRID, columns: Sequence[str] = WHOLE
+) -> DataFrame:
     """The same for windows that come as denoised ``rows(series_id, subset_id, idx, value)``, each counted from 0."""
-    return measure_packed(pack_rows(rows, windows), q_grid)
+    return measure_packed(pack_rows(rows, windows), q_grid, columns)
 
 
 def spectrum_rows(measures: DataFrame, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
-    """One row per window and q, as ``fluctuation.spectrum`` gives them."""
+    """One row per window and q, as ``fluctuation.spectrum`` gives them; of measures with ``h`` alone, without the other kinds."""
     n = len(q_grid)
-    rows = measures.select("series_id", "subset_id", "spectrum", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q_pos"))
+    whole = "spectrum" in measures.columns
+    rows = measures.select(*WINDOW, "spectrum" if whole else "h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q_pos"))
+    q = F.lit(list(q_grid))[F.col("q_pos")].alias("q")
+    if not whole:
+        return rows.select(*WINDOW, "q_pos", q, F.get("h", F.col("q_pos")).alias("h"))
     columns = {name: F.get("spectrum", F.col("q_pos") + k * n) for k, name in enumerate(KINDS)}
     return rows.select(
-        "series_id", "subset_id", columns["n_scales"].cast("bigint").alias("n_scales"), "q_pos", F.lit(list(q_grid))[F.col("q_pos")].alias("q"),
-        *[columns[name].alias(name) for name in KINDS[1:]],
+        *WINDOW, columns["n_scales"].cast("bigint").alias("n_scales"), "q_pos", q, *[columns[name].alias(name) for name in KINDS[1:]]
     )
 
 

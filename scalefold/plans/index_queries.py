@@ -31,7 +31,7 @@ def _supp() -> o.Chain:
 
 def _results(spark: SparkSession, df: DataFrame) -> DataFrame:
     # ordering the rows is the dear part of a view: done once, not for lengths and samples apart
-    _, windows, measures = ledger_measures(spark, land(df, "series"))
+    _, windows, measures = ledger_measures(spark, land(df, "series"), pk.SUMMARY)
     return run.subset_results(measures, windows)
 
 
@@ -77,7 +77,7 @@ def ztest_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
         {o.r6('h_max')} as h_max, {o.r6('h_width')} as h_width from prof p join width w on p.series_id = w.series_id""")
 )
 def spectrum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = su.spectrum_profile(pk.spectrum_rows(ledger_measures(spark, land(v.li_supp(spark, sf_dir), "series"))[2]))
+    profile = su.spectrum_profile(pk.spectrum_rows(ledger_measures(spark, land(v.li_supp(spark, sf_dir), "series"), ["h"])[2]))
     out = profile.join(su.spectrum_width(profile), "series_id")
     return rounded(out, "h_mean", "h_std", "h_min", "h_max", "h_width")
 
@@ -97,7 +97,7 @@ def spectrum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = v.li_supp(spark, sf_dir)
     samples = land(samples, "series")
-    plan, windows, measures = ledger_measures(spark, samples)
+    plan, windows, measures = ledger_measures(spark, samples, [*pk.SUMMARY, "h"])
     # both the results and the profile read the measures: written once
     measures = land(measures, "measures")
     spectra = pk.spectrum_rows(measures)
@@ -177,7 +177,7 @@ def _flag_subsets() -> o.Chain:
     ).select(f"select {o.r6('avg(abs_corr)')} as mci, count(abs_corr) as n_pairs from pairs")
 )
 def mci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spectra = pk.spectrum_rows(ledger_measures(spark, land(v.li_flag(spark, sf_dir), "series"))[2])
+    spectra = pk.spectrum_rows(ledger_measures(spark, land(v.li_flag(spark, sf_dir), "series"), ["h"])[2])
     out = co.mean_coherence(co.pack(co.mean_spectra(spectra)), "mci").select("mci", F.col("mci_pairs").alias("n_pairs"))
     return rounded(out, "mci")
 
@@ -185,7 +185,7 @@ def mci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _indices(spark: SparkSession, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Packed spectra of both indices, subset results, and indices with their bootstrap."""
     samples = land(samples, "series")
-    _, windows, measures = ledger_measures(spark, samples)
+    _, windows, measures = ledger_measures(spark, samples, [*pk.SUMMARY, "h"])
     measures = land(measures, "measures")
     spectra = pk.spectrum_rows(measures)
     whole = land(co.whole_spectra(samples), "whole")  # read once for the full run and once for the folds

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
@@ -89,14 +90,11 @@ def window_scales(windows: DataFrame, plan: DataFrame, families: list[Family]) -
     return own.withColumn("recipe", recipe[F.col("family")])
 
 
-def measure_subsets(
-    samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None = None
+def _by_recipe(
+    samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None, seed: int,
+    cut: Callable[[DataFrame, DataFrame, int], DataFrame], rows: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> DataFrame:
-    """M15. Extract, denoise and measure every subset of every series, one row per subset that has an F.
-
-    Families whose recipe works on arrays are cut and denoised in the step that measures; the
-    others, and discs of maps, come as denoised rows.
-    """
+    """``cut(samples, windows, longest)`` of families whose recipe works on arrays, ``rows(denoised rows, windows)`` of the others and of discs of maps."""
     own = window_scales(windows, plan, families)
     mapped = [f.name for f in families if f.name in DISC_RADIUS and points is not None]
     direct = [f for f in families if f.denoise in pk.RECIPES and f.name not in mapped]
@@ -106,16 +104,38 @@ def measure_subsets(
         longest = max(f.subset_size for f in direct)
         longest = max(longest, sa.SHORT_SIZE[1])  # what the plan gives a short series
         chosen = samples if len(direct) == len(families) else samples.filter(F.col("family").isin(names))
-        parts.append(pk.measure_windows(chosen, own.filter(F.col("family").isin(names)), longest))
+        parts.append(cut(chosen, own.filter(F.col("family").isin(names)), longest))
     rest = [f for f in families if f not in direct]
     if rest:
         names = [f.name for f in rest]
         few = windows.filter(F.col("family").isin(names))
-        clean = subset_rows(samples.filter(F.col("family").isin(names)), few, rest, points)
-        parts.append(pk.measure_rows(clean, own.filter(F.col("family").isin(names))))
+        clean = subset_rows(samples.filter(F.col("family").isin(names)), few, rest, points, seed)
+        parts.append(rows(clean, own.filter(F.col("family").isin(names))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def measure_subsets(
+    samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None = None,
+    columns: Sequence[str] = pk.WHOLE,
+) -> DataFrame:
+    """M15. Extract, denoise and measure every subset of every series, one row per subset that has an F.
+
+    Families whose recipe works on arrays are cut and denoised in the step that measures; the
+    others, and discs of maps, come as denoised rows. ``columns`` are those that leave the step.
+    """
+    return _by_recipe(
+        samples, windows, plan, families, points, sa.SEED,
+        lambda s, w, longest: pk.measure_windows(s, w, longest, columns=columns), lambda r, w: pk.measure_rows(r, w, columns=columns),
+    )
+
+
+def pack_subsets(
+    samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None = None, seed: int = sa.SEED
+) -> DataFrame:
+    """K12. Every subset cut and denoised, one row a window."""
+    return _by_recipe(samples, windows, plan, families, points, seed, pk.pack_windows, pk.pack_rows)
+
+
 def subset_spectra(
     samples: DataFrame, windows: DataFrame, plan: DataFrame, families: list[Family], points: DataFrame | None = None
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,10 @@ def ledger(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return samples, plan, sa.subset_windows(plan)
 
 
-def ledger_measures(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ledger_measures(spark: SparkSession, df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plan, windows and the ``columns`` of the measures that are read later."""
     samples, plan, windows = ledger(spark, df)
-    return plan, windows, run.measure_subsets(samples, windows, plan, [LEDGER])
+    return plan, windows, run.measure_subsets(samples, windows, plan, [LEDGER], columns=columns)
 
 
 _SIZES = {f.name: (f.subset_size, f.n_subsets) for f in FAMILIES}
@@ -84,7 +86,7 @@ def sample_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def subset_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, windows, measures = ledger_measures(spark, land(v.li_supp(spark, sf_dir), "series"))
+    _, windows, measures = ledger_measures(spark, land(v.li_supp(spark, sf_dir), "series"), pk.SUMMARY)
     out = run.subset_results(measures, windows).drop("family").fillna(0, ["n_valid_q", "n_scales_used"])
     return rounded(out, "d_f", "mean_h")
 
@@ -92,8 +94,7 @@ def subset_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written_subsets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Windows, and their denoised samples written as one row a window and read back."""
     samples, plan, windows = ledger(spark, land(v.li_supp(spark, sf_dir), "series"))
-    clean = run.subset_rows(samples, windows, [LEDGER])
-    return windows, land(pk.pack_rows(clean, run.window_scales(windows, plan, [LEDGER])), "denoised")
+    return windows, land(run.pack_subsets(samples, windows, plan, [LEDGER]), "denoised")
 
 
 @register(_supp_subsets().select(f"select series_id, subset_id, idx, {o.r9('value')} as value from den"))
@@ -110,7 +111,7 @@ def denoised_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_subsets_mfdfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is measured on the written subsets, which are read without a shuffle."""
     windows, packed = _written_subsets(spark, sf_dir)
-    out = run.subset_results(pk.measure_packed(packed), windows).fillna(0, ["n_scales_used"])
+    out = run.subset_results(pk.measure_packed(packed, columns=pk.SUMMARY), windows).fillna(0, ["n_scales_used"])
     return rounded(out.select("series_id", "subset_id", "d_f", "n_scales_used"), "d_f")
 
 
@@ -147,7 +148,7 @@ def subset_mfdfa_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = land(samples, "series")
     plan = sa.subset_plan(run.series_lengths(samples), family_config(spark, _LINES_SCALES_FAMILIES))
     windows = sa.subset_windows(plan)
-    measures = run.measure_subsets(samples, windows, plan, _LINES_SCALES_FAMILIES)
+    measures = run.measure_subsets(samples, windows, plan, _LINES_SCALES_FAMILIES, columns=pk.SUMMARY)
     out = run.subset_results(measures, windows).select("series_id", "subset_id", "d_f", "n_scales_used")
     return rounded(out.fillna(0, ["n_scales_used"]), "d_f")
 

@@ -162,3 +162,32 @@ def test_samples_are_shuffled_once(spark, samples):
     windows = spark.createDataFrame([("walk", 0, 100, 250, "unit_std", [2, 4])], "series_id string, subset_id int, start bigint, size int, recipe string, scales array<int>")
     plan = pk.measure_windows(samples, windows, family.subset_size)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_subsets_are_packed_where_the_samples_lie(spark, samples):
+    """The same rows as those cut and denoised one by one, with one shuffle."""
+    family = Family("f", 250, 12, 1.19, 0.04, "unit_std", [2, 4, 8, 16])
+    tagged = samples.withColumn("family", F.lit("f"))
+    plan = sa.subset_plan(rn.series_lengths(tagged), family_config(spark, [family]))
+    windows = sa.subset_windows(plan)
+    rows = pk.pack_rows(rn.subset_rows(tagged, windows, [family]), rn.window_scales(windows, plan, [family]))
+    direct = rn.pack_subsets(tagged, windows, plan, [family])
+    assert direct.columns == rows.columns
+
+    def table(df):
+        rows = [(r.series_id, r.subset_id, r.family, r.size, r.scales, r.idx, [v if v is None else round(v, 9) for v in r.value]) for r in df.collect()]
+        return sorted(rows, key=lambda r: r[:2])
+
+    assert table(direct) == table(rows)
+    own = spark.createDataFrame([("walk", 0, "f", 100, 250, "unit_std", [2, 4])], "series_id string, subset_id int, family string, start bigint, size int, recipe string, scales array<int>")
+    assert pk.pack_windows(samples, own, 250)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_only_columns_asked_for_leave_the_step(spark, samples):
+    windows = spark.createDataFrame([("walk", 0, 100, 250, "", [2, 4, 8, 16])], "series_id string, subset_id int, start bigint, size int, recipe string, scales array<int>")
+    whole = pk.measure_windows(samples, windows, 250)
+    few = pk.measure_windows(samples, windows, 250, columns=["h", *pk.SUMMARY])
+    assert few.columns == [*pk.WINDOW, "h", *pk.SUMMARY]
+    assert few.select(*pk.SUMMARY).collect() == whole.select(*pk.SUMMARY).collect()
+    columns = ["q_pos", "q", "h"]
+    assert pk.spectrum_rows(few).select(columns).collect() == pk.spectrum_rows(whole).select(columns).collect()
