@@ -31,7 +31,7 @@ SHARD_BYTES = 4 << 20
 class Items:
     """Benchmark items as word keys, one after another; ``item`` names are texts."""
 
-    item: list[str]
+    item: list[str | None]
     start: np.ndarray
     length: np.ndarray
     key: np.ndarray
@@ -44,7 +44,7 @@ def _words(texts: list[bytes]) -> Words:
 def _items(rows: list) -> Items:
     words = _words([(r.text or "").encode() for r in rows])
     length = words.per_doc(len(rows))
-    return Items([str(r.item) for r in rows], np.cumsum(length) - length, length, words.key)
+    return Items([r.item for r in rows], np.cumsum(length) - length, length, words.key)
 
 
 def suffix_array(codes: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
