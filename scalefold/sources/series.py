@@ -14,6 +14,8 @@ from scalefold.operators.sampling import SEED
 # Bits per hex character, jitter of the bit source.
 BITS = 4
 JITTER = 1e-6
+# Characters of a payload that are worked on as one text: a character is found by counting from its start.
+PIECE = 256
 
 
 def hex_bits(df: DataFrame, column: str, order: Sequence[str], series: str | None = None) -> DataFrame:
@@ -34,8 +36,13 @@ def hex_bits(df: DataFrame, column: str, order: Sequence[str], series: str | Non
 def spread_bits(placed: DataFrame) -> DataFrame:
     """The bits of payloads ``(series_id, _start, _hex)``, of which ``_start`` characters of the series come before."""
     char = F.conv(F.substring("_hex", F.col("_c") + 1, F.lit(1)), 16, 10).cast("int")
+    pieces = F.when(F.length("_hex") <= PIECE, F.array("_hex")).otherwise(
+        F.regexp_extract_all("_hex", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    )
     chars = (
         placed.filter(F.length("_hex") > 0)  # sequence() would count down for an empty payload
+        .select("series_id", "_start", F.posexplode(pieces).alias("_p", "_hex"))
+        .withColumn("_start", F.col("_start") + PIECE * F.col("_p"))
         .withColumn("_c", F.explode(F.sequence(F.lit(0), F.length("_hex") - 1)))
         .select("series_id", (BITS * (F.col("_start") + F.col("_c"))).alias("_at"), char.alias("_v"))
     )

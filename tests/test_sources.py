@@ -1,6 +1,7 @@
 """Sources on files written by the test."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,18 @@ def test_payload_starts_in_blocks(spark, monkeypatch):
     assert tuple(whole) == tuple(parts) == (total - 1, total)
 
 
+def test_long_payloads_take_time_as_their_length(spark):
+    """Also with characters of several bytes, which count once; a text of 60,000 characters took a minute when each was counted from its start."""
+    long = "0f\u00e9\n" * 15_000
+    df = spark.createDataFrame([(0, long), (1, "a3"), (2, ""), (3, "f" * ss.PIECE), (4, "1" * (ss.PIECE + 1))], "n int, qrn string")
+    begun = time.monotonic()
+    got = ss.hex_bits(df, "qrn", ["n"]).toPandas().sort_values("idx")
+    assert time.monotonic() - begun < 20
+    chars = "0f00" * 15_000 + "a3" + "f" * ss.PIECE + "1" * (ss.PIECE + 1)
+    assert got["idx"].tolist() == list(range(4 * len(chars)))
+    assert got["value"].tolist() == [float(int(c, 16) >> b & 1) for c in chars for b in (3, 2, 1, 0)]
+
+
 def test_payload_files_as_a_stream(spark, tmp_path):
     land = tmp_path / "in"
     write(land / "p1.json", json.dumps({"qrn": "a3"}) + "\n" + json.dumps({"other": 1}) + "\n")
