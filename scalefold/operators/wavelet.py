@@ -8,12 +8,15 @@ one long series are worked on by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from scalefold.operators.arrays import kinds
 from scalefold.operators.indexing import Keys, lengths, with_halo
 
 # The eight-tap low-pass decomposition filter with four vanishing moments.
@@ -35,9 +38,8 @@ BLOCK = 16_384
 HALO = 512
 MAX_LEVEL = 5
 
-SUMS = T.StructType(
-    [T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("ss", T.DoubleType())]
-)
+#: Shrunk values that leave a task in one batch.
+STEP_VALUES = 1 << 17
 
 
 def analyse(df: DataFrame, keys: Keys) -> DataFrame:
@@ -120,35 +122,66 @@ def _blocks(df: DataFrame, keys: Keys) -> DataFrame:
     )
 
 
-@F.pandas_udf(SUMS)
-def _detail_sums(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series) -> pd.DataFrame:
-    """Count, sum and sum of squares of the finest details a block owns."""
-    rows = []
-    for values, a, b, m in zip(x, lo, own, n_own):
-        values = np.asarray(values, dtype=float)
-        d = split_once(values)[1]
-        start = (b - a) // 2
-        stop = len(d) if b - a + m == len(values) else start + m // 2
-        d = d[start:stop]
-        rows.append((len(d), d.sum(), (d * d).sum()))
-    return pd.DataFrame(rows, columns=["n", "s", "ss"])
-
-
-def _shrink_udf(level: int, bounded: bool):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(x: pd.Series, lo: pd.Series, own: pd.Series, n_own: pd.Series, t: pd.Series) -> pd.Series:
-        out = []
-        for values, a, b, m, limit in zip(x, lo, own, n_own, t):
-            values = np.asarray(values, dtype=float)
-            if bounded and not np.isnan(values).any():
-                limit = np.std(split_once(values)[1]) * np.sqrt(2.0 * np.log(len(values)))
-            if np.isnan(limit):
-                out.append([None] * m)
-                continue
-            out.append(_shrunk(values, level, limit)[b - a : b - a + m])
-        return pd.Series(out)
-
-    return run
+def _values(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(samples, those ahead of its own, its own) of each block, one at a time; nan for NULL."""
+    ahead = pc.subtract(batch.column("own"), batch.column("lo")).to_pylist()
+    for k, (a, m) in enumerate(zip(ahead, batch.column("n_own").to_pylist())):
+        yield np.asarray(batch.column("x")[k].values.to_numpy(zero_copy_only=False), dtype=float), a, m
+
+
+def _detail_sums(blocks: DataFrame, keys: Keys) -> DataFrame:
+    """Count, sum and sum of squares of the finest details a block owns, with ``n_own`` and ``n_null``."""
+    kept = [*keys, "n_own", "n_null"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for values, ahead, m in _values(batch):
+                d = split_once(values)[1]
+                start = ahead // 2
+                stop = len(d) if ahead + m == len(values) else start + m // 2
+                d = d[start:stop]
+                rows.append((len(d), d.sum(), (d * d).sum()))
+            n, s, ss = (np.array(c, dtype=float) for c in zip(*rows)) if rows else [np.zeros(0)] * 3
+            sums = [pa.array(n.astype(np.int64)), *(pa.array(c, mask=np.isnan(c)) for c in (s, ss))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *sums], names=[*kept, "m", "s", "ss"])
+
+    rows = blocks.select(*kept, "lo", "own", "x")
+    return rows.mapInArrow(run, kinds(rows, *kept) + "m long, s double, ss double")
+
+
+def _shrunk_blocks(sized: DataFrame, keys: Keys, level: int, bounded: bool) -> DataFrame:
+    """The samples each block owns, shrunk, as ``_y``. What a task holds beside the batch it was given is bounded in values, not in blocks."""
+    kept = [*keys, "own"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limits = batch.column("t").to_pylist()
+            made: list[np.ndarray] = []
+            begin = size = 0
+
+            def rows() -> pa.RecordBatch:
+                flat = np.concatenate(made)
+                offsets = pa.array(np.append(0, np.cumsum([len(y) for y in made])).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(flat, mask=np.isnan(flat)))
+                own = [batch.column(c).slice(begin, len(made)) for c in kept]
+                return pa.RecordBatch.from_arrays([*own, lists], names=[*kept, "_y"])
+
+            for values, ahead, m in _values(batch):
+                limit = limits[begin + len(made)]
+                limit = np.nan if limit is None else limit
+                if bounded and not np.isnan(values).any():
+                    limit = np.std(split_once(values)[1]) * np.sqrt(2.0 * np.log(len(values)))
+                made.append(np.full(m, np.nan) if np.isnan(limit) else _shrunk(values, level, limit)[ahead : ahead + m])
+                size += m
+                if size >= STEP_VALUES:
+                    yield rows()
+                    begin, size, made = begin + len(made), 0, []
+            if made:
+                yield rows()
+
+    rows = sized.select(*kept, "lo", "n_own", "t", "x")
+    return rows.mapInArrow(run, kinds(rows, *kept) + "_y array<double>")
 
 
 def shrink(df: DataFrame, keys: Keys, level: int, bounded: bool = False) -> DataFrame:
@@ -164,9 +197,8 @@ def shrink(df: DataFrame, keys: Keys, level: int, bounded: bool = False) -> Data
     if bounded:
         sized = blocks.withColumn("t", F.lit(None).cast("double"))
     else:
-        sums = blocks.select(*keys, "n_own", "n_null", _detail_sums("x", "lo", "own", "n_own").alias("d"))
-        total = sums.groupBy(*keys).agg(
-            F.sum("n_own").alias("n"), F.sum("d.n").alias("m"), F.sum("d.s").alias("s"), F.sum("d.ss").alias("ss"),
+        total = _detail_sums(blocks, keys).groupBy(*keys).agg(
+            F.sum("n_own").alias("n"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
             F.sum("n_null").alias("n_null"),
         )
         spread = F.sqrt(F.greatest(F.expr("ss / m - (s / m) * (s / m)"), F.lit(0.0)))
@@ -176,9 +208,8 @@ def shrink(df: DataFrame, keys: Keys, level: int, bounded: bool = False) -> Data
             ),
             list(keys),
         )
-    # the UDF has a step of its own: a generator over it would lose the columns beside it
     return (
-        sized.select(*keys, "own", _shrink_udf(level, bounded)("x", "lo", "own", "n_own", "t").alias("_y"))
+        _shrunk_blocks(sized, keys, level, bounded)
         .select(*keys, "own", F.posexplode("_y").alias("_at", "value"))
         .select(*keys, (F.col("own") + F.col("_at")).alias("idx"), "value")
     )

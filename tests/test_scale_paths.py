@@ -97,6 +97,17 @@ def test_wavelet_in_blocks(spark, samples, noise, monkeypatch, level):
         np.testing.assert_allclose(got[name], wv._shrunk(x, level, limit), rtol=1e-8, atol=1e-9)
 
 
+@pytest.mark.parametrize("bounded", [False, True])
+def test_shrunk_blocks_leave_a_task_in_bounded_steps(spark, samples, monkeypatch, bounded):
+    """Blocks go through Python as lists of Arrow, not as tables of objects; small steps give the same rows, undefined series too."""
+    odd = samples.withColumn("value", F.expr("if(series_id = 'short' and idx = 7, null, value)")).filter("series_id <> 'long' or idx < 900")
+    whole = by_series(wv.shrink(odd, SERIES, 4, bounded))
+    monkeypatch.setattr(wv, "STEP_VALUES", 100)
+    out = wv.shrink(odd, SERIES, 4, bounded)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert by_series(out) == whole and set(whole["short"]) == {None} and None not in whole["long"] + whole["walk"]
+
+
 def test_wavelet_bounded_equals_blocks(spark, samples):
     a = by_series(wv.shrink(samples, SERIES, 4, bounded=True))
     b = by_series(wv.shrink(samples, SERIES, 4))
