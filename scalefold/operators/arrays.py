@@ -76,12 +76,44 @@ def run_sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(count) - count, axis=0)
 
 
+def _even_step(q: np.ndarray) -> float | None:
+    """The step of a grid that goes through zero in equal steps, else None."""
+    if len(q) < 2 or not (q == 0.0).any() or q[1] <= q[0]:
+        return None
+    step = (q[-1] - q[0]) / (len(q) - 1)
+    places = np.arange(len(q)) - int(np.flatnonzero(q == 0.0)[0])
+    return float(step) if np.allclose(q, places * step, rtol=1e-14, atol=0.0) else None
+
+
 def power_sums(rms: np.ndarray, count: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """For runs of ``count`` values each: the sum of x^q, of ln x^2 where q is zero."""
+    """For runs of ``count`` values each: the sum of x^q, of ln x^2 where q is zero.
+
+    On an even grid x^q goes on from its neighbour by one product, and runs of one length are summed side by side.
+    """
     x = rms + RMS_FLOOR
-    terms = np.exp(np.multiply.outer(np.log(x), q))
-    terms[:, q == 0.0] = np.log(rms * rms + RMS_FLOOR)[:, None]
-    return run_sums(terms, count)
+    logs = np.log(rms * rms + RMS_FLOOR)
+    step = _even_step(q)
+    if step is None or not len(count):
+        terms = np.exp(np.multiply.outer(np.log(x), q))
+        terms[:, q == 0.0] = logs[:, None]
+        return run_sums(terms, count)
+    if (count == count[0]).all() and count[0] > 0:
+        x, logs = (np.ascontiguousarray(v.reshape(len(count), -1).T) for v in (x, logs))
+        total = lambda v: v.sum(axis=0)
+    else:
+        at = np.cumsum(count) - count
+        total = lambda v: np.add.reduceat(v, at)
+    zero = int(np.flatnonzero(q == 0.0)[0])
+    out = np.empty((len(q), len(count)))
+    out[zero] = total(logs)
+    with np.errstate(over="ignore", under="ignore"):
+        up = np.exp(step * np.log(x))
+        for factor, places in ((up, range(zero + 1, len(q))), (1.0 / up, range(zero - 1, -1, -1))):
+            power = factor.copy()
+            for k in places:
+                out[k] = total(power)
+                power *= factor
+    return np.ascontiguousarray(out.T)
 
 
 def roots(total: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:

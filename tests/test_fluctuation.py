@@ -1,9 +1,12 @@
 """The fluctuation analysis against a plain numpy reading of its contract, and its properties."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scalefold.operators import arrays as ar
 from scalefold.operators import fluctuation as fl
 from scalefold.operators.grids import Q_GRID, lines_scales, log_scales, whole_scales
 from tests.conftest import by_series
@@ -141,3 +144,26 @@ def test_grids():
     assert (strain[0], strain[-1], len(strain)) == (7, 4095, 20)
     assert lines_scales(4000)[-1] == 499 and len(lines_scales(300)) == 15
     assert whole_scales(6144)[0] == 7 and min(whole_scales(60)) > 4
+
+
+@pytest.mark.parametrize("counts", [[64] * 256, [3, 1, 700, 2, 5000, 9]])
+def test_power_sums_make_no_table_of_segments_by_q(counts):
+    """Equal to the definition over twelve decades, and in room for a few values a segment."""
+    q, count = np.array(Q_GRID), np.array(counts)
+    rms = np.exp(np.random.default_rng(3).uniform(-14, 14, count.sum()))
+    x = rms + ar.RMS_FLOOR
+    terms = np.where(q == 0.0, np.log(rms * rms + ar.RMS_FLOOR)[:, None], x[:, None] ** np.where(q == 0.0, 1.0, q))
+    want = np.stack([part.sum(axis=0) for part in np.split(terms, np.cumsum(count)[:-1])])
+    tracemalloc.start()
+    got = ar.power_sums(rms, count, q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(got, want, rtol=1e-12)
+    assert peak < 12 * 8 * count.sum() + 4 * got.nbytes
+
+
+def test_power_sums_of_other_grids():
+    for grid in ([-1.0, 0.0, 2.0], [1.0, 2.0, 3.0], [0.0]):
+        got = ar.power_sums(np.array([1.0, 2.0, 4.0]), np.array([2, 1]), np.array(grid))
+        want = [[2 * np.log(2.0) if p == 0 else 1.0 + 2.0**p for p in grid], [2 * np.log(4.0) if p == 0 else 4.0**p for p in grid]]
+        np.testing.assert_allclose(got, want, rtol=1e-9)
