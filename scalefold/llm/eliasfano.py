@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
-
 
 class EliasFano:
     """A sorted sequence of integers: low bits packed, high bits as gaps in a bit string with counts per word."""
@@ -23,13 +21,16 @@ class EliasFano:
             part = values & np.uint64((1 << bits) - 1)
             at = np.arange(n) * bits
             word, shift = at >> 6, (at & 63).astype(np.uint64)
-            np.bitwise_or.at(low, word, part << shift)
+            if n:
+                begin = np.flatnonzero(np.diff(word, prepend=-1))
+                low[word[begin]] = np.bitwise_or.reduceat(part << shift, begin)
             over = np.flatnonzero((at & 63) + bits > 64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])  # one number at most ends in a word it did not begin in
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = (int(ones[-1]) if n else 0) // 64 + 1
-        high = np.zeros(size, np.uint64)
-        np.bitwise_or.at(high, ones >> 6, _ONE << (ones & 63).astype(np.uint64))
+        flags = np.zeros(size * 64, bool)
+        flags[ones] = True
+        high = np.packbits(flags, bitorder="little").view(np.uint64)
         count = np.bitwise_count(high).astype(np.int64)
         return cls(n, bits, low, high, (np.cumsum(count) - count).astype(np.uint32))
 
@@ -45,6 +46,16 @@ class EliasFano:
             left = np.where(go, left - half, left)
             place += np.where(go, np.uint64(step), np.uint64(0))
         upper = (word * 64 + place.astype(np.int64) - i).astype(np.uint64)
+        return self._joined(upper, i)
+
+    def values(self) -> np.ndarray:
+        """The whole sequence, read in one pass."""
+        i = np.arange(self.n)
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        return self._joined((ones - i).astype(np.uint64), i)
+
+    def _joined(self, upper: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """High bits with the low bits of places ``i``."""
         if not self.low_bits:
             return upper.astype(np.int64)
         at = i * self.low_bits
@@ -85,6 +96,8 @@ def from_buffer(buffer: np.ndarray) -> list[np.ndarray]:
 
 #: log10 of a probability is kept in steps of this size.
 STEP = 1 / 4096
+#: At least one word in so many successors of a level is sought at once where the level is read whole.
+READ_WHOLE = 16
 
 
 def quantised(probability: np.ndarray) -> np.ndarray:
@@ -115,8 +128,14 @@ class Level:
     def place(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Where the word stands among the successors of its context; -1 where it does not follow it."""
         local = context - self.first
+        want = local * self.words + word
+        if READ_WHOLE * len(want) >= self.successors.n:
+            # the successors of all contexts rise, so many words are sought in one pass over them
+            held = self.successors.values()
+            at = np.searchsorted(held, want)
+            return np.where((np.append(held, -1)[at] == want) & (word < self.words), at, -1)
         a, end = self.pointers[local], self.pointers[local + 1]
-        b, want = end.copy(), local * self.words + word
+        b = end.copy()
         live = np.flatnonzero(a < b)
         while len(live):
             mid = (a[live] + b[live]) // 2

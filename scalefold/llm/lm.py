@@ -112,6 +112,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _known(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted ``words``, and the counts of those; 0 for the others."""
+    if not len(words):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+    there = words[at] == keys
+    return there, np.where(there, counts[at], 0)
+
+
 class _Deal:
     """The shard of a token by its context: words with many tokens are spread by the word before, text starts by the word itself."""
 
@@ -147,13 +156,28 @@ def _ordered(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: int) -> tuple[np.nd
     """The order of tokens by (v, u, w), all below n, and which of them in that order differ from the one before."""
     if n < 1 << 21:
         code = (v.astype(np.int64) * n + u) * n + w
+        order = np.argsort(code)
+        fresh = np.diff(code[order], prepend=-1) != 0
+        # equal tokens in the order they came in, by a sort of plain numbers: much faster than a stable one
+        bits = max(len(code) - 1, 0).bit_length()
+        if 2 * bits < 63:
+            order = np.sort((np.cumsum(fresh) - 1 << bits) + order) & (1 << bits) - 1
+            return order, fresh
         order = np.argsort(code, kind="stable")
-        code = code[order]
-        return order, np.diff(code, prepend=-1) != 0
+        return order, fresh
     order = np.lexsort((w, u, v))
     return order, np.logical_or.reduce([np.diff(x[order].astype(np.int64), prepend=-1) != 0 for x in (v, u, w)])
 
 
+def _used(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers among ``x``, all below ``n``, and the place of each there; many are marked, not sorted."""
+    if len(x) < n >> 3:
+        return np.unique(x, return_inverse=True)
+    there = np.zeros(n, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+
+
 def _planes(x: np.ndarray) -> np.ndarray:
     """Low bytes of all numbers, then their next bytes and so on: planes compress better than numbers."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.ravel()
@@ -194,11 +218,11 @@ def _pack(number: np.ndarray, weight: np.ndarray, texts: list[bytes], deal: _Dea
     edge = np.flatnonzero(np.diff(shard[by_shard], prepend=-1))
     for s, e in zip(edge, np.append(edge[1:], len(by_shard))):
         at = by_shard[s:e]
-        used, local = np.unique(np.concatenate([v[at], u[at], w[at]]), return_inverse=True)
+        used, local = _used(np.concatenate([v[at], u[at], w[at]]), len(names))
         own_v, own_u, own_w = np.split(local, 3)
         place = place_of[used]
         rest, placed = names[used][place < 0], place[place >= 0]
-        docs, own_doc = np.unique(doc[at], return_inverse=True)
+        docs, own_doc = _used(doc[at], len(texts))
         # u rises as long as v stays, so its steps are small but where v changes
         turn = np.diff(own_v, prepend=-1) != 0
         step = np.where(turn, own_u, np.diff(own_u, prepend=0))
@@ -325,10 +349,12 @@ def _scored_shard(blobs: list[bytes], hot: tuple[np.ndarray, ...], dealt: _Deal,
     """Sums ``(text, log10)`` of one shard, and of words without a known count ``(text, word, times, a, b)``."""
     words, counts = known
     parts = [_unpack(b, words) for b in blobs]
-    names = np.unique(np.concatenate([*(p[0] for p in parts), *hot[:2], [END]]).astype(np.uint64))
-    v, u, w = (np.concatenate([np.searchsorted(names, p[0]).astype(np.int32)[p[i]] for p in parts]) for i in (1, 2, 3))
+    names = np.sort(np.concatenate([*(p[0] for p in parts), *hot[:2], [END]]).astype(np.uint64))
+    names = names[np.append(True, names[1:] != names[:-1])]
+    local = [np.searchsorted(names, p[0]).astype(np.int32) for p in parts]
+    v, u, w = (np.concatenate([own[p[i]] for own, p in zip(local, parts)]) for i in (1, 2, 3))
     text, times, learned = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-    del parts
+    del parts, local
     order, fresh = _ordered(v, u, w, len(names))
     start = np.flatnonzero(fresh)
     gram = np.cumsum(fresh) - 1
@@ -344,9 +370,8 @@ def _scored_shard(blobs: list[bytes], hot: tuple[np.ndarray, ...], dealt: _Deal,
     trie = Trie(len(names), (*np.divmod(codes[by_code], len(names)), count[by_code]), (v[inner], u[inner], w[inner], n[inner]))
     a, b = trie.parts(v, u, w)
     key = names[w]
-    at = np.minimum(np.searchsorted(words, key), max(len(words) - 1, 0))
-    common = words[at] == key if len(words) else np.zeros(len(key), bool)
-    alone = (np.where(common, counts[at] if len(words) else 0, 0) + 1) * 10.0**-rest
+    common, count = (x[w] for x in _known(names, words, counts))
+    alone = (count + 1) * 10.0**-rest
     value, common = np.log10(a + b * alone)[gram], common[gram]
     texts, inverse = np.unique(text[common], return_inverse=True)
     sums = np.bincount(inverse, (value[common] * times[common]), minlength=len(texts))
@@ -427,9 +452,9 @@ def score(documents: DataFrame, training: Column, text: str = "text", carry: lis
             out: list[list[np.ndarray]] = [[np.zeros(0)] for _ in range(3)]
             for i, j in steps(texts):
                 tokens = _Tokens(texts[i:j])
-                at = np.minimum(np.searchsorted(words, tokens.key), max(len(words) - 1, 0))
-                common = words[at] == tokens.key if len(words) else np.zeros(len(tokens.key), bool)
-                alone = np.log10(np.where(common, n[at] if len(n) else 0, 0) + 1.0) - rest
+                names, place = np.unique(tokens.key, return_inverse=True)
+                common, count = _known(names, words, n)
+                common, alone = common[place], (np.log10(count + 1.0) - rest)[place]
                 for into, x in zip(out, (tokens.n, *(np.bincount(tokens.doc, x, minlength=j - i) for x in (common, alone)))):
                     into.append(x)
             flat = [np.concatenate(x) for x in out]

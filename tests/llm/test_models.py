@@ -218,6 +218,43 @@ def test_level_finds_successors():
     assert backoff == pytest.approx(np.log10([1, 1, 1, 0.2, 0.3, 0.3]), abs=1e-3)
 
 
+def test_many_words_are_sought_in_one_pass(monkeypatch):
+    """The same places as by search within each context, also for sequences without low bits, and nothing is fetched one by one."""
+    rng = np.random.default_rng(5)
+    for contexts, words, n in ((50, 400, 3000), (6, 5, 28), (3000, 1 << 20, 500)):
+        codes = np.sort(rng.choice(contexts * words, n, replace=False))
+        context, word = np.divmod(codes, words)
+        level = eliasfano.Level(eliasfano.from_buffer(np.frombuffer(
+            eliasfano.Level.build(0, contexts, words, context, word, np.ones(n), np.ones(contexts)), np.uint8)))
+        asked = np.divmod(np.concatenate([codes, rng.integers(0, contexts * words, 2000), [0, contexts * words - 1]]), words)
+        monkeypatch.setattr(eliasfano, "READ_WHOLE", 0)
+        want = level.place(*asked)
+        assert want[:n].tolist() == list(range(n))
+        monkeypatch.undo()
+        with monkeypatch.context() as m:
+            m.setattr(eliasfano.EliasFano, "__getitem__", None)
+            assert level.place(*asked).tolist() == want.tolist()
+    level = eliasfano.Level(eliasfano.from_buffer(np.frombuffer(
+        eliasfano.Level.build(0, 2, 8, np.array([0, 1]), np.array([3, 0]), np.ones(2), np.ones(2)), np.uint8)))
+    assert level.place(np.array([0, 0, 1]), np.array([3, 8, 0])).tolist() == [0, -1, 1]  # no word of the next context
+    assert eliasfano.EliasFano.of(np.zeros(0, np.int64), 1).values().tolist() == []
+
+
+@pytest.mark.parametrize("n", [3, 1 << 21])
+def test_tokens_are_ordered_and_equal_ones_stay_in_place(n):
+    rng = np.random.default_rng(6)
+    v, u, w = rng.integers(0, 3, (3, 500))
+    order, fresh = lm._ordered(v, u, w, n)
+    assert order.tolist() == np.lexsort((w, u, v)).tolist()
+    rows = list(zip(v[order], u[order], w[order]))
+    assert fresh.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))]
+    assert [len(x) for x in lm._ordered(*np.zeros((3, 0), np.int64), n)] == [0, 0]
+    for size, many in ((40, 30), (40, 2)):
+        x = rng.integers(0, size, many)
+        for got, want in zip(lm._used(x, size), np.unique(x, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
 def test_awkward_rows_pass_through(spark):
     lexicon = toxicity.Lexicon({" w1 ": 1.0}, set(), (-1.0, 1.0, 0.0))
     got = toxicity.score(frame(spark), lexicon, carry=["doc_id", "key"])
