@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import byte_values, column_bytes, mixed, steps
+from scalefold.llm.text import byte_values, column_bytes, mixed, ragged, steps
 from scalefold.session import land
 
 LENGTH = 200
@@ -39,7 +39,8 @@ ROOM = LENGTH - CORE
 GROUP = 64
 #: Widths of the ranges of distances in which anchors with more blocks are refined.
 WIDTHS = (32, 8, 1)
-_STEP = 2 << 20
+#: Bytes of texts parsed at once: few, so that what is worked out of them stays in the cache of a core.
+_STEP = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -56,21 +57,26 @@ class Parse(NamedTuple):
     block: np.ndarray
 
 
+def _whole(roll: np.ndarray, at: np.ndarray, size: int = CORE) -> np.ndarray:
+    """Rolling hash of the ``size`` bytes from each place, put together from those of WINDOW bytes."""
+    if size == WINDOW:
+        return roll[at]
+    half = size // 2
+    return _whole(roll, at, half) * np.uint64(pow(_BASE, half, 1 << 64)) + _whole(roll, at + half, half)
+
+
 def parse(texts: list[bytes]) -> Parse:
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
     data = np.frombuffer(b"".join(texts) + bytes(2 * LENGTH), np.uint8)
-    h, power = byte_values(1)[data], _BASE
-    keys = {}
-    for k in (1, 2, 4, 8, 16, 32):
-        h = h[:-k] * np.uint64(power) + h[k:]
-        power = power * power % (1 << 64)
-        keys[2 * k] = h
-    roll, whole = keys[WINDOW], keys[CORE]
-    least = roll
+    roll, power = byte_values(1).take(data, mode="clip"), _BASE
     for k in (1, 2, 4, 8):
+        h = roll[:-k] * np.uint64(power)
+        h += roll[k:]
+        roll, power = h, power * power % (1 << 64)
+    least = roll
+    for k in (1, 2, 4, 8, 8):  # over RADIUS places
         least = np.minimum(least[:-k], least[k:])
-    least = np.minimum(least[:-8], least[8:])  # over RADIUS places
     n = len(least) - RADIUS - 1
     middle = roll[RADIUS : RADIUS + n]
     anchor = np.flatnonzero((middle < least[:n]) & (middle <= least[RADIUS + 1 : RADIUS + 1 + n]))
@@ -84,22 +90,18 @@ def parse(texts: list[bytes]) -> Parse:
     some = first <= last
     anchor, doc, first, last = (x[some] for x in (anchor, doc, first, last))
     # strings that are in a text, but belong to no anchor
-    edges = np.zeros(len(data) + 1, np.int32)
     long = size >= LENGTH
-    np.add.at(edges, begin[long], 1)
-    np.add.at(edges, end[long] - LENGTH + 1, -1)
-    np.add.at(edges, first, -1)
-    np.add.at(edges, last + 1, 1)
-    alone = np.flatnonzero(np.cumsum(edges) > 0)
-    core = mixed(whole[anchor])
+    gap = np.sort(np.concatenate([begin[long], last + 1]))
+    alone = ragged(gap, np.sort(np.concatenate([end[long] - LENGTH + 1, first])) - gap)
+    core = mixed(_whole(roll, anchor))
     stop = np.minimum(anchor + LENGTH, end[doc])
     block = mixed((anchor - first).astype(np.uint64) + np.uint64(1))
     for k in range(-(-(ROOM + LENGTH) // CORE)):
         at = np.minimum(first + k * CORE, stop - CORE)
-        block = np.where(first + k * CORE < stop, mixed(block ^ whole[at]), block)
+        block = np.where(first + k * CORE < stop, mixed(block ^ _whole(roll, at)), block)
     own = np.full(len(alone), LENGTH, np.uint64)
     for k in (0, CORE, 2 * CORE, LENGTH - CORE):
-        own = mixed(own ^ whole[alone + k])
+        own = mixed(own ^ _whole(roll, alone + k))
     alone_doc = np.searchsorted(begin, alone, side="right") - 1 if len(alone) else alone
     # an empty text starts where the next one does: the last text that starts there is the one with bytes
     at = [np.concatenate([x, alone]) for x in (first, last, anchor)]

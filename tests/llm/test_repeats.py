@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from scalefold.llm import decontaminate, lines, repeats
-from scalefold.llm.text import mixed, words_of
+from scalefold.llm.text import mixed, steps, words_of
 from tests.llm.samples import documents, frame, same_rows, words
 
 
@@ -212,3 +213,24 @@ def test_items_without_an_id_and_clashing_columns(spark):
         row = decontaminate.matches(docs, bench, block_bytes=block).first()
         assert (row["n_hit"], row["contaminated"], [x["item"] for x in row["items"]]) == (3, True, ["7", None])
         assert (row["_text"], row["_row"]) == (1, 2)
+
+
+def test_parsing_holds_little_at_once():
+    rng = random.Random(12)
+    texts = [rng.randbytes(40_000) for _ in range(100)]
+    tracemalloc.start()
+    for i, j in steps(texts, repeats._STEP):
+        repeats.parse(texts[i:j])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+
+
+def test_every_string_belongs_to_an_anchor_or_stands_alone():
+    """Also texts that are empty, or as long as a string, beside others."""
+    rng = random.Random(13)
+    for _ in range(20):
+        texts = [rng.choice([bytes(n), rng.randbytes(n), b"ab" * (n // 2)]) for n in rng.choices([0, 1, 64, 199, 200, 201, 900], k=5)]
+        p = repeats.parse(texts)
+        held = sorted((d, x) for d, a, b in zip(p.doc.tolist(), p.first.tolist(), p.last.tolist()) for x in range(a, b + 1))
+        assert held == [(d, x) for d, t in enumerate(texts) for x in range(len(t) - repeats.LENGTH + 1)]
