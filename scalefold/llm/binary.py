@@ -14,18 +14,21 @@ slow for one block, so the blocks of a frame run side by side, as one array step
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scalefold.llm.text import LOWER, column_bytes, few_rows, steps, tidied
+from scalefold.llm.text import column_bytes, few_rows, steps, tidied
 
 #: With this many ids the added-up counts of a block stay below 2**16: an id raises a row of counts once at most.
 BLOCK_IDS = 2048
@@ -193,15 +196,30 @@ def _decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: What the short ways of ``_Tokens`` take for granted of a tokenizer, besides ends of words that are marked.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Small letters that no normal form changes, digits and ASCII signs, and the same splitting for them.
+_KNOWN = re.compile("[!-@\\[-~\u00df-\u00f6\u00f8-\u00ff]*")
+_LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+\\z"
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+
+
 class _Tokens:
     """Ids of texts. White space ends every word of the vocabulary and is dropped, so a text is cut at
     ASCII white space. Case does not count and closing marks right behind a letter or digit are words of
     their own, so the tokenizer sees each such word once, lower-cased and without them. Behind any other
     sign marks belong to that sign's word: those pieces are encoded as they are. Only ASCII letters and digits
-    count here; lower-casing another letter may leave a combining sign behind it."""
+    count here; lower-casing another letter may leave a combining sign behind it.
+
+    The tokenizer gets many words as one text, as that takes a third of its time. Words of known letters and signs
+    are split here and need no normal form: its model gets them, and marks where each part ends.
+    Other words are kept apart by a sign that none of them holds."""
 
-    MARKS = b".,;:!?"
-    CLOSED = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+    MARKS = ".,;:!?"
+    CLOSED = b"abcdefghijklmnopqrstuvwxyz0123456789"
+    APART = "\x01"
+    TOGETHER = 64
 
     def __init__(self, model: str, keep: int = 1 << 18):
         # a task has one core; more threads of the tokenizer only cost memory
@@ -209,38 +227,162 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
-        self.pieces: dict[bytes, bytes] = {}
-        self.units: dict[bytes, bytes] = {b"": b""}
+        self.bare, self.last, self.between = self._short_ways()
+        self.closed = np.zeros(256, bool)
+        self.closed[list(self.CLOSED)] = True
         self.keep = keep
-
-    def _encode(self, units: set[bytes]) -> None:
-        new = list(units.difference(self.units))
-        read = [u.decode("utf-8", "replace") for u in new]
-        for unit, found in zip(new, self.tokenizer.encode_batch_fast(read, add_special_tokens=False)):
-            self.units[unit] = np.array(found.ids, "<u2").tobytes()
+        self._forget()
+
+    def _short_ways(self) -> tuple:
+        """A tokenizer of words that are split, which ids end a part, and the id of APART; nothing if this one works otherwise."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        known = self.tokenizer
+        if known.normalizer is None or known.pre_tokenizer is None or not isinstance(known.model, models.BPE):
+            return None, None, None
+        normal = json.loads(known.normalizer.__getstate__()).get("normalizers", [])
+        split = json.loads(known.pre_tokenizer.__getstate__()).get("pretokenizers", [])
+        marked, signs = known.model.end_of_word_suffix, pre_tokenizers.ByteLevel.alphabet()
+        if (
+            [n["type"] for n in normal] != _NORMAL
+            or [(n["pattern"], n["content"]) for n in normal[1:2]] != [({"Regex": r"\s+"}, " ")]
+            or [p["type"] for p in split] != ["Split", "ByteLevel"]
+            or (split[0]["pattern"], split[0]["invert"]) != ({"Regex": _SPLIT}, True)
+            or split[1]["use_regex"]
+            or split[1]["add_prefix_space"]
+            or not marked
+            or known.model.continuing_subword_prefix
+            or known.model.dropout
+        ):
+            return None, None, None
+        names = known.get_vocab()
+        last = np.zeros(1 << 16, bool)
+        last[[i for name, i in names.items() if name.endswith(marked)]] = True
+        between = known.encode(self.APART, add_special_tokens=False).ids
+        if len(between) != 1 or not all(c + end in names for c in signs for end in ("", marked)):
+            return None, None, None
+        bare = Tokenizer(known.model)
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
+        return bare, last, between[0]
+
+    def _ids(self, tokenizer: object, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, tokenizer: object, texts: list[str], ends: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one behind the other, and where words end in them."""
+        ids = np.concatenate(self._ids(tokenizer, texts))
+        return ids, np.flatnonzero(ends(ids)) + 1
+
+    def _encode(self, units: pa.Array) -> None:
+        """Add distinct units to the known ones."""
+        step, letters, order = self.TOGETHER, np.zeros(len(units), bool), []
+        if self.bare is not None:
+            letters = pc.match_substring_regex(units.view(pa.large_string()), _LETTERS).to_numpy(zero_copy_only=False)
+        which = np.flatnonzero(letters)
+        if len(which):
+            words = units.take(pa.array(which)).view(pa.large_string())
+            cuts = np.append(np.arange(0, len(which), step), len(which))
+            texts = pc.binary_join(pa.ListArray.from_arrays(cuts.astype(np.int32), words), pa.scalar(" ", pa.large_string())).to_pylist()
+            ids, ends = self._together(self.bare, texts, self.last.take)
+            if len(ends) != len(which):
+                raise ValueError("the tokenizer does not mark the end of every part")
+            order.append((which, ids, np.diff(ends, prepend=0)))
+        parted: tuple[list[int], list[str], list[int]] = [], [], []
+        apart: tuple[list[int], list[str]] = [], []
+        alone: tuple[list[int], list[str]] = [], []
+        rest = np.flatnonzero(~letters)
+        for k, unit in zip(rest.tolist(), units.take(pa.array(rest)).to_pylist()):
+            word = unit.decode("utf-8", "replace")
+            if self.bare is None or b"<|" in unit:
+                alone[0].append(k)
+                alone[1].append(word)
+            elif _KNOWN.fullmatch(word):
+                parts = _PARTS.findall(word)
+                for some, x in zip(parted, (k, " ".join(parts), len(parts))):
+                    some.append(x)
+            else:
+                here = alone if self.APART in word else apart
+                here[0].append(k)
+                here[1].append(word)
+        if parted[0]:
+            texts = [" ".join(parted[1][k : k + step]) for k in range(0, len(parted[0]), step)]
+            ids, ends = self._together(self.bare, texts, self.last.take)
+            counts = np.cumsum(parted[2])
+            if len(ends) != counts[-1]:
+                raise ValueError("the tokenizer does not mark the end of every part")
+            ends = np.append(0, ends)[counts]
+            order.append((parted[0], ids, np.diff(ends, prepend=0)))
+        if apart[0]:
+            texts = [f" {self.APART} ".join([*apart[1][k : k + step], ""]) for k in range(0, len(apart[0]), step)]
+            ids, ends = self._together(self.tokenizer, texts, lambda ids: ids == self.between)
+            if len(ends) != len(apart[0]):
+                raise ValueError("the tokenizer does not keep words apart")
+            order.append((apart[0], ids[ids != self.between], np.diff(ends, prepend=0) - 1))
+        if alone[0]:
+            found = self._ids(self.tokenizer, alone[1])
+            order.append((alone[0], np.concatenate(found), np.array([len(x) for x in found])))
+        which, ids, size = (np.concatenate(x) for x in zip(*order))
+        size = size.astype(np.int64)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids.astype("<u2")])
+        self.known = pa.concat_arrays([self.known, units.take(pa.array(which))])
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.start, self.size = np.zeros(0, "<u2"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _units(self, pieces: pa.Array) -> pa.Array:
+        """The word and the closing marks of each piece in turn; either may be empty."""
+        special = pc.match_substring(pieces, "<|")  # a special token's name is taken as it is written
+        word = pc.if_else(special, pieces, pc.ascii_lower(pieces.view(pa.large_string())).view(pa.large_binary()))
+        core = pc.binary_length(pc.ascii_rtrim(word.view(pa.large_string()), self.MARKS)).to_numpy()
+        _, offsets, data = word.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[word.offset :][: len(word) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        whole = special.to_numpy(zero_copy_only=False) | ((core > 0) & ~self.closed[data[offsets[:-1] + core - 1]])
+        core = np.where(whole, np.diff(offsets), core)
+        both = np.append(np.stack([offsets[:-1], offsets[:-1] + core], axis=1).ravel(), offsets[-1:])
+        return pa.Array.from_buffers(pa.large_binary(), 2 * len(word), [None, pa.py_buffer(both), pa.py_buffer(data)])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one behind the other, and how many each has."""
+        named = self._units(pieces).dictionary_encode()
+        units = named.dictionary
+        if len(self.known) > self.keep:
+            self._forget()
+        place = pc.index_in(units, value_set=self.known)
+        if place.null_count:
+            self._encode(units.filter(place.is_null()))
+            place = pc.index_in(units, value_set=self.known)
+        used = place.to_numpy().take(named.indices.to_numpy())
+        size = self.size.take(used)
+        return _spans(self.ids, self.start.take(used), size), size[::2] + size[1::2]
 
     def __call__(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Little-endian 16-bit ids of each text and the end id."""
-        texts = [t.split() for t in texts]
-        if len(self.pieces) > self.keep // 2:
-            self.pieces = {}
-        if len(self.units) > self.keep:
-            self.units = {b"": b""}
-        split = {}
-        for piece in {p for some in texts for p in some}.difference(self.pieces):
-            if b"<|" in piece:  # a special token's name is taken as it is written
-                split[piece] = piece, b""
-            else:
-                word = piece.translate(LOWER)
-                core = word.rstrip(self.MARKS)
-                if core and core[-1] not in self.CLOSED:
-                    core = word
-                split[piece] = core, word[len(core) :]
-        self._encode({u for both in split.values() for u in both})
-        for piece, (core, marks) in split.items():
-            self.pieces[piece] = self.units[core] + self.units[marks]
-        end, known = np.array([end_id], "<u2").tobytes(), self.pieces
-        return [b"".join([*map(known.__getitem__, some), end]) for some in texts]
+        if not texts:
+            return []
+        found = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        bounds = found.offsets.to_numpy()[1:]
+        named = found.values.view(pa.large_binary()).dictionary_encode()
+        ids, size = self._pieces(named.dictionary)
+        ids, size = np.append(ids, np.uint16(end_id)), np.append(size, 1)
+        # every piece in turn, the end id as one more behind each text
+        used = np.insert(named.indices.to_numpy(), bounds, len(size) - 1)
+        start, size = (np.cumsum(size) - size).take(used), size.take(used)
+        flat = _spans(ids, start, size).tobytes()
+        cuts = (2 * np.cumsum(size)[bounds + np.arange(len(texts))]).tolist()
+        return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
+
+
+def _spans(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Pieces of an array one behind the other."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - ends + size, size)
+    at += np.arange(len(at))
+    return values.take(at)
 
 
 FRAME = (
@@ -274,9 +416,9 @@ def write_ids(documents: DataFrame, path: str, model: str, end_id: int, id_col:
             names = [f.split()[0] for f in FRAME.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
-        for batch in few_rows(batches):
+        for batch in few_rows(batches, 1024):
             texts, ids = column_bytes(batch, "text"), batch.column("doc_id").to_pylist()
-            for i, j in steps(texts, 1 << 20):
+            for i, j in steps(texts, 1 << 21):
                 for doc, own in zip(ids[i:j], tokens(texts[i:j], end_id)):
                     n = len(own) // 2
                     if docs and total + n > FRAME_IDS:

@@ -136,6 +136,22 @@ def test_token_ids_of_marks_behind_other_signs():
         assert np.frombuffer(ids, "<u2").tolist() == [*model.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_tokenizer_gets_many_words_as_one_text(monkeypatch):
+    """Words of each way of encoding them, told from the ids of every word by itself."""
+    rng = random.Random(5)
+    signs = ["abcdefghij", "abcdefghijß\u00e9\u00ff\u00f7'", "abc019-'.,!*", "abcÀÉ日ñ\u0301\u00a0İΣ\x01\x85", "ab<|>"]
+    made = ["".join(rng.choices(signs[i % 5], k=rng.randrange(1, 9))) for i in range(4000)]
+    texts = [" ".join(made[k : k + 50]) for k in range(0, 4000, 50)]
+    tokens, whole, given = binary._Tokens(cq.tokenizer_file()), Tokenizer.from_file(cq.tokenizer_file()), []
+    ids = tokens._ids
+    monkeypatch.setattr(tokens, "_ids", lambda tokenizer, texts: given.extend(texts) or ids(tokenizer, texts), raising=False)
+    got = tokens([t.encode() for t in texts], 2)
+    for text, own in zip(texts, got):
+        assert np.frombuffer(own, "<u2").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text
+    plain = [w for w in made if not ("<|" in w or "\x01" in w)]
+    assert 0 < len(given) < len(set(made)) - len(set(plain)) + len(set(plain)) / 16
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     binary.write_ids(frame(spark, []), str(tmp_path / "ids"), cq.tokenizer_file(), 2)
     assert binary.read_ids(spark, str(tmp_path / "ids")).count() == 0
