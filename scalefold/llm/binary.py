@@ -1,15 +1,15 @@
 """Token ids of a corpus as compressed files: an adaptive context-mixing range coder.
 
-A *block* holds up to BLOCK_IDS ids and is coded on its own: model and coder start
-anew, and a crc32 of its ids is checked when it is read. A *frame*, one row of
-the file, holds whole documents in the order of their ids: their ids' blocks and
-the lengths of the documents.
-
-An id is coded as four nibbles. For each, the counts seen so far after the same
-earlier nibbles (order 0), after the same previous id too (order 1) and after
-the same two ids (order 2) are added up; a longer context weighs more, one that was
-never seen adds nothing. The sums drive a carry-less range coder. Python would be
-slow for one block, so the blocks of a frame run side by side, as one array step per nibble.
+A *block* holds up to BLOCK_IDS ids: model and coder start anew in it, and a
+crc32 of its ids is checked when it is read. A *frame*, one row of the file, holds
+whole documents in the order of their ids: the counts of their ids, the ids' blocks
+and the lengths of the documents.
+
+An id is coded in one step. Its share is added up from how often it comes in the frame
+(order 0), whether it came after the same previous id last (order 1) and after the same two
+ids (order 2); a context that was right more often weighs more, one that was never
+seen adds nothing. If a longer context names the id, its part of order 0 is left out. The shares drive a carry-less range
+coder. Python would be slow for one block, so the blocks of a frame run side by side, as one array step per id.
 """
 
 from __future__ import annotations
@@ -30,79 +30,134 @@ from pyspark.sql import functions as F
 
 from scalefold.llm.text import column_bytes, few_rows, steps, tidied
 
-#: With this many ids the added-up counts of a block stay below 2**16: an id raises a row of counts once at most.
 BLOCK_IDS = 2048
 #: Blocks coded side by side.
 LANES = 2048
 FRAME_IDS = BLOCK_IDS * LANES
-# Counts are kept as upper bounds: seeing a symbol raises its own and all later ones, more in a longer context.
-_ROW = np.dtype("V32")  # 16 bounds as one item: rows are then fetched and stored whole
-_GAINS = [(np.tri(16, dtype=np.uint16).T * np.uint16(g)).copy().view(_ROW).ravel() for g in (8, 10, 12)]
-_BASE = np.arange(1, 17, dtype=np.uint16)
-# Rows of 16 counts a block: order 0 by earlier nibbles (the last one hashed), orders 1 and 2 hashed, a quarter for each nibble.
-_ROWS = (1 + 16 + 64 + 64, 128, 256)
-_LOW = np.uint64((1 << 48) - 1)
-_TOP, _BOTTOM, _UNIT = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64(16)
+# All shares of a step add up to 2**29: of 2**12 parts the guesses get theirs, and order 0 divides the rest into 2**17.
+_PARTS_BITS, _COUNT_BITS = 12, 17
+_PARTS_ALL, _COUNT_ALL = 1 << _PARTS_BITS, 1 << _COUNT_BITS
+_ALL_BITS = np.uint64(_PARTS_BITS + _COUNT_BITS)
+# Guesses a block remembers for orders 1 and 2, by a hash of the context: the id that came plus 1, above three bits that tell how often it was right.
+_SLOT_BITS = (9, 10)
+_SHARES = (np.array([0, 40, 120, 250, 400, 600, 900, 1400], np.uint32), np.array([0, 100, 300, 600, 900, 1300, 1700, 2200], np.uint32))
+# How the three bits change, for 0 to 7 first after a wrong guess and then after a right one; below 2 a wrong guess is replaced.
+_STEP = np.array([0, 0, -1, -1, -2, -2, -3, -3, 0, 1, 1, 1, 1, 1, 1, 0]).astype(np.uint32)
+_COUNT_SHIFT, _HASH, _ZERO = np.uint32(_COUNT_BITS), np.uint32(0x9E3779B1), np.uint32(0)
+_WORD, _HALF = np.uint64(32), np.uint64(1 << 32)
+
+
+class _Counts:
+    """Order 0: how often each id comes in a frame, as shares of 2**17 that are at least 1."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray):
+        self.ids, self.share = ids, share
+        self.of = np.zeros(1 << 16, np.uint32)
+        self.of[ids] = share
+        self.below = np.zeros(1 << 16, np.uint32)
+        self.below[ids] = np.cumsum(share) - share
+        self.at = np.repeat(ids.astype(np.uint16), share)
+
+    @classmethod
+    def measured(cls, ids: np.ndarray) -> _Counts:
+        counts = np.bincount(ids, minlength=1)
+        found = np.flatnonzero(counts)
+        share = 1 + counts[found] * (_COUNT_ALL - len(found)) // len(ids)
+        share[share.argmax()] += _COUNT_ALL - share.sum()
+        return cls(found, share)
+
+    def packed(self) -> bytes:
+        steps = np.diff(self.ids, prepend=0).astype("<u2").tobytes()
+        return zlib.compress(steps + self.share.astype("<u4").tobytes())
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> _Counts:
+        try:
+            plain = zlib.decompress(packed)
+        except zlib.error as e:
+            raise ValueError("the counts of a frame of token ids cannot be read") from e
+        n = len(plain) // 6
+        ids, share = np.cumsum(np.frombuffer(plain, "<u2", n), dtype=np.int64), np.frombuffer(plain, "<u4", n, 2 * n).astype(np.int64)
+        if not n or len(plain) != 6 * n or ids[-1] >= 1 << 16 or share.sum() != _COUNT_ALL:
+            raise ValueError("the counts of a frame of token ids cannot be read")
+        return cls(ids, share)
 
 
 class _Model:
-    """Nibble counts of many blocks, in the contexts of orders 0, 1 and 2."""
-
-    def __init__(self, lanes: int):
-        self.bounds = [np.zeros(lanes * n * 16, np.uint16).view(_ROW) for n in _ROWS]
-        self.lane = [np.arange(lanes, dtype=np.int64) * n for n in _ROWS]
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-        self.at: list[np.ndarray] = []
-        self.row: list[np.ndarray] = []
-
-    def cumulated(self, live: int, nibble: int, prefix: np.ndarray) -> np.ndarray:
-        """Upper bounds of the 16 symbols' shares in each live block; every share is at least 1."""
-        if nibble < 2:
-            node = prefix + nibble
-        else:
-            node = (prefix * 0x9E5 >> 3 & 63) + (17 if nibble == 2 else 81)
-        mark = prefix * 0x85EBCA6B + nibble * 0x165667B1
-        one = ((self.one[:live] + mark) * 0x9E3779B1 >> 11 & _ROWS[1] // 4 - 1) + nibble * (_ROWS[1] // 4)
-        two = ((self.two[:live] + mark) * 0xC2B2AE35 >> 13 & _ROWS[2] // 4 - 1) + nibble * (_ROWS[2] // 4)
-        self.at = [lane[:live] + k for lane, k in zip(self.lane, (node, one, two))]
-        self.row = [b.take(at).view(np.uint16) for b, at in zip(self.bounds, self.at)]
-        return (self.row[0] + self.row[1] + self.row[2]).reshape(-1, 16) + _BASE
-
-    def learn(self, symbol: np.ndarray) -> None:
-        for bounds, at, row, gain in zip(self.bounds, self.at, self.row, _GAINS):
-            row += gain.take(symbol).view(np.uint16)
-            bounds.put(at, row.view(_ROW))
-
-    def follow(self, live: int, ids: np.ndarray) -> None:
-        self.two[:live] = self.one[:live] * 0x27D4EB2F + ids
+    """Shares of the next id in many blocks, added up from orders 0, 1 and 2."""
+
+    def __init__(self, lanes: int, counts: _Counts):
+        self.counts = counts
+        self.slots = [np.zeros(lanes << bits, np.uint32) for bits in _SLOT_BITS]
+        self.lane = [np.arange(lanes) << bits for bits in _SLOT_BITS]
+        self.one = np.zeros(lanes, np.uint32)
+        self.two = np.zeros(lanes, np.uint32)
+
+    def guess(self, live: int) -> None:
+        """Look up what followed the last id and the last two ids, and the parts of each."""
+        contexts = self.one[:live], self.two[:live]
+        self.at = [lane[:live] + (c * _HASH >> np.uint32(32 - bits)) for lane, c, bits in zip(self.lane, contexts, _SLOT_BITS)]
+        self.slot = [slots.take(at) for slots, at in zip(self.slots, self.at)]
+        self.sure = [slot & np.uint32(7) for slot in self.slot]
+        self.key = [slot >> np.uint32(3) for slot in self.slot]
+        self.parts = [shares.take(sure) for shares, sure in zip(_SHARES, self.sure)]
+        base = self.parts[0] + self.parts[1]
+        self.base, self.rest = base << _COUNT_SHIFT, np.uint32(_PARTS_ALL) - base
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose shares hold the places; order 2 lies first, then order 1, then order 0."""
+        ids = self.counts.at.take((np.maximum(place, self.base) - self.base) // self.rest).astype(np.uint32)
+        guessed = np.flatnonzero(place < self.base)
+        second = place[guessed] >> _COUNT_SHIFT < self.parts[1][guessed]
+        ids[guessed] = np.where(second, self.key[1][guessed], self.key[0][guessed]) - np.uint32(1)
+        return ids
+
+    def shares(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of the ids begin, and the shares; the guesses learn from the ids."""
+        key = ids + np.uint32(1)
+        one, two = ((k == key).astype(np.uint32) for k in self.key)
+        known = _ZERO - (one | two)  # all bits where a guess is right
+        below = _either(known, self.parts[1] * (np.uint32(1) - two) << _COUNT_SHIFT, self.base + self.rest * self.counts.below.take(ids))
+        parts = self.parts[0] * one + self.parts[1] * two
+        share = _either(known, parts << _COUNT_SHIFT, self.rest * self.counts.of.take(ids))
+        fresh = key << np.uint32(3) | np.uint32(1)
+        for slots, at, slot, sure, right in zip(self.slots, self.at, self.slot, self.sure, (one, two)):
+            case = (right << np.uint32(3)) + sure
+            slots[at] = _either(_ZERO - (case < 2).astype(np.uint32), fresh.copy(), slot + _STEP.take(case))
+        live = len(ids)
+        self.two[:live] = self.one[:live] * np.uint32(0x27D4EB2F) + ids * np.uint32(0x165667B1) + np.uint32(1)
         self.one[:live] = ids
+        return below.astype(np.uint64), share.astype(np.uint64)
+
+
+def _either(mask: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """``yes`` where all bits of the mask are set, ``no`` where none is; as fast for any mix of them."""
+    yes ^= no
+    yes &= mask
+    yes ^= no
+    return yes
 
 
 def _lengths(n: int) -> np.ndarray:
     return np.minimum(np.arange(n, 0, -BLOCK_IDS), BLOCK_IDS) if n else np.zeros(0, np.int64)
 
 
-def _shares(cumulated: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat, at = cumulated.ravel(), np.arange(0, cumulated.size, 16) + symbol
-    lower = flat.take(at - 1, mode="wrap")
-    lower[symbol == 0] = 0
-    return lower.astype(np.uint64), (flat.take(at) - lower).astype(np.uint64)
+def _narrow(low: np.ndarray, span: np.ndarray, below: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Take each lane's share of its span; returns the lanes that have a word settled.
 
-
-def _shift(low: np.ndarray, span: np.ndarray, live: int) -> np.ndarray:
-    """Lanes that have a unit settled; a span that got too small is cut to the end of its unit."""
-    a, s = low[:live], span[:live]
-    settled = (a ^ (a + s)) < _TOP
-    small = ~settled & (s < _BOTTOM)
-    if small.any():
-        s[small] = (np.uint64(0) - a[small]) & (_BOTTOM - np.uint64(1))
-        settled |= small
-    return np.flatnonzero(settled)
+    A span that got too small without that is cut to the end of its word."""
+    unit = span >> _ALL_BITS
+    low += unit * below
+    np.multiply(unit, share, out=span)
+    which = np.flatnonzero(span < _HALF)
+    a, s = low[which], span[which]
+    across = (a ^ (a + s)) >= _HALF
+    span[which] = np.where(across, (np.uint64(0) - a) & (_HALF - np.uint64(1)), s) << _WORD
+    return which
 
 
 def encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Blocks ``(ids, crc32, code)`` of a sequence of ids below 2**16."""
+    """Blocks ``(ids, crc32, code)`` of a sequence of ids below 2**16; the counts of a frame lie before the code of its first block."""
     blocks = []
     for at in range(0, len(ids), FRAME_IDS):
         blocks += _encode(ids[at : at + FRAME_IDS])
@@ -116,78 +171,70 @@ def _encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     grid = np.zeros(lanes * BLOCK_IDS, np.uint16)
     grid[: len(ids)] = ids
     grid = grid.reshape(lanes, BLOCK_IDS)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _LOW)
-    out = np.zeros((lanes, 4 * BLOCK_IDS + 8), np.uint16)
+    counts = _Counts.measured(ids)
+    model, steps = _Model(lanes, counts), grid.T.copy()
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+    out = np.zeros((lanes, BLOCK_IDS + 2), "<u4")
     used = np.zeros(lanes, np.int64)
 
     def emit(which: np.ndarray) -> None:
-        out[which, used[which]] = low[which] >> np.uint64(32)
+        out[which, used[which]] = low[which] >> _WORD
         used[which] += 1
-        low[which] = (low[which] << _UNIT) & _LOW
+        low[which] <<= _WORD
 
     for t in range(int(length[0])):
         live = lanes if length[-1] > t else lanes - 1
-        symbols = grid[:live, t].astype(np.int64)
-        for nibble in range(4):
-            prefix, symbol = symbols >> (16 - 4 * nibble), symbols >> (12 - 4 * nibble) & 15
-            cumulated = model.cumulated(live, nibble, prefix)
-            lower, share = _shares(cumulated, symbol)
-            model.learn(symbol)
-            unit = span[:live] // cumulated[:, 15]
-            low[:live] += unit * lower
-            span[:live] = unit * share
-            while len(which := _shift(low, span, live)):
-                emit(which)
-                span[which] <<= _UNIT
-        model.follow(live, symbols)
-    for _ in range(3):
+        model.guess(live)
+        below, share = model.shares(steps[t, :live].astype(np.uint32))
+        emit(_narrow(low[:live], span[:live], below, share))
+    for _ in range(2):
         emit(np.arange(lanes))
     crc = [zlib.crc32(grid[i, : length[i]].astype("<u4").tobytes()) for i in range(lanes)]
-    return [(int(length[i]), crc[i], out[i, : used[i]].astype("<u2").tobytes()) for i in range(lanes)]
+    packed = counts.packed()
+    head = [len(packed).to_bytes(4, "little") + packed, *[bytes(4)] * (lanes - 1)]
+    return [(int(length[i]), crc[i], head[i] + out[i, : used[i]].tobytes()) for i in range(lanes)]
 
 
 def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of coded blocks; a block whose checksum differs raises ``ValueError``."""
-    parts = [_decode(blocks[at : at + LANES]) for at in range(0, len(blocks), LANES)]
+    sizes = [int.from_bytes(b[2][:4], "little") for b in blocks]
+    begins = [i for i, n in enumerate(sizes) if n]
+    if blocks and (not begins or begins[0]):
+        raise ValueError("the first block of a frame of token ids is missing")
+    parts = []
+    for i, j in zip(begins, [*begins[1:], len(blocks)]):
+        counts = _Counts.unpacked(blocks[i][2][4 : 4 + sizes[i]])
+        coded = [(n, crc, code[4 + size :]) for (n, crc, code), size in zip(blocks[i:j], sizes[i:j])]
+        parts += [_decode(coded[at : at + LANES], counts) for at in range(0, len(coded), LANES)]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def _decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+def _decode(blocks: list[tuple[int, int, bytes]], counts: _Counts) -> np.ndarray:
     order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     length = np.array([blocks[i][0] for i in order])
     lanes = len(blocks)
-    model = _Model(lanes)
-    width = max(len(b[2]) for b in blocks) // 2 + 4
-    code_in = np.zeros((lanes, width), np.uint16)
+    model = _Model(lanes, counts)
+    width = max(len(b[2]) for b in blocks) // 4 + 2
+    code_in = np.zeros((lanes, width), np.uint64)
     for k, i in enumerate(order):
-        units = np.frombuffer(blocks[i][2], "<u2")
-        code_in[k, : len(units)] = units
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _LOW)
-    first = code_in[:, :3].astype(np.uint64)
-    code = first[:, 0] << np.uint64(32) | first[:, 1] << _UNIT | first[:, 2]
-    used = np.full(lanes, 3)
-    grid = np.zeros((lanes, BLOCK_IDS), np.uint16)
+        words = np.frombuffer(blocks[i][2], "<u4", len(blocks[i][2]) // 4)
+        code_in[k, : len(words)] = words
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+    code = code_in[:, 0] << _WORD | code_in[:, 1]
+    used = np.full(lanes, 2)
+    steps = np.zeros((int(length[0]), lanes), np.uint16)
+    most = np.uint64((1 << int(_ALL_BITS)) - 1)
     for t in range(int(length[0])):
         live = int(np.searchsorted(-length, -t, side="left"))
-        symbols = np.zeros(live, np.int64)
-        for nibble in range(4):
-            cumulated = model.cumulated(live, nibble, symbols)
-            unit = span[:live] // cumulated[:, 15]
-            place = np.minimum(((code[:live] - low[:live]) & _LOW) // unit, cumulated[:, 15] - 1).astype(np.uint16)
-            symbol = (cumulated > place[:, None]).argmax(axis=1)
-            lower, share = _shares(cumulated, symbol)
-            model.learn(symbol)
-            low[:live] += unit * lower
-            span[:live] = unit * share
-            while len(which := _shift(low, span, live)):
-                code[which] = ((code[which] << _UNIT) & _LOW) | code_in[which, np.minimum(used[which], width - 1)]
-                used[which] += 1
-                low[which] = (low[which] << _UNIT) & _LOW
-                span[which] <<= _UNIT
-            symbols = symbols << 4 | symbol
-        grid[:live, t] = symbols
-        model.follow(live, symbols)
+        model.guess(live)
+        a, s = low[:live], span[:live]
+        ids = model.find(np.minimum((code[:live] - a) // (s >> _ALL_BITS), most).astype(np.uint32))
+        which = _narrow(a, s, *model.shares(ids))
+        code[which] = code[which] << _WORD | code_in[which, np.minimum(used[which], width - 1)]
+        used[which] += 1
+        low[which] <<= _WORD
+        steps[t, :live] = ids
+    grid = steps.T.copy()
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
     for k, i in enumerate(order):
         out[i] = grid[k, : length[k]]
