@@ -32,14 +32,14 @@ from scalefold.llm.text import column_bytes, few_rows, steps, tidied
 
 BLOCK_IDS = 2048
 #: Blocks coded side by side.
-LANES = 2048
+LANES = 4096
 FRAME_IDS = BLOCK_IDS * LANES
 # All shares of a step add up to 2**29: of 2**12 parts the guesses get theirs, and order 0 divides the rest into 2**17.
 _PARTS_BITS, _COUNT_BITS = 12, 17
 _PARTS_ALL, _COUNT_ALL = 1 << _PARTS_BITS, 1 << _COUNT_BITS
 _ALL_BITS = np.uint64(_PARTS_BITS + _COUNT_BITS)
 # Guesses a block remembers for orders 1 and 2, by a hash of the context: the id that came plus 1, above three bits that tell how often it was right.
-_SLOT_BITS = (9, 10)
+_SLOT_BITS = (8, 9)
 _SHARES = (np.array([0, 40, 120, 250, 400, 600, 900, 1400], np.uint32), np.array([0, 100, 300, 600, 900, 1300, 1700, 2200], np.uint32))
 # How the three bits change, for 0 to 7 first after a wrong guess and then after a right one; below 2 a wrong guess is replaced.
 _STEP = np.array([0, 0, -1, -1, -2, -2, -3, -3, 0, 1, 1, 1, 1, 1, 1, 0]).astype(np.uint32)
@@ -321,8 +321,8 @@ class _Tokens:
         ids = np.concatenate(self._ids(tokenizer, texts))
         return ids, np.flatnonzero(ends(ids)) + 1
 
-    def _encode(self, units: pa.Array) -> None:
-        """Add distinct units to the known ones."""
+    def _encode(self, units: pa.Array) -> np.ndarray:
+        """Add distinct units to the known ones; returns the order in which they follow there."""
         step, letters, order = self.TOGETHER, np.zeros(len(units), bool), []
         if self.bare is not None:
             letters = pc.match_substring_regex(units.view(pa.large_string()), _LETTERS).to_numpy(zero_copy_only=False)
@@ -375,6 +375,7 @@ class _Tokens:
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, ids.astype("<u2")])
         self.known = pa.concat_arrays([self.known, units.take(pa.array(which))])
+        return which
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.large_binary())
@@ -399,11 +400,13 @@ class _Tokens:
         units = named.dictionary
         if len(self.known) > self.keep:
             self._forget()
-        place = pc.index_in(units, value_set=self.known)
-        if place.null_count:
-            self._encode(units.filter(place.is_null()))
-            place = pc.index_in(units, value_set=self.known)
-        used = place.to_numpy().take(named.indices.to_numpy())
+        place = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            before = len(self.known)
+            which = self._encode(units.take(pa.array(new)))
+            place[new[which]] = np.arange(before, before + len(new))
+        used = place.take(named.indices.to_numpy())
         size = self.size.take(used)
         return _spans(self.ids, self.start.take(used), size), size[::2] + size[1::2]
 
@@ -465,7 +468,7 @@ def write_ids(documents: DataFrame, path: str, model: str, end_id: int, id_col:
 
         for batch in few_rows(batches, 1024):
             texts, ids = column_bytes(batch, "text"), batch.column("doc_id").to_pylist()
-            for i, j in steps(texts, 1 << 21):
+            for i, j in steps(texts, 1 << 22):
                 for doc, own in zip(ids[i:j], tokens(texts[i:j], end_id)):
                     n = len(own) // 2
                     if docs and total + n > FRAME_IDS:

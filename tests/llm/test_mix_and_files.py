@@ -180,6 +180,30 @@ def test_coder_learns_and_checks():
         binary.decode([(n, crc, code[:40] + bytes([code[40] ^ 1]) + code[41:])])
 
 
+def test_coder_takes_what_the_counts_of_a_frame_allow():
+    """Ids drawn one by one take their entropy; a few that repeat the ids before them take less."""
+    rng = np.random.default_rng(3)
+    chance = 1 / np.arange(1, 2401)
+    chance /= chance.sum()
+    ids = rng.choice(np.arange(2400) * 20, 1 << 16, p=chance)
+    bits = -(chance * np.log2(chance)).sum()
+    assert 8 * sum(len(b[2]) for b in binary.encode(ids)) < 1.15 * bits * len(ids)
+    copied = np.concatenate([ids[:900], ids[:900]])
+    assert sum(len(b[2]) for b in binary.encode(copied)) < 0.9 * sum(len(b[2]) for b in binary.encode(ids[:1800]))
+
+
+def test_coder_of_several_frames(monkeypatch):
+    monkeypatch.setattr(binary, "FRAME_IDS", 5000)
+    ids = np.random.default_rng(4).integers(0, 1 << 16, 12000)
+    blocks = binary.encode(ids)
+    assert (binary.decode(blocks) == ids).all()
+    with pytest.raises(ValueError):
+        binary.decode(blocks[1:])
+    n, crc, code = blocks[0]
+    with pytest.raises(ValueError):
+        binary.decode([(n, crc, code[:10] + bytes([code[10] ^ 1]) + code[11:]), *blocks[1:]])
+
+
 def test_stages(spark):
     """Each stage against what its plain version keeps."""
     sf, cols = "/root/testdata/sf0.001", cp.COLUMNS
